@@ -94,11 +94,10 @@ def slices(column: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int
         i = j
 
 
-def words(data: np.ndarray, at: np.ndarray, fold: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hash of every word (case folded or not), words before each row (n + 1), and the words' first and end bytes."""
+def word_spans(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and end bytes of the words; a row's end also ends a word."""
     if not len(data):
-        none = np.zeros(0, np.int64)
-        return np.zeros(0, np.uint64), np.zeros(len(at), np.int64), none, none
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     space = _SPACE[data]
     edge = at[:-1][at[:-1] < len(data)]
     before = np.empty(len(data) + 1, bool)
@@ -108,12 +107,28 @@ def words(data: np.ndarray, at: np.ndarray, fold: bool = True) -> tuple[np.ndarr
     after = np.empty(len(data) + 1, bool)
     after[:-1], after[-1] = space, True
     after[edge] = True
-    ends = np.flatnonzero(after[1:] & ~space) + 1
-    total = np.empty(len(data) + 1, np.uint64)
-    total[0] = 0
-    np.cumsum((_FOLDED if fold else _BYTE)[data] * _power(_BASE, len(data)), out=total[1:])
-    hashed = mix((total[ends] - total[starts]) * _power(_BASE_INV, len(data))[starts] + (ends - starts).astype(np.uint64))
-    return hashed, np.searchsorted(starts, at), starts, ends
+    return starts, np.flatnonzero(after[1:] & ~space) + 1
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool = True) -> np.ndarray:
+    """A 64-bit hash of each byte span (ascending starts); memory is bounded by blocks of about SLICE_BYTES."""
+    table, out, i = _FOLDED if fold else _BYTE, np.zeros(len(starts), np.uint64), 0
+    while i < len(starts):
+        j = max(i + 1, int(np.searchsorted(starts, starts[i] + SLICE_BYTES)))
+        low, high = int(starts[i]), int(ends[i:j].max())
+        total = np.empty(high - low + 1, np.uint64)
+        total[0] = 0
+        np.cumsum(table[data[low:high]] * _power(_BASE, high - low), out=total[1:])
+        s, e = starts[i:j] - low, ends[i:j] - low
+        out[i:j] = mix((total[e] - total[s]) * _power(_BASE_INV, high - low)[s] + (e - s).astype(np.uint64))
+        i = j
+    return out
+
+
+def words(data: np.ndarray, at: np.ndarray, fold: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hash of every word (case folded or not), words before each row (n + 1), and the words' first and end bytes."""
+    starts, ends = word_spans(data, at)
+    return span_hashes(data, starts, ends, fold), np.searchsorted(starts, at), starts, ends
 
 
 def components(links: DataFrame, a: str, b: str) -> DataFrame:

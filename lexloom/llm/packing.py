@@ -25,7 +25,7 @@ from lexloom.llm.common import partitions, slices, stored, words
 
 CAPACITY, UNIT, END_ID = 4096, 32, 2
 #: Words that a Python worker keeps the ids of, before it starts anew.
-CACHE_WORDS = 1_500_000
+CACHE_WORDS = 400_000
 
 PIECES = "doc_id long, start long, length long, doc_tokens long, ids binary"
 
@@ -98,7 +98,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, unit: int
         schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("doc_tokens", pa.int64()), ("ids", pa.binary())])
         for batch in batches:
             doc_ids = batch.column(0).to_pylist()
-            for first, last, data, at in slices(batch.column(1), 16 << 20):
+            for first, last, data, at in slices(batch.column(1), 4 << 20):
                 rows = []
                 for doc_id, ids in zip(doc_ids[first:last], encoder.ids(data, at), strict=True):
                     ids = np.concatenate((ids, end)).astype("<u4")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.llm import html_text, packing, warc
+from lexloom.llm import html_text, ngram_join, packing, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,10 @@ def _word_bpe() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(_table(spark, sf_dir, "documents"))
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = warc.write(_table(spark, sf_dir, "pages"), min_bytes=0)
     return warc.read(manifest, with_payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "verified")
@@ -33,7 +37,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op6_warc": op6_warc, "op7_html_text": op7_html_text, "op9_packing": op9_packing}
+    return {"op1_ngram_join": op1_ngram_join, "op6_warc": op6_warc, "op7_html_text": op7_html_text, "op9_packing": op9_packing}
 
 
 def oracle_sql() -> dict[str, str]:
