@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.llm import html_text, ngram_join, packing, warc
+from lexloom.llm.common import stored
+from lexloom.llm.toxicity import held_out
+from lexloom.llm import html_text, lm, ngram_join, packing, quality, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +24,13 @@ def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(_table(spark, sf_dir, "documents"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    out = held_out(F.col("doc_id"), 4, 2)
+    model = toxicity.train(docs, _table(spark, sf_dir, "labels"), ~out)
+    return toxicity.score(docs, model).select("doc_id", out.alias("held_out"), "score", "predicted")
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = warc.write(_table(spark, sf_dir, "pages"), min_bytes=0)
     return warc.read(manifest, with_payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "verified")
@@ -31,13 +40,24 @@ def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(_table(spark, sf_dir, "pages"))
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = held_out(F.col("doc_id"), 3, 1)
+    stats = stored(quality.described(_table(spark, sf_dir, "documents")), "statistics")
+    model = quality.train(stats, _table(spark, sf_dir, "labels"), ~out)
+    return quality.score(stats, model).select("doc_id", out.alias("held_out"), "score", "predicted")
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = packing.pack(_table(spark, sf_dir, "documents"), _word_bpe(), keep_ids=False)
     return placed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.perplexity(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {"op1_ngram_join": op1_ngram_join, "op6_warc": op6_warc, "op7_html_text": op7_html_text, "op9_packing": op9_packing}
+    return {"op1_ngram_join": op1_ngram_join, "op5_toxicity": op5_toxicity, "op6_warc": op6_warc, "op7_html_text": op7_html_text, "op8_quality": op8_quality, "op9_packing": op9_packing, "op10_lm": op10_lm}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -1,12 +1,12 @@
 """Toxicity by compression distance: two zstandard dictionaries, windows, calibrated thresholds.
 
 Training takes a bounded sample of labelled documents (SAMPLE_DOCS of each class, by the hash of their
-id). Half of it trains the dictionaries: one on ordinary text, one on the words of toxic text that mark
+id), which trains two dictionaries: one on ordinary text, one on the words of toxic text that mark
 it, each word with its neighbours counted once, so that copies of a document don't make its words look
 marked. The toxic compressor also holds the ordinary dictionary: text that both know costs both the
-same, and a window's difference in compressed length is what the toxic words save. The other half
-calibrates: the counts of windows that save at least 2, 3, ... bytes are weighed by a ridge logistic
-regression into a score.
+same, and a window's difference in compressed length is what the toxic words save. For calibration each
+of FOLDS parts of the sample is measured with dictionaries of the others: the counts of windows that
+save at least 1, 2, ... bytes are weighed by a ridge logistic regression into a score.
 
 Documents are then scored one by one over all their windows of WINDOW words. Null or empty text has no
 window and gets the score of a document in which no window saves anything. A null doc_id is scored, and
@@ -24,9 +24,9 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import slices, span_hashes, text_bytes, word_spans
+from lexloom.llm.common import kept_rows, slices, span_hashes, text_bytes, word_spans
 
-SAMPLE_DOCS = 3000
+SAMPLE_DOCS, FOLDS = 2000, 4
 WINDOW, LEVEL, STEPS = 12, 9, (1, 2, 3, 4, 5, 6, 8)
 PREFIXES = (4, 5, 6, 8)
 #: Evidence (twice the log likelihood ratio) for a marked word: about 2 * log(number of words compared).
@@ -47,6 +47,10 @@ def _compressor(content: bytes) -> zstandard.ZstdCompressor:
     return zstandard.ZstdCompressor(compression_params=parameters, dict_data=dictionary)
 
 
+def _compressors(ordinary: bytes, toxic: bytes) -> tuple[zstandard.ZstdCompressor, zstandard.ZstdCompressor]:
+    return _compressor(ordinary), _compressor(toxic + ordinary)
+
+
 def _lengths(compressor: zstandard.ZstdCompressor, buffer: zstandard.BufferWithSegments) -> np.ndarray:
     out = compressor.multi_compress_to_buffer(buffer, threads=1)
     return np.fromiter((len(out[i]) for i in range(len(out))), np.int64, len(out))
@@ -152,7 +156,7 @@ class Model:
         self.ordinary, self.toxic, self.mean, self.scale, self.weights = ordinary, toxic, mean, scale, weights
 
     def scores(self, column: pa.Array) -> np.ndarray:
-        ordinary, toxic = _compressor(self.ordinary), _compressor(self.toxic + self.ordinary)
+        ordinary, toxic = _compressors(self.ordinary, self.toxic)
         out = []
         for _, _, data, at in slices(column):
             x = (features(*savings(data, at, ordinary, toxic)) - self.mean) / self.scale
@@ -178,24 +182,28 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, seed: int = 1) ->
     if not y.any() or y.all():
         p = (share.get(1, 0) + 1) / (sum(share.values()) + 2)
         return Model(b"", b"", np.zeros(width), np.ones(width), np.append(np.zeros(width), np.log(p / (1 - p))))
-    half = np.random.default_rng(seed).permutation(len(y)) % 2 == 0
-    for part in (half, ~half):
-        if not (y & part).any():
-            half = np.ones(len(y), bool)
+    fold = np.random.default_rng(seed).permutation(len(y)) % FOLDS
     raw = data.tobytes()
     texts = [raw[at[i] : at[i + 1]] for i in range(len(y))]
-    ordinary, toxic = train_dictionaries([t for t, h in zip(texts, half, strict=True) if h], y[half])
-    rest = ~half if (y & ~half).any() else half
-    one, two = _compressor(ordinary), _compressor(toxic + ordinary)
-    x = np.concatenate([features(*savings(d, a, one, two)) for _, _, d, a in slices(text.filter(pa.array(rest)))])
+    x = np.zeros((len(y), width))
+    for part in (fold == k for k in range(FOLDS)):  # measured with dictionaries of the other folds
+        one, two = _compressors(*train_dictionaries([t for t, h in zip(texts, part, strict=True) if not h], y[~part]))
+        if part.any():
+            x[part] = np.concatenate([features(*savings(d, a, one, two)) for _, _, d, a in slices(text.filter(pa.array(part)))])
+    ordinary, toxic = train_dictionaries(texts, y)
     mean, scale = x.mean(0), x.std(0) + 1e-3
-    weights = fit_logistic((x - mean) / scale, y[rest].astype(float))
+    weights = fit_logistic((x - mean) / scale, y.astype(float))
     # the sample's share of toxic rows is not that of the labels
-    s, t = y[rest].mean(), share.get(1, 0) / sum(share.values())
+    s, t = y.mean(), share.get(1, 0) / sum(share.values())
     weights[-1] += np.log(t / (1 - t)) - np.log(s / (1 - s)) if 0 < s < 1 and 0 < t < 1 else 0
     return Model(ordinary, toxic, mean, scale, weights)
 
 
+def accept(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
+    """The documents below the threshold, with all their columns."""
+    return kept_rows(docs, lambda text: model.scores(text) < threshold)
+
+
 def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
     """doc_id, score, predicted."""
 
