@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lexloom.llm.common import stored
 from lexloom.llm.toxicity import held_out
-from lexloom.llm import html_text, lm, ngram_join, packing, quality, toxicity, warc
+from lexloom.llm import html_text, lm, near_dup, ngram_join, packing, quality, topk, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +24,14 @@ def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(_table(spark, sf_dir, "documents"))
 
 
+def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+def op3_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     out = held_out(F.col("doc_id"), 4, 2)
@@ -57,7 +65,7 @@ def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op1_ngram_join": op1_ngram_join, "op5_toxicity": op5_toxicity, "op6_warc": op6_warc, "op7_html_text": op7_html_text, "op8_quality": op8_quality, "op9_packing": op9_packing, "op10_lm": op10_lm}
+    return {"op1_ngram_join": op1_ngram_join, "op2_topk": op2_topk, "op3_near_dup": op3_near_dup, "op5_toxicity": op5_toxicity, "op6_warc": op6_warc, "op7_html_text": op7_html_text, "op8_quality": op8_quality, "op9_packing": op9_packing, "op10_lm": op10_lm}
 
 
 def oracle_sql() -> dict[str, str]:
