@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lexloom.llm.common import stored
 from lexloom.llm.toxicity import held_out
-from lexloom.llm import html_text, lm, near_dup, ngram_join, packing, quality, topk, toxicity, warc
+from lexloom.llm import html_text, lm, near_dup, ngram_join, packing, quality, sp_codec, topk, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +32,14 @@ def op3_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(_table(spark, sf_dir, "embeddings"))
 
 
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    parts = sp_codec.encode(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    texts = sp_codec.documents(parts)
+    return texts.select("doc_id", "n_parts", (F.octet_length("ids") / 4).cast("long").alias("n_ids"), F.crc32("ids").alias("ids_crc32"), F.col("whole").alias("round_trip"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     out = held_out(F.col("doc_id"), 4, 2)
@@ -64,8 +72,14 @@ def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.perplexity(_table(spark, sf_dir, "documents"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict:
-    return {"op1_ngram_join": op1_ngram_join, "op2_topk": op2_topk, "op3_near_dup": op3_near_dup, "op5_toxicity": op5_toxicity, "op6_warc": op6_warc, "op7_html_text": op7_html_text, "op8_quality": op8_quality, "op9_packing": op9_packing, "op10_lm": op10_lm}
+    return {"op1_ngram_join": op1_ngram_join, "op2_topk": op2_topk, "op3_near_dup": op3_near_dup, "op4_sentencepiece": op4_sentencepiece, "op5_toxicity": op5_toxicity, "op6_warc": op6_warc, "op7_html_text": op7_html_text, "op8_quality": op8_quality, "op9_packing": op9_packing, "op10_lm": op10_lm, "pipeline": pipeline}
 
 
 def oracle_sql() -> dict[str, str]:
