@@ -137,21 +137,21 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
     Alternating large-star and small-star steps; each is a minimum per node joined back, so no task
     holds all links of a node. Every round is written to shared storage.
     """
-    edges = links.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u <> v").distinct()
+    edges = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct()
     edges = stored(edges, "links")
-    seen = None
-    while True:
+    mark = lambda: edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
+    now = mark()
+    while now[0]:
         both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u")
         edges = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(small.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
         edges = stored(edges, "links")
-        now = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
+        seen, now = now, mark()
         if now == seen:
             break
-        seen = now
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionAll(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 

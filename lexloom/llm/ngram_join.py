@@ -37,7 +37,7 @@ from pyspark.sql.window import Window
 
 from lexloom.llm.common import U, components, mix, partitions, slices, stored, words
 
-WORDS, FIRST_LEVEL, BLOCK_ROWS = 5, 24, 256
+WORDS, FIRST_LEVEL, LEFT_ROWS, RIGHT_ROWS = 5, 24, 256, 1024
 #: The ids of the texts to compare are broadcast up to this many, and joined by a shuffle beyond.
 BROADCAST_IDS = 500_000
 _PLACE = np.random.default_rng(5).integers(1, 2**63, 64, dtype=np.uint64) | U(1)
@@ -101,23 +101,20 @@ def signatures(s: np.ndarray) -> np.ndarray:
 def profile(s: np.ndarray) -> bytes:
     """Shingles in each of 2^j equal parts of the hash domain, up to 255: half the sum of a difference bounds that of the sets."""
     bins = 256
-    while bins * 8 < len(s) and bins < 65536:
+    while bins * 2 < len(s) and bins < 65536:
         bins *= 2
     return np.minimum(np.bincount((s >> U(64 - bins.bit_length() + 1)).astype(np.int64), minlength=bins), 255).astype(np.uint8).tobytes()
 
 
-def _fits(n_a: int, n_b: int, apart: int) -> bool:
-    """Whether sets of these sizes that differ in at least `apart` shingles can link: 7 * difference <= sizes."""
-    return 7 * apart <= n_a + n_b
+def _folded(a: bytes, bins: int) -> np.ndarray:
+    """A profile in fewer bins, cut at 255 again like one that was counted in them."""
+    return np.minimum(np.frombuffer(a, np.uint8).astype(np.int16).reshape(bins, -1).sum(1), 255).astype(np.int16)
 
 
-def _apart(a: bytes, b: bytes) -> int:
-    x, y = np.frombuffer(a, np.uint8).astype(np.int32), np.frombuffer(b, np.uint8).astype(np.int32)
-    if len(x) != len(y):  # then counts may be cut at 255 in the coarser one, so cut the finer one's sums too
-        if len(x) > len(y):
-            x, y = y, x
-        y = np.minimum(y.reshape(len(x), -1).sum(1), 255)
-    return int(np.abs(x - y).sum())
+def _fits(n_a: int, n_b: int, a: bytes, b: bytes) -> bool:
+    """Whether sets of these sizes and profiles can link: that takes 7 * difference <= sizes."""
+    bins = min(len(a), len(b))
+    return 7 * int(np.abs(_folded(a, bins) - _folded(b, bins)).sum()) <= n_a + n_b
 
 
 def linked(a: np.ndarray, b: np.ndarray) -> bool:
@@ -153,7 +150,7 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             c = {n: batch.column(i).to_pylist() for i, n in enumerate(batch.schema.names)}
-            keep = [_fits(x, y, _apart(p, q)) for x, y, p, q in zip(c["n_a"], c["n_b"], c["p_a"], c["p_b"], strict=True)]
+            keep = [_fits(x, y, p, q) for x, y, p, q in zip(c["n_a"], c["n_b"], c["p_a"], c["p_b"], strict=True)]
             yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b", "doc_a", "doc_b"])
 
     near = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "p_a", "p_b", "doc_a", "doc_b")
@@ -185,33 +182,41 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     return both.mapInArrow(check, "a long, b long").distinct()
 
 
-def _rest(shared: DataFrame, labels: DataFrame, nodes: DataFrame, tested: DataFrame) -> DataFrame:
+def _rest(shared: DataFrame, labels: DataFrame, nodes: DataFrame, tested: DataFrame, nearest: bool) -> DataFrame:
     """Untested pairs of different components in one bucket that the lower bound lets through.
 
-    Members of a bucket are dealt into blocks of BLOCK_ROWS; every two blocks meet in one group, where the
-    pairs are compared in memory and only those within the bound are given.
+    Every member outside a bucket's largest component is compared with all members of other components:
+    the former are dealt into blocks of LEFT_ROWS, the members into blocks of RIGHT_ROWS, and two blocks
+    meet in one group in memory. With `nearest`, a member gives only the nearest one of each component.
     """
     member = shared.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    split = member.groupBy("sig").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("n")).filter("x <> y").select("sig", F.expr("(n + {0} - 1) div {0}".format(BLOCK_ROWS)).alias("blocks"))
-    member = member.join(split, "sig").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
-    meet = member.select("sig", "node", "root", "block", F.explode(F.expr("sequence(0, blocks - 1)")).alias("other"))
-    meet = meet.select("sig", "node", "root", "block", F.least("block", "other").alias("g"), F.greatest("block", "other").alias("h"))
-    meet = meet.join(nodes.select("node", "n_shingles", "profile"), "node")
+    count = member.groupBy("sig", "root").agg(F.count("*").alias("n"))
+    split = count.groupBy("sig").agg(F.max(F.struct("n", "root")).alias("most"), F.sum("n").alias("n"), F.count("*").alias("parts")).filter("parts > 1")
+    split = split.select("sig", F.col("most.root").alias("main"), F.expr(f"(n - most.n + {LEFT_ROWS} - 1) div {LEFT_ROWS}").alias("lefts"), F.expr(f"(n + {RIGHT_ROWS} - 1) div {RIGHT_ROWS}").alias("rights"))
+    member = member.join(split, "sig").withColumn("g", F.pmod(F.xxhash64("node"), F.col("lefts"))).withColumn("h", F.pmod(F.xxhash64("node", F.lit(1)), F.col("rights")))
+    left = member.filter("root <> main").select("sig", "node", "root", "g", F.explode(F.expr("sequence(0, rights - 1)")).alias("h"), F.lit(True).alias("is_left"))
+    right = member.select("sig", "node", "root", F.explode(F.expr("sequence(0, lefts - 1)")).alias("g"), "h", F.lit(False).alias("is_left"))
+    meet = left.unionByName(right).join(nodes.select("node", "n_shingles", "profile"), "node")
 
     def compare(rows):
         import pandas as pd
 
-        rows = rows.sort_values("node")
-        node, root, n, block = (rows[c].to_numpy() for c in ("node", "root", "n_shingles", "block"))
-        shapes, crossed = rows["profile"].tolist(), rows["g"].iloc[0] != rows["h"].iloc[0]
-        out = []
-        for i in range(len(rows)):
-            ok = (root[i + 1 :] != root[i]) & (np.minimum(n[i + 1 :], n[i]) * 4 >= np.maximum(n[i + 1 :], n[i]) * 3)
-            if crossed:
-                ok &= block[i + 1 :] != block[i]
-            for j in np.flatnonzero(ok) + i + 1:
-                if _fits(n[i], n[j], _apart(shapes[i], shapes[j])):
-                    out.append((node[i], node[j]))
+        rows = rows.sort_values(["is_left", "node"])
+        node, root, n, is_left = (rows[c].to_numpy() for c in ("node", "root", "n_shingles", "is_left"))
+        width = min(map(len, rows["profile"]))
+        x = np.stack([_folded(p, width) for p in rows["profile"]])
+        others, out = np.flatnonzero(~is_left), []
+        for i in np.flatnonzero(is_left):
+            j = others[(root[others] != root[i]) & (np.minimum(n[others], n[i]) * 4 >= np.maximum(n[others], n[i]) * 3)]
+            if len(j):
+                apart = np.abs(x[j] - x[i]).sum(1, dtype=np.int64)
+                fits = 7 * apart <= n[j] + n[i]
+                j, apart = j[fits], apart[fits]
+                if nearest:
+                    order = np.lexsort((node[j], apart, root[j]))
+                    j = j[order]
+                    j = j[np.concatenate(([True], root[j][1:] != root[j][:-1]))] if len(j) else j
+                out += [(min(node[i], node[k]), max(node[i], node[k])) for k in j]
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
     pairs = meet.groupBy("sig", "g", "h").applyInPandas(compare, "a long, b long").distinct()
@@ -233,9 +238,13 @@ def join(docs: DataFrame) -> DataFrame:
     star = shared.filter("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
     star = stored(star, "star")
     links = stored(_verified(star, nodes, docs), "links")
-    rest = stored(_rest(shared.select("sig", "node"), components(links, "a", "b"), nodes, star), "rest")
-    if not rest.isEmpty():
-        links = links.unionAll(_verified(rest, nodes, docs))
+    tested = star
+    for nearest in (True, False):  # the nearest ones first: most of the other pairs then lie in one component
+        rest = stored(_rest(shared.select("sig", "node"), components(links, "a", "b"), nodes, tested, nearest), "rest")
+        if rest.isEmpty():
+            break
+        links = stored(links.unionAll(_verified(rest, nodes, docs)), "links")
+        tested = tested.unionAll(rest)
     label = components(links, "a", "b")
     member = nodes.select("node", "doc_id").join(label, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = member.groupBy("root").agg(F.min("doc_id").alias("component_id"))
