@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -21,15 +22,45 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lexloom.llm.common import partitions, slices, stored, words
+from lexloom.llm.common import partitions, slices, span_hashes, stored, word_spans, words
 
 CAPACITY, UNIT, END_ID = 4096, 32, 2
 #: Words that a Python worker keeps the ids of, before it starts anew.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 1_000_000
 
 PIECES = "doc_id long, start long, length long, doc_tokens long, ids binary"
 
 
+_PUNCT = np.zeros(256, bool)
+_PUNCT[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
+
+
+def _units(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, units before each row, first and end bytes of the units that are tokenized apart.
+
+    The tokenizer folds case and never joins a letter with signs after it, so a word's last signs are a
+    unit of their own if an ASCII or a Latin-1 letter stands before them: far fewer distinct units than
+    words. A text that may hold a special token's string is left in words as they are.
+    """
+    if b"<|" in data.tobytes():
+        return words(data, at, fold=False)
+    starts, ends = word_spans(data, at)
+    sign = _PUNCT[data]
+    last = np.maximum.accumulate(np.where(sign, -1, np.arange(len(data)))) if len(data) else starts
+    core = last[ends - 1] + 1
+    before = np.maximum(core - 1, 0)
+    letter = ((data[before] | 32) >= 97) & ((data[before] | 32) <= 122)
+    letter |= (data[np.maximum(core - 2, 0)] == 0xC3) & (data[before] >= 0x80) & (data[before] != 0x97) & (data[before] != 0xB7)
+    split = (core > starts) & (core < ends) & letter
+    word_at = np.searchsorted(starts, at)
+    more = np.concatenate(([0], np.cumsum(split)))
+    place = np.arange(len(starts)) + more[:-1]
+    first, end = np.empty(len(starts) + more[-1], np.int64), np.empty(len(starts) + more[-1], np.int64)
+    first[place], end[place] = starts, np.where(split, core, ends)
+    first[place[split] + 1], end[place[split] + 1] = core[split], ends[split]
+    return span_hashes(data, first, end), word_at + more[word_at], first, end
+
+
 class WordIds:
     """Ids of space-delimited words: the tokenizer drops white space, so a text's ids are its words' ids in turn."""
 
@@ -46,20 +77,23 @@ class WordIds:
         self.first, self.count = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
 
     def _add(self, hashes: list[int], texts: list[str]) -> None:
-        for h, e in zip(hashes, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
-            ids, k = e.ids, len(self.at)
-            if k == len(self.first):
-                self.first, self.count = np.resize(self.first, 2 * k), np.resize(self.count, 2 * k)
-            while self.used + len(ids) > len(self.pool):
-                self.pool = np.resize(self.pool, 2 * len(self.pool))
-            self.pool[self.used : self.used + len(ids)] = ids
-            self.first[k], self.count[k] = self.used, len(ids)
-            self.used += len(ids)
-            self.at[h] = k
+        got = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        count = np.fromiter(map(len, got), np.int64, len(got))
+        flat = np.fromiter(chain.from_iterable(got), np.uint32, int(count.sum()))
+        k = len(self.at)
+        while k + len(got) > len(self.first):
+            self.first, self.count = np.resize(self.first, 2 * len(self.first)), np.resize(self.count, 2 * len(self.count))
+        while self.used + len(flat) > len(self.pool):
+            self.pool = np.resize(self.pool, 2 * len(self.pool))
+        self.pool[self.used : self.used + len(flat)] = flat
+        self.first[k : k + len(got)] = self.used + np.cumsum(count) - count
+        self.count[k : k + len(got)] = count
+        self.used += len(flat)
+        self.at.update(zip(hashes, range(k, k + len(got)), strict=True))
 
     def ids(self, data: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
         """Ids of each row of a slice of texts, without an end id."""
-        hashed, word_at, starts, ends = words(data, at, fold=False)
+        hashed, word_at, starts, ends = _units(data, at)
         known, place, back = np.unique(hashed, return_index=True, return_inverse=True)
         if len(self.at) + len(known) > CACHE_WORDS and len(self.at):
             self.clear()
