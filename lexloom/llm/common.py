@@ -164,3 +164,32 @@ def kept_rows(docs: DataFrame, keep, text: str = "text") -> DataFrame:
             yield batch.filter(pa.array(keep(batch.column(at)), pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
+
+
+def runs(batches: Iterator[pa.RecordBatch], key: list[str]) -> Iterator[tuple[dict[str, list], list[tuple[int, int]]]]:
+    """Columns and (first, end) of the whole groups in rows that are sorted by `key`; a group may span batches.
+
+    Groups come many at a time, so tiny groups cost little more than their rows.
+    """
+    held: pa.Table | None = None
+
+    def give(table: pa.Table):
+        columns = {n: table.column(n).to_pylist() for n in table.column_names}
+        marks = list(zip(*(columns[k] for k in key), strict=True))
+        cuts = [0, *(i for i in range(1, len(marks)) if marks[i] != marks[i - 1]), len(marks)]
+        return columns, list(zip(cuts[:-1], cuts[1:], strict=True))
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([batch])
+        table = table if held is None else pa.concat_tables([held, table])
+        last = {k: table.column(k)[-1].as_py() for k in key}
+        n = table.num_rows
+        while n and all(table.column(k)[n - 1].as_py() == v for k, v in last.items()):
+            n -= 1
+        held = table.slice(n)
+        if n:
+            yield give(table.slice(0, n))
+    if held is not None:
+        yield give(held)

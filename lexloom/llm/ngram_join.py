@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lexloom.llm.common import U, components, mix, partitions, slices, stored, words
+from lexloom.llm.common import U, components, mix, partitions, runs, slices, stored, words
 
 WORDS, FIRST_LEVEL, LEFT_ROWS, RIGHT_ROWS = 5, 24, 256, 1024
 #: The ids of the texts to compare are broadcast up to this many, and joined by a shuffle beyond.
@@ -111,6 +111,10 @@ def _folded(a: bytes, bins: int) -> np.ndarray:
     return np.minimum(np.frombuffer(a, np.uint8).astype(np.int16).reshape(bins, -1).sum(1), 255).astype(np.int16)
 
 
+def _narrow(a: bytes, bins: int) -> bytes:
+    return a if len(a) == bins else _folded(a, bins).astype(np.uint8).tobytes()
+
+
 def _fits(n_a: int, n_b: int, a: bytes, b: bytes) -> bool:
     """Whether sets of these sizes and profiles can link: that takes 7 * difference <= sizes."""
     bins = min(len(a), len(b))
@@ -198,28 +202,35 @@ def _rest(shared: DataFrame, labels: DataFrame, nodes: DataFrame, tested: DataFr
     right = member.select("sig", "node", "root", F.explode(F.expr("sequence(0, lefts - 1)")).alias("g"), "h", F.lit(False).alias("is_left"))
     meet = left.unionByName(right).join(nodes.select("node", "n_shingles", "profile"), "node")
 
-    def compare(rows):
-        import pandas as pd
-
-        rows = rows.sort_values(["is_left", "node"])
-        node, root, n, is_left = (rows[c].to_numpy() for c in ("node", "root", "n_shingles", "is_left"))
-        width = min(map(len, rows["profile"]))
-        x = np.stack([_folded(p, width) for p in rows["profile"]])
-        others, out = np.flatnonzero(~is_left), []
-        for i in np.flatnonzero(is_left):
-            j = others[(root[others] != root[i]) & (np.minimum(n[others], n[i]) * 4 >= np.maximum(n[others], n[i]) * 3)]
-            if len(j):
-                apart = np.abs(x[j] - x[i]).sum(1, dtype=np.int64)
-                fits = 7 * apart <= n[j] + n[i]
-                j, apart = j[fits], apart[fits]
-                if nearest:
-                    order = np.lexsort((node[j], apart, root[j]))
-                    j = j[order]
-                    j = j[np.concatenate(([True], root[j][1:] != root[j][:-1]))] if len(j) else j
-                out += [(min(node[i], node[k]), max(node[i], node[k])) for k in j]
-        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
-
-    pairs = meet.groupBy("sig", "g", "h").applyInPandas(compare, "a long, b long").distinct()
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for c, groups in runs(batches, ["sig", "g", "h"]):
+            node, root, n, is_left = (np.array(c[x]) for x in ("node", "root", "n_shingles", "is_left"))
+            out: list[np.ndarray] = []
+            for first, end in groups:
+                own = np.arange(first, end)
+                lefts, others = own[is_left[first:end]], own[~is_left[first:end]]
+                if not len(lefts) or not len(others):
+                    continue
+                width = min(len(c["profile"][i]) for i in own)
+                x = np.frombuffer(b"".join(_narrow(c["profile"][i], width) for i in own), np.uint8).reshape(-1, width).astype(np.int16)
+                for i in lefts:
+                    j = others[(root[others] != root[i]) & (np.minimum(n[others], n[i]) * 4 >= np.maximum(n[others], n[i]) * 3)]
+                    if not len(j):
+                        continue
+                    apart = np.abs(x[j - first] - x[i - first]).sum(1, dtype=np.int64)
+                    fits = 7 * apart <= n[j] + n[i]
+                    j, apart = j[fits], apart[fits]
+                    if nearest and len(j) > 1:
+                        j = j[np.lexsort((node[j], apart, root[j]))]
+                        j = j[np.concatenate(([True], root[j][1:] != root[j][:-1]))]
+                    if len(j):
+                        out.append(np.stack((np.minimum(node[i], node[j]), np.maximum(node[i], node[j]))))
+            if out:
+                pairs = np.unique(np.concatenate(out, 1), axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
+
+    meet = meet.select("sig", "g", "h", "is_left", "node", "root", "n_shingles", "profile").repartition(partitions(shared.sparkSession), "sig", "g", "h").sortWithinPartitions("sig", "g", "h")
+    pairs = meet.mapInArrow(compare, "a long, b long").distinct()
     return pairs.join(tested, ["a", "b"], "left_anti")
 
 
