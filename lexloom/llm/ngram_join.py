@@ -191,7 +191,7 @@ def _rest(shared: DataFrame, labels: DataFrame, nodes: DataFrame, tested: DataFr
 
     Every member outside a bucket's largest component is compared with all members of other components:
     the former are dealt into blocks of LEFT_ROWS, the members into blocks of RIGHT_ROWS, and two blocks
-    meet in one group in memory. With `nearest`, a member gives only the nearest one of each component.
+    meet in one group in memory. With `nearest`, a member gives only the nearest one in each block.
     """
     member = shared.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
     count = member.groupBy("sig", "root").agg(F.count("*").alias("n"))
@@ -221,8 +221,7 @@ def _rest(shared: DataFrame, labels: DataFrame, nodes: DataFrame, tested: DataFr
                     fits = 7 * apart <= n[j] + n[i]
                     j, apart = j[fits], apart[fits]
                     if nearest and len(j) > 1:
-                        j = j[np.lexsort((node[j], apart, root[j]))]
-                        j = j[np.concatenate(([True], root[j][1:] != root[j][:-1]))]
+                        j = j[np.lexsort((node[j], apart))[:1]]
                     if len(j):
                         out.append(np.stack((np.minimum(node[i], node[j]), np.maximum(node[i], node[j]))))
             if out:
@@ -252,10 +251,9 @@ def join(docs: DataFrame) -> DataFrame:
     tested = star
     for nearest in (True, False):  # the nearest ones first: most of the other pairs then lie in one component
         rest = stored(_rest(shared.select("sig", "node"), components(links, "a", "b"), nodes, tested, nearest), "rest")
-        if rest.isEmpty():
-            break
-        links = stored(links.unionAll(_verified(rest, nodes, docs)), "links")
-        tested = tested.unionAll(rest)
+        if not rest.isEmpty():
+            links = stored(links.unionAll(_verified(rest, nodes, docs)), "links")
+            tested = tested.unionAll(rest)
     label = components(links, "a", "b")
     member = nodes.select("node", "doc_id").join(label, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = member.groupBy("root").agg(F.min("doc_id").alias("component_id"))
