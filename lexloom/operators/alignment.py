@@ -74,10 +74,10 @@ def align_sequential(truth: DataFrame, model: DataFrame, key: str, second: str,
     The window depends on the rows before, so a page is one group; use align_static where a page is too
     large for a task. Unmatched rows have a null llm_seq. A model row may serve several rows.
     """
-    norm = lambda d, side: d.select("page", "seq", F.lit(side).alias("side"), *[T.normalize_string(T.null_to_empty(F.col(c))).alias(n) if c else F.lit("").alias(n) for n, c in (("k", key), ("s", second), ("y", synonyms))])
+    norm = lambda d, side: d.select((F.col("page") + 0).alias("page"), (F.col("seq") + 0).alias("seq"), F.lit(side).alias("side"), *[T.normalize_string(T.null_to_empty(F.col(c))).alias(n) if c else F.lit("").alias(n) for n, c in (("k", key), ("s", second), ("y", synonyms))])
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        left, right = left.sort_values("seq"), right.sort_values("seq")
+        left, right = (d.reindex(columns=["page", "seq", "side", "k", "s", "y"]).sort_values("seq") for d in (left, right))  # an empty side has no columns
         rows = list(zip(right["seq"], right["k"], right["s"], right["y"], strict=True))
         last, out = -1, []
         for i, (page, seq, k, s) in enumerate(zip(left["page"], left["seq"], left["k"], left["s"], strict=True)):
@@ -104,7 +104,7 @@ def align_sequential(truth: DataFrame, model: DataFrame, key: str, second: str,
                 out.append((page, seq, rows[best[0][3]][0], best[1][1], float(best[1][0])))
             else:
                 out.append((page, seq, None, None, None))
-        return pd.DataFrame(out, columns=["page", "gt_seq", "llm_seq", "kind", "score"]).astype({"llm_seq": "Int64"})
+        return pd.DataFrame(out, columns=["page", "gt_seq", "llm_seq", "kind", "score"], dtype="object")
 
     g, m = norm(truth, "gt"), norm(model, "llm")
     return g.groupBy("page").cogroup(m.groupBy("page")).applyInPandas(run, "page long, gt_seq long, llm_seq long, kind string, score double")

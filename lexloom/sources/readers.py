@@ -65,9 +65,15 @@ def read_tei(spark: SparkSession, path: str, row_tag: str = "entry") -> DataFram
     return spark.read.format("xml").option("rowTag", row_tag).option("mode", "PERMISSIVE").option("ignoreSurroundingSpaces", True).option("columnNameOfCorruptRecord", "_corrupt_record").load(path)
 
 
+#: Characters that windows-1252 has where ISO 8859-1 has control codes.
+_C1 = [i for i in range(0x80, 0xA0) if bytes([i]).decode("cp1252", "ignore")]
+
+
 def decoded(content: Column) -> Column:
     """Bytes as UTF-8 if they are that, else as windows-1252."""
-    return F.when(F.is_valid_utf8(content.cast("string")), F.decode(content, "utf-8")).otherwise(F.decode(content, "windows-1252"))
+    latin = F.decode(content, "iso-8859-1")
+    western = F.translate(latin, "".join(map(chr, _C1)), bytes(_C1).decode("cp1252"))
+    return F.when(F.is_valid_utf8(content.cast("string")), content.cast("string")).otherwise(western)
 
 
 def read_text_any_encoding(spark: SparkSession, path: str) -> DataFrame:
