@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lexloom.llm.common import stored
 from lexloom.llm.toxicity import held_out
-from lexloom.llm import html_text, lm, near_dup, ngram_join, packing, quality, sp_codec, topk, toxicity, warc
+from lexloom.llm import html_text, lm, near_dup, ngram_join, oracles, packing, quality, sp_codec, topk, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -83,4 +83,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(oracles.ORACLES)
