@@ -164,3 +164,9 @@ def agreement(answers: DataFrame, item: str, model: str, answer: str) -> DataFra
     b = answers.select(item, F.col(model).alias("model_b"), F.col(answer).alias("y"))
     p = a.join(b, item).filter("model_a < model_b")
     return p.groupBy("model_a", "model_b").agg(F.count("*").alias("items"), F.round(F.avg(F.col("x").eqNullSafe(F.col("y")).cast("double")), 6).alias("share"))
+
+
+def columns_to_load(available: list[str], *wanted: list[str | None]) -> list[str]:
+    """The wanted columns that a table has, each once, in the table's order."""
+    asked = {c for group in wanted for c in group if c}
+    return [c for c in available if c in asked]

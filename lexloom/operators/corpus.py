@@ -122,3 +122,9 @@ def genre_pivot(density: DataFrame, genres: list[str]) -> DataFrame:
 def genre_label(labels: Column) -> Column:
     """First label of an array: missing or empty array `unknown`, an item without name `tundmatu`."""
     return F.when(labels.isNull() | (F.size(labels) == 0), "unknown").otherwise(F.coalesce(F.element_at(labels, 1)["name"], F.lit("tundmatu")))
+
+
+def prefixed_columns(df: DataFrame, prefixes: list[str]) -> DataFrame:
+    """Columns that start with one of the prefixes, in the order of the prefixes; ===NONE=== in a name is none."""
+    named = {c: c.replace("===NONE===", "none") for c in df.columns}
+    return df.select(*[F.col(f"`{c}`").alias(n) for p in prefixes for c, n in named.items() if n.startswith(p)])

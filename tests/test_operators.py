@@ -147,3 +147,14 @@ def test_prompt_and_grammar(spark):
 def test_planned_runs(spark):
     n = runs.next_run_number(spark.createDataFrame([("a", 1), ("a", 3), ("b", 1), ("b", 2)], "j string, run int"), ["j"])
     assert rows(runs.planned_runs(n, 2), "j", "run") == [("a", 2), ("a", 3), ("b", 3), ("b", 4)]
+
+
+def test_column_choices(spark):
+    assert alignment.columns_to_load(["a", "b", "c"], ["c", None], ["a", "x", "c"]) == ["a", "c"]
+    d = spark.createDataFrame([(1, 2, 3)], ["===NONE===_abs", "blogs_abs", "x"])
+    assert corpus.prefixed_columns(d, ["blogs", "none"]).columns == ["blogs_abs", "none_abs"]
+
+
+def test_labels_by_name(spark):
+    d = spark.createDataFrame([([],), (None,), ([(None,)],), ([("blogs",), ("x",)],)], "l array<struct<name:string>>")
+    assert [r.g for r in d.select(corpus.genre_label(F.col("l")).alias("g")).collect()] == ["unknown", "unknown", "tundmatu", "blogs"]
