@@ -29,7 +29,7 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents the one with the smallest id; of repeated rows of it, one."""
     found = ngram_join.join(docs)
     kept = found.filter("doc_id is null or doc_id = component_id").select("doc_id").distinct()
-    first = docs.filter("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    first = docs.filter("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
     return first.unionByName(docs.filter("doc_id is null")).select(*docs.columns)
 
 
