@@ -43,7 +43,7 @@ def kwic_flat(t: Tables) -> DataFrame:
     return h.select("doc_id", "pos", "at", "word", F.col("id").cast("long").alias("id"), corpus.full_context().alias("full_context"))
 
 
-@Q.add(f"with {_HITS} select word, count(*) as n, count(distinct trim(left_context || ' ' || keyword || ' ' || right_context)) as contexts, sum(length(trim(left_context || ' ' || keyword || ' ' || right_context))) as chars from hits group by 1")
+@Q.add(f"with {_HITS} select word, count(*) as n, count(distinct trim(left_context || ' ' || keyword || ' ' || right_context)) as contexts, cast(sum(length(trim(left_context || ' ' || keyword || ' ' || right_context))) as bigint) as chars from hits group by 1")
 def full_context(t: Tables) -> DataFrame:
     h = _hits(t).select("word", corpus.full_context().alias("c"))
     return h.groupBy("word").agg(F.count("*").alias("n"), F.count_distinct("c").alias("contexts"), F.sum(F.length("c")).alias("chars"))

@@ -76,7 +76,7 @@ def align_static(t: Tables) -> DataFrame:
     return _best(t).select("page", "gt_seq", "llm_seq", "kind", F.round("score", 6).alias("score"))
 
 
-@Q.add(f"with {_EDITIONS}, {_BAND}, {_MATCH} select kind, count(*) as n, sum(case when dist = 0 then 1 else 0 end) as straight from best group by 1")
+@Q.add(f"with {_EDITIONS}, {_BAND}, {_MATCH} select kind, count(*) as n, count(*) filter (where dist = 0) as straight from best group by 1")
 def best_match(t: Tables) -> DataFrame:
     return _best(t).groupBy("kind").agg(F.count("*").alias("n"), F.count_if(F.col("dist") == 0).alias("straight"))
 
