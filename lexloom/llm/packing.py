@@ -72,15 +72,16 @@ class WordIds:
         self.clear()
 
     def clear(self) -> None:
-        self.at: dict[int, int] = {}
+        self.keys, self.entry, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), 0
         self.pool, self.used = np.zeros(1 << 16, np.uint32), 0
         self.first, self.count = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
 
-    def _add(self, hashes: list[int], texts: list[str]) -> None:
+    def _add(self, texts: list[str]) -> None:
+        """Takes the ids of new units into the pool, at the next places."""
         got = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         count = np.fromiter(map(len, got), np.int64, len(got))
         flat = np.fromiter(chain.from_iterable(got), np.uint32, int(count.sum()))
-        k = len(self.at)
+        k = self.size
         while k + len(got) > len(self.first):
             self.first, self.count = np.resize(self.first, 2 * len(self.first)), np.resize(self.count, 2 * len(self.count))
         while self.used + len(flat) > len(self.pool):
@@ -88,21 +89,24 @@ class WordIds:
         self.pool[self.used : self.used + len(flat)] = flat
         self.first[k : k + len(got)] = self.used + np.cumsum(count) - count
         self.count[k : k + len(got)] = count
-        self.used += len(flat)
-        self.at.update(zip(hashes, range(k, k + len(got)), strict=True))
+        self.used, self.size = self.used + len(flat), k + len(got)
 
     def ids(self, data: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
         """Ids of each row of a slice of texts, without an end id."""
         hashed, word_at, starts, ends = _units(data, at)
         known, place, back = np.unique(hashed, return_index=True, return_inverse=True)
-        if len(self.at) + len(known) > CACHE_WORDS and len(self.at):
+        if self.size + len(known) > CACHE_WORDS and self.size:
             self.clear()
-        keys, raw = known.tolist(), data.tobytes()
-        for i in range(0, len(keys), 4096):
-            new = [j for j in range(i, min(i + 4096, len(keys))) if keys[j] not in self.at]
-            if new:
-                self._add([keys[j] for j in new], [raw[starts[place[j]] : ends[place[j]]].decode() for j in new])
-        entry = np.fromiter(map(self.at.__getitem__, keys), np.int64, len(keys))[back]
+        spot = np.searchsorted(self.keys, known)
+        new = np.ones(len(known), bool)
+        inside = spot < len(self.keys)
+        new[inside] = self.keys[spot[inside]] != known[inside]
+        fresh, raw, first = np.flatnonzero(new), data.tobytes(), self.size
+        for i in range(0, len(fresh), 4096):
+            self._add([raw[a:b].decode() for a, b in zip(starts[place[fresh[i : i + 4096]]].tolist(), ends[place[fresh[i : i + 4096]]].tolist(), strict=True)])
+        self.keys = np.insert(self.keys, spot[fresh], known[fresh])
+        self.entry = np.insert(self.entry, spot[fresh], first + np.arange(len(fresh)))
+        entry = self.entry[np.searchsorted(self.keys, known)][back]
         count = self.count[entry]
         total = np.concatenate(([0], np.cumsum(count)))
         flat = self.pool[np.repeat(self.first[entry] - total[:-1], count) + np.arange(total[-1])]
