@@ -37,7 +37,9 @@ from pyspark.sql.window import Window
 
 from lexloom.llm.common import U, components, mix, partitions, runs, slices, stored, words
 
-WORDS, FIRST_LEVEL, LEFT_ROWS, RIGHT_ROWS = 5, 24, 256, 1024
+WORDS, FIRST_LEVEL, LEFT_ROWS, RIGHT_ROWS = 5, 24, 2048, 4096
+#: Buckets in which a member looks for its nearest one in the first round; the second round takes all.
+NEAREST_BUCKETS = 4
 #: The ids of the texts to compare are broadcast up to this many, and joined by a shuffle beyond.
 BROADCAST_IDS = 500_000
 _PLACE = np.random.default_rng(5).integers(1, 2**63, 64, dtype=np.uint64) | U(1)
@@ -191,7 +193,8 @@ def _rest(shared: DataFrame, labels: DataFrame, nodes: DataFrame, tested: DataFr
 
     Every member outside a bucket's largest component is compared with all members of other components:
     the former are dealt into blocks of LEFT_ROWS, the members into blocks of RIGHT_ROWS, and two blocks
-    meet in one group in memory. With `nearest`, a member gives only the nearest one in each block.
+    meet in one group in memory. With `nearest`, a member gives only the nearest one in each block of a few of its
+    buckets: that only saves work, since the round without it takes all that are left.
     """
     member = shared.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
     count = member.groupBy("sig", "root").agg(F.count("*").alias("n"))
@@ -199,6 +202,8 @@ def _rest(shared: DataFrame, labels: DataFrame, nodes: DataFrame, tested: DataFr
     split = split.select("sig", F.col("most.root").alias("main"), F.expr(f"(n - most.n + {LEFT_ROWS} - 1) div {LEFT_ROWS}").alias("lefts"), F.expr(f"(n + {RIGHT_ROWS} - 1) div {RIGHT_ROWS}").alias("rights"))
     member = member.join(split, "sig").withColumn("g", F.pmod(F.xxhash64("node"), F.col("lefts"))).withColumn("h", F.pmod(F.xxhash64("node", F.lit(1)), F.col("rights")))
     left = member.filter("root <> main").select("sig", "node", "root", "g", F.explode(F.expr("sequence(0, rights - 1)")).alias("h"), F.lit(True).alias("is_left"))
+    if nearest:
+        left = left.withColumn("turn", F.dense_rank().over(Window.partitionBy("node").orderBy("sig"))).filter(F.col("turn") <= NEAREST_BUCKETS).drop("turn")
     right = member.select("sig", "node", "root", F.explode(F.expr("sequence(0, lefts - 1)")).alias("g"), "h", F.lit(False).alias("is_left"))
     meet = left.unionByName(right).join(nodes.select("node", "n_shingles", "profile"), "node")
 
@@ -212,12 +217,13 @@ def _rest(shared: DataFrame, labels: DataFrame, nodes: DataFrame, tested: DataFr
                 if not len(lefts) or not len(others):
                     continue
                 width = min(len(c["profile"][i]) for i in own)
-                x = np.frombuffer(b"".join(_narrow(c["profile"][i], width) for i in own), np.uint8).reshape(-1, width).astype(np.int16)
+                x = np.frombuffer(b"".join(_narrow(c["profile"][i], width) for i in own), np.uint8).reshape(-1, width)
                 for i in lefts:
                     j = others[(root[others] != root[i]) & (np.minimum(n[others], n[i]) * 4 >= np.maximum(n[others], n[i]) * 3)]
                     if not len(j):
                         continue
-                    apart = np.abs(x[j - first] - x[i - first]).sum(1, dtype=np.int64)
+                    one, step = x[i - first].astype(np.int16), max(1, (1 << 20) // width)
+                    apart = np.concatenate([np.abs(x[j[k : k + step] - first] - one).sum(1, dtype=np.int64) for k in range(0, len(j), step)])
                     fits = 7 * apart <= n[j] + n[i]
                     j, apart = j[fits], apart[fits]
                     if nearest and len(j) > 1:

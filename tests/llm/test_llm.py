@@ -90,6 +90,7 @@ def test_ngram_join_blocks(spark, monkeypatch):
     rows = corpus(3)
     one = sorted(map(tuple, ngram_join.join(frame(spark, rows)).collect()))
     monkeypatch.setattr(ngram_join, "LEFT_ROWS", 2)
+    monkeypatch.setattr(ngram_join, "NEAREST_BUCKETS", 1)
     monkeypatch.setattr(ngram_join, "RIGHT_ROWS", 3)
     assert sorted(map(tuple, ngram_join.join(frame(spark, rows)).collect())) == one
 
