@@ -35,8 +35,7 @@ def op3_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    parts = sp_codec.encode(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
-    texts = sp_codec.documents(parts)
+    texts = sp_codec.encode_texts(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
     return texts.select("doc_id", "n_parts", (F.octet_length("ids") / 4).cast("long").alias("n_ids"), F.crc32("ids").alias("ids_crc32"), F.col("whole").alias("round_trip"))
 
 

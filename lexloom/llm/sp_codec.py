@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from lexloom.llm.common import stored
 
-CHUNK, GROUP, CACHE_WORDS = 32_768, 64, 300_000
+CHUNK, GROUP, CACHE_WORDS = 32_768, 64, 500_000
 SPACE = "▁"
 LOW = -np.inf
 
@@ -110,7 +110,11 @@ class Vocabulary:
 
     def encode(self, s: str) -> bytes:
         """Ids of an escaped text, packed as little-endian unsigned 32-bit numbers."""
-        return b"".join([self.word(w)[0] for w in self.units.findall(s)])
+        memory, out = self.memory, []
+        for w in self.units.findall(s):
+            got = memory.get(w)
+            out.append((got or self.word(w))[0])
+        return b"".join(out)
 
     def cuts(self, s: str, n: int) -> tuple[int, int] | None:
         """First and last place, with longest - 1 <= first <= last <= n, that no piece crosses."""
@@ -248,22 +252,29 @@ def _long(docs: DataFrame, model: str, chunk: int, group: int) -> DataFrame:
     return meet.select("key", "doc_id", "n_parts", "part", "s", "n", "enter", "leave").mapInArrow(trace, "key long, " + PARTS)
 
 
+def _split(docs: DataFrame, chunk: int) -> tuple[DataFrame, DataFrame]:
+    """Texts shorter than a chunk, and the others."""
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    long = F.coalesce(F.length("text") >= chunk, F.lit(False))
+    return rows.filter(~long), rows.filter(long)
+
+
 def encode(docs: DataFrame, model: str, chunk: int = CHUNK, group: int = GROUP) -> DataFrame:
     """key, doc_id, part, n_parts, ids (packed), whole: parts in order make a text's ids; key tells long texts apart.
 
     whole: the part decodes to the very characters it stands for (of a long text: once the sign for a space is one).
     """
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    long = F.coalesce(F.length("text") >= chunk, F.lit(False))
-    short = _short(rows.filter(~long), model).withColumn("key", F.lit(None).cast("long"))
-    return short.select("key", "doc_id", "part", "n_parts", "ids", "whole").unionAll(_long(rows.filter(long), model, chunk, group))
+    short, long = _split(docs, chunk)
+    parts = _short(short, model).withColumn("key", F.lit(None).cast("long"))
+    return parts.select("key", "doc_id", "part", "n_parts", "ids", "whole").unionAll(_long(long, model, chunk, group))
 
 
-def documents(parts: DataFrame) -> DataFrame:
-    """doc_id, n_parts, ids, whole of each text: the parts of long texts joined in order."""
-    one = parts.filter("n_parts = 1").select("doc_id", "n_parts", "ids", "whole")
-    many = parts.filter("n_parts > 1").groupBy("key", "doc_id", "n_parts").agg(F.sort_array(F.collect_list(F.struct("part", "ids"))).alias("p"), F.bool_and("whole").alias("whole"))
-    return one.unionAll(many.select("doc_id", "n_parts", F.expr("aggregate(p.ids, cast('' as binary), (a, x) -> concat(a, x))").alias("ids"), "whole"))
+def encode_texts(docs: DataFrame, model: str, chunk: int = CHUNK, group: int = GROUP) -> DataFrame:
+    """doc_id, n_parts, ids, whole of each text; only the parts of long texts meet in a shuffle."""
+    short, long = _split(docs, chunk)
+    many = _long(long, model, chunk, group).groupBy("key", "doc_id", "n_parts").agg(F.sort_array(F.collect_list(F.struct("part", "ids"))).alias("p"), F.bool_and("whole").alias("whole"))
+    many = many.select("doc_id", "n_parts", F.expr("aggregate(p.ids, cast('' as binary), (a, x) -> concat(a, x))").alias("ids"), "whole")
+    return _short(short, model).select("doc_id", "n_parts", "ids", "whole").unionAll(many)
 
 
 def decode(encoded: DataFrame, model: str) -> DataFrame:

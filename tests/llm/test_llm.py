@@ -208,7 +208,7 @@ def test_sentencepiece(spark, chunk):
     model = _model()
     v = sp_codec.vocabulary(model)
     docs = frame(spark, list(enumerate(TEXTS)) + [(3, "kordus"), (3, "kordus"), (None, "nimetu " * 40)])
-    out = sp_codec.documents(sp_codec.encode(docs, model, chunk, group=3))
+    out = sp_codec.encode_texts(docs, model, chunk, group=3)
     got = out.collect()
     assert len(got) == docs.count() and all(r.whole for r in got)
     for r in got:
