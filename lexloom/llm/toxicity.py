@@ -87,12 +87,15 @@ def features(saved: np.ndarray, window_at: np.ndarray) -> np.ndarray:
 
 
 def _marks(data: np.ndarray, at: np.ndarray, toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Words of toxic rows with a prefix far more frequent there: starts, ends, and whether; counts go by (prefix, word before)."""
+    """Words of toxic rows of which all prefixes are more frequent there, and one surely: starts, ends, whether, word before.
+
+    Counts go by (prefix, word before).
+    """
     starts, ends = word_spans(data, at)
     row = np.searchsorted(at, starts, "right") - 1
     is_toxic = toxic[row]
     before = np.concatenate(([np.uint64(0)], span_hashes(data, starts, ends)[:-1])) if len(starts) else np.zeros(0, np.uint64)
-    marked = np.zeros(len(starts), bool)
+    marked, ordinary = np.zeros(len(starts), bool), np.zeros(len(starts), bool)
     for k in PREFIXES:
         long = np.flatnonzero(ends - starts >= k)
         if not len(long):
@@ -106,11 +109,11 @@ def _marks(data: np.ndarray, at: np.ndarray, toxic: np.ndarray) -> tuple[np.ndar
         share = (a + b) / (n_a + n_b)
         with np.errstate(divide="ignore", invalid="ignore"):
             g = 2 * (np.where(a > 0, a * np.log(a / (share * n_a)), 0) + np.where(b > 0, b * np.log(b / (share * n_b)), 0))
-        good = kind[(g >= EVIDENCE) & (a * n_b > TIMES * b * n_a)]
-        if len(good):
-            spot = np.minimum(np.searchsorted(good, gram), len(good) - 1)
-            marked[long] |= good[spot] == gram
-    return starts, ends, marked & is_toxic, before
+        often = a * n_b > TIMES * b * n_a
+        place = np.searchsorted(kind, gram)
+        marked[long] |= ((g >= EVIDENCE) & often)[place]
+        ordinary[long] |= ~often[place]  # a longer prefix tells a marked word from an ordinary one with the same start
+    return starts, ends, marked & ~ordinary & is_toxic, before
 
 
 def train_dictionaries(texts: list[bytes], toxic: np.ndarray) -> tuple[bytes, bytes]:
