@@ -10,7 +10,7 @@ and linked sets share one.
 Long sets would have a signature for every few shingles. Only FIRST_LEVEL parts are used of a domain
 that has more, and a domain that has fewer is cut again under other seeds until there are as many. A
 first-level part of a pair at the threshold agrees with a chance of about one half, so a linked pair
-stays without a shared signature with a chance of at most 0.48 ** 24 = 2e-8, at the very threshold, and
+stays without a shared signature with a chance of at most 0.48 ** 16 = 8e-6, at the very threshold, and
 far less above it.
 
 Sets are equal, for all purposes, when their 64-bit hashes are; one node stands for all copies. Within
@@ -37,7 +37,7 @@ from pyspark.sql.window import Window
 
 from lexloom.llm.common import U, components, mix, partitions, runs, slices, stored, words
 
-WORDS, FIRST_LEVEL, LEFT_ROWS, RIGHT_ROWS = 5, 24, 2048, 4096
+WORDS, FIRST_LEVEL, LEFT_ROWS, RIGHT_ROWS = 5, 16, 2048, 4096
 #: Buckets in which a member looks for its nearest one in the first round; the second round takes all.
 NEAREST_BUCKETS = 4
 #: The ids of the texts to compare are broadcast up to this many, and joined by a shuffle beyond.
