@@ -128,6 +128,9 @@ def entries_flat(results: DataFrame, page: str, entries: str, fields: list[str])
 
 
 TAG = r"<([a-zA-Z][a-zA-Z0-9]*)"
+#: An opening tag to its end, and an attribute of what follows its name.
+OPENING = r"<[a-zA-Z](?:[^>\"']++|\"[^\"]*\"|'[^']*')*+"
+ATTRIBUTE = r"([^\s\"'>/=]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?"
 
 
 def tag_sequence(markup: Column) -> Column:
@@ -135,6 +138,22 @@ def tag_sequence(markup: Column) -> Column:
     return F.transform(F.regexp_extract_all(markup, F.lit(TAG), F.lit(1)), lambda x: F.lower(x))
 
 
+def tag_attribute_sequence(markup: Column) -> Column:
+    """Opening tags in order, each followed by @name=value of its attributes, by name; a bare attribute has an empty value."""
+
+    def attribute(x: Column) -> Column:
+        value = F.regexp_extract(x, ATTRIBUTE, 2)
+        quoted = F.substring(value, 1, 1).isin('"', "'")
+        return F.struct(F.lower(F.regexp_extract(x, ATTRIBUTE, 1)).alias("name"), F.when(quoted, F.substring(value, F.lit(2), F.length(value) - 2)).otherwise(value).alias("value"))
+
+    def tag(x: Column) -> Column:
+        found = F.regexp_extract_all(F.regexp_replace(x, r"^<[^\s/>]+", ""), F.lit(ATTRIBUTE), F.lit(0))
+        more = F.transform(F.sort_array(F.transform(found, attribute)), lambda a: F.concat(F.lit("@"), a["name"], F.lit("="), a["value"]))
+        return F.concat(F.array(F.lower(F.regexp_extract(x, TAG, 1))), more)
+
+    return F.flatten(F.transform(F.regexp_extract_all(markup, F.lit(OPENING), F.lit(0)), tag))
+
+
 def content_text(markup: Column) -> Column:
     """Text between the tags, white space squeezed."""
     return T.squeezed(F.regexp_replace(markup, r"<[^>]*>", " "))
@@ -171,11 +190,13 @@ def similarity_table(runs: DataFrame, truth: DataFrame) -> DataFrame:
     """Scores of each run against its page's ground truth.
 
     runs: name, tags, tags_attrs, content; truth: page and the same. Names that don't parse and pages
-    without ground truth keep a row with the reason and null scores.
+    without ground truth keep a row with the reason and null scores. Pairs are dealt by name, so that the
+    runs of one page spread.
     """
     r = runs.select("name", T.parse_run_name(F.col("name")).alias("k"), "tags", "tags_attrs", "content").select("name", "k.*", "tags", "tags_attrs", "content")
     g = truth.select("page", F.col("tags").alias("g_tags"), F.col("tags_attrs").alias("g_attrs"), F.col("content").alias("g_content"))
     j = r.join(g, "page", "left").withColumn("reason", F.coalesce("reason", F.when(F.col("g_content").isNull(), "no ground truth")))
+    j = j.repartition(int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "name")
     score = lambda a, b: F.round(M.sequence_similarity(a, b), 6)
     return j.select("name", "page", "prompt", "provider", "model", "run", "reason", score("tags_attrs", "g_attrs").alias("structure_attrs"), score("tags", "g_tags").alias("structure_tags"), F.round(_text_similarity("content", "g_content"), 6).alias("content_score"))
 

@@ -196,9 +196,9 @@ def content_text(t: Tables) -> DataFrame:
 
 
 def _run_rows(t: Tables) -> DataFrame:
-    e = t.pages.select("page_id", tei.tag_sequence(F.col("html")).alias("tags"), F.substring(tei.content_text(F.col("html")), 1, 400).alias("content"))
+    html = F.col("html")
     name = F.concat(F.lit("page"), F.floor(F.col("page_id") / 5).cast("string"), F.lit("_p1_prov_m"), (F.col("page_id") % 5).cast("string"), F.lit("_1.xml"))
-    return e.select(name.alias("name"), "page_id", "tags", F.col("tags").alias("tags_attrs"), "content")
+    return t.pages.select(name.alias("name"), "page_id", tei.tag_sequence(html).alias("tags"), tei.tag_attribute_sequence(html).alias("tags_attrs"), tei.content_text(html).alias("content"))
 
 
 @Q.add()
