@@ -2,7 +2,8 @@
 
 Two editions of the same pages stand in for ground truth and model output: the documents' lines with
 their first word as headword, reduced to ASCII (DuckDB counts bytes in an edit distance), and the same
-without every seventh line and with some letters changed.
+without every seventh line and with some letters changed. The equivalent is the rest of the line in queries
+without SQL, and its next three words where the DuckDB text says so.
 """
 
 from __future__ import annotations
@@ -26,15 +27,16 @@ gt as (select page, row_number() over (partition by page order by seq) - 1 as se
 llm as (select page, row_number() over (partition by page order by seq) - 1 as seq, case when seq % 3 = 0 then replace(headword, 'o', 'c') else headword end as headword, equivalent from gt where seq % 7 <> 6 and page % 50 <> 49)"""
 
 
-def _truth(t: Tables) -> DataFrame:
+def _truth(t: Tables, whole: bool = False) -> DataFrame:
     words = T.tokens(F.regexp_replace("line", "[^ -~]", ""))
     e = dictionary.page_lines(t.documents).withColumn("t", words).filter(F.size("t") > 0)
     number = (F.row_number().over(Window.partitionBy("page").orderBy("seq")) - 1).cast("long")
-    return e.select("page", number.alias("seq"), F.element_at("t", 1).alias("headword"), F.array_join(F.slice("t", 2, 3), " ").alias("equivalent"))
+    rest = F.slice("t", F.lit(2), F.size("t")) if whole else F.slice("t", 2, 3)
+    return e.select("page", number.alias("seq"), F.element_at("t", 1).alias("headword"), F.array_join(rest, " ").alias("equivalent"))
 
 
-def _model(t: Tables) -> DataFrame:
-    e = _truth(t).filter("seq % 7 <> 6 and page % 50 <> 49")
+def _model(t: Tables, whole: bool = False) -> DataFrame:
+    e = _truth(t, whole).filter("seq % 7 <> 6 and page % 50 <> 49")
     head = F.when(F.col("seq") % 3 == 0, F.replace("headword", F.lit("o"), F.lit("c"))).otherwise(F.col("headword"))
     return e.select("page", (F.row_number().over(Window.partitionBy("page").orderBy("seq")) - 1).cast("long").alias("seq"), head.alias("headword"), "equivalent")
 
@@ -83,12 +85,12 @@ def best_match(t: Tables) -> DataFrame:
 
 @Q.add()
 def align_sequential(t: Tables) -> DataFrame:
-    return alignment.align_sequential(_truth(t), _model(t), "headword", "equivalent")
+    return alignment.align_sequential(_truth(t, True), _model(t, True), "headword", "equivalent")
 
 
 @Q.add()
 def match_score(t: Tables) -> DataFrame:
-    return alignment.align_static(_truth(t), _model(t), "headword", "equivalent").select("page", "gt_seq", "llm_seq", "kind", "score")
+    return alignment.align_static(_truth(t, True), _model(t, True), "headword", "equivalent").select("page", "gt_seq", "llm_seq", "kind", "score")
 
 
 def _cer(a: str, b: str) -> str:
@@ -162,7 +164,7 @@ def model_agreement(t: Tables) -> DataFrame:
 
 
 def _word_pairs(t: Tables) -> DataFrame:
-    return _truth(t).join(_model(t).select("page", "seq", F.col("headword").alias("h2"), F.col("equivalent").alias("e2")), ["page", "seq"])
+    return _truth(t, True).join(_model(t, True).select("page", "seq", F.col("headword").alias("h2"), F.col("equivalent").alias("e2")), ["page", "seq"])
 
 
 @Q.add()
