@@ -2,17 +2,20 @@
 
 A word follows in the context restaurant of the word before it; all context restaurants share one
 parent, whose base measure is even over the known words and gives UNKNOWN of its mass to the event
-"a word not in training". Context restaurants are CONTEXTS classes of the word before (by hash: a
-frequent word practically owns its class), so their totals stay a short vector while everything else
-belongs to one word: a word's customers and tables in all contexts sit in one row of the word's bucket.
-A Gibbs sweep is then one pass over buckets without a shuffle: a word's customers of a restaurant are
-taken out together and seated again one after another, each by its forward conditional (a block is not
-weighed afterwards, so this is an approximate blocked sweep), given the totals of the last sweep, and the totals of all buckets, CONTEXTS + 2 numbers each, are summed for
-the next one. Sweeps after BURN_IN each give a sample; predictive probabilities are averaged over them.
+"a word not in training". Every word before has its own restaurant. Restaurants lie in buckets by the
+hash of their word, so the totals of one are those of its row; the few with many followers (HOT) are
+dealt over buckets by the word that follows, and their totals are a short vector. Buckets are as many as
+the counted pairs need. The parent lies in parts by word.
+
+A Gibbs sweep is a pass over buckets: a word's customers of a restaurant are taken out together and
+seated again one after another, each by its forward conditional (a block is not weighed afterwards, so
+this is an approximate blocked sweep), given the totals of the last sweep. The new tables of each word go
+to its part, the parent is seated, and its counts go back to the buckets. Sweeps after BURN_IN each give
+a sample; predictive probabilities are averaged over them.
 
 Texts are read once into chunks: a chunk has its documents' tokens as references into its own list of
-distinct words. Counts go from chunks to word buckets, and probabilities of just the (context, word)
-pairs of a chunk go back, as packed arrays, so a hot word costs one entry a chunk.
+distinct words. Counts go from chunks to buckets, and probabilities of just the (context, word) pairs of
+a chunk go back, as packed arrays, so a hot pair costs one entry a chunk.
 
 Null or empty text is one end token. A null doc_id is scored, and held out like the text "null".
 Repeated rows are counted and scored each. With no training document at all every token is unknown.
@@ -24,23 +27,26 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import U, mix, partitions, slices, stored, words
+from lexloom.llm.common import U, mix, slices, stored, words
 from lexloom.llm.toxicity import held_out as in_part
 
-CONTEXTS, BURN_IN, SAMPLES, SEED = 64, 2, 3, 7
+BURN_IN, SAMPLES, SEED = 2, 3, 7
 DISCOUNT, STRENGTH = (0.8, 0.75), (1.0, 1.0)  # of the context restaurants, of their parent
 UNKNOWN = 0.5
 #: Bytes of text in a chunk, at about which a chunk ends.
 CHUNK_BYTES = 8 << 20
+#: Distinct pairs of chunks that a bucket takes on average. A context of HOT or more of them is dealt over buckets.
+BUCKET_PAIRS, HOT = 1 << 20, 1 << 18
+#: Followers in a chunk from which a context may be hot.
+MANY = 128
 END = 0xE4D0E4D0E4D0E4D1
 
-CHUNKS = "chunk string, doc_ids binary, held binary, lengths binary, vocabulary binary, kinds binary, tokens binary"
+CHUNKS = "chunk string, doc_ids binary, held binary, lengths binary, vocabulary binary, tokens binary, n_pairs long, many binary"
 
 
 def _pack(x: np.ndarray) -> bytes:
@@ -63,8 +69,11 @@ def chunks(docs: DataFrame, held: Column) -> DataFrame:
             known, tokens = np.unique(np.concatenate([t for t, _ in out]), return_inverse=True)
             doc_ids = pa.concat_arrays([x for x, _ in ids])
             null = doc_ids.is_null().to_numpy(zero_copy_only=False)
-            row = [f"{mark}-{k}", _pack(np.stack((doc_ids.fill_null(0).to_numpy(), null.astype(np.int64)))), _pack(np.concatenate([h for _, h in ids])), _pack(np.concatenate([n for _, n in out])), _pack(known), _pack(_kinds(known)), _pack(tokens.astype(np.uint32))]
-            return pa.RecordBatch.from_arrays([pa.array([x]) for x in row], names=["chunk", "doc_ids", "held", "lengths", "vocabulary", "kinds", "tokens"])
+            pairs = np.unique(_pairs(known, tokens))
+            before, followers = np.unique(pairs // len(known), return_counts=True)
+            many = np.stack((known[before[followers >= MANY]], followers[followers >= MANY].astype(np.uint64)))
+            row = [f"{mark}-{k}", _pack(np.stack((doc_ids.fill_null(0).to_numpy(), null.astype(np.int64)))), _pack(np.concatenate([h for _, h in ids])), _pack(np.concatenate([n for _, n in out])), _pack(known), _pack(tokens.astype(np.uint32)), len(pairs), _pack(many)]
+            return pa.RecordBatch.from_arrays([pa.array([x]) for x in row], names=["chunk", "doc_ids", "held", "lengths", "vocabulary", "tokens", "n_pairs", "many"])
 
         k = 0
         for batch in batches:
@@ -86,55 +95,78 @@ def _columns(batch: pa.RecordBatch) -> list[list]:
     return [c.to_pylist() for c in batch.columns]
 
 
-def _kinds(vocabulary: np.ndarray) -> np.ndarray:
-    """The context class of each word."""
-    return (mix(vocabulary) % U(CONTEXTS)).astype(np.uint8)
+def _pairs(vocabulary: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+    """For each token: place of the token before (an end before the first) * words + place of the token."""
+    end = np.searchsorted(vocabulary, U(END))
+    return np.concatenate(([end], tokens[:-1])).astype(np.int64) * len(vocabulary) + tokens
+
+
+def _ranges(hashes: np.ndarray, n: int) -> np.ndarray:
+    """The range, of n even ones, of each hash; in the order of hashes."""
+    return np.searchsorted(np.array([(b << 64) // n for b in range(1, n)], np.uint64), hashes, "right")
 
 
-def _pairs(kinds: np.ndarray, tokens: np.ndarray) -> np.ndarray:
-    """For each token: place in the vocabulary * CONTEXTS + class of the token before (an end before the first)."""
-    end = int(_kinds(np.array([END], np.uint64))[0])
-    before = np.concatenate(([end], kinds[tokens[:-1]].astype(np.int64))) if len(tokens) else np.zeros(0, np.int64)
-    return tokens.astype(np.int64) * CONTEXTS + before
+def _dealt(vocabulary: np.ndarray, tokens: np.ndarray, buckets: int, hot: dict[int, int]):
+    """Distinct pairs by bucket (context, word as places; edges of buckets), and for each token the place of its pair there."""
+    known, back = np.unique(_pairs(vocabulary, tokens), return_inverse=True)
+    context, word = known // len(vocabulary), known % len(vocabulary)
+    bucket, parts = _ranges(vocabulary, buckets), np.array([hot.get(int(x), 1) for x in vocabulary] if hot else np.ones(len(vocabulary)), np.uint64)
+    split = np.flatnonzero(parts[context] > 1)
+    bucket = bucket[context]
+    bucket[split] = (bucket[split] + (mix(vocabulary[word[split]]) % parts[context[split]]).astype(np.int64)) % buckets
+    order = np.argsort(bucket, kind="stable")
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    return context[order], word[order], np.searchsorted(bucket[order], np.arange(buckets + 1)), place[back]
 
 
-def counted(chunked: DataFrame, buckets: int) -> DataFrame:
-    """(bucket, chunk, words, pairs, counts): for each chunk its words of a bucket and the training counts of their pairs."""
+def counted(chunked: DataFrame, buckets: int, hot: dict[int, int]) -> DataFrame:
+    """For each chunk and bucket its pairs: contexts, at (pairs of context i are at[i]:at[i + 1]), words, follows (places in words), training counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for chunk, held, lengths, vocabulary, kinds, tokens in zip(*_columns(batch), strict=True):
+            for chunk, held, lengths, vocabulary, tokens in zip(*_columns(batch), strict=True):
                 held, lengths, vocabulary = _unpack(held, bool), _unpack(lengths, np.int64), _unpack(vocabulary, np.uint64)
-                pair = _pairs(_unpack(kinds, np.uint8), _unpack(tokens, np.uint32))
-                known, back = np.unique(pair, return_inverse=True)
-                count = np.bincount(back, ~np.repeat(held, lengths), len(known)).astype(np.uint32)
-                # the vocabulary is in order of hashes and a bucket is a range of them: buckets are slices
-                edges = np.array([(b << 64) // buckets for b in range(1, buckets)], np.uint64)
-                word_at = np.concatenate(([0], np.searchsorted(vocabulary, edges), [len(vocabulary)]))
-                pair_at = np.searchsorted(known, word_at * CONTEXTS)
-                rows = [(b, chunk, _pack(vocabulary[word_at[b] : word_at[b + 1]]), _pack((known[pair_at[b] : pair_at[b + 1]] - word_at[b] * CONTEXTS).astype(np.uint32)), _pack(count[pair_at[b] : pair_at[b + 1]])) for b in range(buckets) if word_at[b + 1] > word_at[b]]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=["bucket", "chunk", "words", "pairs", "counts"])
-
-    return chunked.select("chunk", "held", "lengths", "vocabulary", "kinds", "tokens").mapInArrow(run, "bucket long, chunk string, words binary, pairs binary, counts binary")
-
-
-def gathered(rows: DataFrame) -> DataFrame:
-    """(bucket, words, at, contexts, customers): the training pairs of a bucket; contexts of word i are at[i]:at[i + 1]."""
-
-    def merge(rows: pd.DataFrame) -> pd.DataFrame:
-        parts = [(_unpack(w, np.uint64), _unpack(p, np.uint32).astype(np.int64), _unpack(c, np.uint32)) for w, p, c in zip(rows["words"], rows["pairs"], rows["counts"], strict=True)]
-        key = [np.stack((w[p[c > 0] // CONTEXTS], (p[c > 0] % CONTEXTS).astype(np.uint64))) for w, p, c in parts]
-        word, kind = np.concatenate([k[0] for k in key]), np.concatenate([k[1] for k in key])
-        count = np.concatenate([c[c > 0] for _, _, c in parts]).astype(np.int64)
-        order = np.lexsort((kind, word))
-        word, kind, count = word[order], kind[order].astype(np.uint8), count[order]
-        first = np.flatnonzero(np.concatenate(([True], (word[1:] != word[:-1]) | (kind[1:] != kind[:-1])))) if len(word) else np.zeros(0, np.int64)
-        word, kind, count = word[first], kind[first], np.add.reduceat(count, first) if len(first) else count
-        known, at = np.unique(word, return_index=True)
-        out = {"bucket": rows["bucket"].iloc[:1], "words": [_pack(known)], "at": [_pack(np.append(at, len(word)))], "contexts": [_pack(kind)], "customers": [_pack(count)]}
-        return pd.DataFrame(out)
-
-    return rows.groupBy("bucket").applyInPandas(merge, "bucket long, words binary, at binary, contexts binary, customers binary")
+                context, word, edges, place = _dealt(vocabulary, _unpack(tokens, np.uint32), buckets, hot)
+                count = np.bincount(place, ~np.repeat(held, lengths), len(context)).astype(np.uint32)
+                rows = []
+                for b in np.flatnonzero(np.diff(edges)):
+                    s = slice(edges[b], edges[b + 1])
+                    contexts, at = np.unique(context[s], return_index=True)
+                    own, follows = np.unique(word[s], return_inverse=True)
+                    rows.append((int(b), chunk, _pack(vocabulary[contexts]), _pack(np.append(at, s.stop - s.start).astype(np.uint32)), _pack(vocabulary[own]), _pack(follows.astype(np.uint32)), _pack(count[s])))
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=["bucket", "chunk", "contexts", "at", "words", "follows", "counts"])
+
+    return chunked.select("chunk", "held", "lengths", "vocabulary", "tokens").mapInArrow(run, "bucket long, chunk string, contexts binary, at binary, words binary, follows binary, counts binary")
+
+
+def _spread(contexts: bytes, at: bytes, words: bytes, follows: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The context and the word of each pair of a packed row, as hashes."""
+    return np.repeat(_unpack(contexts, np.uint64), np.diff(_unpack(at, np.uint32))), _unpack(words, np.uint64)[_unpack(follows, np.uint32)]
+
+
+def gathered(rows: DataFrame, hot: dict[int, int]) -> DataFrame:
+    """The training pairs of a bucket in the form of counted(), with customers, and the number of each context among the hot ones (or -1)."""
+    numbers = {c: i for i, c in enumerate(sorted(hot))}
+
+    def merge(rows: pa.Table) -> pa.Table:
+        parts = []
+        for contexts, at, words_, follows, count in zip(*(rows.column(c).to_pylist() for c in ("contexts", "at", "words", "follows", "counts")), strict=True):
+            count = _unpack(count, np.uint32)
+            context, word = _spread(contexts, at, words_, follows)
+            parts.append((context[count > 0], word[count > 0], count[count > 0]))
+        context, word, count = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.lexsort((word, context))
+        context, word, count = context[order], word[order], count[order].astype(np.int64)
+        first = np.flatnonzero(np.concatenate(([True], (word[1:] != word[:-1]) | (context[1:] != context[:-1])))) if len(word) else np.zeros(0, np.int64)
+        context, word, count = context[first], word[first], np.add.reduceat(count, first) if len(first) else count
+        contexts, at = np.unique(context, return_index=True)
+        known, follows = np.unique(word, return_inverse=True)
+        number = np.array([numbers.get(int(c), -1) for c in contexts], np.int64)
+        out = [_pack(contexts), _pack(np.append(at, len(word)).astype(np.uint32)), _pack(known), _pack(follows.astype(np.uint32)), _pack(count), _pack(number)]
+        return pa.table([pa.array([rows.column("bucket")[0].as_py()]), *[pa.array([x], pa.binary()) for x in out]], names=["bucket", "contexts", "at", "words", "follows", "customers", "number"])
+
+    return rows.groupBy("bucket").applyInArrow(merge, "bucket long, contexts binary, at binary, words binary, follows binary, customers binary, number binary")
 
 
 def _seat(rng: np.random.Generator, customers: np.ndarray, share: np.ndarray, discount: float, total_mass: np.ndarray) -> np.ndarray:
@@ -157,32 +189,121 @@ def _seat(rng: np.random.Generator, customers: np.ndarray, share: np.ndarray, di
     return tables
 
 
-def sweep(state: DataFrame, totals: dict, seed: int) -> DataFrame:
-    """One Gibbs sweep: (bucket, tables in contexts, the parent's tables) as new columns, given the last totals."""
-    k_customers, k_tables, customers0, tables0, types = totals["k_customers"], totals["k_tables"], totals["customers0"], totals["tables0"], totals["types"]
+def _per_context(at: np.ndarray, x: np.ndarray, number: np.ndarray, hot: np.ndarray) -> np.ndarray:
+    """Sums of x by context; those of hot contexts are given."""
+    own = np.diff(np.concatenate(([0], np.cumsum(x)))[at])
+    return np.where(number >= 0, hot[number], own) if len(hot) else own
+
+
+def _of_hot(at: np.ndarray, x: np.ndarray, number: np.ndarray, n: int) -> np.ndarray:
+    own = np.diff(np.concatenate(([0], np.cumsum(x)))[at])
+    return np.bincount(number[number >= 0], own[number >= 0], n).astype(float)
+
+
+SEATS = "bucket long, part long, tables binary, given binary, counts binary, sums binary"
+
+
+def _seats(bucket: int, tables: np.ndarray, follows: np.ndarray, word_at: np.ndarray, customers: np.ndarray | None, sums: np.ndarray) -> list[tuple]:
+    """Rows of SEATS: tables and sums in the first, and each word's tables (and customers) to the word's part."""
+    given = np.bincount(follows, tables, word_at[-1]).astype(np.int64)
+    count = None if customers is None else np.bincount(follows, customers, word_at[-1]).astype(np.int64)
+    return [(bucket, -1, _pack(tables), None, None, sums.tobytes())] + [(bucket, p, None, _pack(given[i:j]), None if count is None else _pack(count[i:j]), None) for p, (i, j) in enumerate(zip(word_at[:-1], word_at[1:], strict=True)) if j > i]
+
+
+def _rows(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    kinds = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
+    fields = [x.split() for x in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(zip(*rows, strict=True) if rows else [()] * len(fields), fields, strict=True)], names=[n for n, _ in fields])
+
+
+def _word_at(words_: np.ndarray, parts: int) -> np.ndarray:
+    return np.searchsorted(_ranges(words_, parts), np.arange(parts + 1))
+
+
+def sweep(state: DataFrame, seats: DataFrame | None, parents: DataFrame | None, totals: dict, parts: int, seed: int) -> DataFrame:
+    """SEATS after one Gibbs sweep given the last totals; without seats one table for each pair."""
+    hot, opening = totals["hot_tables"], parents is None
+    now = state.select("bucket", "at", "follows", "customers", "number", *(["words"] if opening else []))
+    if not opening:
+        back = parents.filter("bucket >= 0").groupBy("bucket").agg(F.sort_array(F.collect_list(F.struct("part", "c0", "top"))).alias("back"))
+        now = now.join(seats.filter("part = -1").select("bucket", "tables"), "bucket").join(back, "bucket", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for bucket, at, kind, customers, own, own0 in zip(*_columns(batch), strict=True):
-                at, kind, customers = _unpack(at, np.int64), _unpack(kind, np.uint8), _unpack(customers, np.int64)
-                rng = np.random.default_rng((SEED, seed, bucket))
-                n = len(at) - 1
-                word = np.repeat(np.arange(n), np.diff(at))
-                old = _unpack(own, np.int64) if own is not None else np.minimum(customers, 1)
-                old0 = _unpack(own0, np.int64) if own0 is not None else np.ones(n, np.int64)
-                c0 = np.bincount(word, old, n)
-                base = (1 - UNKNOWN) / max(types, 1)
-                share = (np.maximum(c0 - DISCOUNT[1] * old0, 0) + (STRENGTH[1] + DISCOUNT[1] * tables0) * base) / (STRENGTH[1] + customers0)
-                tables = _seat(rng, customers, share[word], DISCOUNT[0], STRENGTH[0] + DISCOUNT[0] * k_tables[kind])
-                c0 = np.bincount(word, tables, n).astype(np.int64)
-                rest = np.full(n, STRENGTH[1] + DISCOUNT[1] * tables0)
-                top = _seat(rng, c0, np.full(n, base), DISCOUNT[1], rest)
-                k = np.bincount(kind, tables, CONTEXTS)
-                rows.append((bucket, _pack(tables), _pack(top), np.concatenate((k, [c0.sum(), top.sum()])).tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=["bucket", "tables", "top", "sums"])
-
-    return state.mapInArrow(run, "bucket long, tables binary, top binary, sums binary")
+            for r in batch.to_pylist():
+                at, follows, customers, number = _unpack(r["at"], np.uint32), _unpack(r["follows"], np.uint32), _unpack(r["customers"], np.int64), _unpack(r["number"], np.int64)
+                if opening:
+                    tables = np.minimum(customers, 1)
+                    sums = np.concatenate((_of_hot(at, tables, number, len(hot)), _of_hot(at, customers, number, len(hot))))
+                    yield _rows(_seats(r["bucket"], tables, follows, _word_at(_unpack(r["words"], np.uint64), parts), customers, sums), SEATS)
+                    continue
+                rng = np.random.default_rng((SEED, seed, r["bucket"]))
+                got = {x["part"]: (_unpack(x["c0"], np.int64), _unpack(x["top"], np.int64)) for x in r["back"] or ()}
+                word_at = np.concatenate(([0], np.cumsum([len(got[p][0]) if p in got else 0 for p in range(parts)])))
+                c0, top = (np.concatenate([np.zeros(0, np.int64), *[got[p][i] for p in sorted(got)]]) for i in (0, 1))
+                mass = STRENGTH[0] + DISCOUNT[0] * _per_context(at, _unpack(r["tables"], np.int64), number, hot)
+                tables = _seat(rng, customers, _share(c0, top, totals)[follows], DISCOUNT[0], np.repeat(mass, np.diff(at)))
+                yield _rows(_seats(r["bucket"], tables, follows, word_at, None, _of_hot(at, tables, number, len(hot))), SEATS)
+
+    return now.mapInArrow(run, SEATS)
+
+
+def _share(c0: np.ndarray, top: np.ndarray, totals: dict) -> np.ndarray:
+    """The parent's probability of each of its words."""
+    base = (1 - UNKNOWN) / max(totals["types"], 1)
+    return (np.maximum(c0 - DISCOUNT[1] * top, 0) + (STRENGTH[1] + DISCOUNT[1] * totals["tables0"]) * base) / (STRENGTH[1] + totals["customers0"])
+
+
+def listed(state: DataFrame, parts: int) -> DataFrame:
+    """(part, words, buckets, places): the words of a part, and for each bucket the steps between its words' places there."""
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for bucket, known in zip(*_columns(batch), strict=True):
+                known = _unpack(known, np.uint64)
+                at = _word_at(known, parts)
+                yield _rows([(p, bucket, _pack(known[at[p] : at[p + 1]])) for p in range(parts) if at[p + 1] > at[p]], "part long, bucket long, words binary")
+
+    def merge(rows: pa.Table) -> pa.Table:
+        own = [_unpack(w, np.uint64) for w in rows.column("words").to_pylist()]
+        known = np.unique(np.concatenate(own))
+        places = [_pack(np.diff(np.searchsorted(known, w), prepend=0).astype(np.uint32)) for w in own]
+        return pa.table([pa.array([rows.column("part")[0].as_py()]), pa.array([_pack(known)]), pa.array([rows.column("bucket").to_pylist()]), pa.array([places], pa.list_(pa.binary()))], names=["part", "words", "buckets", "places"])
+
+    cut = state.select("bucket", "words").mapInArrow(split, "part long, bucket long, words binary")
+    return cut.groupBy("part").applyInArrow(merge, "part long, words binary, buckets array<long>, places array<binary>")
+
+
+PARENTS = "part long, bucket long, c0 binary, top binary, counts binary, sums binary"
+
+
+def parent(seats: DataFrame, lists: DataFrame, totals: dict, seed: int | None) -> DataFrame:
+    """PARENTS: the parent's customers and tables of a part's words (bucket -1, with sums), and of those of each bucket.
+
+    Without seed each word has one table, and counts are the words' customers.
+    """
+
+    def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
+        part = key[0].as_py()
+        n = len(_unpack(right.column("words")[0].as_py(), np.uint64))
+        at = {b: np.cumsum(_unpack(x, np.uint32).astype(np.int64)) for b, x in zip(right.column("buckets")[0].as_py(), right.column("places")[0].as_py(), strict=True)}
+        c0, count = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        for bucket, given, counts in zip(*(left.column(c).to_pylist() for c in ("bucket", "given", "counts")), strict=True):
+            c0[at[bucket]] += _unpack(given, np.int64)
+            if counts is not None:
+                count[at[bucket]] += _unpack(counts, np.int64)
+        if seed is None:
+            top = np.ones(n, np.int64)
+        else:
+            rng = np.random.default_rng((SEED, seed, 1, part))
+            top = _seat(rng, c0, np.full(n, (1 - UNKNOWN) / max(totals["types"], 1)), DISCOUNT[1], np.full(n, STRENGTH[1] + DISCOUNT[1] * totals["tables0"]))
+        sums = np.array([c0.sum(), top.sum(), n, count.sum()], float)
+        rows = [(part, -1, _pack(c0), _pack(top), _pack(count) if seed is None else None, sums.tobytes())]
+        rows += [(part, b, _pack(c0[i]), _pack(top[i]), None, None) for b, i in at.items()]
+        return pa.Table.from_batches([_rows(rows, PARENTS)])
+
+    given = seats.filter("part >= 0").select("part", "bucket", "given", "counts")
+    return given.groupBy("part").cogroup(lists.groupBy("part")).applyInArrow(run, PARENTS)
 
 
 def _sum(frame: DataFrame, column: str) -> np.ndarray | None:
@@ -200,87 +321,116 @@ def _sum(frame: DataFrame, column: str) -> np.ndarray | None:
     return got[0] if got else None
 
 
-def _base(state: DataFrame) -> np.ndarray | None:
-    """Customers of each context, all customers, distinct words."""
+PRICED = "chunk string, place long, prices binary, more binary"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for at, kind, customers in zip(*_columns(batch), strict=True):
-                n, count = len(_unpack(at, np.int64)) - 1, _unpack(customers, np.int64)
-                kind = _unpack(kind, np.uint8)
-                out.append(np.concatenate((np.bincount(kind, count, CONTEXTS), np.bincount(kind, minlength=CONTEXTS), [count.sum(), n])).astype(float).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(out)], names=["sums"])
-
-    return _sum(state.select("at", "contexts", "customers").mapInArrow(run, "sums binary"), "sums")
 
+def _priced(rows: DataFrame, state: DataFrame, samples: list[tuple], base: dict) -> DataFrame:
+    """PRICED with place = bucket: the pairs' own shares averaged over the samples, and what each context gives its parent in each sample."""
+    model = state.select("bucket", F.col("contexts").alias("m_contexts"), F.col("at").alias("m_at"), F.col("words").alias("m_words"), F.col("follows").alias("m_follows"), "customers", "number")
+    for i, (seats, _, _) in enumerate(samples):
+        model = model.join(seats.filter("part = -1").select("bucket", F.col("tables").alias(f"t{i}")), "bucket")
+    totals = [t for _, _, t in samples]
+    hot_customers = base["hot_customers"]
 
-def _priced(rows: DataFrame, state: DataFrame, samples: list[tuple[DataFrame, dict]]) -> DataFrame:
-    """(chunk, bucket, pairs, log10 of the averaged probability, training count of the words): back to the chunks."""
-    model = state.select("bucket", F.col("words").alias("m_words"), "at", "contexts", "customers")
-    for i, (tables, _) in enumerate(samples):
-        model = model.join(tables.select("bucket", F.col("tables").alias(f"t{i}"), F.col("top").alias(f"o{i}")), "bucket")
-    totals = [t for _, t in samples]
-    width = len(totals)
+    def price(key, left, right):
+        r = {c: right.column(c)[0].as_py() for c in right.schema.names}
+        known, at, names, follows = _unpack(r["m_contexts"], np.uint64), _unpack(r["m_at"], np.uint32), _unpack(r["m_words"], np.uint64), _unpack(r["m_follows"], np.uint32).astype(np.int64)
+        customers, number = _unpack(r["customers"], np.int64), _unpack(r["number"], np.int64)
+        n, m = len(known), len(names)
+        spot = np.repeat(np.arange(n), np.diff(at)) * m + follows
+        tables = [_unpack(r[f"t{i}"], np.int64) for i in range(len(totals))]
+        # one more context, unseen: it has no customers and gives all to its parent
+        k_customers = np.append(_per_context(at, customers, number, hot_customers), 0)
+        back = np.stack([(STRENGTH[0] + DISCOUNT[0] * np.append(_per_context(at, t, number, s["hot_tables"]), 0)) / (STRENGTH[0] + k_customers) for t, s in zip(tables, totals, strict=True)])
+        own = np.mean([np.maximum(customers - DISCOUNT[0] * t, 0) for t in tables], axis=0)
+        out = []
+        for chunk, contexts, cat, w, f in zip(*(left.column(c).to_pylist() for c in ("chunk", "contexts", "at", "words", "follows")), strict=True):
+            contexts, w = _unpack(contexts, np.uint64), _unpack(w, np.uint64)
+            c, v = np.full(len(contexts), n), np.full(len(w), -1)
+            if n:
+                i, j = np.minimum(np.searchsorted(known, contexts), n - 1), np.minimum(np.searchsorted(names, w), m - 1)
+                c, v = np.where(known[i] == contexts, i, n), np.where(names[j] == w, j, -1)
+            cc, vv = np.repeat(c, np.diff(_unpack(cat, np.uint32))), v[_unpack(f, np.uint32)]
+            direct = np.zeros(len(cc))
+            if n:
+                key_ = np.where((cc < n) & (vv >= 0), cc * m + vv, -1)
+                j = np.minimum(np.searchsorted(spot, key_), len(spot) - 1)
+                direct = np.where(spot[j] == key_, own[j], 0) / (STRENGTH[0] + k_customers[cc])
+            out.append((chunk, key[0].as_py(), _pack(direct.astype(np.float32)), _pack(back[:, c].astype(np.float32))))
+        return pa.Table.from_batches([_rows(out, PRICED)])
+
+    return rows.select("bucket", "chunk", "contexts", "at", "words", "follows").groupBy("bucket").cogroup(model.groupBy("bucket")).applyInArrow(price, PRICED)
+
+
+def _priced_words(chunked: DataFrame, lists: DataFrame, first: DataFrame, samples: list[tuple], parts: int) -> DataFrame:
+    """PRICED with place = -1 - part: each word's share of the parent in each sample, and its training count."""
+    model = lists.select("part", "words").join(first.filter("bucket = -1").select("part", "counts"), "part")
+    for i, (_, parents, _) in enumerate(samples):
+        model = model.join(parents.filter("bucket = -1").select("part", F.col("c0").alias(f"c{i}"), F.col("top").alias(f"o{i}")), "part")
+    totals = [t for _, _, t in samples]
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk, vocabulary in zip(*_columns(batch), strict=True):
+                vocabulary = _unpack(vocabulary, np.uint64)
+                at = _word_at(vocabulary, parts)
+                yield _rows([(p, chunk, _pack(vocabulary[at[p] : at[p + 1]])) for p in range(parts) if at[p + 1] > at[p]], "part long, chunk string, words binary")
 
     def price(key, left, right):
+        unknown = [UNKNOWN * (STRENGTH[1] + DISCOUNT[1] * s["tables0"]) / (STRENGTH[1] + s["customers0"]) for s in totals]
+        known, count, share = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros((len(totals), 0))
         if right.num_rows:
             r = {c: right.column(c)[0].as_py() for c in right.schema.names}
-            known, at, kind, customers = _unpack(r["m_words"], np.uint64), _unpack(r["at"], np.int64), _unpack(r["contexts"], np.uint8).astype(np.int64), _unpack(r["customers"], np.int64)
-            tables, tops = [_unpack(r[f"t{i}"], np.int64) for i in range(width)], [_unpack(r[f"o{i}"], np.int64) for i in range(width)]
-        else:
-            known, at, kind, customers, tables, tops = np.zeros(0, np.uint64), np.zeros(1, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), [np.zeros(0, np.int64)] * width, [np.zeros(0, np.int64)] * width
-        n = len(known)
-        word = np.repeat(np.arange(n), np.diff(at))
-        spot = word * CONTEXTS + kind
-        count = np.bincount(word, customers, n).astype(np.int64)
+            known, count = _unpack(r["words"], np.uint64), _unpack(r["counts"], np.int64)
+            share = np.stack([_share(_unpack(r[f"c{i}"], np.int64), _unpack(r[f"o{i}"], np.int64), s) for i, s in enumerate(totals)])
+        share, count = np.column_stack((share, unknown)), np.append(count, 0)  # the last one is not in training
         out = []
-        for chunk, w, p in zip(left.column("chunk").to_pylist(), left.column("words").to_pylist(), left.column("pairs").to_pylist(), strict=True):
-            w, p = _unpack(w, np.uint64), _unpack(p, np.uint32).astype(np.int64)
-            place = np.minimum(np.searchsorted(known, w), max(n - 1, 0))
-            there = known[place] == w if n else np.zeros(len(w), bool)
-            own, k = place[p // CONTEXTS], p % CONTEXTS
-            has = there[p // CONTEXTS]
-            key_ = np.where(has, own * CONTEXTS + k, -1)
-            j = np.minimum(np.searchsorted(spot, key_), max(len(spot) - 1, 0))
-            seen = (spot[j] == key_) if len(spot) else np.zeros(len(p), bool)
-            total = np.zeros(len(p))
-            for t, top, s in zip(tables, tops, totals, strict=True):
-                c0 = np.bincount(word, t, n) if n else np.zeros(0)
-                rest = (STRENGTH[1] + DISCOUNT[1] * s["tables0"]) / (STRENGTH[1] + s["customers0"])
-                share = np.full(len(p), UNKNOWN * rest)
-                if n:
-                    parent = np.maximum(c0 - DISCOUNT[1] * top, 0) / (STRENGTH[1] + s["customers0"]) + rest * (1 - UNKNOWN) / s["types"]
-                    share = np.where(has, parent[own], share)
-                back = (STRENGTH[0] + DISCOUNT[0] * s["k_tables"][k]) / (STRENGTH[0] + s["k_customers"][k])
-                direct = np.where(seen, np.maximum(customers[j] - DISCOUNT[0] * t[j], 0), 0) / (STRENGTH[0] + s["k_customers"][k]) if len(spot) else 0
-                total += direct + back * share
-            known_count = np.where(there, count[place], 0) if n else np.zeros(len(w), np.int64)
-            out.append((chunk, int(key[0].as_py()), _pack(np.log10(total / width).astype(np.float32)), _pack(known_count)))
-        if not out:
-            return pa.table({"chunk": pa.array([], pa.string()), "bucket": pa.array([], pa.int64()), "prices": pa.array([], pa.binary()), "counts": pa.array([], pa.binary())})
-        return pa.table({n_: pa.array(c) for n_, c in zip(("chunk", "bucket", "prices", "counts"), zip(*out, strict=True), strict=True)})
-
-    return rows.select("bucket", "chunk", "words", "pairs").groupBy("bucket").cogroup(model.groupBy("bucket")).applyInArrow(price, "chunk string, bucket long, prices binary, counts binary")
-
-
-def _scored(chunked: DataFrame, priced: DataFrame, tokens_all: int, types: int) -> DataFrame:
+        for chunk, w in zip(left.column("chunk").to_pylist(), left.column("words").to_pylist(), strict=True):
+            w = _unpack(w, np.uint64)
+            i = np.searchsorted(known, w)
+            i = np.where(np.append(known, U(0))[i] == w, i, len(known)) if len(known) else i
+            out.append((chunk, -1 - key[0].as_py(), _pack(share[:, i].astype(np.float32)), _pack(count[i])))
+        return pa.Table.from_batches([_rows(out, PRICED)])
+
+    cut = chunked.select("chunk", "vocabulary").mapInArrow(split, "part long, chunk string, words binary")
+    return cut.groupBy("part").cogroup(model.groupBy("part")).applyInArrow(price, PRICED)
+
+
+def _scored(chunked: DataFrame, priced: DataFrame, buckets: int, hot: dict[int, int], tokens_all: int, types: int) -> DataFrame:
     def run(key, left, right):
         c = {n: left.column(n)[0].as_py() for n in left.schema.names}
         ids, held, lengths = _unpack(c["doc_ids"], np.int64).reshape(2, -1), _unpack(c["held"], bool), _unpack(c["lengths"], np.int64)
-        tokens = _unpack(c["tokens"], np.uint32)
-        pair = _pairs(_unpack(c["kinds"], np.uint8), tokens)
-        _, back = np.unique(pair, return_inverse=True)
-        order = np.argsort(right.column("bucket").to_numpy())
-        prices, counts = right.column("prices").to_pylist(), right.column("counts").to_pylist()
-        price = np.concatenate([_unpack(prices[i], np.float32) for i in order]).astype(float)[back]
-        count = np.concatenate([_unpack(counts[i], np.int64) for i in order])[tokens]
+        vocabulary, tokens = _unpack(c["vocabulary"], np.uint64), _unpack(c["tokens"], np.uint32)
+        got = {p: (x, y) for p, x, y in zip(*(right.column(n).to_pylist() for n in ("place", "prices", "more")), strict=True)}
+        of_words = [got[p] for p in sorted((p for p in got if p < 0), reverse=True)]
+        share = np.concatenate([_unpack(x, np.float32).reshape(SAMPLES, -1) for x, _ in of_words], axis=1).astype(float)
+        count = np.concatenate([_unpack(y, np.int64) for _, y in of_words])[tokens]
+        context, word, edges, place = _dealt(vocabulary, tokens, buckets, hot)
+        price = np.empty(len(context))
+        for b in np.flatnonzero(np.diff(edges)):
+            s = slice(edges[b], edges[b + 1])
+            direct, back = _unpack(got[int(b)][0], np.float32), _unpack(got[int(b)][1], np.float32).reshape(SAMPLES, -1)
+            own = np.unique(context[s], return_inverse=True)[1]
+            price[s] = direct + np.mean(back[:, own] * share[:, word[s]], axis=0)
         at = np.concatenate(([0], np.cumsum(lengths)))[:-1]
         base = np.log10((count + 0.1) / (tokens_all + 0.1 * (types + 1)))
-        out = [pa.array(ids[0], mask=ids[1].astype(bool)), pa.array(held), pa.array(lengths), pa.array(np.add.reduceat((count > 0).astype(np.int64), at)), pa.array(np.full(len(lengths), tokens_all, np.int64)), pa.array(np.add.reduceat(base, at)), pa.array(np.add.reduceat(price, at))]
+        out = [pa.array(ids[0], mask=ids[1].astype(bool)), pa.array(held), pa.array(lengths), pa.array(np.add.reduceat((count > 0).astype(np.int64), at)), pa.array(np.full(len(lengths), tokens_all, np.int64)), pa.array(np.add.reduceat(base, at)), pa.array(np.add.reduceat(np.log10(price)[place], at))]
         return pa.table(out, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    return chunked.select("chunk", "doc_ids", "held", "lengths", "kinds", "tokens").groupBy("chunk").cogroup(priced.groupBy("chunk")).applyInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return chunked.select("chunk", "doc_ids", "held", "lengths", "vocabulary", "tokens").groupBy("chunk").cogroup(priced.groupBy("chunk")).applyInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+
+
+def _hot(chunked: DataFrame) -> dict[int, int]:
+    """Contexts with many followers, and over how many buckets each is dealt; at most pairs / HOT contexts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for x in batch.column(0).to_pylist():
+                context, n = _unpack(x, np.uint64).reshape(2, -1)
+                yield pa.RecordBatch.from_arrays([pa.array(context.view(np.int64)), pa.array(n.astype(np.int64))], names=["context", "n"])
+
+    rows = chunked.select("many").mapInArrow(run, "context long, n long").groupBy("context").agg(F.sum("n").alias("n")).filter(F.col("n") >= HOT).collect()
+    return {r.context % (1 << 64): -(-r.n // HOT) + 1 for r in rows}
 
 
 def perplexity(docs: DataFrame, held: Column | None = None) -> DataFrame:
@@ -288,25 +438,30 @@ def perplexity(docs: DataFrame, held: Column | None = None) -> DataFrame:
 
     held: documents not to learn from (default: crc32 of doc_id as text, mod 10, is 0).
     """
-    spark = docs.sparkSession
     held = in_part(F.col("doc_id"), 10, 0) if held is None else held
     chunked = stored(chunks(docs, held), "chunks")
-    buckets = 2 * partitions(spark)
-    rows = counted(chunked, buckets)  # made twice from the stored chunks rather than stored too
-    state = stored(gathered(rows.select("bucket", "words", "pairs", "counts")), "restaurants")
-    base = _base(state)
-    if base is None:
-        base = np.zeros(2 * CONTEXTS + 2)
-    customers, types = int(base[-2]), int(base[-1])
-    totals = {"k_customers": base[:CONTEXTS], "k_tables": base[CONTEXTS : 2 * CONTEXTS], "customers0": base[CONTEXTS : 2 * CONTEXTS].sum(), "tables0": float(types), "types": max(types, 1)}
-    seats, samples = None, []
+    buckets = (chunked.agg(F.sum("n_pairs")).first()[0] or 0) // BUCKET_PAIRS + 1
+    hot = _hot(chunked)
+    rows = counted(chunked, buckets, hot)  # made twice from the stored chunks rather than stored too
+    state = stored(gathered(rows.drop("chunk"), hot), "restaurants")
+    lists = stored(listed(state, buckets), "words")
+    zero = np.zeros(len(hot))
+
+    def after(seats: DataFrame, last: dict, seed: int | None) -> tuple[DataFrame, dict, np.ndarray]:
+        parents = stored(parent(seats, lists, last, seed), "parents")
+        sums = _sum(seats.filter("sums is not null"), "sums")
+        sums = np.zeros(2 * len(hot)) if sums is None else sums
+        tops = _sum(parents.filter("sums is not null"), "sums")
+        tops = np.zeros(4) if tops is None else tops
+        return parents, {"hot_tables": sums[: len(hot)], "customers0": tops[0], "tables0": tops[1], "types": tops[2]}, np.append(sums[len(hot) :], tops[3])
+
+    seats = stored(sweep(state, None, None, {"hot_tables": zero}, buckets, 0), "seats")
+    first, totals, rest = after(seats, {}, None)
+    base, customers, parents, samples = {"hot_customers": rest[:-1]}, int(rest[-1]), first, []
     for i in range(BURN_IN + SAMPLES):
-        now = state.select("bucket", "at", "contexts", "customers")
-        now = now.withColumns({"tables": F.lit(None).cast("binary"), "top": F.lit(None).cast("binary")}) if seats is None else now.join(seats.select("bucket", "tables", "top"), "bucket")
-        seats = stored(sweep(now, totals, i), "seats")
-        sums = _sum(seats, "sums")
-        if sums is not None:
-            totals = totals | {"k_tables": sums[:CONTEXTS], "customers0": sums[CONTEXTS], "tables0": sums[CONTEXTS + 1]}
+        seats = stored(sweep(state, seats, parents, totals, buckets, i), "seats")
+        parents, totals, _ = after(seats, totals, i)
         if i >= BURN_IN:
-            samples.append((seats, totals))
-    return _scored(chunked, stored(_priced(rows, state, samples), "prices"), customers, types)
+            samples.append((seats, parents, totals))
+    priced = _priced(rows, state, samples, base).unionByName(_priced_words(chunked, lists, first, samples, buckets))
+    return _scored(chunked, stored(priced, "prices"), buckets, hot, customers, int(totals["types"]))
