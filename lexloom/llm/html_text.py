@@ -8,7 +8,11 @@ the outermost one around the main subtree instead, since the sum alone can stop
 
 Elements that are never article text (menus, headers outside the article, footers, side bars, forms,
 scripts, styles, adverts, notices, comments) are cut from the tree before densities are taken, by their
-element name, role, or a word of their class or id.
+element name, role, or a word of their class or id. They are closed like any other element. A word of a
+class or id can be said of an article's own container too (`content has-sidebar`), so it only counts where
+the element is mostly links, has less than a third of the page's text, or at most twice the text that no
+such element holds; one with no other words (`ad`) goes where an article or main element without
+such a mark has text.
 
 A null or empty html gives empty text with n_chars 0; a page without main text likewise. Every row gives
 one row; other columns are ignored.
@@ -44,33 +48,72 @@ WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
 class Node:
-    __slots__ = ("attributes", "children", "chars", "density", "linked", "links", "parent", "parts", "tag", "tags", "total")
+    __slots__ = ("attributes", "children", "chars", "density", "linked", "links", "noise", "parent", "parts", "plain", "tag", "tags", "total")
 
-    def __init__(self, tag: str, parent: Node | None, attributes: str = ""):
-        self.tag, self.parent, self.attributes = tag, parent, attributes
+    def __init__(self, tag: str, parent: Node | None, attributes: str = "", noise: str = ""):
+        self.tag, self.parent, self.attributes, self.noise = tag, parent, attributes, noise
         self.parts: list[str | Node] = []
         self.children: list[Node] = []
 
 
-def _noise(tag: str, attributes: str, inside: bool) -> bool:
-    """inside: within an article or main element, whose own header holds the title."""
+def _noise(tag: str, attributes: str, inside: bool) -> str:
+    """"sure" by element, role or hidden, "word" by a class or id ("words" if it has no others), or empty. inside: within an article or main element, whose own header holds the title."""
     if tag in NOISE_TAGS or tag == "header" and not inside:
-        return True
+        return "sure"
     if not attributes or tag in ("html", "body", "main"):
-        return False
+        return ""
+    noisy: list[bool] = []
     for name, *values in ATTRIBUTE.findall(attributes):
         value, name = "".join(values), name.lower()
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "role" and value.lower() in NOISE_ROLES:
-            return True
-        if name in ("class", "id") and any(w.lower() in NOISE_WORDS for w in WORD.findall(value)):
-            return True
-    return False
+            return "sure"
+        if name in ("class", "id"):
+            noisy += [w.lower() in NOISE_WORDS for w in WORD.findall(value)]
+    return "words" if noisy and all(noisy) else "word" if any(noisy) else ""
+
+
+def _cut(node: Node, kind: str) -> None:
+    """Take the children of a kind of noise out of a node; a block leaves a space."""
+    node.parts = [x if isinstance(x, str) or x.noise != kind else " " if x.tag in BLOCK else "" for x in node.parts]
+    node.children = [x for x in node.children if x.noise != kind]
+
+
+def _prune(root: Node) -> None:
+    """Cut noise: sure one first, then that by a word, judged by its text, the outer element before the inner one."""
+    order = [root]
+    for node in order:
+        if any(x.noise == "sure" for x in node.children):
+            _cut(node, "sure")
+        order.extend(node.children)
+    if not any(x.noise for x in order):
+        return
+    for node in reversed(order):  # plain: text under no inner element that a word marks
+        own = sum(len(x.strip()) for x in node.parts if isinstance(x, str))
+        node.chars = own + sum(c.chars for c in node.children)
+        node.plain = own + sum(c.plain for c in node.children if not c.noise)
+        node.linked = node.chars if node.tag == "a" else sum(c.linked for c in node.children)
+    free = [root]
+    for node in free:
+        free.extend(x for x in node.children if not x.noise)
+    marked = any(x.tag in ("article", "main") and x.plain for x in free)
+    plain, stack, touched = root.plain, [root], []
+    while stack:
+        node = stack.pop()
+        if node.noise:
+            touched.append(node.parent)
+            if marked and node.noise == "words" or 2 * node.linked > node.chars or 3 * node.chars < root.chars or node.chars <= 2 * plain:
+                node.noise = "cut"
+                continue
+            plain += node.plain
+        stack += reversed(node.children)
+    for node in {id(x): x for x in touched}.values():
+        _cut(node, "cut")
 
 
 def parse(page: str) -> Node:
     """The tree of a page without noise; never fails."""
     root = Node("body", None)
-    at, skip, position, inside = root, [], 0, 0
+    at, position, inside = root, 0, 0
     while position < len(page):
         m = TOKEN.match(page, position)
         position = m.end()
@@ -78,16 +121,9 @@ def parse(page: str) -> Node:
         if tag is None:
             if m[0][:2] in ("<!", "<?"):
                 continue
-            if not skip:
-                at.parts.append(m[0])
+            at.parts.append(m[0])
             continue
         tag = tag.lower()
-        if skip:  # within noise: only its own end counts
-            if tag == skip[0]:
-                skip = skip[1:] if closing else skip if attributes.endswith("/") else [tag, *skip]
-            elif closing and tag in ("body", "html"):
-                skip = []
-            continue
         if closing:
             node = at
             while node is not None and node.tag != tag:
@@ -115,23 +151,21 @@ def parse(page: str) -> Node:
                         at = node.parent
                         break
                     node = node.parent
-        if tag in RAW or _noise(tag, attributes, inside > 0):
-            if tag in RAW:
-                end = re.compile(rf"</{re.escape(tag)}[\s/>]", re.I).search(page, position)
-                position = end.start() if end else len(page)
-                close = TOKEN.match(page, position) if end else None
-                position = close.end() if close else position
-            elif tag not in VOID and not attributes.endswith("/"):
-                skip = [tag]
+        if tag in RAW:
+            end = re.compile(rf"</{re.escape(tag)}[\s/>]", re.I).search(page, position)
+            position = end.start() if end else len(page)
+            close = TOKEN.match(page, position) if end else None
+            position = close.end() if close else position
             if tag in BLOCK:
                 at.parts.append(" ")
             continue
-        node = Node(tag, at, attributes)
+        node = Node(tag, at, attributes, _noise(tag, attributes, inside > 0))
         at.parts.append(node)
         at.children.append(node)
-        if tag not in VOID and not (attributes.endswith("/") and tag not in BLOCK):
+        if tag not in VOID and not (attributes.endswith("/") and (tag not in BLOCK or node.noise)):
             at = node
             inside += tag in ("article", "main")
+    _prune(root)
     return root
 
 

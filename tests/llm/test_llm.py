@@ -349,6 +349,18 @@ def test_main_text(page):
     assert html_text.main_text(page) == CLEAN
 
 
+@pytest.mark.parametrize("page", [
+    f"<body><article><h1>Pealkiri</h1><p class='notice'>x{BODY.removeprefix('<h1>Pealkiri</h1>')}</article></body>",
+    f"<body><div><aside>Kõrval</div><article>{BODY}</article></body>",
+    f"<body><div><ul><li class='share'>Jaga<li>Veel<nav></ul></div><article>{BODY}</article></body>",
+    *(f"<body>{NAV}<div class='{c}'>{BODY}</div>{TAIL}" for c in ("content has-sidebar", "related-work", "search-result")),
+    f"<body>{NAV}<article class='post share-enabled'>{BODY}</article>{TAIL}</body>",
+    f"<body><div class='sidebar'>Lühike</div><article class='post share-enabled'>{BODY}</article><div id='comments'>{'Lugeja arvab nii. ' * 10}</div></body>",
+])
+def test_noise_keeps_main_text(page):
+    assert html_text.main_text(page) == CLEAN
+
+
 def test_extract(spark):
     rows = [(1, "u", "<p>a&nbsp;b &lt;c&gt;</p>"), (2, None, None), (3, "v", ""), (4, "w", "<<<"), (5, "x", "puhas tekst"), (6, "y", "<div>" * 3000 + "sügav" + "</div>" * 3000), (7, "z", "<nav>vaid menüü</nav>"), (7, "z", "<p>t <script>x</p>")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit(1))
