@@ -29,6 +29,8 @@ from lexloom.llm.common import kept_rows, slices, span_hashes, text_bytes, word_
 SAMPLE_DOCS, FOLDS = 2000, 4
 WINDOW, LEVEL, STEPS = 12, 9, (1, 2, 3, 4, 5, 6, 8)
 PREFIXES = (4, 5, 6, 8)
+#: Most windows of seven words that train the ordinary dictionary.
+ORDINARY_WINDOWS = 60_000
 #: Evidence (twice the log likelihood ratio) for a marked word: about 2 * log(number of words compared).
 EVIDENCE, TIMES = 30.0, 4.0
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -122,8 +124,11 @@ def train_dictionaries(texts: list[bytes], toxic: np.ndarray) -> tuple[bytes, by
     data = _LOWER[np.frombuffer(b"".join(texts), np.uint8)]
     starts, ends, marked, before = _marks(data, at, toxic)
     raw = data.tobytes()
-    plain = np.flatnonzero(~toxic[np.searchsorted(at, starts, "right") - 1])[::7]
-    samples = [b" " + raw[starts[i] : ends[min(i + 6, len(ends) - 1)]] for i in plain[:60_000].tolist()]
+    row = np.searchsorted(at, starts, "right") - 1
+    last = np.searchsorted(starts, at[1:])[row] - 1
+    plain = np.flatnonzero(~toxic[row])
+    plain = plain[:: max(7, -(-len(plain) // ORDINARY_WINDOWS))]  # over all documents
+    samples = [b" " + raw[starts[i] : ends[min(i + 6, last[i])]] for i in plain.tolist()]
     _, one = np.unique(span_hashes(data, starts, ends)[marked] ^ before[marked], return_index=True)
     where = np.flatnonzero(marked)[one]
     words = [b" " + raw[starts[i] : ends[i]].strip(_PUNCT) + b" " for i in where.tolist()]

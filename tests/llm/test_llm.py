@@ -274,6 +274,13 @@ def test_toxicity(spark):
     assert toxicity.score(docs.limit(0), toxicity.train(docs.limit(0), lab.limit(0), F.lit(True))).count() == 0
 
 
+def test_ordinary_windows_come_from_all_documents():
+    early = [b" ".join([b"varajane jutt siin"] * 1000) for _ in range(150)]
+    late = [b" ".join([b"hiline lugu seal"] * 1000) for _ in range(50)]
+    ordinary, _ = toxicity.train_dictionaries([*early, *late, b"pilge"], np.array([False] * 200 + [True]))
+    assert b"varajane" in ordinary and b"hiline" in ordinary
+
+
 def test_quality(spark):
     rows, labels = judged()
     docs, lab = frame(spark, rows + EDGE), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
