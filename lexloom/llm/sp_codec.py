@@ -9,8 +9,9 @@ Giant texts are cut into chunks of CHUNK characters anywhere. A piece may reach
 characters than the longest piece has, so a chunk is a matrix of the best sums from each overhang at its
 start to each at its end; matrices combine associatively under (max, +), first within groups of GROUP
 chunks, then over the groups of a text. The best path fixes the overhang at every cut, and every chunk
-is then traced back on its own. Where all pieces keep spaces to their front, each word is scored once
-and looked up; a chunk's matrix then only depends on its first and last words and one number.
+is then traced back on its own. Where all pieces keep spaces to their front, each distinct word is scored
+once, many words side by side, and looked up; a chunk's matrix then only depends on its first and last
+words and one number.
 
 Decoding joins the pieces' bytes and drops the space put before the text. A text with the piece sign for
 a space in it decodes to a space there, as in the format itself; every other text comes back whole.
@@ -32,7 +33,9 @@ from pyspark.sql import functions as F
 
 from lexloom.llm.common import stored
 
-CHUNK, GROUP, CACHE_WORDS = 32_768, 64, 500_000
+CHUNK, GROUP, CACHE_WORDS = 32_768, 64, 400_000
+#: Words of up to this many characters are scored side by side, at most BLOCK characters at once.
+SHORT_WORD, BLOCK = 48, 1 << 18
 SPACE = "▁"
 LOW = -np.inf
 
@@ -64,6 +67,97 @@ class Vocabulary:
         self.front = all(SPACE not in p[1:] or not p.strip(SPACE) for p in self.score)
         self.units = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+" if self.front else r"(?s).+")
         self.memory: dict[str, tuple[bytes, float]] = {}
+        self.bad: set[str] = set()  # words in memory that don't decode to themselves
+        self._trie()
+
+    def _trie(self) -> None:
+        """The prefixes of pieces as numbered nodes: steps by (node, character), and the piece that ends at each."""
+        prefixes = sorted(self.heads)
+        node = {p: i for i, p in enumerate(prefixes)}
+        self.chars = np.unique(np.array([ord(p[-1]) for p in prefixes], np.int64))
+        wide = len(self.chars) + 1  # the last class: a character of no piece
+        last = np.searchsorted(self.chars, np.array([ord(p[-1]) for p in prefixes], np.int64))
+        self.root = np.full(wide, -1, np.int64)
+        inner = np.array([len(p) > 1 for p in prefixes], bool)
+        self.root[last[~inner]] = np.flatnonzero(~inner)
+        key = np.array([node[p[:-1]] for p in prefixes if len(p) > 1], np.int64) * wide + last[inner]
+        order = np.argsort(key)
+        self.step_key, self.step_to = key[order], np.flatnonzero(inner)[order]
+        self.node_score = np.array([self.score.get(p, LOW) for p in prefixes])
+        self.node_id = np.array([self.id.get(p, -1) for p in prefixes], np.int64)
+
+    def _step(self, node: np.ndarray, kind: np.ndarray) -> np.ndarray:
+        key = node * (len(self.chars) + 1) + kind
+        at = np.minimum(np.searchsorted(self.step_key, key), len(self.step_key) - 1)
+        return np.where(self.step_key[at] == key, self.step_to[at], -1)
+
+    def _side_by_side(self, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """forward() and the trace of words of one length, a row each: ids in order, their number, sums, and which rows need no unknown character."""
+        n, width = kind.shape
+        best, back, via = np.full((n, width + 1), LOW), np.zeros((n, width + 1), np.int64), np.full((n, width + 1), -1, np.int64)
+        best[:, 0] = 0.0
+        for i in range(width):
+            reached = np.flatnonzero(best[:, i] > LOW)
+            here, rows, node = best[:, i], reached, self.root[kind[reached, i]]
+            single = np.zeros(n, bool)
+            for j in range(i + 1, min(width, i + self.longest) + 1):
+                on = node >= 0
+                rows, node = rows[on], node[on]
+                if not len(rows):
+                    break
+                value = here[rows] + self.node_score[node]
+                if j == i + 1:
+                    single[rows] = self.node_score[node] > LOW
+                better = value > best[rows, j]
+                at = rows[better]
+                best[at, j], back[at, j], via[at, j] = value[better], i, node[better]
+                if j < width:
+                    node = self._step(node, kind[rows, j])
+            rows = reached[~single[reached]]
+            rows = rows[here[rows] + self.unknown > best[rows, i + 1]]
+            best[rows, i + 1], back[rows, i + 1], via[rows, i + 1] = here[rows] + self.unknown, i, -1
+        ids, count, known = np.zeros((n, width), np.uint32), np.zeros(n, np.int64), np.ones(n, bool)
+        rows, end = np.arange(n), np.full(n, width)
+        while len(rows):
+            node = via[rows, end]
+            known[rows[node < 0]] = False
+            count[rows] += 1
+            ids[rows, width - count[rows]] = np.where(node < 0, 0, self.node_id[node])
+            end = back[rows, end]
+            rows, end = rows[end > 0], end[end > 0]
+        return ids[np.arange(width) >= (width - count)[:, None]], count, best[:, -1], known
+
+    def learn(self, words: set[str]) -> None:
+        """Takes the words into memory that aren't there."""
+        new = [w for w in words if w not in self.memory]
+        if len(self.memory) + len(new) > CACHE_WORDS:
+            self.memory.clear()
+            self.bad.clear()
+            new = list(words)
+        by_length: dict[int, list[str]] = {}
+        for w in new:
+            by_length.setdefault(len(w), []).append(w)
+        for width, group in by_length.items():
+            if width > SHORT_WORD:
+                continue  # word() takes them one by one
+            step = max(1, BLOCK // width)
+            for k in range(0, len(group), step):
+                some = group[k : k + step]
+                text = "".join(some)
+                code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+                kind = np.minimum(np.searchsorted(self.chars, code), len(self.chars) - 1)
+                kind = np.where(self.chars[kind] == code, kind, len(self.chars)).reshape(-1, width)
+                ids, count, total, known = self._side_by_side(kind)
+                raw, at = ids.astype("<u4").tobytes(), np.concatenate(([0], np.cumsum(4 * count))).tolist()
+                self.memory.update(zip(some, zip([raw[a:b] for a, b in zip(at[:-1], at[1:], strict=True)], total.tolist(), strict=True), strict=True))
+                doubtful = [some[i] for i in np.flatnonzero(~known)]  # byte pieces stand for an unknown character
+                for w in doubtful:
+                    del self.memory[w]
+                    self.word(w)
+                good = np.repeat(known, count)
+                if self.decode(ids[good].astype("<u4").tobytes()) != "".join([some[i] for i in np.flatnonzero(known)]).replace(SPACE, " ").encode():
+                    doubtful = some
+                self.bad.update(w for w in doubtful if self.decode(self.memory[w][0]) != w.replace(SPACE, " ").encode())
 
     def forward(self, s: str, limit: int | None = None) -> tuple[list[float], list[int]]:
         """Best sum to each position from 0 by pieces that start before limit, and where the last piece starts."""
@@ -102,19 +196,24 @@ class Vocabulary:
         if got is None:
             best, back = self.forward(s)
             got = self._trace(s, back, len(s)), best[-1]
-            if len(self.memory) >= CACHE_WORDS:
-                self.memory.clear()
-            if len(s) <= 64:
+            if len(s) <= SHORT_WORD:
                 self.memory[s] = got
         return got
 
+    def encode_many(self, texts: list[str]) -> tuple[list[bytes], list[bool]]:
+        """Ids of escaped texts, packed as little-endian unsigned 32-bit numbers, and whether they decode to the texts."""
+        split = [self.units.findall(s) for s in texts]
+        self.learn(set().union(*split))
+        get, ids, whole = self.memory.get, [], []
+        for words in split:
+            got = [get(w) or self.word(w) for w in words]
+            ids.append(b"".join([g[0] for g in got]))
+            long = [(w, g[0]) for w, g in zip(words, got, strict=True) if len(w) > SHORT_WORD]
+            whole.append(all(self.decode(g) == w.replace(SPACE, " ").encode() for w, g in long) and not (self.bad and any(w in self.bad for w in words)))
+        return ids, whole
+
     def encode(self, s: str) -> bytes:
-        """Ids of an escaped text, packed as little-endian unsigned 32-bit numbers."""
-        memory, out = self.memory, []
-        for w in self.units.findall(s):
-            got = memory.get(w)
-            out.append((got or self.word(w))[0])
-        return b"".join(out)
+        return self.encode_many([s])[0][0]
 
     def cuts(self, s: str, n: int) -> tuple[int, int] | None:
         """First and last place, with longest - 1 <= first <= last <= n, that no piece crosses."""
@@ -129,7 +228,9 @@ class Vocabulary:
         cut = self.cuts(s, n)
         if cut:
             first, last = cut
-            middle = sum(self.word(w)[1] for w in self.units.findall(s[first:last]))
+            words = self.units.findall(s[first:last])
+            self.learn(set(words))
+            middle = sum(self.word(w)[1] for w in words)
             tail = self.forward(s[last:], n - last)[0]
             end = [0.0] if last == n else tail[n - last :][:size]
             for i in range(min(size, first + 1)):
@@ -193,8 +294,9 @@ def _short(docs: DataFrame, model: str) -> DataFrame:
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for i in range(0, len(texts), 512):
-                ids = [v.encode(escaped(x or "")) for x in texts[i : i + 512]]
-                whole = [v.decode(p)[1:] == (x or "").encode() for p, x in zip(ids, texts[i : i + 512], strict=True)]
+                # a text that holds the sign for a space decodes to a space there
+                ids, whole = v.encode_many([escaped(x or "") for x in texts[i : i + 512]])
+                whole = [w and SPACE not in (x or "") for w, x in zip(whole, texts[i : i + 512], strict=True)]
                 n = len(ids)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, n), pa.array([0] * n), pa.array([1] * n), pa.array(ids, pa.binary()), pa.array(whole)], names=["doc_id", "part", "n_parts", "ids", "whole"])
 
