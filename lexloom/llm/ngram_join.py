@@ -7,11 +7,16 @@ into ceil((k + 1) / 2) first-level parts, so one of them differs in at most one
 into three second-level parts, of which two then agree: every pair of second-level parts is a signature,
 and linked sets share one.
 
-Long sets would have a signature for every few shingles. Only FIRST_LEVEL parts are used of a domain
-that has more, and a domain that has fewer is cut again under other seeds until there are as many. A
-first-level part of a pair at the threshold agrees with a chance of about one half, so a linked pair
-stays without a shared signature with a chance of at most 0.48 ** 16 = 8e-6, at the very threshold, and
-far less above it.
+join(..., first_level=None) takes all parts, as they are, signatures over no shingle included: linked sets then
+share a signature by construction. Long sets would so have a signature for every few shingles, and short
+ones would meet in buckets of empty parts. By default only FIRST_LEVEL parts are used of a domain that has
+more, signatures over no shingle are left out, and a domain with fewer parts is cut again under other seeds
+until there are as many. A first-level part of a pair at the threshold agrees with a chance of about one
+half, so a linked pair stays without a shared signature with a chance of at most 0.48 ** 24 = 2e-8, at the
+very threshold, and far less above it.
+
+Signatures of the first EARLY parts are looked at first: they link most of a group of near copies, and of
+all signatures only buckets are then taken in which several components meet. So a group costs its size.
 
 Sets are equal, for all purposes, when their 64-bit hashes are; one node stands for all copies. Within
 a bucket nodes are first compared to the smallest one, then only those of different components with
@@ -37,14 +42,14 @@ from pyspark.sql.window import Window
 
 from lexloom.llm.common import U, components, mix, partitions, runs, slices, stored, words
 
-WORDS, FIRST_LEVEL, LEFT_ROWS, RIGHT_ROWS = 5, 16, 2048, 4096
+WORDS, FIRST_LEVEL, EARLY, LEFT_ROWS, RIGHT_ROWS = 5, 24, 4, 2048, 4096
 #: Buckets in which a member looks for its nearest one in the first round; the second round takes all.
 NEAREST_BUCKETS = 4
 #: The ids of the texts to compare are broadcast up to this many, and joined by a shuffle beyond.
 BROADCAST_IDS = 500_000
 _PLACE = np.random.default_rng(5).integers(1, 2**63, 64, dtype=np.uint64) | U(1)
 
-SETS = "doc_id long, n_shingles long, node long, signatures array<long>, profile binary"
+SETS = "doc_id long, n_shingles long, node long, early array<long>, later array<long>, profile binary"
 
 
 def shingle_sets(data: np.ndarray, at: np.ndarray, n: int = WORDS) -> Iterator[np.ndarray]:
@@ -76,13 +81,15 @@ def _bands(most: int = 1 << 40) -> tuple[list[int], list[int]]:
 LOW, HIGH = _bands()
 
 
-def _band_signatures(s: np.ndarray, band: int) -> list[np.ndarray]:
+def _band_signatures(s: np.ndarray, band: int, first_level: int | None) -> list[tuple[int, np.ndarray]]:
+    """(first of its parts in turn, signatures) of each seed and pair of second-level parts."""
     k = 2 * HIGH[band] // 7
     first = (k + 2) // 2
+    used = min(first, first_level or first)
     out = []
-    for seed in range(-(-FIRST_LEVEL // first)):
+    for seed in range(-(-first_level // first) if first_level else 1):
         g = np.sort(mix(s ^ U(0x5851F42D4C957F2D * seed & (2**64 - 1)))) if seed else s
-        parts = 3 * min(first, FIRST_LEVEL)
+        parts = 3 * used
         edges = np.array([(i * 2**64) // (3 * first) for i in range(1, parts)] + [(parts * 2**64) // (3 * first) - 1], np.uint64)
         cut = np.concatenate(([0], np.searchsorted(g, edges[:-1]), [np.searchsorted(g, edges[-1], "right")]))
         total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(g[: cut[-1]] + U(0x2545F4914F6CDD1D)))))
@@ -90,14 +97,17 @@ def _band_signatures(s: np.ndarray, band: int) -> list[np.ndarray]:
         for tag, (a, b) in enumerate(((0, 1), (0, 2), (1, 2))):
             where = U(((band * 64 + seed) * 64 * 4 + tag) * 0x9E3779B97F4A7C15 & (2**64 - 1)) + np.arange(len(sums), dtype=np.uint64) * U(0xC2B2AE3D27D4EB4F)
             sig = mix(sums[:, a] * _PLACE[11] + sums[:, b] * _PLACE[12] + where)
-            out.append(sig[(counts[:, a] + counts[:, b]) > 0])
+            some = (counts[:, a] + counts[:, b] > 0) | (first_level is None)
+            early = int(some[: max(0, EARLY - seed * used)].sum())
+            out.append((early, sig[some]))
     return out
 
 
-def signatures(s: np.ndarray) -> np.ndarray:
-    """Signatures of a set for its own band and the next; sums over no shingle at all say nothing and are left out."""
+def signatures(s: np.ndarray, first_level: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Signatures of a set for its own band and the next: of the first parts, and of the others."""
     band = bisect_right(LOW, len(s)) - 1
-    return np.concatenate(_band_signatures(s, band) + _band_signatures(s, band + 1))
+    got = _band_signatures(s, band, first_level) + _band_signatures(s, band + 1, first_level)
+    return np.concatenate([x[:n] for n, x in got]), np.concatenate([x[n:] for n, x in got])
 
 
 def profile(s: np.ndarray) -> bytes:
@@ -128,22 +138,27 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
     return both > 0 and 100 * both >= 75 * (len(a) + len(b) - both)
 
 
-def sets(docs: DataFrame) -> DataFrame:
+def sets(docs: DataFrame, first_level: int | None = FIRST_LEVEL) -> DataFrame:
     """A row for each document: size, node (the set's hash, null for an empty set), signatures, profile."""
 
+    def lists(parts: list[np.ndarray]) -> pa.Array:
+        ends = np.concatenate(([0], np.cumsum([len(x) for x in parts]))).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts).view(np.int64)))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "n_shingles", "node", "signatures", "profile"]
+        names = ["doc_id", "n_shingles", "node", "early", "later", "profile"]
+        none = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
         for batch in batches:
             for first, last, data, at in slices(batch.column(1)):
                 size, node, sigs, shape = [], [], [], []
                 for s in shingle_sets(data, at):
                     size.append(len(s))
                     node.append(int(mix(np.array([mix(s).sum(dtype=np.uint64) + U(len(s))], np.uint64)).view(np.int64)[0]) if len(s) else None)
-                    sigs.append(signatures(s).view(np.int64) if len(s) else np.zeros(0, np.int64))
+                    sigs.append(signatures(s, first_level) if len(s) else none)
                     shape.append(profile(s) if len(s) else None)
-                ends = np.concatenate(([0], np.cumsum([len(x) for x in sigs]))).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sigs)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), pa.array(size, pa.int64()), pa.array(node, pa.int64()), lists, pa.array(shape, pa.binary())], names=names)
+                columns = [pa.array(size, pa.int64()), pa.array(node, pa.int64()), *map(lists, zip(*sigs, strict=True)), pa.array(shape, pa.binary())]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), *columns], names=names)
+        pa.default_memory_pool().release_unused()
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, SETS)
 
@@ -239,28 +254,40 @@ def _rest(shared: DataFrame, labels: DataFrame, nodes: DataFrame, tested: DataFr
     return pairs.join(tested, ["a", "b"], "left_anti")
 
 
-def join(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id of every document."""
-    spark = docs.sparkSession
-    all_sets = stored(sets(docs), "shingle-sets")
-    known = all_sets.filter("node is not null and doc_id is not null")
-    nodes = stored(known.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("profile").alias("profile")), "nodes")
-    one = known.groupBy("node").agg(F.first("signatures").alias("signatures"))
-    rows = one.select("node", F.explode("signatures").alias("sig")).repartition(partitions(spark), "sig")
-    bucket = rows.groupBy("sig").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"), F.min("node").alias("hub"), F.max("node").alias("last")).filter("hub <> last")
+def _shared(one: DataFrame, labels: DataFrame | None, signature: str) -> DataFrame:
+    """(sig, node) of the buckets in which several components meet; of equal buckets one."""
+    spark = one.sparkSession
+    root = F.col("node") if labels is None else F.coalesce("root", "node")
+    one = one if labels is None else one.join(labels, "node", "left")
+    rows = one.select("node", root.alias("root"), F.explode(F.expr(signature)).alias("sig")).repartition(partitions(spark), "sig")
+    bucket = rows.groupBy("sig").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"), F.min("node").alias("hub"), F.max("node").alias("last"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high")
     # equal buckets, most of a group's, are taken once
     bucket = bucket.groupBy("n", "x", "hub", "last").agg(F.min("sig").alias("sig")).select("sig", "hub")
-    shared = stored(rows.join(bucket.hint("shuffle_hash"), "sig").distinct(), "shared")
-    star = shared.filter("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-    star = stored(star, "star")
-    links = stored(_verified(star, nodes, docs), "links")
-    tested = star
+    return rows.select("sig", "node", "root").join(bucket.hint("shuffle_hash"), "sig").distinct()
+
+
+def join(docs: DataFrame, first_level: int | None = FIRST_LEVEL) -> DataFrame:
+    """doc_id, n_shingles, component_id of every document. first_level: parts used (None: all, without any chance of a miss)."""
+    all_sets = stored(sets(docs, first_level), "shingle-sets")
+    known = all_sets.filter("node is not null and doc_id is not null")
+    nodes = stored(known.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("profile").alias("profile")), "nodes")
+    one = known.groupBy("node").agg(F.first("early").alias("early"), F.first("later").alias("later"))
+    links = tested = label = None
+    for signature in ("early", "concat(early, later)"):
+        shared = stored(_shared(one, label, signature), "shared")
+        star = shared.join(shared.filter("node = hub").select("hub", F.col("root").alias("hub_root")).distinct(), "hub").filter("root <> hub_root")
+        star = star.select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
+        star = stored(star if tested is None else star.join(tested, ["a", "b"], "left_anti"), "star")
+        found = _verified(star, nodes, docs)
+        links = stored(found if links is None else links.unionAll(found), "links")
+        tested = star if tested is None else tested.unionAll(star)
+        label = components(links, "a", "b")
     for nearest in (True, False):  # the nearest ones first: most of the other pairs then lie in one component
-        rest = stored(_rest(shared.select("sig", "node"), components(links, "a", "b"), nodes, tested, nearest), "rest")
+        rest = stored(_rest(shared.select("sig", "node"), label, nodes, tested, nearest), "rest")
         if not rest.isEmpty():
             links = stored(links.unionAll(_verified(rest, nodes, docs)), "links")
             tested = tested.unionAll(rest)
-    label = components(links, "a", "b")
+            label = components(links, "a", "b")
     member = nodes.select("node", "doc_id").join(label, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = member.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     component = member.join(least, "root").select("node", "component_id")

@@ -142,6 +142,8 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, unit: int
                     ids = np.concatenate((ids, end)).astype("<u4")
                     rows += [(doc_id, s, n, len(ids), ids[s : s + n].tobytes()) for s, n in cuts(len(ids), capacity, unit)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+        encoder.clear()  # the Python worker goes on to other stages
+        pa.default_memory_pool().release_unused()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, PIECES)
 

@@ -98,16 +98,44 @@ def test_ngram_join_blocks(spark, monkeypatch):
 def test_signatures_are_shared():
     """Sets at the very threshold share a signature, whatever their size."""
     rng = np.random.default_rng(1)
-    for n in (3, 4, 7, 20, 60, 150, 400, 1500, 6000):
+    for n in (3, 4, 5, 7, 9, 12, 20, 60, 150, 400, 1500, 6000):
         for _ in range(20):
             a = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
             drop = n // 8  # as many new ones: intersection 7/8, union 9/8
             b = np.unique(np.concatenate((rng.permutation(a)[drop:], rng.integers(0, 2**64, drop, dtype=np.uint64))))
             if ngram_join.linked(a, b):
-                assert np.intersect1d(ngram_join.signatures(a), ngram_join.signatures(b)).size
+                for first_level in (None, ngram_join.FIRST_LEVEL):
+                    assert np.intersect1d(*(np.concatenate(ngram_join.signatures(x, first_level)) for x in (a, b))).size
                 assert ngram_join._fits(len(a), len(b), ngram_join.profile(a), ngram_join.profile(b))
 
 
+def test_ngram_join_with_all_parts(spark):
+    """All parts of the partition, empty ones included, give the same groups."""
+    rows = corpus(5) + ODD
+    one, two = (sorted(map(tuple, ngram_join.join(frame(spark, rows), first_level=n).collect()), key=str) for n in (None, ngram_join.FIRST_LEVEL))
+    assert one == two
+
+
+@pytest.mark.parametrize("size", [1, 2, 3, 6, 7, 10, 13, 40, 111, 112, 300, 2953, 20_000])
+def test_all_parts_share_a_signature_by_construction(size):
+    """Any pair that links, differing in as many shingles as it may, in any places of the domain."""
+    rng = np.random.default_rng(size)
+    for turn in range(30 if size < 1000 else 3):
+        spread = 2**64 if turn % 2 else 2**58  # crowded sets leave most parts empty
+        a = np.unique(rng.integers(0, spread, size, dtype=np.uint64))
+        drop = rng.integers(0, size // 7 + 1)
+        b = np.unique(np.concatenate((rng.permutation(a)[drop:], rng.integers(0, spread, rng.integers(0, size // 7 + 1), dtype=np.uint64))))
+        if len(b) and ngram_join.linked(a, b):
+            assert np.intersect1d(*(np.concatenate(ngram_join.signatures(x)) for x in (a, b))).size
+
+
+def test_components_of_a_hub(spark, monkeypatch):
+    monkeypatch.setattr("lexloom.llm.common.HOT", 3)
+    links = [(0, i) for i in range(1, 30)] + [(50, i) for i in range(25, 45)] + [(60, 61)]
+    got = {r.node: r.root for r in components(spark.createDataFrame(links, "a long, b long"), "a", "b").collect()}
+    assert got == {i: 0 for i in [*range(45), 50]} | {60: 60, 61: 60}
+
+
 def test_components(spark):
     rng = random.Random(4)
     links = [(rng.randrange(60), rng.randrange(60)) for _ in range(45)] + [(i, i + 1) for i in range(100, 130)]
