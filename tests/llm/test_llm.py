@@ -158,6 +158,7 @@ def test_top_k(spark, monkeypatch):
     monkeypatch.setattr(topk, "SHARD_ROWS", 40)
     monkeypatch.setattr(topk, "LEAF", 8)
     monkeypatch.setattr(topk, "BLOCK_QUERIES", 3)
+    monkeypatch.setattr(topk, "PART_BLOCKS", 2)
     rng = np.random.default_rng(2)
     rows = [(i, [float(x) for x in rng.normal(size=3)], 1) for i in range(200)]
     rows += [(300 + i, rows[7][1], 1) for i in range(60)] + [rows[5]] + BAD
@@ -199,6 +200,26 @@ def test_near_duplicates(spark, monkeypatch):
     assert near_dup.near_duplicates(vectors(spark, rows).limit(0)).count() == 0
 
 
+def test_near_duplicates_recall_of_planted_pairs(spark):
+    """Links between cosine 0.98 and 1 in four crowded labels, against brute force."""
+    rng = np.random.default_rng(11)
+    base = rng.normal(size=(800, 24))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    away = rng.normal(size=base.shape)
+    away -= (away * base).sum(1, keepdims=True) * base
+    away /= np.linalg.norm(away, axis=1, keepdims=True)
+    cosine = rng.uniform(0.975, 0.999, (800, 1))
+    x = np.concatenate((base, (cosine * base + np.sqrt(1 - cosine**2) * away) * 3)).astype(np.float32)
+    label = [f"l{i % 4}" for i in range(800)] * 2
+    unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    near = (unit @ unit.T >= 0.98) & (np.array(label)[:, None] == np.array(label)[None, :]) & ~np.eye(1600, dtype=bool)
+    rows = [(i, [float(v) for v in r], s) for i, (r, s) in enumerate(zip(x, label, strict=True))]
+    got = {r.vec_id: r.n_links for r in near_dup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label string")).collect()}
+    want = near.sum(1)
+    assert want.sum() > 800 and all(got[i] <= want[i] for i in range(1600))
+    assert sum(got.values()) >= 0.99 * want.sum()
+
+
 # --- SentencePiece
 
 
@@ -336,7 +357,9 @@ def test_isotonic():
 # --- WARC and HTML
 
 
-def test_warc(spark):
+@pytest.mark.parametrize("most", [200_000, 0])
+def test_warc(spark, monkeypatch, most):
+    monkeypatch.setattr(warc, "BROADCAST_COPIES", most)
     rows = [(3, "u3", "sama"), (1, "u1", "sama"), (2, None, None), (4, "u4", ""), (None, "u", "sama"), (5, "u\r\n5", "õ" * 100_000), (5, "u\r\n5", "õ" * 100_000), (None, None, "üksi")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({"digest": F.lit("x"), "first": F.lit(9)})
     manifest = warc.write(pages)
