@@ -2,11 +2,11 @@
 
 Components become floor(1024 * x), so scores are integers. Equal vectors are one point with the k + 1
 smallest of their ids (one may be the query's own). Points are dealt into shards of about SHARD_ROWS and
-each shard gets a ball tree. Queries travel in blocks, each block to every shard. A query's search goes
-down the balls whose upper bound q.c + |q| r reaches its current kth score, its leaves come in order of
-that bound, and the kth score is shared: a first search of one shard gives it to all the others, and a
-task hands it on from shard to shard. Nothing is dropped: a ball is skipped only if no point in it can
-reach the kth score.
+stay there; queries travel in blocks, PART_BLOCKS of them at once, to every shard, where a ball tree is built
+once for them. A query's search goes down the balls whose upper bound q.c + |q| r reaches its current kth
+score, its leaves come in order of that bound, and the kth score is shared: a search of every sqrt(shards)th
+shard gives it to all the others. Nothing is dropped: a ball is skipped only if no point in it can reach the
+kth score. The work is queries times shards, by the task's own definition.
 
 Null vec_id, and vectors that are null, empty, or hold a null or a non-finite component take no part, as
 query or candidate. Only vectors of one length meet. Rows that repeat an id and its vector count once; a
@@ -26,7 +26,7 @@ from pyspark.sql.window import Window
 
 from lexloom.llm.common import partitions, stored
 
-K, SHARD_ROWS, BLOCK_QUERIES, LEAF, SCALE = 10, 4096, 512, 64, 1024
+K, SHARD_ROWS, BLOCK_QUERIES, PART_BLOCKS, LEAF, SCALE = 10, 4096, 512, 64, 64, 1024
 NONE = np.iinfo(np.int64).min
 
 
@@ -152,7 +152,7 @@ def search(tree: Tree, points: np.ndarray, id_at: np.ndarray, ids: np.ndarray, q
 
 
 def _trees(points: DataFrame) -> DataFrame:
-    """(shard, dim, packed points, ids, places of ids) of every shard; the tree is built again where it is used."""
+    """(shard, dim, packed points, ids, places of ids) of every shard."""
 
     def build(table: pa.Table) -> pa.Table:
         ids = table.column("ids").to_pylist()
@@ -170,32 +170,26 @@ def _blocks(queries: DataFrame) -> DataFrame:
     return queries.groupBy("dim", "block").applyInArrow(pack, "block long, dim long, q_ids binary, q binary, least binary")
 
 
-def _search(blocks: DataFrame, trees: DataFrame, groups: int, k: int) -> DataFrame:
-    """Candidates of each query: at most k from each task's run of shards."""
+def _search(blocks: DataFrame, trees: DataFrame, parts: int, shards: int, step: int, k: int) -> DataFrame:
+    """At most k candidates of each query from each of the shards 0, step, 2 * step, ..."""
+    names = ["query_id", "vec_id", "score"]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, best = None, None
-
-        def give() -> pa.RecordBatch:
-            row, col = np.nonzero(best.score > NONE)
-            return pa.RecordBatch.from_arrays([pa.array(best.ids[row]), pa.array(best.found[row, col]), pa.array(best.score[row, col])], names=["query_id", "vec_id", "score"])
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = [np.zeros((3, 0), np.int64)]
+        for r in right.to_pylist():  # one row, or none where a shard has no vector of this length
+            points = np.frombuffer(r["points"], "<i8").reshape(-1, r["dim"])
+            tree = Tree(points)
+            for q_ids, q, least in zip(*(left.column(n) for n in ("q_ids", "q", "least")), strict=True):
+                best = Best(np.frombuffer(q_ids.as_py(), "<i8"), np.frombuffer(least.as_py(), "<i8"), k)
+                search(tree, points, np.frombuffer(r["id_at"], "<i8"), np.frombuffer(r["ids"], "<i8"), np.frombuffer(q.as_py(), "<i8").reshape(-1, r["dim"]), best)
+                row, col = np.nonzero(best.score > NONE)
+                out.append(np.stack((best.ids[row], best.found[row, col], best.score[row, col])))
+        return pa.table([pa.array(x) for x in np.concatenate(out, 1)], names=names)
 
-        for batch in batches:
-            for r in batch.to_pylist():
-                key = (r["dim"], r["block"], r["g"])
-                if key != held:
-                    if best is not None:
-                        yield give()
-                    held, best = key, Best(np.frombuffer(r["q_ids"], "<i8"), np.frombuffer(r["least"], "<i8"), k)
-                    queries = np.frombuffer(r["q"], "<i8").reshape(-1, r["dim"])
-                points = np.frombuffer(r["points"], "<i8").reshape(-1, r["dim"])
-                search(Tree(points), points, np.frombuffer(r["id_at"], "<i8"), np.frombuffer(r["ids"], "<i8"), queries, best)
-        if best is not None:
-            yield give()
-
-    spark = trees.sparkSession
-    meet = blocks.join(trees, "dim").withColumn("g", F.col("shard") % groups)
-    return meet.repartition(partitions(spark), "dim", "block", "g").sortWithinPartitions("dim", "block", "g", "shard").mapInArrow(run, "query_id long, vec_id long, score long")
+    some = F.explode(F.expr(f"sequence(0L, {shards - 1}L, {step}L)"))
+    travel = blocks.withColumn("part", F.expr(f"block div {PART_BLOCKS}")).withColumn("shard", some).groupBy("dim", "shard", "part")
+    stay = trees.filter(F.col("shard") % step == 0).withColumn("part", F.explode(F.expr(f"sequence(0L, {parts - 1}L)"))).groupBy("dim", "shard", "part")
+    return travel.cogroup(stay).applyInArrow(run, "query_id long, vec_id long, score long")
 
 
 def top_k(vectors: DataFrame, is_query, k: int = K, scale: int = SCALE) -> DataFrame:
@@ -212,10 +206,11 @@ def top_k(vectors: DataFrame, is_query, k: int = K, scale: int = SCALE) -> DataF
     queries = rows.filter(is_query)
     blocks = max(1, -(-queries.count() // BLOCK_QUERIES))
     queries = queries.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)))
-    groups = max(1, min(shards, partitions(spark) // blocks))
-    first = _search(_blocks(queries.withColumn("least", F.lit(int(NONE)))), trees.filter("shard = 0"), 1, k)
-    kth = first.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).alias("least")).withColumnRenamed("query_id", "vec_id")
+    parts, step = -(-blocks // PART_BLOCKS), max(1, round(shards**0.5))
+    first = stored(_search(_blocks(queries.withColumn("least", F.lit(int(NONE)))), trees, parts, shards, step, k), "first")
+    kept = first.withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))).filter(F.col("n") <= k)
+    kth = kept.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).alias("least")).withColumnRenamed("query_id", "vec_id")
     bounded = queries.join(kth, "vec_id", "left").withColumn("least", F.coalesce("least", F.lit(int(NONE))))
-    found = _search(stored(_blocks(bounded), "query-blocks"), trees, groups, k)
+    found = _search(stored(_blocks(bounded), "query-blocks"), trees, parts, shards, 1, k)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.distinct().withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
