@@ -23,6 +23,7 @@ repeated rows each. An empty table gives no rows. Other columns are ignored.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,9 +34,11 @@ from pyspark.sql import functions as F
 
 from lexloom.llm.common import stored
 
-CHUNK, GROUP, CACHE_WORDS = 32_768, 64, 400_000
-#: Words of up to this many characters are scored side by side, at most BLOCK characters at once.
-SHORT_WORD, BLOCK = 48, 1 << 18
+CHUNK, GROUP, CACHE_WORDS = 32_768, 64, 300_000
+#: Words of up to SHORT_WORD[-1] characters are scored side by side, those of about one length, BLOCK characters at once.
+SHORT_WORD, BLOCK = (8, 12, 20, 48), 1 << 18
+#: Texts, and chunks of long texts, whose new words are scored together.
+TEXTS, CHUNKS = 1024, 32
 SPACE = "▁"
 LOW = -np.inf
 
@@ -66,7 +69,8 @@ class Vocabulary:
         self.heads = {p[:k] for p in self.score for k in range(1, len(p) + 1)}
         self.front = all(SPACE not in p[1:] or not p.strip(SPACE) for p in self.score)
         self.units = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+" if self.front else r"(?s).+")
-        self.memory: dict[str, tuple[bytes, float]] = {}
+        self.memory: dict[str, bytes] = {}
+        self.sums: dict[str, float] = {}
         self.bad: set[str] = set()  # words in memory that don't decode to themselves
         self._trie()
 
@@ -91,13 +95,13 @@ class Vocabulary:
         at = np.minimum(np.searchsorted(self.step_key, key), len(self.step_key) - 1)
         return np.where(self.step_key[at] == key, self.step_to[at], -1)
 
-    def _side_by_side(self, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """forward() and the trace of words of one length, a row each: ids in order, their number, sums, and which rows need no unknown character."""
+    def _side_by_side(self, kind: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """forward() and the trace of words, a row each: ids in order, their number, sums, and which rows need no unknown character."""
         n, width = kind.shape
         best, back, via = np.full((n, width + 1), LOW), np.zeros((n, width + 1), np.int64), np.full((n, width + 1), -1, np.int64)
         best[:, 0] = 0.0
         for i in range(width):
-            reached = np.flatnonzero(best[:, i] > LOW)
+            reached = np.flatnonzero((best[:, i] > LOW) & (length > i))
             here, rows, node = best[:, i], reached, self.root[kind[reached, i]]
             single = np.zeros(n, bool)
             for j in range(i + 1, min(width, i + self.longest) + 1):
@@ -117,7 +121,7 @@ class Vocabulary:
             rows = rows[here[rows] + self.unknown > best[rows, i + 1]]
             best[rows, i + 1], back[rows, i + 1], via[rows, i + 1] = here[rows] + self.unknown, i, -1
         ids, count, known = np.zeros((n, width), np.uint32), np.zeros(n, np.int64), np.ones(n, bool)
-        rows, end = np.arange(n), np.full(n, width)
+        rows, end = np.arange(n), length
         while len(rows):
             node = via[rows, end]
             known[rows[node < 0]] = False
@@ -125,39 +129,39 @@ class Vocabulary:
             ids[rows, width - count[rows]] = np.where(node < 0, 0, self.node_id[node])
             end = back[rows, end]
             rows, end = rows[end > 0], end[end > 0]
-        return ids[np.arange(width) >= (width - count)[:, None]], count, best[:, -1], known
+        return ids[np.arange(width) >= (width - count)[:, None]], count, best[np.arange(n), length], known
 
     def learn(self, words: set[str]) -> None:
-        """Takes the words into memory that aren't there."""
+        """Takes the words into memory that aren't there, but for long ones."""
         new = [w for w in words if w not in self.memory]
         if len(self.memory) + len(new) > CACHE_WORDS:
             self.memory.clear()
+            self.sums.clear()
             self.bad.clear()
             new = list(words)
-        by_length: dict[int, list[str]] = {}
+        groups: list[list[str]] = [[] for _ in range(len(SHORT_WORD) + 1)]
         for w in new:
-            by_length.setdefault(len(w), []).append(w)
-        for width, group in by_length.items():
-            if width > SHORT_WORD:
-                continue  # word() takes them one by one
+            groups[bisect_left(SHORT_WORD, len(w))].append(w)
+        for width, group in zip(SHORT_WORD, groups, strict=False):
             step = max(1, BLOCK // width)
             for k in range(0, len(group), step):
                 some = group[k : k + step]
-                text = "".join(some)
+                length, text = np.array([len(w) for w in some]), "".join(some)
                 code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
-                kind = np.minimum(np.searchsorted(self.chars, code), len(self.chars) - 1)
-                kind = np.where(self.chars[kind] == code, kind, len(self.chars)).reshape(-1, width)
-                ids, count, total, known = self._side_by_side(kind)
+                place = np.minimum(np.searchsorted(self.chars, code), len(self.chars) - 1)
+                kind = np.full((len(some), width), len(self.chars))
+                kind[np.arange(width) < length[:, None]] = np.where(self.chars[place] == code, place, len(self.chars))
+                ids, count, total, known = self._side_by_side(kind, length)
                 raw, at = ids.astype("<u4").tobytes(), np.concatenate(([0], np.cumsum(4 * count))).tolist()
-                self.memory.update(zip(some, zip([raw[a:b] for a, b in zip(at[:-1], at[1:], strict=True)], total.tolist(), strict=True), strict=True))
+                self.memory.update(zip(some, [raw[a:b] for a, b in zip(at[:-1], at[1:], strict=True)], strict=True))
+                self.sums.update(zip(some, total.tolist(), strict=True))
                 doubtful = [some[i] for i in np.flatnonzero(~known)]  # byte pieces stand for an unknown character
                 for w in doubtful:
-                    del self.memory[w]
-                    self.word(w)
+                    self.memory[w] = self.word(w)[0]
                 good = np.repeat(known, count)
                 if self.decode(ids[good].astype("<u4").tobytes()) != "".join([some[i] for i in np.flatnonzero(known)]).replace(SPACE, " ").encode():
                     doubtful = some
-                self.bad.update(w for w in doubtful if self.decode(self.memory[w][0]) != w.replace(SPACE, " ").encode())
+                self.bad.update(w for w in doubtful if self.decode(self.memory[w]) != w.replace(SPACE, " ").encode())
 
     def forward(self, s: str, limit: int | None = None) -> tuple[list[float], list[int]]:
         """Best sum to each position from 0 by pieces that start before limit, and where the last piece starts."""
@@ -192,13 +196,8 @@ class Vocabulary:
         return np.array(ids[::-1], "<u4").tobytes()
 
     def word(self, s: str) -> tuple[bytes, float]:
-        got = self.memory.get(s)
-        if got is None:
-            best, back = self.forward(s)
-            got = self._trace(s, back, len(s)), best[-1]
-            if len(s) <= SHORT_WORD:
-                self.memory[s] = got
-        return got
+        best, back = self.forward(s)
+        return self._trace(s, back, len(s)), best[-1]
 
     def encode_many(self, texts: list[str]) -> tuple[list[bytes], list[bool]]:
         """Ids of escaped texts, packed as little-endian unsigned 32-bit numbers, and whether they decode to the texts."""
@@ -206,10 +205,14 @@ class Vocabulary:
         self.learn(set().union(*split))
         get, ids, whole = self.memory.get, [], []
         for words in split:
-            got = [get(w) or self.word(w) for w in words]
-            ids.append(b"".join([g[0] for g in got]))
-            long = [(w, g[0]) for w, g in zip(words, got, strict=True) if len(w) > SHORT_WORD]
-            whole.append(all(self.decode(g) == w.replace(SPACE, " ").encode() for w, g in long) and not (self.bad and any(w in self.bad for w in words)))
+            good = not self.bad or self.bad.isdisjoint(words)
+            try:
+                ids.append(b"".join(map(get, words)))
+            except TypeError:  # a word too long for the memory
+                got = [get(w) or self.word(w)[0] for w in words]
+                good &= all(self.decode(g) == w.replace(SPACE, " ").encode() for w, g in zip(words, got, strict=True) if w not in self.memory)
+                ids.append(b"".join(got))
+            whole.append(good)
         return ids, whole
 
     def encode(self, s: str) -> bytes:
@@ -222,6 +225,11 @@ class Vocabulary:
         places = [m.start() for m in re.finditer(f"(?<=[^{SPACE}]){SPACE}", s) if self.longest - 1 <= m.start() <= n]
         return (places[0], places[-1]) if places else None
 
+    def learn_chunks(self, chunks: list[str], sizes: list[int]) -> None:
+        """Takes the inner words of chunks into memory."""
+        inner = [(s, cut) for s, n in zip(chunks, sizes, strict=True) if (cut := self.cuts(s, n))]
+        self.learn(set().union(*(self.units.findall(s[a:b]) for s, (a, b) in inner)))
+
     def matrix(self, s: str, n: int) -> np.ndarray:
         """Best sums of a chunk of n characters (s holds what can reach over its end), by overhang at its start and end."""
         m, size = np.full((self.longest, self.longest), LOW), self.longest
@@ -229,8 +237,7 @@ class Vocabulary:
         if cut:
             first, last = cut
             words = self.units.findall(s[first:last])
-            self.learn(set(words))
-            middle = sum(self.word(w)[1] for w in words)
+            middle = sum(self.sums[w] if w in self.sums else self.word(w)[1] for w in words)
             tail = self.forward(s[last:], n - last)[0]
             end = [0.0] if last == n else tail[n - last :][:size]
             for i in range(min(size, first + 1)):
@@ -293,10 +300,10 @@ def _short(docs: DataFrame, model: str) -> DataFrame:
         v = vocabulary(model)
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            for i in range(0, len(texts), 512):
+            for i in range(0, len(texts), TEXTS):
                 # a text that holds the sign for a space decodes to a space there
-                ids, whole = v.encode_many([escaped(x or "") for x in texts[i : i + 512]])
-                whole = [w and SPACE not in (x or "") for w, x in zip(whole, texts[i : i + 512], strict=True)]
+                ids, whole = v.encode_many([escaped(x or "") for x in texts[i : i + TEXTS]])
+                whole = [w and SPACE not in (x or "") for w, x in zip(whole, texts[i : i + TEXTS], strict=True)]
                 n = len(ids)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, n), pa.array([0] * n), pa.array([1] * n), pa.array(ids, pa.binary()), pa.array(whole)], names=["doc_id", "part", "n_parts", "ids", "whole"])
 
@@ -315,8 +322,11 @@ def _long(docs: DataFrame, model: str, chunk: int, group: int) -> DataFrame:
     def matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(model)
         for batch in batches:
-            m = [v.matrix(s, n).tobytes() for s, n in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(m, pa.binary())], names=["key", "part", "m"])
+            for some in (batch.slice(i, CHUNKS) for i in range(0, batch.num_rows, CHUNKS)):
+                chunks, sizes = some.column(2).to_pylist(), some.column(3).to_pylist()
+                v.learn_chunks(chunks, sizes)
+                m = [v.matrix(s, n).tobytes() for s, n in zip(chunks, sizes, strict=True)]
+                yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array(m, pa.binary())], names=["key", "part", "m"])
 
     scored = stored(rows.select("key", "part", "s", "n").mapInArrow(matrices, "key long, part long, m binary").withColumn("g", F.expr(f"part div {group}")), "matrices")
     square = lambda column: [np.frombuffer(x).reshape(longest, longest) for x in column]
@@ -345,10 +355,12 @@ def _long(docs: DataFrame, model: str, chunk: int, group: int) -> DataFrame:
     def trace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(model)
         for batch in batches:
-            c = {n: batch.column(i).to_pylist() for i, n in enumerate(batch.schema.names)}
-            ids = [v.part(s, n, a, b) for s, n, a, b in zip(c["s"], c["n"], c["enter"], c["leave"], strict=True)]
-            whole = [v.decode(p) == s[a : n + b].replace(SPACE, " ").encode() for p, s, n, a, b in zip(ids, c["s"], c["n"], c["enter"], c["leave"], strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(c["key"]), pa.array(c["doc_id"], pa.int64()), pa.array(c["part"]), pa.array(c["n_parts"]), pa.array(ids, pa.binary()), pa.array(whole)], names=["key", "doc_id", "part", "n_parts", "ids", "whole"])
+            for some in (batch.slice(i, CHUNKS) for i in range(0, batch.num_rows, CHUNKS)):
+                c = {n: some.column(i).to_pylist() for i, n in enumerate(some.schema.names)}
+                v.learn_chunks(c["s"], c["n"])
+                ids = [v.part(s, n, a, b) for s, n, a, b in zip(c["s"], c["n"], c["enter"], c["leave"], strict=True)]
+                whole = [v.decode(p) == s[a : n + b].replace(SPACE, " ").encode() for p, s, n, a, b in zip(ids, c["s"], c["n"], c["enter"], c["leave"], strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(c["key"]), pa.array(c["doc_id"], pa.int64()), pa.array(c["part"]), pa.array(c["n_parts"]), pa.array(ids, pa.binary()), pa.array(whole)], names=["key", "doc_id", "part", "n_parts", "ids", "whole"])
 
     meet = rows.join(cuts, ["key", "part"])
     return meet.select("key", "doc_id", "n_parts", "part", "s", "n", "enter", "leave").mapInArrow(trace, "key long, " + PARTS)
