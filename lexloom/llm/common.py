@@ -19,8 +19,6 @@ from pyspark.sql import functions as F
 U = np.uint64
 #: Text handled at once by the vectorised code; one longer document is handled alone.
 SLICE_BYTES = 1 << 20
-#: Links of a node from which its links are dealt over parts.
-HOT = 1 << 10
 
 _rng = np.random.default_rng(20240607)
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) | U(1)
@@ -135,19 +133,12 @@ def words(data: np.ndarray, at: np.ndarray, fold: bool = True) -> tuple[np.ndarr
     return span_hashes(data, starts, ends, fold), np.searchsorted(starts, at), starts, ends
 
 
-def _with_least(edges: DataFrame, least: DataFrame) -> DataFrame:
-    """edges (u, v) with m of least (u, m, n); the edges of a u of over HOT of them are dealt over parts."""
-    parts = least.select("u", "m", F.explode(F.expr(f"sequence(0, n div {HOT})")).alias("part"))
-    hot = least.filter(F.col("n") >= HOT).select("u", "n")  # at most edges / HOT rows
-    part = F.coalesce(F.expr(f"pmod(xxhash64(v), n div {HOT} + 1)"), F.lit(0)).cast("long")
-    return edges.join(F.broadcast(hot), "u", "left").select("u", "v", part.alias("part")).join(parts, ["u", "part"]).select("u", "v", "m")
-
-
 def components(links: DataFrame, a: str, b: str) -> DataFrame:
     """(node, root): the smallest node reachable from each node that has a link.
 
-    Alternating large-star and small-star steps; each is a minimum per node joined back, in parts where a
-    node has many links, so no task holds all links of a node. Every round is written to shared storage.
+    Alternating large-star and small-star steps; each is a minimum per node joined back. The minima are
+    written to shared storage like every round, so both sides of a join are plain scans, of which Spark's
+    skew join splits the links of a hub over tasks.
     """
     edges = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct()
     edges = stored(edges, "links")
@@ -155,12 +146,11 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
     now = mark()
     while now[0]:
         both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count_if(F.col("v") > F.col("u")).alias("n"))
-        large = _with_least(both.filter("v > u"), least).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
-        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
-        small = _with_least(large, least)
-        edges = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(small.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
-        edges = stored(edges, "links")
+        least = stored(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
+        large = stored(both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v"), "large")
+        least = stored(large.groupBy("u").agg(F.min("v").alias("m")), "least")
+        small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
+        edges = stored(small.select("e.u", "e.v").filter("u <> v").distinct(), "links")
         seen, now = now, mark()
         if now == seen:
             break

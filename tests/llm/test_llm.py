@@ -129,8 +129,7 @@ def test_all_parts_share_a_signature_by_construction(size):
             assert np.intersect1d(*(np.concatenate(ngram_join.signatures(x)) for x in (a, b))).size
 
 
-def test_components_of_a_hub(spark, monkeypatch):
-    monkeypatch.setattr("lexloom.llm.common.HOT", 3)
+def test_components_of_a_hub(spark):
     links = [(0, i) for i in range(1, 30)] + [(50, i) for i in range(25, 45)] + [(60, 61)]
     got = {r.node: r.root for r in components(spark.createDataFrame(links, "a long, b long"), "a", "b").collect()}
     assert got == {i: 0 for i in [*range(45), 50]} | {60: 60, 61: 60}
@@ -511,35 +510,93 @@ def test_pipeline(spark):
     assert {r.doc_id for r in packed.select("doc_id").distinct().collect()} == {r.doc_id for r in docs.collect()}
 
 
-def _restaurants(rows):
+def _restaurants(rows, codes):
     """(context, word) -> customers in the rows of gathered(), each pair once."""
     out = {}
     for r in rows:
-        context, word = lm._spread(r.contexts, r.at, r.words, r.follows)
+        at = lm._at(r.sizes)
+        context, word = np.repeat(codes.unpack(r.contexts), np.diff(at)), codes.unpack(r.words)[lm._follows(r.follows, at)]
         for c, w, n in zip(context.tolist(), word.tolist(), lm._unpack(r.customers, np.int64).tolist(), strict=True):
             assert (c, w) not in out
             out[c, w] = n
     return out
 
 
-@pytest.mark.parametrize("sizes", [(1 << 20, 1 << 18, 128), (200, 20, 5)])
-def test_language_model_has_a_restaurant_for_each_word_before(spark, monkeypatch, sizes):
-    for name, value in zip(("BUCKET_PAIRS", "HOT", "MANY"), sizes, strict=True):
-        monkeypatch.setattr(lm, name, value)
+@pytest.mark.parametrize(("buckets", "hot_tokens"), [(1, 1 << 20), (7, 200)])
+def test_language_model_has_a_restaurant_for_each_word_before(spark, monkeypatch, buckets, hot_tokens):
     monkeypatch.setattr(lm, "CHUNK_BYTES", 4000)
+    monkeypatch.setattr(lm, "BUCKET_BYTES", 1 << 20 if buckets == 1 else 12_000)
+    monkeypatch.setattr(lm, "HOT_TOKENS", hot_tokens)
     # b follows each a of its own number only: classes of a mix the numbers
     rng = random.Random(3)
-    rows = [(i, " ".join(f"a{k} b{k}" for k in (rng.randrange(400) for _ in range(40)))) for i in range(300)]
-    chunked = lm.chunks(frame(spark, rows), F.lit(False)).cache()
-    buckets = chunked.agg(F.sum("n_pairs")).first()[0] // lm.BUCKET_PAIRS + 1
-    hot = lm._hot(chunked)
-    assert (buckets > 1) == bool(hot) == (sizes[0] == 200)
+    rows = [(i, " ".join(f"a{k} b{k} a b" for k in (rng.randrange(400) for _ in range(20)))) for i in range(300)]
     want = Counter()
     for _, t in rows:
         w = [None, *t.split(), None]
         want.update(zip(w, w[1:], strict=False))
-    got = _restaurants(lm.gathered(lm.counted(chunked, buckets, hot).drop("chunk"), hot).collect())
+    docs = frame(spark, rows)
+    table, share = lm._frequent(docs, 300)
+    codes = lm.Codes(table[::2])  # a table that knows half of the words
+    hot = {int(w): 3 for w, p in zip(table, share, strict=True) if p > 0.05} if buckets > 1 else {}
+    assert abs(share.sum() - 1) < 1e-9 and (buckets == 1 or 0 < len(hot) < 10)
+    got = _restaurants(lm.gathered(lm.dealt(docs, F.lit(False), buckets, hot, codes, False), hot, codes).collect(), codes)
     assert sorted(got.values()) == sorted(want.values()) and len({c for c, _ in got}) == len({c for c, _ in want})
-    scored = [r for r in lm.perplexity(frame(spark, rows)).collect() if r.held_out]
-    # half of the words are certain, the others one of 400: 1.3 a token at best; 64 classes of the word before gave 2.07
-    assert len(scored) > 10 and -sum(r.score for r in scored) / sum(r.n_tokens for r in scored) < 1.5
+    scored = [r for r in lm.perplexity(docs).collect() if r.held_out]
+    # three of four words are all but certain, the fourth is one of 400: 0.65 a token at best
+    assert len(scored) > 10 and -sum(r.score for r in scored) / sum(r.n_tokens for r in scored) < 0.8
+
+
+def test_tables_are_drawn_from_their_conditional():
+    """Against all ways to seat the customers of one dish, each weighed by the process itself."""
+    n, discount, strength, share, others = 5, 0.8, 1.0, 0.03, 7
+
+    def partitions_of(k):
+        if k == 0:
+            yield []
+            return
+        for p in partitions_of(k - 1):
+            for i in range(len(p)):
+                yield [x + (j == i) for j, x in enumerate(p)]
+            yield [*p, 1]
+
+    weight = Counter()
+    for p in partitions_of(n):
+        w = 1.0
+        for i, size in enumerate(p):
+            w *= (strength + discount * (others + i)) * share
+            for k in range(1, size):
+                w *= k - discount
+        weight[len(p)] += w
+    total = sum(weight.values())
+    drawn = Counter(lm._seat(np.random.default_rng(1), np.full(200_000, n), np.full(200_000, share), discount, strength, np.full(200_000, others)).tolist())
+    assert all(abs(drawn[t] / 200_000 - weight[t] / total) < 0.005 for t in weight)
+    # larger blocks go forward: not far from the exact draw at its limit
+    args = np.full(4000, share), discount, strength, np.full(4000, others)
+    exact, forward = (lm._seat(np.random.default_rng(2), np.full(4000, k), *args).mean() for k in (lm.EXACT, lm.EXACT + 1))
+    assert 0.6 < exact / forward < 1.6
+
+
+def test_predictive_probabilities_sum_to_one():
+    """Over the words of training and the one event of any other word, after each context, seen or not."""
+    rng = np.random.default_rng(4)
+    words_, codes = np.unique(rng.integers(1, 2**63, 40, dtype=np.uint64)), lm.Codes(np.zeros(0, np.uint64))
+    contexts = words_[:5]
+    customers = rng.integers(0, 9, (5, 40)) * (rng.random((5, 40)) < 0.5)
+    customers[:, 39] = 0  # in no training text
+    c, w = np.nonzero(customers)
+    n = customers[c, w].astype(np.int64)
+    at = np.searchsorted(c, np.arange(6))
+    r = {"contexts": codes.pack(contexts), "sizes": lm._pack(np.diff(at).astype(np.uint32)), "words": codes.pack(words_), "follows": lm._steps(w, at), "customers": lm._pack(n), "number": lm._pack(np.full(5, -1)), "first": None}
+    totals = []
+    for i in range(2):
+        t = np.minimum(n, rng.integers(1, 4, len(n)))
+        c0 = np.bincount(w, t, 40).astype(np.int64)
+        top = np.minimum(c0, 2)
+        totals.append({"hot_tables": np.zeros(0), "customers0": c0.sum(), "tables0": top.sum(), "types": (c0 > 0).sum()})
+        r |= {f"t{i}": lm._pack(t), f"b{i}": [{"c0": lm._pack(c0), "top": lm._pack(top)}]}
+    model = lm.Restaurants(r, codes, totals, np.zeros(0))
+    seen = np.flatnonzero(np.bincount(w, minlength=40) > 0)
+    asked = [*contexts, np.uint64(2**63 + 5)]
+    for x in asked:
+        p = model.price(np.array([x], np.uint64), np.array([len(seen) + 1]), np.append(seen, 39))
+        assert (p > 0).all() and abs(p.sum() - 1) < 1e-9
