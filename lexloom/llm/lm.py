@@ -9,8 +9,8 @@ by word.
 
 A Gibbs sweep is a pass over buckets. All customers of a word in a restaurant are one block: the number of
 its tables is drawn from its conditional given the other words' tables, which generalised Stirling numbers
-give exactly for up to EXACT customers; larger blocks are seated forward, in runs. Blocks are drawn side by
-side given the totals of the last sweep. The new tables of each word go to its part, the parent is seated,
+give exactly for up to EXACT customers; of larger blocks it is the limit of that, or, where most customers open a
+table, they are seated forward. Blocks are drawn side by side given the totals of the last sweep. The new tables of each word go to its part, the parent is seated,
 and its counts go back to the buckets. Sweeps after BURN_IN each give a sample; predictive probabilities are
 averaged over them.
 
@@ -46,7 +46,7 @@ BURN_IN, SAMPLES, SEED = 2, 3, 7
 DISCOUNT, STRENGTH = (0.8, 0.75), (1.0, 1.0)  # of the context restaurants, of their parent
 UNKNOWN = 0.5
 #: Customers up to which a block is drawn from its exact conditional.
-EXACT = 100
+EXACT = 128
 #: Bytes of text in a chunk, at about which a chunk ends, and for which there is a bucket.
 CHUNK_BYTES, BUCKET_BYTES = 12 << 20, 16 << 20
 #: Estimated customers from which a context is dealt over buckets, one for each as many.
@@ -238,7 +238,8 @@ _STIRLING = {d: _stirling(d) for d in set(DISCOUNT)}
 def _seat(rng: np.random.Generator, customers: np.ndarray, share: np.ndarray, discount: float, strength: float, others: np.ndarray) -> np.ndarray:
     """Tables of each dish, drawn given its customers, the parent's share of it, and the tables of the other dishes.
 
-    t tables of n customers weigh S(n, t) * share ** t * product of (strength + discount * (others + i)), i < t.
+    t tables of n customers weigh S(n, t) * share ** t * product of (strength + discount * (others + i)), i < t. As n
+    grows S(n, t) goes as 1 / (gamma(t) * discount ** t), so that t - 1 has a Poisson distribution.
     """
     tables = np.minimum(customers, 1).astype(np.int64)
     some = np.flatnonzero((customers > 1) & (customers <= EXACT))
@@ -250,8 +251,12 @@ def _seat(rng: np.random.Generator, customers: np.ndarray, share: np.ndarray, di
             weight = _STIRLING[discount][n, 1 : n + 1] + np.cumsum(new + np.log(share[part])[:, None], 1)
             weight = np.cumsum(np.exp(weight - weight.max(1, keepdims=True)), 1)
             tables[part] = 1 + (weight < rng.random(len(part))[:, None] * weight[:, -1:]).sum(1)
-    seated, open_ = tables.copy(), np.flatnonzero(customers > EXACT)
-    while len(open_):  # forward, a run of customers at once
+    large = np.flatnonzero(customers > EXACT)
+    rate = (strength + discount * others[large]) * share[large] / discount
+    few = rate <= customers[large] / 2
+    tables[large[few]] += np.minimum(rng.poisson(rate[few]), customers[large[few]] - 1)
+    seated, open_ = tables.copy(), large[~few]
+    while len(open_):  # most customers open a table: forward, a run of customers at once
         run = np.maximum(1, np.minimum(customers[open_] - seated[open_], seated[open_] // 8))
         new = (strength + discount * (others[open_] + tables[open_])) * share[open_]
         chance = np.clip(new / (new + np.maximum(seated[open_] - discount * tables[open_], 1e-9)), 0, 1)
