@@ -2,9 +2,11 @@
 
 The page is parsed into a tree by a tolerant parser; every node gets its characters per tag, adjusted by
 the share of linked characters, and the sum of its children's densities. The node of the largest sum
-gives the main subtree. The least density on its path to body is the threshold: other branches of at
-least that density give their own node of the largest sum. A page with article or main elements takes
-the outermost one around the main subtree instead, since the sum alone can stop at one section.
+gives the main subtree, and the least density on its path to body is the threshold. Since the sum can stop
+at one part of a text, the subtree grows to the node above as long as all that this adds are headings, text
+of its own and parts that reach the threshold; an article or main element around it is such a node as it is.
+Other branches of at least the threshold give their own node of the largest sum, grown likewise; on a page
+whose main subtree stands in an article or main element only other such elements do.
 
 Elements that are never article text (menus, headers outside the article, footers, side bars, forms,
 scripts, styles, adverts, notices, comments) are cut from the tree before densities are taken, by their
@@ -48,7 +50,7 @@ WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
 class Node:
-    __slots__ = ("attributes", "children", "chars", "density", "linked", "links", "noise", "parent", "parts", "plain", "tag", "tags", "total")
+    __slots__ = ("attributes", "best", "children", "chars", "density", "linked", "links", "noise", "parent", "parts", "plain", "tag", "tags", "total", "under")
 
     def __init__(self, tag: str, parent: Node | None, attributes: str = "", noise: str = ""):
         self.tag, self.parent, self.attributes, self.noise = tag, parent, attributes, noise
@@ -204,13 +206,29 @@ def _flat(node: Node, out: list[str]) -> None:
             stack += reversed(x.parts)
 
 
-def _best(node: Node) -> Node:
-    """The node of the largest sum in a subtree, itself if no descendant has children with text."""
-    best, order = node, [node]
-    for x in order:
-        order.extend(x.children)
-        if x.total > best.total:
-            best = x
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup header p br hr".split())
+MARKED = ("article", "main")
+
+
+def _fits(node: Node, threshold: float) -> bool:
+    return not node.chars or 2 * node.linked <= node.chars and (node.tag in HEADINGS or node.tag not in BLOCK or node.density >= threshold)
+
+
+def _grown(node: Node, threshold: float, known: dict[int, int], done: set[int]) -> Node:
+    """The node with the headings and dense parts beside it, or the outermost article or last main around it.
+
+    known: of a node above, how many of its children don't fit, counted once; done: nodes that are chosen already.
+    """
+    best, growing = node, True
+    while node.parent is not None and node.parent.parent is not None and (growing or node.under) and id(best) not in done:
+        node, below = node.parent, node
+        if growing and node.tag not in MARKED:
+            if id(node) not in known:
+                known[id(node)] = sum(not _fits(x, threshold) for x in node.children)
+            growing = known[id(node)] == (not _fits(below, threshold))
+        if (growing or node.tag in MARKED) and best.tag != "main":
+            best = node
+            growing = growing and node.tag not in MARKED
     return best
 
 
@@ -221,32 +239,35 @@ def main_text(page: str | None) -> str:
     order = measure(root)
     if not root.chars:
         return ""
-    main = max(order, key=lambda x: x.total) if root.total > 0 or any(x.total for x in order) else root
-    path = [main]
-    while path[-1].parent is not None:
-        path.append(path[-1].parent)
-    whole = [x for x in path if x.tag in ("article", "main")]
-    threshold = min(x.density for x in path)
-    if whole:
-        chosen = [x for x in whole if x.tag == "main"][-1:] or whole[-1:]
-    else:
-        marked, stack = {id(main)}, [(root, False)]
-        chosen = []
-        while stack:
-            node, under = stack.pop()
-            if under:
-                continue
-            if id(node) in marked:
-                chosen.append(node)
-                continue
-            if node.density >= threshold:
-                marked.add(id(_best(node)))
-                if id(node) in marked:
-                    chosen.append(node)
-                    continue
-            stack += [(c, False) for c in reversed(node.children)]
-        if root.parts and not root.children:
-            chosen = [root]
+    main = max(order, key=lambda x: x.total)
+    above, threshold = main, main.density
+    while above.parent is not None:
+        above = above.parent
+        threshold = min(threshold, above.density)
+    for node in order:
+        node.under = node.parent is not None and (node.parent.under or node.parent.tag in MARKED)
+    for node in reversed(order):  # the node of the largest sum in each subtree
+        node.best = node
+        for x in node.children:
+            if x.best.total > node.best.total:
+                node.best = x.best
+    known: dict[int, int] = {}
+    marked: set[int] = set()
+    first = _grown(main, threshold, known, marked)
+    marked.add(id(first))
+    for node in order:
+        if first.tag in MARKED:
+            if node.tag == "article" and first.tag == "article" and node.density >= threshold:
+                marked.add(id(node))
+        elif node.density >= threshold and node is not root:
+            marked.add(id(_grown(node.best, threshold, known, marked)))
+    chosen, stack = [], [root]
+    while stack:  # outermost first, in page order
+        node = stack.pop()
+        if id(node) in marked:
+            chosen.append(node)
+        else:
+            stack += reversed(node.children)
     out: list[str] = []
     for node in chosen:
         out.append(" ")

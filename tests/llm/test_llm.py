@@ -418,6 +418,38 @@ def test_noise_keeps_main_text(page):
     assert html_text.main_text(page) == CLEAN
 
 
+TEXT = "artikli tekst on siin ja jätkub. " * 20
+
+
+@pytest.mark.parametrize(("page", "want"), [
+    (f'<div class="layout has-sidebar"><p>{TEXT}</p></div>', TEXT),
+    (f'<article class="post comments-open"><h1>Pea</h1><p>{TEXT}</p></article>', "Pea " + TEXT),
+    (f'<div class="search-results"><p>{TEXT}</p></div>', TEXT),
+    ("<nav><a href=x>menüü</a></nav>" + f"<article><h2>Pea</h2><p>{TEXT}</p></article>" * 3 + "<footer>jalus</footer>", ("Pea " + TEXT) * 3),
+    (f"<div><div><h1>Pea</h1><p><b>{TEXT}<br></div></div><div><ul><li><a href=x>veel</a><li><a href=y>lugeda</a></ul></div>", "Pea " + TEXT),
+    (f"<article><article><p>{TEXT}</p></article><p>{TEXT}</p></article>", TEXT * 2),
+    ("<b>" * 3000 + TEXT, TEXT),
+    ("x y " * 100_000, "x y " * 100_000),
+    ("<div><p>" + "</p><p>".join([TEXT] * 3000) + "</p></div>", TEXT * 3000),
+])
+def test_density_chooses(page, want):
+    """Class words of containers, several and nested articles, headings beside the densest part, deep, wide and plain pages."""
+    assert html_text.main_text(page) == " ".join(want.split())
+
+
+def test_density_by_the_formula():
+    """Densities and sums of a small tree, restated from the formula."""
+    root = html_text.parse("<div><p>aaaa bbbb</p><p>cc <a href=x>dd</a></p></div><ul><li><a href=y>ee</a></ul>")
+    order = {n.tag + str(n.chars): n for n in html_text.measure(root)}
+    chars, links = {"div": (13, 2, 3, 1), "ul": (2, 2, 2, 1), "body": (15, 4, 7, 2)}, 0
+    for tag, (c, linked, tags, links) in chars.items():
+        n = order[f"{tag}{c}"]
+        assert (n.chars, n.linked, n.tags, n.links) == (c, linked, tags, links)
+        base = math.log(c * linked / max(c - linked, 1) + 4 / 15 * c + math.e)
+        assert n.density == pytest.approx(c / tags * math.log(max(c / max(linked, 1) * tags / links, 1) + 1e-9, base))
+        assert n.total == pytest.approx(sum(x.density for x in n.children))
+
+
 def test_extract(spark):
     rows = [(1, "u", "<p>a&nbsp;b &lt;c&gt;</p>"), (2, None, None), (3, "v", ""), (4, "w", "<<<"), (5, "x", "puhas tekst"), (6, "y", "<div>" * 3000 + "sügav" + "</div>" * 3000), (7, "z", "<nav>vaid menüü</nav>"), (7, "z", "<p>t <script>x</p>")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit(1))
