@@ -1,7 +1,7 @@
 """Toxicity by compression distance: two zstandard dictionaries, windows, calibrated thresholds.
 
-Training takes a bounded sample of labelled documents (SAMPLE_DOCS of each class, by the hash of their
-id), which trains two dictionaries: one on ordinary text, one on the words of toxic text that mark
+Training takes a bounded sample of labelled documents (SAMPLE_DOCS and SAMPLE_BYTES of each class at most, by
+the hash of their id; of rows that repeat an id the smallest text), which trains two dictionaries: one on ordinary text, one on the words of toxic text that mark
 it, each word with its neighbours counted once, so that copies of a document don't make its words look
 marked. The toxic compressor also holds the ordinary dictionary: text that both know costs both the
 same, and a window's difference in compressed length is what the toxic words save. For calibration each
@@ -26,7 +26,8 @@ from pyspark.sql import functions as F
 
 from lexloom.llm.common import kept_rows, slices, span_hashes, text_bytes, word_spans
 
-SAMPLE_DOCS, FOLDS = 2000, 4
+#: Documents, and bytes of their texts, of each class that train; the first document is taken whatever its size.
+SAMPLE_DOCS, SAMPLE_BYTES, FOLDS = 2000, 32 << 20, 4
 WINDOW, LEVEL, STEPS = 12, 9, (1, 2, 3, 4, 5, 6, 8)
 PREFIXES = (4, 5, 6, 8)
 #: Most windows of seven words that train the ordinary dictionary.
@@ -181,8 +182,16 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, seed: int = 1) ->
         part = picked.filter(F.col("toxic") == y).orderBy(order, "doc_id").limit(SAMPLE_DOCS)
         sample = part if sample is None else sample.unionAll(part)
     share = {r["toxic"]: r["n"] for r in picked.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    # at most 2 * SAMPLE_DOCS ids and their texts
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(sample), "doc_id").toArrow().sort_by("doc_id")
+    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text"))
+    found = texts.join(F.broadcast(sample), "doc_id")  # at most 2 * SAMPLE_DOCS ids
+    size = found.groupBy("doc_id", "toxic").agg(F.coalesce(F.octet_length(F.min("text")), F.lit(0)).alias("size")).orderBy(order, "doc_id").collect()
+    total, taken = {0: 0, 1: 0}, []
+    for r in size:
+        if not total[r.toxic] or total[r.toxic] + r["size"] <= SAMPLE_BYTES:
+            total[r.toxic] += r["size"]
+            taken.append((r.doc_id, r.toxic))
+    taken = docs.sparkSession.createDataFrame(taken, "doc_id long, toxic int")
+    rows = texts.join(F.broadcast(taken), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).toArrow().sort_by([("doc_id", "ascending"), ("toxic", "ascending")])
     y = rows.column("toxic").to_numpy().astype(bool)
     text = rows.column("text").combine_chunks() if rows.num_rows else pa.array([], pa.string())
     data, at = text_bytes(text)
