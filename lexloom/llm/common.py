@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 U = np.uint64
@@ -140,18 +140,20 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
     written to shared storage like every round, so both sides of a join are plain scans, of which Spark's
     skew join splits the links of a hub over tasks.
     """
-    edges = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct()
-    edges = stored(edges, "links")
-    mark = lambda: edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
-    now = mark()
+
+    def kept(edges: DataFrame) -> tuple[DataFrame, tuple[int, int | None]]:
+        seen = Observation()
+        table = stored(edges.distinct().observe(seen, F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")), "links")
+        return table, (seen.get["n"], seen.get["x"])
+
+    edges, now = kept(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v"))
     while now[0]:
         both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = stored(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
-        large = stored(both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v"), "large")
+        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
         least = stored(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
-        edges = stored(small.select("e.u", "e.v").filter("u <> v").distinct(), "links")
-        seen, now = now, mark()
+        seen, (edges, now) = now, kept(small.select("e.u", "e.v").filter("u <> v"))
         if now == seen:
             break
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionAll(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

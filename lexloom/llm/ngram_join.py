@@ -18,9 +18,9 @@ very threshold, and far less above it.
 Signatures of the first EARLY parts are looked at first: they link most of a group of near copies, and of
 all signatures only buckets are then taken in which several components meet. So a group costs its size.
 
-Sets are equal, for all purposes, when their 64-bit hashes are; one node stands for all copies. Within
-a bucket nodes are first compared to the smallest one, then only those of different components with
-each other, in blocks, behind an exact lower bound of their difference. Pairs are never listed for a
+Sets are equal, for all purposes, when their 64-bit hashes are; one node stands for all copies. In the
+buckets of the first parts nodes are compared to the smallest one, and in all buckets then only those of
+different components with each other, in blocks, behind an exact lower bound of their difference. Pairs are never listed for a
 whole bucket, and a group of copies costs its size.
 
 Links are exact over 64-bit shingle hashes: 100 * intersection >= 75 * union.
@@ -263,7 +263,7 @@ def _shared(one: DataFrame, labels: DataFrame | None, signature: str) -> DataFra
     bucket = rows.groupBy("sig").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"), F.min("node").alias("hub"), F.max("node").alias("last"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high")
     # equal buckets, most of a group's, are taken once
     bucket = bucket.groupBy("n", "x", "hub", "last").agg(F.min("sig").alias("sig")).select("sig", "hub")
-    return rows.select("sig", "node", "root").join(bucket.hint("shuffle_hash"), "sig").distinct()
+    return rows.select("sig", "node").join(bucket.hint("shuffle_hash"), "sig").distinct()
 
 
 def join(docs: DataFrame, first_level: int | None = FIRST_LEVEL) -> DataFrame:
@@ -272,22 +272,15 @@ def join(docs: DataFrame, first_level: int | None = FIRST_LEVEL) -> DataFrame:
     known = all_sets.filter("node is not null and doc_id is not null")
     nodes = stored(known.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("profile").alias("profile")), "nodes")
     one = known.groupBy("node").agg(F.first("early").alias("early"), F.first("later").alias("later"))
-    links = tested = label = None
-    for signature in ("early", "concat(early, later)"):
-        shared = stored(_shared(one, label, signature), "shared")
-        star = shared.join(shared.filter("node = hub").select("hub", F.col("root").alias("hub_root")).distinct(), "hub").filter("root <> hub_root")
-        star = star.select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-        star = stored(star if tested is None else star.join(tested, ["a", "b"], "left_anti"), "star")
-        found = _verified(star, nodes, docs)
-        links = stored(found if links is None else links.unionAll(found), "links")
-        tested = star if tested is None else tested.unionAll(star)
-        label = components(links, "a", "b")
+    star = _shared(one, None, "early").filter("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
+    tested = stored(star, "star")
+    label = components(_verified(tested, nodes, docs), "a", "b")
+    shared = stored(_shared(one, label, "concat(early, later)").select("sig", "node"), "shared")
     for nearest in (True, False):  # the nearest ones first: most of the other pairs then lie in one component
-        rest = stored(_rest(shared.select("sig", "node"), label, nodes, tested, nearest), "rest")
+        rest = stored(_rest(shared, label, nodes, tested, nearest), "rest")
         if not rest.isEmpty():
-            links = stored(links.unionAll(_verified(rest, nodes, docs)), "links")
             tested = tested.unionAll(rest)
-            label = components(links, "a", "b")
+            label = components(_verified(rest, nodes, docs).unionAll(label.select(F.col("node").alias("a"), F.col("root").alias("b"))), "a", "b")
     member = nodes.select("node", "doc_id").join(label, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = member.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     component = member.join(least, "root").select("node", "component_id")
