@@ -1,4 +1,4 @@
-"""Text similarities. Edit distance is Spark's; the others are Arrow-batched pandas functions.
+"""Text similarities. Edit distance of words is Spark's; the others are Arrow-batched pandas functions.
 
 ratio: round(100 * 2 * LCS / (|a| + |b|)), 100 for two empty texts.
 token_set_ratio: words as sets; the best ratio among (common, common + rest of a), (common, common + rest
@@ -20,11 +20,14 @@ from pyspark.sql import types as T
 from lexloom.functions.text import normalize_string
 
 
-def cer(model: Column, truth: Column, denominator: str = "model") -> Column:
-    """Character error rate of normalised texts: 0 if both are empty, 1 if one is, else distance over length."""
+def cer(model: Column, truth: Column, denominator: str = "model", distance=F.levenshtein) -> Column:
+    """Character error rate of normalised texts: 0 if both are empty, 1 if one is, else distance over length.
+
+    distance: Spark's own for words, the one below for whole lines.
+    """
     a, b = normalize_string(model), normalize_string(truth)
     by = F.length(a if denominator == "model" else b)
-    return F.when((a == "") & (b == ""), 0.0).when((a == "") | (b == ""), 1.0).otherwise(F.levenshtein(a, b) / by)
+    return F.when((a == "") & (b == ""), 0.0).when((a == "") | (b == ""), 1.0).otherwise(distance(a, b) / by)
 
 
 def lcs(a: str, b: str) -> int:
@@ -40,6 +43,34 @@ def lcs(a: str, b: str) -> int:
     return len(a) - row.bit_count()
 
 
+def plain_distance(a: str, b: str) -> int:
+    """Edit distance, with columns of bits in one integer: a step for each character of the shorter text."""
+    text, pattern = sorted((a, b), key=len)
+    if not text:
+        return len(pattern)
+    at: dict[str, int] = {}
+    for i, c in enumerate(pattern):
+        at[c] = at.get(c, 0) | 1 << i
+    full, high, out = (1 << len(pattern)) - 1, 1 << len(pattern) - 1, len(pattern)
+    up, down = full, 0  # where the column grows, and falls, from one row to the next
+    for c in text:
+        hit = at.get(c, 0) | down
+        same = ((hit & up) + up ^ up | hit) & full
+        right, left = down | full & ~(same | up), same & up
+        out += bool(right & high) - bool(left & high)
+        right, left = right << 1 & full | 1, left << 1 & full
+        up, down = left | full & ~(same | right), same & right
+    return out
+
+
+def plain_edit_ratio(a: str, b: str, least: float = 0) -> float:
+    """100 * (1 - distance / longer length), a similarity that SQL can say; 0 where the lengths alone keep it under `least`."""
+    short, long = sorted((len(a), len(b)))
+    if not long:
+        return 100.0
+    return 0.0 if 100 * short < least * long else 100.0 * (1 - plain_distance(a, b) / long)
+
+
 def plain_ratio(a: str, b: str) -> int:
     return round(200 * lcs(a, b) / (len(a) + len(b))) if a or b else 100
 
@@ -83,6 +114,7 @@ def _paired(f, kind):
     return F.pandas_udf(run, kind)
 
 
+distance = _paired(plain_distance, T.LongType())
 ratio = _paired(plain_ratio, T.LongType())
 token_set_ratio = _paired(plain_token_set_ratio, T.LongType())
 partial_ratio = _paired(plain_partial_ratio, T.LongType())

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -12,60 +15,94 @@ from lexloom.functions import text as T
 
 # Rows on both sides of the window, and thresholds of headword, second key and fallback.
 WINDOW, HEAD, SECOND, FALLBACK = 10, 30, 30, 85
+#: Rows of a page in a bucket of the band join.
+BUCKET = 32
 
 
 def band_candidates(truth: DataFrame, model: DataFrame, page: str = "page", seq: str = "seq", window: int = WINDOW) -> DataFrame:
-    """Pairs of one page at most `window` rows apart: page, gt_seq, llm_seq, dist and both rows as structs.
+    """Pairs of one page at most `window` rows apart: page, bucket, gt_seq, llm_seq, dist and both rows as structs.
 
-    An equi-join on page and a bucket of rows, each model row standing in its own bucket and both
-    neighbours: work grows with rows times the window, not with pages squared.
+    An equi-join on page and a bucket of BUCKET rows, each model row standing in the one or two buckets that
+    its window touches: work grows with rows times the window, not with pages squared. All pairs of a
+    ground-truth row have one bucket.
     """
-    width = window + 1
+    width = max(BUCKET, 2 * window)
     g = truth.select(F.col(page).alias("page"), F.col(seq).alias("gt_seq"), F.struct(*[c for c in truth.columns if c not in (page, seq)]).alias("gt"), F.floor(F.col(seq) / width).alias("bucket"))
-    m = model.select(F.col(page).alias("page"), F.col(seq).alias("llm_seq"), F.struct(*[c for c in model.columns if c not in (page, seq)]).alias("llm"), F.explode(F.array(*[F.floor(F.col(seq) / width) + i for i in (-1, 0, 1)])).alias("bucket"))
-    pairs = g.join(m, ["page", "bucket"]).drop("bucket").withColumn("dist", F.abs(F.col("gt_seq") - F.col("llm_seq")))
-    return pairs.filter(F.col("dist") <= window)
+    m = model.select(F.col(page).alias("page"), F.col(seq).alias("llm_seq"), F.struct(*[c for c in model.columns if c not in (page, seq)]).alias("llm"), F.explode(F.array_distinct(F.array(*[F.floor((F.col(seq) + i) / width) for i in (-window, window)]))).alias("bucket"))
+    return g.join(m, ["page", "bucket"]).withColumn("dist", F.abs(F.col("gt_seq") - F.col("llm_seq"))).filter(F.col("dist") <= window)
+
 
+def score_pair(k: str, mk: str, s: str, ms: str, my: str, dist: int, head, second, part) -> tuple[float, str] | None:
+    """Score and kind of a candidate by its normalised keys, second keys and synonyms, or None without match.
+
+    The second keys, the long ones, are only compared where the headwords allow a match.
+    """
+    both = bool(s and ms)
+    if mk == k or (h := head(k, mk)) >= HEAD:
+        value = second(s, ms) if both else 0
+        if value >= SECOND if both else not s and not ms:
+            return (300.0 - dist, "primary_exact") if mk == k else (h + (value or h) - dist * 0.1, "primary_fuzzy")
+    elif both and (f := max(part(k, mk), part(k, my) if my else 0)) >= FALLBACK and (value := second(s, ms)) >= SECOND:
+        return 100.0 + value + f - dist * 0.2, "fallback"
+    return None
 
-def edit_ratio(a: Column, b: Column) -> Column:
-    """100 * (1 - distance / longer length): a similarity that SQL can say."""
-    return F.when((a == "") & (b == ""), 100.0).otherwise(100.0 * (1 - F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b))))
 
+KEYS = ["gt_key", "llm_key", "gt_second", "llm_second", "llm_synonyms"]
 
-def match_score(pairs: DataFrame, head_ratio=M.ratio, second_ratio=M.token_set_ratio, part_ratio=M.partial_ratio) -> DataFrame:
-    """Adds score and kind (primary_exact, primary_fuzzy, fallback) to candidates; pairs without match go.
 
-    Candidates have gt_key, llm_key, gt_second, llm_second, llm_synonyms (normalised), dist. Scores that
-    need a pandas function are columns first, since a condition around one would not save its work.
+def match_score(pairs: DataFrame, head_ratio=M.plain_ratio, second_ratio=M.plain_token_set_ratio, part_ratio=M.plain_partial_ratio) -> DataFrame:
+    """score and kind (primary_exact, primary_fuzzy, fallback) instead of the keys; pairs without match go.
+
+    Candidates have gt_key, llm_key, gt_second, llm_second, llm_synonyms (normalised), dist.
     """
-    c = F.col
-    p = pairs.withColumns({"h": head_ratio(c("gt_key"), c("llm_key")), "s": second_ratio(c("gt_second"), c("llm_second"))})
-    p = p.withColumn("f", F.greatest(part_ratio(c("gt_key"), c("llm_key")), F.when(c("llm_synonyms") != "", part_ratio(c("gt_key"), c("llm_synonyms"))).otherwise(0)))
-    both, none = (c("gt_second") != "") & (c("llm_second") != ""), (c("gt_second") == "") & (c("llm_second") == "")
-    passes = none | (both & (c("s") >= SECOND))
-    exact = (c("gt_key") == c("llm_key")) & passes
-    fuzzy = (c("h") >= HEAD) & passes
-    back = both & (c("s") >= SECOND) & (c("f") >= FALLBACK)
-    p = p.withColumn("kind", F.when(exact, "primary_exact").when(fuzzy, "primary_fuzzy").when(back, "fallback"))
-    second = F.when(both & (c("s") > 0), c("s")).otherwise(c("h"))
-    score = F.when(exact, 300.0 - c("dist")).when(fuzzy, c("h") + second - c("dist") * 0.1).when(back, 100.0 + c("s") + c("f") - c("dist") * 0.2)
-    return p.withColumn("score", score.cast("double")).filter(c("kind").isNotNull() & (c("gt_key") != "")).drop("h", "s", "f")
+    stay = [c for c in pairs.columns if c not in KEYS]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        heads: dict[tuple[str, str], float] = {}
+
+        def known_head(a: str, b: str) -> float:
+            if (a, b) not in heads:
+                if len(heads) >= 100_000:
+                    heads.clear()
+                heads[a, b] = head_ratio(a, b)
+            return heads[a, b]
+
+        for batch in batches:
+            got = [score_pair(*row, known_head, second_ratio, part_ratio) if row[0] else None for row in zip(*(batch.column(c).to_pylist() for c in [*KEYS, "dist"]), strict=True)]
+            at = [i for i, x in enumerate(got) if x]
+            rest = batch.select(stay).take(pa.array(at, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*rest.columns, pa.array([float(got[i][0]) for i in at], pa.float64()), pa.array([got[i][1] for i in at], pa.string())], names=[*stay, "score", "kind"])
+
+    kinds = dict(pairs.dtypes)
+    return pairs.select(*stay, *KEYS).mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in stay), "score double", "kind string"]))
 
 
 def best_match(scored: DataFrame) -> DataFrame:
-    """The best candidate of each ground-truth row: score, then distance, then primary before fallback, then the first."""
-    order = [F.desc("score"), F.asc("dist"), F.col("kind") == "fallback", F.asc("llm_seq")]
-    return scored.withColumn("_n", F.row_number().over(Window.partitionBy("page", "gt_seq").orderBy(*order))).filter("_n = 1").drop("_n")
+    """page, gt_seq, llm_seq, dist, kind, score of the best candidate of each ground-truth row: score, then distance, then primary before fallback, then the first.
+
+    A minimum, so neither sorted nor, with all candidates of a row in one bucket, shuffled.
+    """
+    order = F.struct((-F.col("score")).alias("worse"), "dist", (F.col("kind") == "fallback").alias("back"), "llm_seq", "kind", "score")
+    best = scored.groupBy(*[c for c in ("page", "bucket") if c in scored.columns], "gt_seq").agg(F.min(order).alias("b"))
+    return best.select("page", "gt_seq", "b.llm_seq", "b.dist", "b.kind", "b.score")
+
+
+def keyed(rows: DataFrame, key: str, second: str, synonyms: str | None = None) -> DataFrame:
+    """page, seq and the normalised key, second and synonyms: what candidates are scored by."""
+    norm = lambda c: T.normalize_string(T.null_to_empty(F.col(c)))
+    return rows.select("page", "seq", norm(key).alias("key"), norm(second).alias("second"), (norm(synonyms) if synonyms else F.lit("")).alias("synonyms"))
 
 
-def _keys(pairs: DataFrame, key: str, second: str, synonyms: str | None) -> DataFrame:
-    norm = lambda side, c: T.normalize_string(T.null_to_empty(F.col(f"{side}.{c}")))
-    return pairs.withColumns({"gt_key": norm("gt", key), "llm_key": norm("llm", key), "gt_second": norm("gt", second), "llm_second": norm("llm", second), "llm_synonyms": norm("llm", synonyms) if synonyms else F.lit("")})
+def keyed_candidates(truth: DataFrame, model: DataFrame, key: str, second: str, synonyms: str | None = None, window: int = WINDOW) -> DataFrame:
+    """band_candidates of rows that were normalised before they met."""
+    pairs = band_candidates(keyed(truth, key, second), keyed(model, key, second, synonyms), window=window)
+    names = {"gt_key": "gt.key", "llm_key": "llm.key", "gt_second": "gt.second", "llm_second": "llm.second", "llm_synonyms": "llm.synonyms"}
+    return pairs.select("page", "bucket", "gt_seq", "llm_seq", "dist", *[F.col(v).alias(k) for k, v in names.items()])
 
 
 def align_static(truth: DataFrame, model: DataFrame, key: str, second: str, synonyms: str | None = None, window: int = WINDOW, **ratios) -> DataFrame:
     """Best match of each ground-truth row within a window around its own place: no state, any page size."""
-    return best_match(match_score(_keys(band_candidates(truth, model, window=window), key, second, synonyms), **ratios))
+    return best_match(match_score(keyed_candidates(truth, model, key, second, synonyms, window), **ratios))
 
 
 def align_sequential(truth: DataFrame, model: DataFrame, key: str, second: str, synonyms: str | None = None, window: int = WINDOW) -> DataFrame:
@@ -85,18 +122,8 @@ def align_sequential(truth: DataFrame, model: DataFrame, key: str, second: str,
             near = max(i, last + 1)
             for j in range(max(0, min(i, last + 1) - window), min(len(rows), near + window + 1)) if k else ():
                 _, mk, ms, my = rows[j]
-                dist, both = abs(j - i), bool(s and ms)
-                german = M.plain_token_set_ratio(s, ms) if both else 0
-                passes = german >= SECOND if both else bool(s) == bool(ms)
-                found = None
-                if mk == k and passes:
-                    found = (300.0 - dist, "primary_exact")
-                elif passes and (head := M.plain_ratio(k, mk)) >= HEAD:
-                    found = (head + (german or head) - dist * 0.1, "primary_fuzzy")
-                elif both and german >= SECOND:
-                    part = max(M.plain_partial_ratio(k, mk), M.plain_partial_ratio(k, my) if my else 0)
-                    if part >= FALLBACK:
-                        found = (100.0 + german + part - dist * 0.2, "fallback")
+                dist = abs(j - i)
+                found = score_pair(k, mk, s, ms, my, dist, M.plain_ratio, M.plain_token_set_ratio, M.plain_partial_ratio)
                 if found and (best is None or (-found[0], dist, found[1] == "fallback", j) < best[0]):
                     best = ((-found[0], dist, found[1] == "fallback", j), found)
             if best:
@@ -126,7 +153,7 @@ def page_field_metrics(truth: DataFrame, model: DataFrame, matches: DataFrame, f
     pairs = pairs.join(m.withColumnRenamed("seq", "llm_seq"), ["page", "llm_seq", "field"])
     a, b = T.null_to_empty(F.col("llm_value")), T.null_to_empty(F.col("gt_value"))
     n = F.length(T.normalize_string(b))
-    done = pairs.groupBy("page", "field").agg(F.count("*").alias("matched"), F.sum(n).alias("chars"), weighted_mean(M.cer(a, b, denominator), n).alias("cer"))
+    done = pairs.groupBy("page", "field").agg(F.count("*").alias("matched"), F.sum(n).alias("chars"), weighted_mean(M.cer(a, b, denominator, M.distance), n).alias("cer"))
     counts = g.groupBy("page", "field").agg(F.count("*").alias("gt_count")).join(m.groupBy("page", "field").agg(F.count("*").alias("llm_count")), ["page", "field"], "full")
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
     return counts.join(done, ["page", "field"], "left").select("page", "field", *[zero(c) for c in ("gt_count", "llm_count", "matched", "chars")], F.coalesce("cer", F.lit(float("nan"))).alias("cer"))

@@ -8,6 +8,9 @@ from pyspark.sql.window import Window
 
 from lexloom.functions import text as T
 
+#: Keywords up to which a concordance looks for them in every sentence's tokens.
+ASKED = 1000
+
 
 def token_rows(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
     """keep..., pos (sentence, from 0), at (token, from 0), token, lc."""
@@ -15,30 +18,44 @@ def token_rows(docs: DataFrame, keep: list[str], text: str = "text") -> DataFram
     return s.select(*keep, F.col("pos").cast("long").alias("pos"), F.posexplode(T.tokens(F.col("sent"))).alias("at", "token")).withColumn("at", F.col("at").cast("long")).withColumn("lc", F.lower("token"))
 
 
+def token_counts(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
+    """keep..., lc, n: occurrences of each lower-case token. What counts tokens takes these as well as token rows."""
+    return token_rows(docs, keep, text).groupBy(*keep, "lc").agg(F.count("*").alias("n"))
+
+
+def _occurrences(tokens: DataFrame) -> Column:
+    """Of token rows or of token_counts."""
+    return F.sum("n") if "n" in tokens.columns else F.count("*")
+
+
 def frequent_words(tokens: DataFrame, least: int = 5, n: int = 20) -> DataFrame:
     """word: the n most frequent lower-case tokens of `least` letters or more, ties in order of the word."""
-    count = tokens.filter(F.length("lc") >= least).groupBy(F.col("lc").alias("word")).agg(F.count("*").alias("n"))
+    count = tokens.filter(F.length("lc") >= least).groupBy(F.col("lc").alias("word")).agg(_occurrences(tokens).alias("n"))
     return count.orderBy(F.desc("n"), "word").limit(n).select("word")
 
 
 def concordance(docs: DataFrame, keywords: DataFrame, key: str = "doc_id", text: str = "text", window: int = 3, lemma=None) -> DataFrame:
     """Hits of keywords with `window` sentences on both sides.
 
-    A token is a hit if it or its lemma equals the keyword, as typed or both in lower case. lemma: a function of a token column (default: the token itself). Keywords are a small list
-    (checked by Spark's own broadcast limit); context is cut from the document's own sentence array, so
-    text is not shuffled. Returns key, pos, at, word, left_context, keyword, right_context.
+    A token is a hit if it or its lemma equals the keyword, as typed or both in lower case. lemma: a function of a token column (default: the token itself). Only sentences with a hit
+    and the sentences around them leave a document's own array, so text is not shuffled; a list of more than
+    ASKED keywords, which isn't searched token by token, lets all sentences through to the equi-join.
+    Returns key, pos, at, word, left_context, keyword, right_context.
     """
     lemma = lemma or (lambda c: c)
-    d = docs.select(key, T.sentences(F.col(text)).alias("s"))
-    d = d.select(key, "s", F.posexplode("s").alias("pos", "sent"))
-    d = d.select(key, "s", "pos", T.tokens(F.col("sent")).alias("t"))
-    d = d.select(key, "s", "pos", "t", F.posexplode("t").alias("at", "token"))
     k = keywords.select("word", F.lower("word").alias("word_lc")).distinct()
+    d = docs.select(key, T.sentences(F.col(text)).alias("s"))
+    around = F.transform("s", lambda x, i: F.struct(i.alias("pos"), T.tokens(x).alias("t"), F.slice("s", F.greatest(F.lit(1), i - window + 1), F.least(F.lit(window), i)).alias("left"), F.slice("s", i + 2, F.lit(window)).alias("right")))
+    if k.limit(ASKED + 1).count() <= ASKED:
+        asked = k.agg(F.collect_set("word_lc").alias("asked"))  # at most ASKED words
+        hit = lambda w: F.array_contains("asked", F.lower(w)) | F.array_contains("asked", F.lower(lemma(w)))
+        d = d.crossJoin(F.broadcast(asked))
+        around = F.filter(around, lambda z: F.exists(z["t"], hit))
+    d = d.select(key, F.explode(around).alias("z")).select(key, "z.*")
+    d = d.select(key, "pos", "t", "left", "right", F.posexplode("t").alias("at", "token"))
     low = F.explode(F.array_distinct(F.array(F.lower("token"), F.lower(lemma(F.col("token"))))))
     # a match as typed is a match in lower case too, so one equi-join finds all four kinds
     hits = d.select("*", low.alias("word_lc")).join(k, "word_lc").drop("word_lc")
-    left = F.slice("s", F.greatest(F.lit(1), F.col("pos") - window + 1), F.least(F.lit(window), F.col("pos")))
-    right = F.slice("s", F.col("pos") + 2, F.lit(window))
     before = F.array_join(F.slice("t", F.lit(1), F.col("at")), " ")
     after = F.array_join(F.slice("t", F.col("at") + 2, F.size("t")), " ")
     return hits.select(
@@ -46,9 +63,9 @@ def concordance(docs: DataFrame, keywords: DataFrame, key: str = "doc_id", text:
         F.col("pos").cast("long").alias("pos"),
         F.col("at").cast("long").alias("at"),
         "word",
-        F.trim(F.concat_ws(" ", F.array_join(left, " "), before)).alias("left_context"),
+        F.trim(F.concat_ws(" ", F.array_join("left", " "), before)).alias("left_context"),
         F.col("token").alias("keyword"),
-        F.trim(F.concat_ws(" ", after, F.array_join(right, " "))).alias("right_context"),
+        F.trim(F.concat_ws(" ", after, F.array_join("right", " "))).alias("right_context"),
     )
 
 
@@ -75,7 +92,7 @@ def capped(hits: DataFrame, word: str, order: list[str], most: int = 300_000) ->
 
 def hits_per_word(keywords: DataFrame, hits: DataFrame) -> DataFrame:
     """word, hits, failed (no hit) of every keyword."""
-    count = hits.groupBy("word").agg(F.count("*").alias("hits"))
+    count = hits.groupBy("word").agg(_occurrences(hits).alias("hits"))
     n = F.coalesce("hits", F.lit(0)).cast("long")
     return keywords.join(count, "word", "left").select("word", n.alias("hits"), (n == 0).alias("failed"))
 
@@ -91,8 +108,8 @@ def hits_total(per_word: DataFrame) -> DataFrame:
 
 def word_frequency(tokens: DataFrame, keywords: DataFrame) -> DataFrame:
     """word, absolute, relative (per million tokens); an unseen word has 0 and 0."""
-    total = tokens.agg(F.count("*").alias("total"))
-    count = tokens.join(F.broadcast(keywords.select(F.lower("word").alias("lc")).distinct()), "lc").groupBy("lc").agg(F.count("*").alias("absolute"))
+    total = tokens.agg(_occurrences(tokens).alias("total"))
+    count = tokens.join(keywords.select(F.lower("word").alias("lc")).distinct(), "lc").groupBy("lc").agg(_occurrences(tokens).alias("absolute"))
     f = keywords.join(count, F.lower(keywords["word"]) == F.col("lc"), "left").crossJoin(F.broadcast(total))
     absolute = F.coalesce("absolute", F.lit(0)).cast("long")
     return f.select("word", absolute.alias("absolute"), F.coalesce(F.try_divide(absolute * 1e6, F.col("total")), F.lit(0.0)).alias("relative"))
@@ -105,9 +122,9 @@ def genre_density(tokens: DataFrame, keywords: DataFrame, genre: str) -> DataFra
     without genre counts as `unknown`.
     """
     t = tokens.withColumn("genre", F.coalesce(F.nullif(F.col(genre), F.lit("")), F.lit("unknown")))
-    size = t.groupBy("genre").agg(F.count("*").alias("n_genre"))
+    size = t.groupBy("genre").agg(_occurrences(t).alias("n_genre"))
     total = size.agg(F.sum("n_genre").alias("n"))
-    by = t.join(F.broadcast(keywords.select("word").distinct()), F.col("lc") == F.lower("word")).groupBy("word", "genre").agg(F.count("*").alias("abs"))
+    by = t.join(keywords.select("word").distinct(), F.col("lc") == F.lower("word")).groupBy("word", "genre").agg(_occurrences(t).alias("abs"))
     whole = by.groupBy("word").agg(F.sum("abs").alias("n_word"))
     d = by.join(whole, "word").join(size, "genre").crossJoin(F.broadcast(total))
     return d.select("word", "genre", "abs", (100.0 * (F.col("abs") / F.col("n_word")) / (F.col("n_genre") / F.col("n"))).alias("rel"))

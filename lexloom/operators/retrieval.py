@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -11,6 +13,8 @@ from lexloom.functions import text as T
 # Prompt budgets in tokens, by model family.
 BUDGETS = {"gpt": 120_000, "claude": 150_000, "gemini": 990_000}
 K = 150
+#: Queries in a block, chunks in a shard.
+BLOCK, SHARD = 512, 8192
 
 
 def budget_gate(lines: DataFrame, word: str, text: str, budget: int) -> DataFrame:
@@ -20,19 +24,36 @@ def budget_gate(lines: DataFrame, word: str, text: str, budget: int) -> DataFram
     return g.select(word, "n_lines", tokens.alias("tokens"), (tokens < budget).alias("fits"))
 
 
-def squared_distance(a: Column, b: Column) -> Column:
-    d = lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))
-    return F.aggregate(F.zip_with(a, b, d), F.lit(0.0), lambda s, x: s + x)
-
-
 def nearest(queries: DataFrame, chunks: DataFrame, k: int = K, on: list[str] | None = None) -> DataFrame:
     """query_id, chunk_id, distance, rank: the k nearest chunks by squared L2, ties to the smaller chunk.
 
-    queries: query_id, q; chunks: chunk_id, v; `on`: columns both share and that must be equal. Without
-    `on` the queries, a stated and small set, are broadcast to the chunks; ranks are limited before the shuffle.
+    queries: query_id, q; chunks: chunk_id, v; `on`: columns both share and that must be equal. Blocks of
+    queries meet shards of chunks by an equi-join, each meeting is a matrix and keeps the k best of a query.
+    Null vectors take no part, vectors of different lengths don't meet.
     """
-    both = chunks.join(queries, on) if on else chunks.crossJoin(F.broadcast(queries))
-    d = both.select(*(on or []), "query_id", "chunk_id", F.round(squared_distance(F.col("v"), F.col("q")), 6).alias("distance"))
+    on = on or []
+    blocks, shards = (max(1, -(-d.count() // most)) for d, most in ((queries, BLOCK), (chunks, SHARD)))
+    rest = lambda n: F.explode(F.expr(f"sequence(0L, {n - 1}L)"))
+    q = queries.filter("q is not null").select(*on, "query_id", "q", F.size("q").alias("dim"), F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("block"), rest(shards).alias("shard"))
+    c = chunks.filter("v is not null").select(*on, "chunk_id", "v", F.size("v").alias("dim"), F.pmod(F.xxhash64("chunk_id"), F.lit(shards)).alias("shard"), rest(blocks).alias("block"))
+
+    def meet(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        dim = key[len(on)].as_py()
+        x, y = (np.asarray(t.column(n).combine_chunks().flatten(), np.float64).reshape(t.num_rows, dim) for t, n in ((left, "q"), (right, "v")))
+        distance = np.zeros((len(x), len(y)))
+        for j in range(dim if len(x) and len(y) else 0):  # in the order of the components, as a sum over an array goes
+            step = x[:, j, None] - y[None, :, j]
+            distance += step * step
+        most = np.partition(distance, k - 1, axis=1)[:, k - 1 : k] if distance.shape[1] > k else np.full((len(x), 1), np.inf)
+        row, col = np.nonzero(distance <= most + 1e-5)  # ranks go by rounded distances
+        row, col = pa.array(row, pa.int64()), pa.array(col, pa.int64())
+        columns = [pa.array([value.as_py()] * len(row), value.type) for value in key[: len(on)]]
+        return pa.table([*columns, left.column("query_id").take(row), right.column("chunk_id").take(col), pa.array(distance[np.asarray(row), np.asarray(col)])], names=[*on, "query_id", "chunk_id", "distance"])
+
+    kinds = dict(queries.dtypes) | dict(chunks.dtypes)
+    schema = ", ".join([*(f"`{n}` {kinds[n]}" for n in on), f"query_id {kinds['query_id']}", f"chunk_id {kinds['chunk_id']}", "distance double"])
+    by = [*on, "dim", "block", "shard"]
+    d = q.groupBy(*by).cogroup(c.groupBy(*by)).applyInArrow(meet, schema).withColumn("distance", F.round("distance", 6))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "chunk_id"))
     return d.withColumn("rank", rank).filter(F.col("rank") <= k)
 
@@ -51,8 +72,12 @@ def missing_embeddings(chunks: DataFrame, cached: DataFrame, key: str) -> DataFr
     return chunks.join(cached.select(key), key, "left_anti")
 
 
+#: What the row of a keyword without context says.
+MISSING = {"sense_no": 1, "sense": T.NOT_PROCESSED, "sense_count": 0, "frequency": "kontekstifail puudub", "examples": "ei saadaval", "register": T.UNSPECIFIED, "register_reason": "ei saadaval", "training_reason": "ei saadaval", "label": "ei kohaldu", "label_reason": "ei saadaval"}
+
+
 def with_missing_rows(keywords: DataFrame, contexts: DataFrame, word: str = "word") -> DataFrame:
-    """A row for every keyword; one without context gets the placeholder answers."""
+    """A row for every keyword; one without context has the placeholder answers, the others have nulls there."""
     j = keywords.join(contexts, word, "left")
     missing = F.col("context").isNull()
-    return j.select(*keywords.columns, F.coalesce("context", F.lit("")).alias("context"), F.when(missing, T.NOT_PROCESSED).otherwise("").alias("sense"), F.when(missing, T.UNSPECIFIED).otherwise("").alias("register"))
+    return j.select(*keywords.columns, F.coalesce("context", F.lit("")).alias("context"), *[F.when(missing, F.lit(v)).alias(n) for n, v in MISSING.items()])

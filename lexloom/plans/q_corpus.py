@@ -9,6 +9,7 @@ from lexloom.functions import text as T
 from lexloom.operators import corpus, retrieval, runs, verification
 from lexloom.plans import fragments as S
 from lexloom.plans.collection import Queries, Tables
+from lexloom.sources.scratch import written
 
 Q = Queries()
 
@@ -17,8 +18,13 @@ def _tokens(t: Tables) -> DataFrame:
     return corpus.token_rows(t.documents, ["doc_id", "source", "lang"])
 
 
+def _counts(t: Tables) -> DataFrame:
+    """Token counts by source: the texts are read once for all that is counted."""
+    return written(corpus.token_counts(t.documents, ["source"]), "token-counts")
+
+
 def _keywords(t: Tables) -> DataFrame:
-    return corpus.frequent_words(_tokens(t))
+    return written(corpus.frequent_words(_tokens(t)), "keywords")
 
 
 def _hits(t: Tables) -> DataFrame:
@@ -52,19 +58,24 @@ def full_context(t: Tables) -> DataFrame:
 _WANTED = "wanted as (select word from keywords union all select 'zzmissing' || i from range(3) t(i))"
 
 
-def _wanted(t: Tables) -> DataFrame:
-    return _keywords(t).unionByName(t.spark.range(3).select(F.concat(F.lit("zzmissing"), F.col("id").cast("string")).alias("word")))
+def _wanted(t: Tables, keywords: DataFrame) -> DataFrame:
+    return keywords.unionByName(t.spark.range(3).select(F.concat(F.lit("zzmissing"), F.col("id").cast("string")).alias("word")))
+
+
+def _hit_counts(t: Tables) -> DataFrame:
+    counts = _counts(t)
+    return corpus.hits_per_word(_wanted(t, corpus.frequent_words(counts)), counts.select(F.col("lc").alias("word"), "n"))
 
 
 @Q.add(f"with {S.TOKENS}, {S.KEYWORDS}, {_WANTED}, c as (select lc, count(*) as n from lower_toks group by 1) select word, coalesce(n, 0) as hits, n is null as failed from wanted left join c on c.lc = word")
 def hits_per_word(t: Tables) -> DataFrame:
-    return corpus.hits_per_word(_wanted(t), _tokens(t).select(F.col("lc").alias("word")))
+    return _hit_counts(t)
 
 
 @Q.add(f"""with {S.TOKENS}, {S.KEYWORDS}, {_WANTED}, c as (select lc, count(*) as n from lower_toks group by 1), p as (select word, coalesce(n, 0) as hits, n is null as failed from wanted left join c on c.lc = word)
 select count(*) as words, count(*) filter (where not failed) as found, count(*) filter (where failed) as not_found, cast(sum(hits) as bigint) as hits, string_agg(word, '|' order by word) filter (where not failed) as found_words, string_agg(word, '|' order by word) filter (where failed) as failed_words from p""")
 def hits_summary(t: Tables) -> DataFrame:
-    return corpus.hits_total(corpus.hits_per_word(_wanted(t), _tokens(t).select(F.col("lc").alias("word"))))
+    return corpus.hits_total(_hit_counts(t))
 
 
 def _ranked_sql(n: int) -> str:
@@ -72,7 +83,7 @@ def _ranked_sql(n: int) -> str:
 
 
 def _ranked(t: Tables, n: int) -> DataFrame:
-    hits = _tokens(t).join(F.broadcast(_keywords(t)), F.col("lc") == F.col("word")).select("word", "doc_id", "pos", "at")
+    hits = _tokens(t).join(_keywords(t), F.col("lc") == F.col("word")).select("word", "doc_id", "pos", "at")
     return corpus.capped(hits, "word", ["doc_id", "pos", "at"], n).withColumn("id", F.col("id").cast("long"))
 
 
@@ -88,7 +99,8 @@ def sample_hits(t: Tables) -> DataFrame:
 
 @Q.add(f"with {S.TOKENS}, {S.KEYWORDS}, {_WANTED}, c as (select lc, count(*) as n from lower_toks group by 1), n as (select count(*) as total from lower_toks) select word, coalesce(n, 0) as absolute, round(coalesce(n, 0) * cast(1000000 as double) / total, 6) as relative from n, wanted left join c on c.lc = word")
 def word_frequency(t: Tables) -> DataFrame:
-    return corpus.word_frequency(_tokens(t), _wanted(t)).withColumn("relative", F.round("relative", 6))
+    counts = _counts(t)
+    return corpus.word_frequency(counts, _wanted(t, corpus.frequent_words(counts))).withColumn("relative", F.round("relative", 6))
 
 
 _DENSITY = f"""{S.TOKENS}, {S.KEYWORDS}, g as (select *, case when source = 'src0' then 'unknown' else source end as genre from lower_toks), size as (select genre, count(*) as n_genre from g group by 1),
@@ -97,8 +109,8 @@ density as (select word, genre, abs, round(cast(100 as double) * (cast(abs as do
 
 
 def _density(t: Tables) -> DataFrame:
-    genre = F.when(F.col("source") != "src0", F.col("source"))
-    return corpus.genre_density(_tokens(t).withColumn("g", genre), _keywords(t), "g").withColumn("rel", F.round("rel", 6))
+    counts = _counts(t).withColumn("g", F.when(F.col("source") != "src0", F.col("source")))
+    return corpus.genre_density(counts, corpus.frequent_words(counts), "g").withColumn("rel", F.round("rel", 6))
 
 
 @Q.add(f"with {_DENSITY} select word, genre, abs, rel from density")
@@ -233,20 +245,21 @@ def missing_embeddings(t: Tables) -> DataFrame:
     return retrieval.missing_embeddings(e, e.filter("label % 2 = 0"), "vec_id").select("vec_id")
 
 
-@Q.add(f"with {S.TOKENS}, {S.KEYWORDS}, {_WANTED}, c as (select lc as word, min(doc_id) as d from lower_toks group by 1) select word, coalesce(cast(d as varchar), '') as context, case when d is null then 'töötlemata' else '' end as sense, case when d is null then 'ei määratletud' else '' end as register from wanted left join c using (word)")
+@Q.add(f"""with {S.TOKENS}, {S.KEYWORDS}, {_WANTED}, c as (select lc as word, min(doc_id) as d from lower_toks group by 1) select word, coalesce(cast(d as varchar), '') as context, case when d is null then 1 end as sense_no, case when d is null then 'töötlemata' end as sense, case when d is null then 0 end as sense_count, case when d is null then 'kontekstifail puudub' end as frequency, case when d is null then 'ei saadaval' end as examples, case when d is null then 'ei määratletud' end as register,
+case when d is null then 'ei saadaval' end as register_reason, case when d is null then 'ei saadaval' end as training_reason, case when d is null then 'ei kohaldu' end as label, case when d is null then 'ei saadaval' end as label_reason from wanted left join c using (word)""")
 def missing_context_rows(t: Tables) -> DataFrame:
     contexts = _tokens(t).groupBy(F.col("lc").alias("word")).agg(F.min("doc_id").cast("string").alias("context"))
-    return retrieval.with_missing_rows(_wanted(t), contexts)
+    return retrieval.with_missing_rows(_wanted(t, _keywords(t)), contexts)
 
 
 # --- runs
 
-_JOBS = "jobs as (select r_name as page, prompt, model, repeat, r_name || '_' || prompt || '_' || model || '_' || repeat || '.xml' as name from region, (select unnest(['p1', 'p2']) as prompt), (select n_name as model from nation), (select unnest(range(1, 4)) as repeat))"
+_JOBS = "jobs as (select 'page' || page_id as page, prompt, model, repeat, 'page' || page_id || '_' || prompt || '_' || model || '_' || repeat || '.xml' as name from pages, (select unnest(['p1', 'p2']) as prompt), (select n_name as model from nation), (select unnest(range(1, 4)) as repeat))"
 
 
 def _jobs(t: Tables) -> DataFrame:
     prompts = t.spark.createDataFrame([("p1",), ("p2",)], "prompt string")
-    return runs.job_matrix(t.region.select(F.col("r_name").alias("page")), prompts, t.nation.select(F.col("n_name").alias("model")), 3).withColumn("repeat", F.col("repeat").cast("long"))
+    return runs.job_matrix(t.pages.select(F.concat(F.lit("page"), F.col("page_id").cast("string")).alias("page")), prompts, t.nation.select(F.col("n_name").alias("model")), 3).withColumn("repeat", F.col("repeat").cast("long"))
 
 
 @Q.add(f"with {_JOBS} select * from jobs")

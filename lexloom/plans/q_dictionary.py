@@ -2,8 +2,7 @@
 
 Two editions of the same pages stand in for ground truth and model output: the documents' lines with
 their first word as headword, reduced to ASCII (DuckDB counts bytes in an edit distance), and the same
-without every seventh line and with some letters changed. The equivalent is the rest of the line in queries
-without SQL, and its next three words where the DuckDB text says so.
+without every seventh line and with some letters changed. The equivalent is the rest of the line.
 """
 
 from __future__ import annotations
@@ -17,59 +16,73 @@ from lexloom.functions import text as T
 from lexloom.operators import alignment, dictionary, linking, tei
 from lexloom.plans import fragments as S
 from lexloom.plans.collection import Queries, Tables
-from lexloom.sources.scratch import scratch_folder
+from lexloom.sources.scratch import scratch_folder, written
 from lexloom.streaming import replies as streams
 
 Q = Queries()
 
 _EDITIONS = f"""{S.ENTRIES}, raw as (select page, seq, {S.tokens(S.ascii_only('line'))} as t from lines),
-gt as (select page, row_number() over (partition by page order by seq) - 1 as seq, t[1] as headword, array_to_string(t[2:4], ' ') as equivalent from raw where len(t) > 0),
+gt as (select page, row_number() over (partition by page order by seq) - 1 as seq, t[1] as headword, array_to_string(t[2:], ' ') as equivalent from raw where len(t) > 0),
 llm as (select page, row_number() over (partition by page order by seq) - 1 as seq, case when seq % 3 = 0 then replace(headword, 'o', 'c') else headword end as headword, equivalent from gt where seq % 7 <> 6 and page % 50 <> 49)"""
 
 
-def _truth(t: Tables, whole: bool = False) -> DataFrame:
+def _truth(t: Tables) -> DataFrame:
     words = T.tokens(F.regexp_replace("line", "[^ -~]", ""))
     e = dictionary.page_lines(t.documents).withColumn("t", words).filter(F.size("t") > 0)
     number = (F.row_number().over(Window.partitionBy("page").orderBy("seq")) - 1).cast("long")
-    rest = F.slice("t", F.lit(2), F.size("t")) if whole else F.slice("t", 2, 3)
-    return e.select("page", number.alias("seq"), F.element_at("t", 1).alias("headword"), F.array_join(rest, " ").alias("equivalent"))
+    return e.select("page", number.alias("seq"), F.element_at("t", 1).alias("headword"), F.array_join(F.slice("t", F.lit(2), F.size("t")), " ").alias("equivalent"))
 
 
-def _model(t: Tables, whole: bool = False) -> DataFrame:
-    e = _truth(t, whole).filter("seq % 7 <> 6 and page % 50 <> 49")
+def _of_truth(truth: DataFrame) -> DataFrame:
+    e = truth.filter("seq % 7 <> 6 and page % 50 <> 49")
     head = F.when(F.col("seq") % 3 == 0, F.replace("headword", F.lit("o"), F.lit("c"))).otherwise(F.col("headword"))
     return e.select("page", (F.row_number().over(Window.partitionBy("page").orderBy("seq")) - 1).cast("long").alias("seq"), head.alias("headword"), "equivalent")
 
 
-_BAND = "band as (select g.page, g.seq as gt_seq, m.seq as llm_seq, abs(g.seq - m.seq) as dist, g.headword as gh, m.headword as mh, g.equivalent as ge, m.equivalent as me from gt g join llm m on g.page = m.page and abs(g.seq - m.seq) <= 10)"
+def _model(t: Tables) -> DataFrame:
+    return _of_truth(_truth(t))
+
+
+def _editions(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """Both editions, each computed once."""
+    truth = written(_truth(t), "truth")
+    return truth, written(_of_truth(truth), "model")
+
+
+_BAND = f"""gn as materialized (select *, {S.norm('headword')} as k, {S.norm('equivalent')} as s from gt), mn as materialized (select *, {S.norm('headword')} as k, {S.norm('equivalent')} as s from llm),
+band as (select g.page, g.seq as gt_seq, m.seq as llm_seq, abs(g.seq - m.seq) as dist, g.headword as gh, m.headword as mh, g.equivalent as ge, m.equivalent as me, g.k as gk, m.k as mk, g.s as gs, m.s as ms from gn g join mn m on g.page = m.page and abs(g.seq - m.seq) <= 10)"""
 
 
 def _er(a: str, b: str) -> str:
     return f"case when {a} = '' and {b} = '' then cast(100 as double) else cast(100 as double) * (1 - cast(levenshtein({a}, {b}) as double) / greatest(length({a}), length({b}))) end"
 
 
-_MATCH = f"""normed as (select *, {S.norm('gh')} as gk, {S.norm('mh')} as mk, {S.norm('ge')} as gs, {S.norm('me')} as ms from band),
-scored as (select *, {_er('gk', 'mk')} as h, {_er('gs', 'ms')} as s, greatest({_er('gk', 'mk')}, 0) as f from normed),
+_MATCH = f"""heads as (select *, {_er('gk', 'mk')} as h from band where gk <> ''),
+scored as (select *, case when gk = mk or h >= 30 then {_er('gs', 'ms')} else 0 end as s, greatest(h, 0) as f from heads),
 kinds as (select *, (gs = '' and ms = '') or (gs <> '' and ms <> '' and s >= 30) as passes, gs <> '' and ms <> '' as both_ from scored),
 matched as (select page, gt_seq, llm_seq, dist, gh, mh, ge, me, case when gk = mk and passes then 'primary_exact' when h >= 30 and passes then 'primary_fuzzy' when both_ and s >= 30 and f >= 85 then 'fallback' end as kind,
 case when gk = mk and passes then cast(300 as double) - dist when h >= 30 and passes then h + (case when both_ and s > 0 then s else h end) - dist * cast(0.1 as double) when both_ and s >= 30 and f >= 85 then cast(100 as double) + s + f - dist * cast(0.2 as double) end as score from kinds where gk <> ''),
 best as (select * from (select *, row_number() over (partition by page, gt_seq order by score desc, dist, kind = 'fallback', llm_seq) as n from matched where kind is not null) where n = 1)"""
 
-_PLAIN = {"head_ratio": alignment.edit_ratio, "second_ratio": alignment.edit_ratio, "part_ratio": alignment.edit_ratio}
+def _edit_ratio(a: str, b: str) -> float:
+    return M.plain_edit_ratio(a, b, alignment.SECOND)
+
+
+_PLAIN = {"head_ratio": _edit_ratio, "second_ratio": _edit_ratio, "part_ratio": _edit_ratio}
 
 
 def _best(t: Tables) -> DataFrame:
-    return alignment.align_static(_truth(t), _model(t), "headword", "equivalent", **_PLAIN)
+    return alignment.align_static(*_editions(t), "headword", "equivalent", **_PLAIN)
 
 
 @Q.add(f"with {_EDITIONS}, {_BAND} select page, gt_seq, llm_seq, dist from band")
 def band_candidates(t: Tables) -> DataFrame:
-    return alignment.band_candidates(_truth(t), _model(t)).select("page", "gt_seq", "llm_seq", "dist")
+    return alignment.band_candidates(*_editions(t)).select("page", "gt_seq", "llm_seq", "dist")
 
 
 @Q.add(f"with {_EDITIONS}, {_BAND}, {_MATCH} select page, gt_seq, llm_seq, kind, round(score, 6) as score from matched where kind is not null")
 def fuzzy_candidates(t: Tables) -> DataFrame:
-    pairs = alignment._keys(alignment.band_candidates(_truth(t), _model(t)), "headword", "equivalent", None)
+    pairs = alignment.keyed_candidates(*_editions(t), "headword", "equivalent")
     return alignment.match_score(pairs, **_PLAIN).select("page", "gt_seq", "llm_seq", "kind", F.round("score", 6).alias("score"))
 
 
@@ -85,12 +98,12 @@ def best_match(t: Tables) -> DataFrame:
 
 @Q.add()
 def align_sequential(t: Tables) -> DataFrame:
-    return alignment.align_sequential(_truth(t, True), _model(t, True), "headword", "equivalent")
+    return alignment.align_sequential(*_editions(t), "headword", "equivalent")
 
 
 @Q.add()
 def match_score(t: Tables) -> DataFrame:
-    return alignment.align_static(_truth(t, True), _model(t, True), "headword", "equivalent").select("page", "gt_seq", "llm_seq", "kind", "score")
+    return alignment.align_static(*_editions(t), "headword", "equivalent").select("page", "gt_seq", "llm_seq", "kind", "score")
 
 
 def _cer(a: str, b: str) -> str:
@@ -99,7 +112,8 @@ def _cer(a: str, b: str) -> str:
 
 @Q.add(f"with {_EDITIONS} select page, seq, round({_cer('m.headword', 'g.headword')}, 6) as cer from gt g join llm m using (page, seq)")
 def cer_pairs(t: Tables) -> DataFrame:
-    g, m = _truth(t).select("page", "seq", F.col("headword").alias("g")), _model(t).select("page", "seq", F.col("headword").alias("m"))
+    truth, model = _editions(t)
+    g, m = truth.select("page", "seq", F.col("headword").alias("g")), model.select("page", "seq", F.col("headword").alias("m"))
     return g.join(m, ["page", "seq"]).select("page", "seq", F.round(M.cer(F.col("m"), F.col("g")), 6).alias("cer"))
 
 
@@ -110,7 +124,9 @@ metrics as (select coalesce(gc.page, mc.page) as page, field, coalesce(gc.n, 0)
 
 
 def _metrics(t: Tables) -> DataFrame:
-    return alignment.page_field_metrics(_truth(t), _model(t), _best(t), ["headword", "equivalent"]).withColumn("cer", F.round("cer", 6))
+    truth, model = _editions(t)
+    best = alignment.align_static(truth, model, "headword", "equivalent", **_PLAIN)
+    return alignment.page_field_metrics(truth, model, best, ["headword", "equivalent"]).withColumn("cer", F.round("cer", 6))
 
 
 @Q.add(f"with {_METRICS} select * from metrics")
@@ -131,12 +147,12 @@ def chart_series(t: Tables) -> DataFrame:
 
 @Q.add(f"with {_EDITIONS}, g as (select page, count(*) as n from gt group by 1), m as (select page, count(*) as n from llm group by 1) select page, coalesce(g.n, 0) as gt_count, coalesce(m.n, 0) as llm_count, case when m.n is null then 'truth' when g.n is null then 'model' else 'both' end as side from g full join m using (page)")
 def page_coverage(t: Tables) -> DataFrame:
-    return alignment.page_coverage(_truth(t), _model(t))
+    return alignment.page_coverage(*_editions(t))
 
 
 @Q.add(f"with {_EDITIONS} select page, seq, headword, equivalent from gt where page not in (select page from llm)")
 def unaligned_gt(t: Tables) -> DataFrame:
-    return alignment.unaligned(_truth(t), _model(t))
+    return alignment.unaligned(*_editions(t))
 
 
 @Q.add("select doc_id, exists (select 1 from labels l where l.doc_id = d.doc_id) as has_truth from documents d")
@@ -164,7 +180,8 @@ def model_agreement(t: Tables) -> DataFrame:
 
 
 def _word_pairs(t: Tables) -> DataFrame:
-    return _truth(t, True).join(_model(t, True).select("page", "seq", F.col("headword").alias("h2"), F.col("equivalent").alias("e2")), ["page", "seq"])
+    truth, model = _editions(t)
+    return truth.join(model.select("page", "seq", F.col("headword").alias("h2"), F.col("equivalent").alias("e2")), ["page", "seq"])
 
 
 @Q.add()

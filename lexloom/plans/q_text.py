@@ -139,12 +139,12 @@ def render_prompt(t: Tables) -> DataFrame:
     return t.conversations.select("conv_id", "turn", prompt.alias("prompt")).withColumn("unfilled", T.unfilled(F.col("prompt")))
 
 
-@Q.add("""with v as (select n_nationkey, [n_name, upper(n_name[1]) || lower(n_name[2:]), lower(n_name)] as a from (select n_nationkey, case when n_nationkey % 2 = 0 then n_name else lower(n_name) end as n_name from nation)),
-x as (select n_nationkey, unnest(range(0, 3)) as i, unnest(a) as variant from v)
-select n_nationkey, variant, cast(row_number() over (partition by n_nationkey order by min(i)) as int) as pos from x group by 1, 2""")
+@Q.add("""with v as (select c_custkey, [c_name, upper(c_name[1]) || lower(c_name[2:]), lower(c_name)] as a from (select c_custkey, case when c_custkey % 2 = 0 then c_name else lower(c_name) end as c_name from customer)),
+x as (select c_custkey, unnest(range(0, 3)) as i, unnest(a) as variant from v)
+select c_custkey, variant, cast(row_number() over (partition by c_custkey order by min(i)) as int) as pos from x group by 1, 2""")
 def case_variants(t: Tables) -> DataFrame:
-    name = F.when(F.col("n_nationkey") % 2 == 0, F.col("n_name")).otherwise(F.lower("n_name"))
-    return t.nation.select("n_nationkey", F.posexplode(T.case_variants(name)).alias("pos", "variant")).select("n_nationkey", "variant", (F.col("pos") + 1).alias("pos"))
+    name = F.when(F.col("c_custkey") % 2 == 0, F.col("c_name")).otherwise(F.lower("c_name"))
+    return t.customer.select("c_custkey", F.posexplode(T.case_variants(name)).alias("pos", "variant")).select("c_custkey", "variant", (F.col("pos") + 1).alias("pos"))
 
 
 @Q.add("select doc_id, replace(text, chr(10), ' ') as flat from documents")
