@@ -6,6 +6,7 @@ continuation bytes are all above 0x7F, so the rule can be applied to bytes.
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -29,6 +30,7 @@ _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _BASE = 0x9E3779B97F4A7C15
 _BASE_INV = pow(_BASE, -1, 1 << 64)
 _powers: dict[int, np.ndarray] = {}
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -54,6 +56,22 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def freed(run):
+    """A function over batches that gives its memory back at its task's end: the Python worker goes on to other stages."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        give_back()
+
+    return whole
+
+
+def give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser, on uint64 arrays."""
     x = x ^ (x >> U(32))
@@ -167,7 +185,7 @@ def kept_rows(docs: DataFrame, keep, text: str = "text") -> DataFrame:
         for batch in batches:
             yield batch.filter(pa.array(keep(batch.column(at)), pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(freed(run), docs.schema)
 
 
 def runs(batches: Iterator[pa.RecordBatch], key: list[str]) -> Iterator[tuple[dict[str, list], list[tuple[int, int]]]]:

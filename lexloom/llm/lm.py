@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lexloom.llm.common import U, mix, slices, stored, words
+from lexloom.llm.common import U, freed, mix, slices, stored, words
 from lexloom.llm.toxicity import held_out as in_part
 
 BURN_IN, SAMPLES, SEED = 2, 3, 7
@@ -48,7 +48,7 @@ UNKNOWN = 0.5
 #: Customers up to which a block is drawn from its exact conditional.
 EXACT = 128
 #: Bytes of text in a chunk, at about which a chunk ends, and for which there is a bucket.
-CHUNK_BYTES, BUCKET_BYTES = 12 << 20, 16 << 20
+CHUNK_BYTES, BUCKET_BYTES = 8 << 20, 16 << 20
 #: Estimated customers from which a context is dealt over buckets, one for each as many.
 HOT_TOKENS = 1 << 20
 #: Documents (expected number) and words of the table of frequent words.
@@ -192,9 +192,8 @@ def dealt(docs: DataFrame, held: Column, buckets: int, hot: dict[int, int], code
                     ids, kept, size, k = [], [], 0, k + 1
         if kept:
             yield give(f"{part}-{k}", ids, kept)
-        pa.default_memory_pool().release_unused()
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), held.alias("held")).mapInArrow(run, DEALT)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), held.alias("held")).mapInArrow(freed(run), DEALT)
 
 
 def gathered(rows: DataFrame, hot: dict[int, int], codes: Codes) -> DataFrame:

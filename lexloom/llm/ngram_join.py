@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lexloom.llm.common import U, components, mix, partitions, runs, slices, stored, words
+from lexloom.llm.common import U, components, freed, mix, partitions, runs, slices, stored, words
 
 WORDS, FIRST_LEVEL, EARLY, LEFT_ROWS, RIGHT_ROWS = 5, 24, 4, 2048, 4096
 #: Buckets in which a member looks for its nearest one in the first round; the second round takes all.
@@ -158,9 +158,8 @@ def sets(docs: DataFrame, first_level: int | None = FIRST_LEVEL) -> DataFrame:
                     shape.append(profile(s) if len(s) else None)
                 columns = [pa.array(size, pa.int64()), pa.array(node, pa.int64()), *map(lists, zip(*sigs, strict=True)), pa.array(shape, pa.binary())]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), *columns], names=names)
-        pa.default_memory_pool().release_unused()
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, SETS)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(freed(run), SETS)
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
@@ -175,7 +174,7 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
             yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b", "doc_a", "doc_b"])
 
     near = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "p_a", "p_b", "doc_a", "doc_b")
-    near = stored(near.mapInArrow(bound, "a long, b long, doc_a long, doc_b long"), "near")
+    near = stored(near.mapInArrow(freed(bound), "a long, b long, doc_a long, doc_b long"), "near")
     texts = docs.select(F.col("doc_id").cast("long"), "text").filter("doc_id is not null")
     wanted = near.select(F.col("doc_a").alias("doc_id")).unionAll(near.select(F.col("doc_b").alias("doc_id"))).distinct()
     small = near.limit(BROADCAST_IDS // 2 + 1).count() <= BROADCAST_IDS // 2
@@ -200,7 +199,7 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
 
     right = near.join(texts.select(F.col("doc_id").alias("doc_b"), F.col("text").alias("text_b")), "doc_b")
     both = right.join(texts.select(F.col("doc_id").alias("doc_a"), F.col("text").alias("text_a")), "doc_a").select("a", "b", "text_b", "text_a")
-    return both.mapInArrow(check, "a long, b long").distinct()
+    return both.mapInArrow(freed(check), "a long, b long").distinct()
 
 
 def _rest(shared: DataFrame, labels: DataFrame, nodes: DataFrame, tested: DataFrame, nearest: bool) -> DataFrame:
@@ -250,7 +249,7 @@ def _rest(shared: DataFrame, labels: DataFrame, nodes: DataFrame, tested: DataFr
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
 
     meet = meet.select("sig", "g", "h", "is_left", "node", "root", "n_shingles", "profile").repartition(partitions(shared.sparkSession), "sig", "g", "h").sortWithinPartitions("sig", "g", "h")
-    pairs = meet.mapInArrow(compare, "a long, b long").distinct()
+    pairs = meet.mapInArrow(freed(compare), "a long, b long").distinct()
     return pairs.join(tested, ["a", "b"], "left_anti")
 
 

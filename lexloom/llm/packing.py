@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lexloom.llm.common import partitions, slices, span_hashes, stored, word_spans, words
+from lexloom.llm.common import freed, partitions, slices, span_hashes, stored, word_spans, words
 
 CAPACITY, UNIT, END_ID = 4096, 32, 2
 #: Words that a Python worker keeps the ids of, before it starts anew.
@@ -136,16 +136,15 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, unit: int
         schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("doc_tokens", pa.int64()), ("ids", pa.binary())])
         for batch in batches:
             doc_ids = batch.column(0).to_pylist()
-            for first, last, data, at in slices(batch.column(1), 4 << 20):
+            for first, last, data, at in slices(batch.column(1), 2 << 20):
                 rows = []
                 for doc_id, ids in zip(doc_ids[first:last], encoder.ids(data, at), strict=True):
                     ids = np.concatenate((ids, end)).astype("<u4")
                     rows += [(doc_id, s, n, len(ids), ids[s : s + n].tobytes()) for s, n in cuts(len(ids), capacity, unit)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
-        encoder.clear()  # the Python worker goes on to other stages
-        pa.default_memory_pool().release_unused()
+        encoder.clear()
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, PIECES)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(freed(run), PIECES)
 
 
 def knapsack(sizes: np.ndarray, worth: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import kept_rows, slices, stored, words
+from lexloom.llm.common import freed, kept_rows, slices, stored, words
 
 FEATURES, BINS, RIDGE, SEED = 256, 400, 1e-3, 11
 LOW, HIGH = -0.5, 1.5
@@ -68,7 +68,7 @@ def described(docs: DataFrame) -> DataFrame:
             x = _vectors(batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * STATISTICS), pa.array(x.ravel()))], names=["doc_id", "x"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, x array<double>")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(freed(run), "doc_id long, x array<double>")
 
 
 class Model:

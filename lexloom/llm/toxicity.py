@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import kept_rows, slices, span_hashes, text_bytes, word_spans
+from lexloom.llm.common import freed, kept_rows, slices, span_hashes, text_bytes, word_spans
 
 #: Documents, and bytes of their texts, of each class that train; the first document is taken whatever its size.
 SAMPLE_DOCS, SAMPLE_BYTES, FOLDS = 2000, 32 << 20, 4
@@ -229,4 +229,4 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
             p = model.scores(batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p), pa.array((p >= threshold).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, score double, predicted int")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(freed(run), "doc_id long, score double, predicted int")
