@@ -102,6 +102,21 @@ def senses(replies: DataFrame, keep: list[str], reply: str, dense: bool = False,
     return r.select(*keep, F.coalesce(F.col("p") + 1, F.lit(0)).alias("sense_no"), F.coalesce("sense", F.lit(T.NOT_FOUND)).alias("sense"), count.alias("sense_count"), count.try_cast("int").alias("sense_count_number"), *[at(n) for n in LISTS])
 
 
+#: What the row of a reply that couldn't be read says.
+PARSE_ERROR = {"sense_no": 1, "sense": "parsimise viga", "sense_count": "0", "sense_count_number": 0} | {n: DEFAULTS[n] for n in LISTS}
+
+
+def with_parse_errors(sense_rows: DataFrame, replies: DataFrame, keep: list[str], damaged: Column) -> DataFrame:
+    """Rows of senses() without those of damaged replies (a condition on replies), which get one error row each.
+
+    A null condition says undamaged. keep: the columns that tell replies apart.
+    """
+    bad = replies.filter(F.coalesce(damaged, F.lit(False))).select(*keep).distinct()
+    kinds = dict(sense_rows.dtypes)
+    rows = bad.select(*keep, *[F.lit(v).cast(kinds[n]).alias(n) for n, v in PARSE_ERROR.items()])
+    return sense_rows.join(bad, keep, "left_anti").unionByName(rows)
+
+
 def labels(sense_rows: DataFrame) -> DataFrame:
     """A row for each comma-separated label; a sense without label keeps one row."""
     none = F.lit(T.NOT_APPLICABLE)

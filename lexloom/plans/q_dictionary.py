@@ -241,7 +241,7 @@ def sequence_similarity(t: Tables) -> DataFrame:
 # --- fragments: a document's lines are chunks of a page's columns
 
 
-@Q.add()
+@Q.add("""select doc_id, case when doc_id % 4 < 2 then '<entry>' || lang || '</entry><entry>' || source || '</entry>' when doc_id % 4 = 2 then '<entry>' || lang || '</entry>' else '<entry>katki' || chr(10) end as content, doc_id % 4 <> 3 as well_formed from documents""")
 def unwrap_fragment(t: Tables) -> DataFrame:
     d = F.col("doc_id")
     inner = F.concat(F.lit("<entry>"), "lang", F.lit("</entry><entry>"), "source", F.lit("</entry>"))

@@ -105,6 +105,15 @@ def sense_explode_dense(t: Tables) -> DataFrame:
     return replies.senses(_block_replies(t), ["doc_id"], "reply", dense=True)
 
 
+_BROKEN = "doc_id % 4 = 3"
+
+
+@Q.add(f"with {_senses(False)} select * from senses where not ({_BROKEN}) union all select doc_id, 1, 'parsimise viga', '0', 0, " + ", ".join(f"'{replies.PARSE_ERROR[n]}'" for n in replies.LISTS) + f" from documents where {_BROKEN}")
+def parse_error_rows(t: Tables) -> DataFrame:
+    r = _block_replies(t)
+    return replies.with_parse_errors(replies.senses(r, ["doc_id"], "reply"), r, ["doc_id"], F.expr(_BROKEN))
+
+
 _LABELS = f"""{_senses(False)}, sp as (select *, case when label <> 'ei-kohaldu' then list_filter(list_transform(string_split(label, ','), lambda x: trim(x)), lambda x: x <> '') else [] end as a from senses),
 labels as (select doc_id, sense_no, sense, unnest(case when len(a) = 0 then ['ei-kohaldu'] else a end) as label, case when len(a) = 0 then 'ei-kohaldu' when label_reason = 'ei-kohaldu' then 'ei leitud' else label_reason end as label_reason from sp)"""
 
@@ -136,7 +145,7 @@ def json_objects(t: Tables) -> DataFrame:
     return replies.json_objects(t.events.select("event_id", text.alias("x")), ["event_id"], "x", "k long").select("event_id", "n", "o.k")
 
 
-@Q.add()
+@Q.add("select event_id, case when event_id % 3 < 2 then try_cast(json_extract_string(props, '$.k') as bigint) end as k from events")
 def fenced_json(t: Tables) -> DataFrame:
     reply = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("siin:\n```json\n"), "props", F.lit("\n```\nvalmis"))).when(F.col("event_id") % 3 == 1, F.col("props")).otherwise("pole json")
     return t.events.select("event_id", replies.fenced_json(reply, "k long").alias("o")).select("event_id", "o.k")

@@ -158,3 +158,67 @@ def test_column_choices(spark):
 def test_labels_by_name(spark):
     d = spark.createDataFrame([([],), (None,), ([(None,)],), ([("blogs",), ("x",)],)], "l array<struct<name:string>>")
     assert [r.g for r in d.select(corpus.genre_label(F.col("l")).alias("g")).collect()] == ["unknown", "unknown", "tundmatu", "blogs"]
+
+
+def test_read_tei(spark, tmp_path):
+    """Entries of a TEI page as rows: text, attributes, repeated children; a page without entries gives none."""
+    from lexloom.sources import readers
+
+    page = """<?xml version="1.0"?><TEI><text><div type="page" n="7">
+    <entry xml:id="kass" n="1"><form><orth> kass </orth></form><sense><cit>cat</cit></sense><sense><cit>tomcat</cit></sense></entry>
+    <entry xml:id="koer" n="2"><form><orth>koer</orth></form><sense><cit>dog</cit></sense><note>vt kass</note></entry>
+    </div></text></TEI>"""
+    (tmp_path / "page.xml").write_text(page, encoding="utf-8")
+    rows = {r["form"]["orth"]: r for r in readers.read_tei(spark, str(tmp_path / "page.xml")).collect()}
+    assert set(rows) == {"kass", "koer"}
+    assert [s["cit"] for s in rows["kass"]["sense"]] == ["cat", "tomcat"] and rows["kass"]["note"] is None
+    assert rows["koer"]["note"] == "vt kass" and rows["koer"]["_n"] == 2
+
+
+def test_distance_against_the_table():
+    import random
+
+    from lexloom.functions.similarity import plain_distance
+
+    def table(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            new = [i]
+            for j, y in enumerate(b, 1):
+                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+            row = new
+        return row[-1]
+
+    rng = random.Random(1)
+    for _ in range(300):
+        a, b = ("".join(rng.choice("abõ") for _ in range(rng.randrange(90))) for _ in range(2))
+        assert plain_distance(a, b) == table(a, b)
+
+
+def test_nearest_over_blocks(spark, monkeypatch):
+    """Blocks and shards give what all pairs give, ties to the smaller chunk; null vectors and other lengths don't meet."""
+    from lexloom.operators import retrieval
+
+    monkeypatch.setattr(retrieval, "BLOCK", 3)
+    monkeypatch.setattr(retrieval, "SHARD", 4)
+    chunks = [(i, [float(i % 7), float(i % 3)], i % 2) for i in range(30)] + [(90, None, 0), (91, [1.0], 0), (92, [1.0, 2.0], None)]
+    queries = [(100 + i, [float(i % 5), 1.0], i % 2) for i in range(8)] + [(200, None, 1)]
+    q, c = spark.createDataFrame(queries, "query_id long, q array<double>, label int"), spark.createDataFrame(chunks, "chunk_id long, v array<double>, label int")
+    for on in (None, ["label"]):
+        want = []
+        for i, v, g in queries[:-1]:
+            near = sorted((round(sum((x - y) ** 2 for x, y in zip(v, w, strict=True)), 6), j) for j, w, h in chunks if w and len(w) == 2 and (not on or g == h))[:5]
+            want += [(i, j, d, n) for n, (d, j) in enumerate(near, 1)]
+        got = retrieval.nearest(q if on else q.drop("label"), c if on else c.drop("label"), 5, on).select("query_id", "chunk_id", "distance", "rank").collect()
+        assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_concordance_of_a_long_list(spark, monkeypatch):
+    from lexloom.operators import corpus
+
+    docs = spark.createDataFrame([(1, "Üks kass. Kaks koera! Kolm hiirt? Neli kassi. Viis."), (2, None), (3, "")], "doc_id long, text string")
+    words = spark.createDataFrame([("kass",), ("KOERA",), ("kolm",), ("puudu",)], "word string")
+    one = sorted(map(tuple, corpus.concordance(docs, words, window=1).collect()))
+    monkeypatch.setattr(corpus, "ASKED", 1)
+    assert sorted(map(tuple, corpus.concordance(docs, words, window=1).collect())) == one
+    assert [(r[1], r[3], r[4], r[5], r[6]) for r in one] == [(0, "kass", "Üks", "kass", "Kaks koera!"), (1, "KOERA", "Üks kass. Kaks", "koera", "Kolm hiirt?"), (2, "kolm", "Kaks koera!", "Kolm", "hiirt Neli kassi.")]
