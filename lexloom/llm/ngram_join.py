@@ -18,9 +18,9 @@ very threshold, and far less above it.
 Signatures of the first EARLY parts are looked at first: they link most of a group of near copies, and of
 all signatures only buckets are then taken in which several components meet. So a group costs its size.
 
-Sets are equal, for all purposes, when their 64-bit hashes are; one node stands for all copies. In the
-buckets of the first parts nodes are compared to the smallest one, and in all buckets then only those of
-different components with each other, in blocks, behind an exact lower bound of their difference. Pairs are never listed for a
+Sets are equal, for all purposes, when their 64-bit hashes are; one node stands for all copies. Within
+a bucket nodes are first compared to the smallest one, then only those of different components with
+each other, in blocks, behind an exact lower bound of their difference. Pairs are never listed for a
 whole bucket, and a group of copies costs its size.
 
 Links are exact over 64-bit shingle hashes: 100 * intersection >= 75 * union.
@@ -253,16 +253,13 @@ def _rest(shared: DataFrame, labels: DataFrame, nodes: DataFrame, tested: DataFr
     return pairs.join(tested, ["a", "b"], "left_anti")
 
 
-def _shared(one: DataFrame, labels: DataFrame | None, signature: str) -> DataFrame:
-    """(sig, node) of the buckets in which several components meet; of equal buckets one."""
-    spark = one.sparkSession
-    root = F.col("node") if labels is None else F.coalesce("root", "node")
-    one = one if labels is None else one.join(labels, "node", "left")
-    rows = one.select("node", root.alias("root"), F.explode(F.expr(signature)).alias("sig")).repartition(partitions(spark), "sig")
+def _shared(rows: DataFrame) -> DataFrame:
+    """Of (sig, node, root) those of the buckets in which several components meet, with the bucket's smallest node as hub; of equal buckets one."""
+    rows = rows.repartition(partitions(rows.sparkSession), "sig")
     bucket = rows.groupBy("sig").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"), F.min("node").alias("hub"), F.max("node").alias("last"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high")
     # equal buckets, most of a group's, are taken once
     bucket = bucket.groupBy("n", "x", "hub", "last").agg(F.min("sig").alias("sig")).select("sig", "hub")
-    return rows.select("sig", "node").join(bucket.hint("shuffle_hash"), "sig").distinct()
+    return rows.join(bucket.hint("shuffle_hash"), "sig").distinct()
 
 
 def join(docs: DataFrame, first_level: int | None = FIRST_LEVEL) -> DataFrame:
@@ -271,15 +268,21 @@ def join(docs: DataFrame, first_level: int | None = FIRST_LEVEL) -> DataFrame:
     known = all_sets.filter("node is not null and doc_id is not null")
     nodes = stored(known.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("profile").alias("profile")), "nodes")
     one = known.groupBy("node").agg(F.first("early").alias("early"), F.first("later").alias("later"))
-    star = _shared(one, None, "early").filter("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-    tested = stored(star, "star")
+    early = stored(_shared(one.select("node", F.col("node").alias("root"), F.explode("early").alias("sig"))), "shared")
+    pair = F.col("hub").alias("a"), F.col("node").alias("b")
+    tested = stored(early.filter("node <> hub").select(*pair).distinct(), "star")
     label = components(_verified(tested, nodes, docs), "a", "b")
-    shared = stored(_shared(one, label, "concat(early, later)").select("sig", "node"), "shared")
+    with_root = lambda rows: rows.join(label, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    later = with_root(one).select("node", "root", F.explode("later").alias("sig"))
+    shared = stored(_shared(later.unionByName(with_root(early.select("node", "sig")).select("node", "root", "sig"))), "shared")
+    hub = shared.filter("node = hub").select("hub", F.col("root").alias("hub_root")).distinct()
+    star = stored(shared.join(hub, "hub").filter("root <> hub_root").select(*pair).distinct().join(tested, ["a", "b"], "left_anti"), "star")
+    more = lambda pairs: components(_verified(pairs, nodes, docs).unionAll(label.select(F.col("node").alias("a"), F.col("root").alias("b"))), "a", "b")
+    label, tested, shared = more(star), tested.unionAll(star), shared.select("sig", "node")
     for nearest in (True, False):  # the nearest ones first: most of the other pairs then lie in one component
         rest = stored(_rest(shared, label, nodes, tested, nearest), "rest")
         if not rest.isEmpty():
-            tested = tested.unionAll(rest)
-            label = components(_verified(rest, nodes, docs).unionAll(label.select(F.col("node").alias("a"), F.col("root").alias("b"))), "a", "b")
+            tested, label = tested.unionAll(rest), more(rest)
     member = nodes.select("node", "doc_id").join(label, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = member.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     component = member.join(least, "root").select("node", "component_id")

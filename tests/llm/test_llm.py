@@ -322,6 +322,49 @@ def test_toxicity(spark):
     assert toxicity.score(docs.limit(0), toxicity.train(docs.limit(0), lab.limit(0), F.lit(True))).count() == 0
 
 
+def test_window_lengths_against_single_compressions():
+    """What each window saves, compressed one by one; whole texts, last short windows, empty texts."""
+    import zstandard
+
+    texts = [" ".join(f"sõna{i % 37}" for i in range(100)), "", "  üksi  ", "PLÄKATS tuli siia ja läks " * 30]
+    one, two = toxicity._compressors(" sõna1 sõna2 sõna3 tuli siia ja läks".encode() * 5, " pläkats ".encode())
+    column = toxicity.pa.array(texts)
+    data, at = toxicity.text_bytes(column)
+    saved, window_at = toxicity.savings(data, at, one, two)
+    want = []
+    for t in texts:
+        w = [m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", t.encode())]
+        raw = bytes(b + 32 if 65 <= b <= 90 else b for b in t.encode())
+        for i in range(0, len(w), toxicity.WINDOW):
+            part = raw[max(w[i][0] - 1, 0) : w[min(i + toxicity.WINDOW, len(w)) - 1][1]]
+            want.append(len(one.compress(part)) - len(two.compress(part)))
+    assert isinstance(one, zstandard.ZstdCompressor) and saved.tolist() == want
+    assert np.diff(window_at).tolist() == [9, 0, 1, 13]
+
+
+def test_contradicting_and_repeated_labels(spark):
+    rows, labels = judged(300)
+    docs = frame(spark, rows + rows[:40] + [(rows[0][0], "teine tekst sama numbriga")])
+    lab = spark.createDataFrame(labels + labels[:30] + [(i, 1 - q, 1 - t) for i, q, t in labels[:20]], "doc_id long, quality int, toxic int")
+    got = toxicity.score(docs, toxicity.train(docs, lab, F.lit(True))).collect()
+    assert len(got) == 341 and all(0 <= r.score <= 1 for r in got)
+    same = {}
+    for r in got:
+        same.setdefault(r.doc_id, set()).add(round(r.score, 12))
+    assert all(len(same[i]) == 1 for i, _ in rows[1:40])
+    stats = quality.described(docs)
+    assert quality.score(stats, quality.train(stats, lab, F.lit(True))).count() == 341
+    nothing = quality.described(docs.limit(0))
+    assert quality.score(nothing, quality.train(nothing, lab, F.lit(True))).count() == 0
+
+
+def test_toxicity_sample_is_bounded_in_bytes(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "SAMPLE_BYTES", 5000)
+    rows, labels = judged(200)
+    model = toxicity.train(frame(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), F.lit(True))
+    assert len(model.ordinary) <= 5000 and len(toxicity.score(frame(spark, rows), model).collect()) == 200
+
+
 def test_ordinary_windows_come_from_all_documents():
     early = [b" ".join([b"varajane jutt siin"] * 1000) for _ in range(150)]
     late = [b" ".join([b"hiline lugu seal"] * 1000) for _ in range(50)]
@@ -542,6 +585,49 @@ def test_pipeline(spark):
     assert {r.doc_id for r in packed.select("doc_id").distinct().collect()} == {r.doc_id for r in docs.collect()}
 
 
+def test_pipeline_stages_on_odd_documents(spark, tmp_path):
+    """Nulls, empty and very long texts, repeated rows, clashing columns and an empty table, stage by stage; against the operators' own scores and groups."""
+    import corpus_pipeline
+
+    rows, labels = judged(120)
+    long = " ".join(f"{w}{i % 977}" for i, w in enumerate(WORDS * 2000))
+    rows += [*EDGE[:2], EDGE[2], EDGE[4], (6000, long), (6001, long), (6001, long), (6002, rows[3][1]), (None, rows[3][1])]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    lab = spark.read.parquet(str(tmp_path / "labels.parquet"))
+    docs = frame(spark, rows).withColumns({"component_id": F.lit(1), "n_shingles": F.lit("x"), "predicted": F.lit(0)}).coalesce(2)
+    key = lambda r: (r.doc_id, r.text)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns
+        kept = Counter(map(key, out.collect()))
+        had = Counter(map(key, docs.collect()))
+        if name == "toxicity":
+            model = toxicity.train(docs, lab, F.lit(True))
+            bad = {r.doc_id for r in toxicity.score(docs, model).collect() if r.predicted}
+            assert kept == Counter({k: n for k, n in had.items() if k[0] not in bad}) and bad
+        elif name == "ngram_join":
+            sets = sets_of(list(had))
+            for (i, x), (j, y) in ((a, b) for a in sets for b in sets):
+                linked = i is not None and j is not None and x and y and 100 * len(x & y) >= 75 * len(x | y)
+                assert not linked or i == j or not {i, j} <= {k[0] for k in kept}
+            assert all(n == 1 or k[0] is None for k, n in kept.items())
+            gone = [k for k in had if k not in kept]
+            alike = lambda a, b: a and b and 100 * len(a & b) >= 75 * len(a | b)
+            assert all(any(alike(dict(sets)[k[0]], s) for i, s in sets if i != k[0]) for k in gone)
+        else:
+            assert set(kept) <= set(had)
+        docs = spark.createDataFrame(out.collect(), out.schema)
+    last = corpus_pipeline.STAGES[-1][1]
+    assert last(spark, docs.limit(0), str(tmp_path)).count() == 0
+    placed = last(spark, docs, str(tmp_path)).collect()
+    assert Counter(r.doc_id for r in placed if r.start == 0) == Counter(r.doc_id for r in docs.collect())
+    by_sequence = {}
+    for r in placed:
+        by_sequence.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    assert all(sum(n for _, n in p) <= 4096 and [o for o, _ in sorted(p)] == np.cumsum([0, *[n for _, n in sorted(p)]])[:-1].tolist() for p in by_sequence.values())
+
+
 def _restaurants(rows, codes):
     """(context, word) -> customers in the rows of gathered(), each pair once."""
     out = {}
