@@ -1,4 +1,8 @@
-"""The corpus pipeline: toxicity, quality, near-duplicates, packing. Each stage works on all its predecessor kept."""
+"""The corpus pipeline: toxicity, quality, near-duplicates, packing. Each stage works on all its predecessor kept.
+
+In every stage: a null or empty text is a text without words, a very long one is taken whole, extra columns
+stay whatever their names, and an empty table gives an empty one. Where a label contradicts itself both count.
+"""
 
 from __future__ import annotations
 
@@ -14,19 +18,29 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the compression distance doesn't call toxic; labels of all rows may be learnt."""
+    """Documents that the compression distance doesn't call toxic; labels of all rows may be learnt.
+
+    Rows with a null doc_id and repeated rows are judged each by their own text.
+    """
     return toxicity.accept(docs, toxicity.train(docs, _labels(spark, sf_dir), F.lit(True)))
 
 
 def poor_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier keeps."""
+    """Documents that the quality classifier keeps; all labels may be learnt.
+
+    Rows with a null doc_id and repeated rows are judged each by their own text. Without labels all stay.
+    """
     learnt = docs.select("doc_id", "text").join(_labels(spark, sf_dir).select("doc_id").distinct(), "doc_id", "left_semi")
     model = quality.train(stored(quality.described(learnt), "statistics"), _labels(spark, sf_dir), F.lit(True))
     return quality.accept(docs, model)
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest id; of repeated rows of it, one."""
+    """Of each group of linked documents the one with the smallest id; of repeated rows of it, one.
+
+    Texts without words are linked with nothing and stay. Rows with a null doc_id stay all. An id that stands
+    on different texts stays with each of them whose group it leads.
+    """
     found = ngram_join.join(docs)
     kept = found.filter("doc_id is null or doc_id = component_id").select("doc_id").distinct()
     first = docs.filter("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
@@ -34,7 +48,7 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The remaining documents packed into sequences of at most 4096 ids."""
+    """The remaining documents packed into sequences of at most 4096 ids; every row is packed, repeated or without id."""
     import public_tokenizers
 
     placed = packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), keep_ids=False)
