@@ -429,10 +429,8 @@ def stream_append(t: Tables) -> DataFrame:
 def stream_latest_page(t: Tables) -> DataFrame:
     folder = scratch_folder(t.spark, "stream-pages")
     rows = _event_stream(t).select("user_id", "event_id", "event_type", "ts")
-    query = streams.upsert_pages(rows, f"{folder}/out", f"{folder}/checkpoint", ["user_id"], ["ts", "event_id"])
-    query.awaitTermination()
-    last = max(p["batchId"] for p in query.recentProgress)
-    return t.spark.read.parquet(f"{folder}/out/v={last}").select("user_id", "event_id", "event_type")
+    streams.upsert_pages(rows, f"{folder}/out", f"{folder}/checkpoint", ["user_id"], ["ts", "event_id"]).awaitTermination()
+    return streams.latest_pages(t.spark, f"{folder}/out", rows.schema, ["user_id"], ["ts", "event_id"]).select("user_id", "event_id", "event_type")
 
 
 QUERIES, ORACLES = Q.queries, Q.oracles

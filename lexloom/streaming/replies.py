@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from lexloom.operators import replies
 from lexloom.sources.sinks import latest
@@ -21,15 +22,33 @@ def append(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     return stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
 
 
+#: Batches after which the latest rows so far are written as a new base.
+COMPACT = 20
+
+
 def upsert_pages(stream: DataFrame, folder: str, checkpoint: str, key: list[str], order: list[str]) -> StreamingQuery:
-    """Latest row of each key in versioned folders: a batch reads the last version and writes the next one.
+    """Latest row of each key as a log: a batch writes its own latest rows, so its work grows with the batch.
 
-    A repeated batch writes its own version anew, so a restart changes nothing.
+    Every COMPACT batches the log so far becomes a base. A repeated batch writes its own folders anew, so a
+    restart changes nothing. latest_pages reads the result, also of a stream without any row.
     """
+    newest = [F.desc(o) for o in order]
+    none = stream.sparkSession.createDataFrame([], stream.schema)
+    for kind in ("log", "base"):
+        none.write.mode("overwrite").parquet(f"{folder}/{kind}/v=-1")
 
     def merge(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        rows = batch if number == 0 else spark.read.schema(batch.schema).parquet(f"{folder}/v={number - 1}").unionByName(batch)
-        latest(rows, key, [F.desc(o) for o in order]).write.mode("overwrite").parquet(f"{folder}/v={number}")
+        latest(batch, key, newest).write.mode("overwrite").parquet(f"{folder}/log/v={number}")
+        if number % COMPACT == COMPACT - 1:
+            latest_pages(batch.sparkSession, folder, batch.schema, key, order, number).write.mode("overwrite").parquet(f"{folder}/base/v={number}")
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def latest_pages(spark: SparkSession, folder: str, schema: StructType, key: list[str], order: list[str], upto: int = 2**31 - 1) -> DataFrame:
+    """The latest row of each key after batch `upto`: the last base before it and the log since."""
+    table = lambda kind: spark.read.schema(StructType([*schema.fields, StructField("v", IntegerType())])).parquet(f"{folder}/{kind}")
+    base = table("base").filter(F.col("v") < upto)
+    last = max([v for v in (int(f.rstrip("/").split("/v=")[-1].split("/")[0]) for f in base.inputFiles()) if v < upto], default=-1)  # one folder for each COMPACT batches
+    rows = base.filter(F.col("v") == last).unionByName(table("log").filter((F.col("v") > last) & (F.col("v") <= upto)))
+    return latest(rows.drop("v"), key, [F.desc(o) for o in order])

@@ -57,16 +57,21 @@ def test_sinks(spark, tmp_path):
     assert rows(sinks.upsert_latest(old, new, ["page"], [F.desc("ts")]), "page", "v") == [(1, "new"), (2, "two"), (3, "three")]
 
 
-def test_streams_equal_batches(spark, tmp_path):
+@pytest.mark.parametrize("compact", [1, 2, 20])
+def test_streams_equal_batches(spark, tmp_path, monkeypatch, compact):
+    monkeypatch.setattr(streams, "COMPACT", compact)
     df = spark.createDataFrame([(i, i % 3, f"Kasutus: k{i}") for i in range(30)], "id long, page long, reply string").withColumn("ts", F.timestamp_seconds(F.col("id") + 10**9))
     for part in (df.filter("id < 15"), df.filter("id >= 15"), df.filter("id = 3")):
         part.write.mode("append").parquet(str(tmp_path / "in"))
         stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
         streams.append(streams.parsed_replies(stream, "id", "ts", "reply"), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
-        query = streams.upsert_pages(stream, str(tmp_path / "pages"), str(tmp_path / "cp2"), ["page"], ["id"])
-        query.awaitTermination()
+        streams.upsert_pages(stream, str(tmp_path / "pages"), str(tmp_path / "cp2"), ["page"], ["id"]).awaitTermination()
     assert rows(spark.read.parquet(str(tmp_path / "out")), "id", "category") == sorted(((i, f"k{i}") for i in range(30)), key=str)
-    assert rows(spark.read.parquet(str(tmp_path / "pages/v=2")), "page", "id") == [(0, 27), (1, 28), (2, 29)]
+    assert rows(streams.latest_pages(spark, str(tmp_path / "pages"), df.schema, ["page"], ["id"]), "page", "id") == [(0, 27), (1, 28), (2, 29)]
+    (tmp_path / "nothing").mkdir()
+    none = spark.readStream.schema(df.schema).parquet(str(tmp_path / "nothing"))
+    streams.upsert_pages(none, str(tmp_path / "none"), str(tmp_path / "cp3"), ["page"], ["id"]).awaitTermination()
+    assert streams.latest_pages(spark, str(tmp_path / "none"), df.schema, ["page"], ["id"]).count() == 0
 
 
 TEI = '<div type="page"><entry xml:id="a"><form type="lemma"><orth>a</orth></form><sense><cit><quote>A in <placeName>H</placeName></quote></cit><entry xml:id="a_b"><form type="compound"/></entry></sense><usg corresp="#reval">r.</usg></entry></div>'
