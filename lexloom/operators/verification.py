@@ -27,50 +27,56 @@ def verify(sentences: DataFrame, contexts: DataFrame, key: str) -> DataFrame:
     """Adds status. contexts: key, context (a row for each text line or document of the key).
 
     FOUND if the normalised sentence is inside one of its key's normalised contexts; FILE_NOT_FOUND if the
-    key has none; a sentence that is empty once normalised is NOT_FOUND. Join on the key only; a key's
-    contexts are compared row by row, never put together.
+    key has none; a sentence that is empty once normalised is NOT_FOUND. Candidates come from an equi-join on
+    the key and a run of words, so a key with many sentences and texts doesn't compare all of them.
     """
     s = sentences.withColumn("norm", T.normalize_sentence(F.col("sentence")))
-    c = contexts.filter(F.length(F.trim("context")) > 0).select(key, T.normalize_context(F.col("context")).alias("text"))
+    c = contexts.filter(F.length(F.trim("context")) > 0).select(key, T.normalize_context(F.col("context")).alias("t"))
     has = c.select(key).distinct().withColumn("has", F.lit(True))
-    found = s.filter("norm <> ''").select(key, "norm").distinct().join(c, key).filter(F.contains("text", F.col("norm"))).select(key, "norm").distinct().withColumn("hit", F.lit(True))
-    out = s.join(has, key, "left").join(found, [key, "norm"], "left")
+    texts = c.distinct().select(key, F.xxhash64("t").alias("doc"), "t")
+    hit = _found(s.filter("norm <> ''").select(key, "norm").distinct(), texts, [key]).select(key, "norm").distinct().withColumn("hit", F.lit(True))
+    out = s.join(has, key, "left").join(hit, [key, "norm"], "left")
     return out.withColumn("status", F.when(F.col("has").isNull(), FILE_NOT_FOUND).when(F.col("hit"), FOUND).otherwise(NOT_FOUND)).drop("has", "hit", "norm")
 
 
-def verify_anywhere(sentences: DataFrame, docs: DataFrame, key: str, text: str = "text", n: int = 3, gram: int = 4) -> DataFrame:
-    """Adds status and doc (the first document that has it): sentences against all documents.
+def _found(s: DataFrame, d: DataFrame, on: list[str], n: int = 3, gram: int = 4) -> DataFrame:
+    """on..., norm, doc: the texts (on..., doc, t) that hold each sentence (on..., norm), both normalised.
 
     Candidates are found by an equi-join and then checked as substrings. A sentence's first and last word
     may be part of a longer word in a text, so its key is a run of up to n words between them; a sentence
     of one or two words is looked for by the first `gram` characters of its longest word in the distinct
-    words of the documents. Documents give only the runs that some sentence asks for. A sentence without
-    any word is not found.
+    words of the texts. Texts give only the runs that some sentence asks for. A sentence without any word is
+    not found.
     """
     words = lambda c: T.tokens(F.lower(c))
-    s = sentences.select(T.normalize_sentence(F.col("sentence")).alias("norm")).filter("norm <> ''").distinct().withColumn("w", words(F.col("norm")))
+    s = s.withColumn("w", words(F.col("norm")))
     inner = F.slice("w", F.lit(2), F.greatest(F.size("w") - 2, F.lit(0)))
     s = s.withColumn("kind", F.least(F.size(inner), F.lit(n))).withColumn("asked", F.array_join(F.slice(inner, 1, n), " "))
-    d = docs.select(F.col(key).alias("doc"), T.normalize_context(F.col(text)).alias("t"))
-    dw = d.select("doc", words(F.col("t")).alias("w"))
-    asked = s.filter("kind > 0").select("kind", "asked").distinct()
+    dw = d.select(*on, "doc", words(F.col("t")).alias("w"))
+    asked = s.filter("kind > 0").select(*on, "kind", "asked").distinct()
     found = None
     for k in range(1, n + 1):
         keys = F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - k + 1), lambda i: F.array_join(F.slice("w", i, F.lit(k)), " ")))  # noqa: B023
-        rows = dw.filter(F.size("w") >= k).select("doc", F.explode(keys).alias("asked")).withColumn("kind", F.lit(k)).join(asked.filter(F.col("kind") == k), ["kind", "asked"], "left_semi")
+        rows = dw.filter(F.size("w") >= k).select(*on, "doc", F.explode(keys).alias("asked")).withColumn("kind", F.lit(k)).join(asked.filter(F.col("kind") == k), [*on, "kind", "asked"], "left_semi")
         found = rows if found is None else found.unionByName(rows)
-    by_run = s.select("norm", "kind", "asked").join(found, ["kind", "asked"]).select("norm", "doc")
+    by_run = s.select(*on, "norm", "kind", "asked").join(found, [*on, "kind", "asked"]).select(*on, "norm", "doc")
     longest = F.reduce("w", F.lit(""), lambda a, x: F.when(F.length(x) > F.length(a), x).otherwise(a))
-    short = s.filter("kind = 0").select("norm", longest.alias("longest")).withColumn("part", F.substring("longest", 1, gram))
-    own = dw.select("doc", F.explode(F.array_distinct("w")).alias("word"))
-    known = own.select("word").distinct()
+    short = s.filter("kind = 0").select(*on, "norm", longest.alias("longest")).withColumn("part", F.substring("longest", 1, gram))
+    own = dw.select(*on, "doc", F.explode(F.array_distinct("w")).alias("word"))
+    known = own.select(*on, "word").distinct()
     starts = lambda m: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("word") - m + 1), lambda i: F.substring("word", i, F.lit(m))))
     parts = None
     for m in range(1, gram + 1):
-        rows = known.filter(F.length("word") >= m).select("word", F.explode(starts(m)).alias("part"))
+        rows = known.filter(F.length("word") >= m).select(*on, "word", F.explode(starts(m)).alias("part"))
         parts = rows if parts is None else parts.unionByName(rows)
-    by_word = short.join(parts, "part").filter(F.contains("word", F.col("longest"))).select("norm", "word").distinct().join(own, "word").select("norm", "doc")
-    hit = by_run.unionByName(by_word).distinct().join(d, "doc").filter(F.contains("t", F.col("norm"))).groupBy("norm").agg(F.min("doc").alias("doc"))
+    by_word = short.join(parts, [*on, "part"]).filter(F.contains("word", F.col("longest"))).select(*on, "norm", "word").distinct().join(own, [*on, "word"]).select(*on, "norm", "doc")
+    return by_run.unionByName(by_word).distinct().join(d, [*on, "doc"]).filter(F.contains("t", F.col("norm"))).select(*on, "norm", "doc")
+
+
+def verify_anywhere(sentences: DataFrame, docs: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """Adds status and doc (the first document that has it): sentences against all documents."""
+    s = sentences.select(T.normalize_sentence(F.col("sentence")).alias("norm")).filter("norm <> ''").distinct()
+    hit = _found(s, docs.select(F.col(key).alias("doc"), T.normalize_context(F.col(text)).alias("t")), []).groupBy("norm").agg(F.min("doc").alias("doc"))
     out = sentences.withColumn("norm", T.normalize_sentence(F.col("sentence"))).join(hit, "norm", "left")
     return out.withColumn("status", F.when(F.col("doc").isNotNull(), FOUND).otherwise(NOT_FOUND)).drop("norm")
 
