@@ -171,7 +171,8 @@ def knapsack(sizes: np.ndarray, worth: np.ndarray, capacity: int) -> tuple[float
 def generate_columns(sizes: np.ndarray, demand: np.ndarray, capacity: int, rounds: int = 2000) -> list[tuple[np.ndarray, int]]:
     """(pattern, times): column generation for the linear program, rounded; covers the demand exactly.
 
-    sizes: ascending, each with demand over 0. Time depends on the number of sizes alone.
+    sizes: ascending, each with demand over 0. Time depends on the number of sizes alone. Should `rounds` columns
+    not reach the optimum, the basis so far is rounded: the demand is covered all the same, with more padding.
     """
     m = len(sizes)
     if not m:
