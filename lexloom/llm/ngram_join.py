@@ -254,11 +254,11 @@ def _rest(shared: DataFrame, labels: DataFrame, nodes: DataFrame, tested: DataFr
 
 
 def _shared(rows: DataFrame) -> DataFrame:
-    """Of (sig, node, root) those of the buckets in which several components meet, with the bucket's smallest node as hub; of equal buckets one."""
+    """Of (sig, node, root) those of the buckets in which several components meet, with the bucket's smallest node as hub, and its root; of equal buckets one."""
     rows = rows.repartition(partitions(rows.sparkSession), "sig")
-    bucket = rows.groupBy("sig").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"), F.min("node").alias("hub"), F.max("node").alias("last"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high")
+    bucket = rows.groupBy("sig").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"), F.min("node").alias("hub"), F.min_by("root", "node").alias("hub_root"), F.max("node").alias("last"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high")
     # equal buckets, most of a group's, are taken once
-    bucket = bucket.groupBy("n", "x", "hub", "last").agg(F.min("sig").alias("sig")).select("sig", "hub")
+    bucket = bucket.groupBy("n", "x", "hub", "hub_root", "last").agg(F.min("sig").alias("sig")).select("sig", "hub", "hub_root")
     return rows.join(bucket.hint("shuffle_hash"), "sig").distinct()
 
 
@@ -275,8 +275,7 @@ def join(docs: DataFrame, first_level: int | None = FIRST_LEVEL) -> DataFrame:
     with_root = lambda rows: rows.join(label, "node", "left").withColumn("root", F.coalesce("root", "node"))
     later = with_root(one).select("node", "root", F.explode("later").alias("sig"))
     shared = stored(_shared(later.unionByName(with_root(early.select("node", "sig")).select("node", "root", "sig"))), "shared")
-    hub = shared.filter("node = hub").select("hub", F.col("root").alias("hub_root")).distinct()
-    star = stored(shared.join(hub, "hub").filter("root <> hub_root").select(*pair).distinct().join(tested, ["a", "b"], "left_anti"), "star")
+    star = stored(shared.filter("root <> hub_root").select(*pair).distinct().join(tested, ["a", "b"], "left_anti"), "star")
     more = lambda pairs: components(_verified(pairs, nodes, docs).unionAll(label.select(F.col("node").alias("a"), F.col("root").alias("b"))), "a", "b")
     label, tested, shared = more(star), tested.unionAll(star), shared.select("sig", "node")
     for nearest in (True, False):  # the nearest ones first: most of the other pairs then lie in one component
