@@ -27,4 +27,47 @@ WARC = """with p as (select page_id, url, coalesce(html, '') as h from pages), d
 select page_id, strlen(h) as payload_bytes, array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', cast(1 + ((cast('0x' || substr(hex, cast((i // 4) * 5 + 1 as int), 5) as bigint) >> (15 - 5 * (i % 4))) & 31) as int), 1)), '') as payload_digest,
 case when page_id = first then 'response' else 'revisit' end as record_type, case when page_id <> first then first end as refers_to, coalesce(url, '') as url, true as verified from d"""
 
-ORACLES = {"op1_ngram_join": NGRAM_JOIN, "op2_topk": TOP_K, "op3_near_dup": NEAR_DUP, "op6_warc": WARC}
+#: t: one row with the table of crc32, made by its rule.
+_CRC_TABLE = """t as (select list_transform(range(0, 256), lambda i: list_reduce(list_concat([i], range(0, 8)), lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end)) as crc)"""
+
+
+def _crc32(hexed: str, size: str) -> str:
+    """crc32 of bytes given as hex digits and their number, beside t."""
+    return f"xor(4294967295, list_reduce(list_concat([4294967295], list_transform(range(0, {size}), lambda i: cast('0x' || substr({hexed}, cast(2 * i + 1 as int), 2) as bigint))), lambda c, b: xor(crc[cast(1 + (xor(c, b) & 255) as int)], c >> 8)))"
+
+
+SPELLING = f"""with recursive {_CRC_TABLE},
+r as (select coalesce(cast(doc_id as varchar), '') as id, unnest(list_transform(regexp_extract_all(coalesce(text, ''), '[A-Za-z\u00C0-\u00FF]+'), lambda w: translate(w, '{_UPPER}', '{_LOWER}'))) as w from documents),
+g as (select id, w, count(*) as n from r where length(w) >= 5 group by 1, 2),
+x as (select id, w, n, hex(encode(id || ':' || w)) as hx, strlen(id || ':' || w) as size from g),
+h as (select w, n, {_crc32('hx', 'size')} as h from x cross join t),
+o as (select case when h % 97 = 0 then substr(w, 1, cast(h % length(w) as int)) || substr(w, cast(h % length(w) as int) + 2) else w end as word, n from h),
+v as (select word, cast(sum(n) as bigint) as n from o where length(word) >= 5 group by 1 having sum(n) >= 3),
+d as (select word, n, unnest(range(1, length(word) + 1)) as i from v), e as (select word, n, i, substr(word, 1, cast(i as int) - 1) || substr(word, cast(i as int) + 1) as cut from d),
+p as (select a.word as x, b.word as y, b.n as y_n from e a join e b on a.cut = b.cut and a.i = b.i and a.word <> b.word
+union select e.word, v.word, v.n from e join v on e.cut = v.word union select v.word, e.word, e.n from e join v on e.cut = v.word),
+k as (select x, count(*) as n_near, max(y_n) as most from p group by 1), b as (select p.x, n_near, most, min(y) as form from p join k using (x) where y_n = most group by 1, 2, 3),
+f as (select word, n, case when most >= 2 * n then form end as form, cast(coalesce(n_near, 0) as bigint) as n_near, case when most >= 2 * n then most end as form_n from v left join b on x = word),
+path(word, last) as (select word, word from f union all select path.word, f.form from path join f on f.word = path.last where f.form is not null),
+ends as (select path.word, path.last as root from path join f on f.word = path.last where f.form is null)
+select f.word, n, form, root, n_near, form_n from f join ends using (word)"""
+
+CONVERSATION_TRIE = f"""with {_CRC_TABLE},
+own as (select conv_id, row_number() over (partition by conv_id order by turn nulls first) - 1 as k, coalesce(role, '') as role, coalesce(text, '') as text from conversations where conv_id is not null),
+x as (select conv_id, conv_id - conv_id % 100 as source, count(*) as n, hex(encode(cast(conv_id as varchar))) as hx, strlen(cast(conv_id as varchar)) as size from own group by 1),
+c as (select conv_id, source, n, {_crc32('hx', 'size')} % 6 as h from x cross join t),
+z as (select c.conv_id, c.h, least(c.h, coalesce(b.n, 0)) as take from c left join c b on b.conv_id = c.source),
+turns as (select c.conv_id, own.k as pos, role, text from c join own on own.conv_id = c.source and own.k < c.h union all select conv_id, take + k - h, role, text from own join z using (conv_id) where k >= h),
+s as (select conv_id, list({{'r': role, 't': text}} order by pos) as a from turns group by 1), w as (select c.conv_id, coalesce(a, []) as a from c left join s using (conv_id)),
+m as (select conv_id, a, unnest(range(0, len(a) + 1)) as depth from w), q as (select conv_id, depth, len(a) as total, a[:depth] as prefix from m),
+l as (select conv_id, depth, total, min(conv_id) over (partition by depth, prefix) as node, length(prefix[depth].t) as chars from q),
+nodes as (select node, depth, count(*) as n, coalesce(any_value(chars), 0) as chars, coalesce(string_agg(case when total = depth then cast(conv_id as varchar) end, ',' order by conv_id), '') as ends from l group by 1, 2),
+up as (select distinct c.node, c.depth, p.node as parent from l c join l p on p.conv_id = c.conv_id and p.depth = c.depth - 1),
+kids as (select parent as node, depth - 1 as depth, count(*) as n_kids from up group by 1, 2),
+full_nodes as (select nodes.node, nodes.depth, parent, n, chars, ends, coalesce(n_kids, 0) as n_kids from nodes left join kids using (node, depth) left join up on up.node = nodes.node and up.depth = nodes.depth),
+below as (select l.node as above, l.depth as above_depth, f.n_kids, (f.n - 1) * f.chars as saved from full_nodes f join l on l.conv_id = f.node and l.depth <= f.depth),
+sums as (select above as node, above_depth as depth, count(*) filter (n_kids = 0) as n_leaves, sum(saved) as saved from below group by 1, 2)
+select node as conv_id, cast(depth as bigint) as depth, parent as parent_conv_id, cast(n as bigint) as n_convs, cast(n_kids as bigint) as n_children, cast(n_leaves as bigint) as n_leaves, cast(saved as bigint) as saved_tokens, sha256(ends) as ends_sha256
+from full_nodes join sums using (node, depth)"""
+
+ORACLES = {"op1_ngram_join": NGRAM_JOIN, "op2_topk": TOP_K, "op3_near_dup": NEAR_DUP, "op6_warc": WARC, "op12_spelling": SPELLING, "op13_conversation_trie": CONVERSATION_TRIE}

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lexloom.llm.common import stored
 from lexloom.llm.toxicity import held_out
-from lexloom.llm import html_text, lm, near_dup, ngram_join, oracles, packing, quality, sp_codec, topk, toxicity, warc
+from lexloom.llm import conversation_trie, html_text, lm, near_dup, ngram_join, oracles, packing, quality, secrets, sp_codec, spelling, topk, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,6 +71,18 @@ def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.perplexity(_table(spark, sf_dir, "documents"))
 
 
+def op11_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.find_secrets(_table(spark, sf_dir, "documents"))
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(_table(spark, sf_dir, "documents"))
+
+
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie.prefix_trie(_table(spark, sf_dir, "conversations"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -78,7 +90,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op1_ngram_join": op1_ngram_join, "op2_topk": op2_topk, "op3_near_dup": op3_near_dup, "op4_sentencepiece": op4_sentencepiece, "op5_toxicity": op5_toxicity, "op6_warc": op6_warc, "op7_html_text": op7_html_text, "op8_quality": op8_quality, "op9_packing": op9_packing, "op10_lm": op10_lm, "pipeline": pipeline}
+    return {"op1_ngram_join": op1_ngram_join, "op2_topk": op2_topk, "op3_near_dup": op3_near_dup, "op4_sentencepiece": op4_sentencepiece, "op5_toxicity": op5_toxicity, "op6_warc": op6_warc, "op7_html_text": op7_html_text, "op8_quality": op8_quality, "op9_packing": op9_packing, "op10_lm": op10_lm, "op11_secrets": op11_secrets, "op12_spelling": op12_spelling, "op13_conversation_trie": op13_conversation_trie, "pipeline": pipeline}
 
 
 def oracle_sql() -> dict[str, str]:
