@@ -23,10 +23,18 @@ GRAMMAR = (
 # Usage labels by abbreviation.
 LABELS = {"r.": "reval", "d.": "dorpat", "P.": "pärnu", "H.": "harjumaa"}
 
+# The white space characters of Unicode, with the four separators of ASCII.
+SPACE = r"[\x09-\x0D\x1C-\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]"
+
 
 def squeezed(c: Column) -> Column:
     """White space runs become one space; ends are trimmed."""
-    return F.trim(F.regexp_replace(c, r"\s+", " "))
+    return F.trim(F.regexp_replace(c, SPACE + "+", " "))
+
+
+def stripped(c: Column) -> Column:
+    """Without white space at both ends."""
+    return F.regexp_replace(c, rf"^{SPACE}+|{SPACE}+\z", "")
 
 
 def normalize_string(c: Column) -> Column:
@@ -36,16 +44,21 @@ def normalize_string(c: Column) -> Column:
 
 def normalize_sentence(c: Column) -> Column:
     """Trimmed, lower case, without trailing .,!?;: and with white space squeezed."""
-    return squeezed(F.regexp_replace(F.lower(F.trim(c)), r"[.,!?;:]+$", ""))
+    return squeezed(F.regexp_replace(F.lower(stripped(c)), r"[.,!?;:]+\z", ""))
+
+
+def repaired(c: Column) -> Column:
+    """Spaces before commas and full stops, and after apostrophes, taken out."""
+    for was, now in ((" ,", ","), ("' ", "'"), (" .", ".")):
+        c = F.replace(c, F.lit(was), F.lit(now))
+    return c
 
 
 def normalize_context(c: Column) -> Column:
     """Without sentence and paragraph tags, with spaces before signs repaired, squeezed, lower case; in that order."""
     for tag in ("<p>", "</p>", "<s>", "</s>"):
         c = F.replace(c, F.lit(tag), F.lit(""))
-    for was, now in ((" ,", ","), ("' ", "'"), (" .", ".")):
-        c = F.replace(c, F.lit(was), F.lit(now))
-    return F.lower(squeezed(c))
+    return F.lower(squeezed(repaired(c)))
 
 
 def null_to_empty(c: Column) -> Column:

@@ -1,10 +1,10 @@
 """SQL fragments (DuckDB) that several reference texts share; each mirrors a function of lexloom.functions.text."""
 
-SQUEEZE = "trim(regexp_replace({0}, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'))"
+SPACE = r"[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 
 
 def squeezed(c: str) -> str:
-    return SQUEEZE.format(c)
+    return f"trim(regexp_replace({c}, '{SPACE}+', ' ', 'g'))"
 
 
 def sentences(c: str = "text") -> str:
@@ -31,15 +31,13 @@ KEYWORDS = "keywords as (select lc as word from lower_toks where length(lc) >= 5
 #: page (doc_id), seq (from 0), line, of the lines of documents
 ENTRIES = f"lines as (select doc_id as page, unnest(range(0, len(l))) as seq, unnest(l) as line from (select doc_id, {lines()} as l from documents))"
 
-NORM = "trim(regexp_replace(lower(regexp_replace({0}, '[!\"#$%&''()*+,\\-./:;<=>?@\\[\\\\\\]^_`{{|}}~]', '', 'g')), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'))"
-
 
 def norm(c: str) -> str:
-    return NORM.format(c)
+    return squeezed(f"lower(regexp_replace({c}, '[!\"#$%&''()*+,\\-./:;<=>?@\\[\\\\\\]^_`{{|}}~]', '', 'g'))")
 
 
 def norm_sentence(c: str) -> str:
-    return squeezed(f"regexp_replace(lower(trim({c})), '[.,!?;:]+$', '')")
+    return squeezed(f"regexp_replace(lower(regexp_replace({c}, '^{SPACE}+|{SPACE}+$', '', 'g')), '[.,!?;:]+$', '')")
 
 
 def ascii_only(c: str) -> str:

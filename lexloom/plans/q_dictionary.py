@@ -389,7 +389,7 @@ _SECTION = S.squeezed("regexp_replace(regexp_extract(html, '(?s)<{0}(?:\\s[^>]*)
 @Q.add(
     "select page_id, coalesce(case when regexp_matches(html, '(?s)<main(?:\\s[^>]*)?>(.*?)</main>') then '-' end, case when regexp_matches(html, '(?s)<div[^>]*class=\"ad\"[^>]*>(.*?)</div>') and page_id % 2 = 0 then "
     + S.squeezed("regexp_replace(regexp_extract(html, '(?s)<div[^>]*class=\"ad\"[^>]*>(.*?)</div>', 1), '<[^>]*>', ' ', 'g')")
-    + " end, case when regexp_matches(html, '(?s)<footer(?:\\s[^>]*)?>(.*?)</footer>') then " + _SECTION.format("footer") + " end, 'Ei leitud') as section, array_to_string(list_transform(regexp_extract_all(html, '(?s)<li(?:\\s[^>]*)?>(.*?)</li>', 1), lambda x: "
+    + " end, case when regexp_matches(html, '(?s)<footer(?:\\s[^>]*)?>(.*?)</footer>') then " + _SECTION.replace("{0}", "footer") + " end, 'Ei leitud') as section, array_to_string(list_transform(regexp_extract_all(html, '(?s)<li(?:\\s[^>]*)?>(.*?)</li>', 1), lambda x: "
     + S.squeezed("regexp_replace(x, '<[^>]*>', ' ', 'g')") + "), '|') as items from pages"
 )
 def html_sections(t: Tables) -> DataFrame:

@@ -52,14 +52,19 @@ def sanitize_name(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", T.sanitize_name(name).alias("safe"))
 
 
-@Q.add(f"select doc_id, {S.norm('text')} as norm from documents")
+# White space as other editors leave it: no-break and em spaces, a tab after the end sign.
+
+
+@Q.add(f"select doc_id, {S.norm("replace(replace(text, '. ', '.' || chr(8195)), ', ', ',' || chr(160))")} as norm from documents")
 def norm_text(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", T.normalize_string(F.col("text")).alias("norm"))
+    text = F.replace(F.replace("text", F.lit(". "), F.lit(".\u2003")), F.lit(", "), F.lit(",\xa0"))
+    return t.documents.select("doc_id", T.normalize_string(text).alias("norm"))
 
 
-@Q.add(f"with {S.SENTENCES} select doc_id, pos, {S.norm_sentence('sent')} as norm from sents")
+@Q.add(f"with {S.SENTENCES} select doc_id, pos, {S.norm_sentence("replace(sent, ', ', ',' || chr(160)) || chr(9)")} as norm from sents")
 def norm_sentence(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", F.posexplode(T.sentences(F.col("text"))).alias("pos", "sent")).select("doc_id", F.col("pos").cast("long").alias("pos"), T.normalize_sentence(F.col("sent")).alias("norm"))
+    sent = F.concat(F.replace("sent", F.lit(", "), F.lit(",\xa0")), F.lit("\t"))
+    return t.documents.select("doc_id", F.posexplode(T.sentences(F.col("text"))).alias("pos", "sent")).select("doc_id", F.col("pos").cast("long").alias("pos"), T.normalize_sentence(sent).alias("norm"))
 
 
 @Q.add(
