@@ -36,18 +36,59 @@ def dictionary_columns(words: DataFrame, forms: DataFrame, word: str, author: st
 
 
 
+#: Forms up to this length meet words by deletions, longer ones by segments.
+DELETIONS_UPTO = 8
 
-def nearest_form(words: DataFrame, forms: DataFrame, word: str, author: str, k: int = 1, most: int = 3) -> DataFrame:
-    """word, author, form, distance, rank: the k nearest forms of each dictionary within `most` edits.
 
-    Forms must start with the word's letter and have about its length (an equi-join on letter and length);
-    the distance is cut off at `most`. Ties go to the smaller form.
+def _deletions(c: Column, most: int) -> Column:
+    """All distinct strings left when up to `most` characters are taken out."""
+    level, out = F.array(c), F.array(c)
+    for _ in range(most):
+        cut = F.transform(level, lambda x: F.when(F.length(x) > 0, F.transform(F.sequence(F.lit(1), F.length(x)), lambda i: F.concat(F.substring(x, F.lit(1), i - 1), F.substring(x, i + 1, F.length(x))))).otherwise(F.array().cast("array<string>")))
+        level = F.array_distinct(F.flatten(cut))
+        out = F.concat(out, level)
+    return F.array_distinct(out)
+
+
+def _segments(size: Column, most: int) -> Column:
+    """(i, first, width) of most + 1 segments of about equal width of a string of this size; the longer ones last."""
+    n = most + 1
+    narrow, wide = F.floor(size / n), size % n
+    return F.transform(F.sequence(F.lit(0), F.lit(most)), lambda i: F.struct(i.alias("i"), (i * narrow + F.greatest(i - (n - wide), F.lit(0)) + 1).cast("int").alias("first"), (narrow + F.when(i >= n - wide, 1).otherwise(0)).cast("int").alias("width")))
+
+
+def near_forms(words: DataFrame, forms: DataFrame, most: int) -> DataFrame:
+    """word, form, distance: the pairs of words and forms within `most` edits, whatever they start with.
+
+    Candidates come from equi-joins. A pair within `most` edits shares a string of `most` deletions from each,
+    which keys short forms; of most + 1 segments of a form one stands unchanged in the word, shifted no further
+    than the edits before and after it allow, which keys long ones. Forms longer than any word by more than
+    `most` are left out before.
     """
-    w = words.select(word).distinct().withColumn("letter", F.lower(F.substring(word, 1, 1))).withColumn("size", F.explode(F.array(*[F.length(word) + i for i in range(-most, most + 1)])))
-    f = forms.select(author, "form").distinct().withColumn("letter", F.lower(F.substring("form", 1, 1))).withColumn("size", F.length("form"))
-    d = w.join(f, ["letter", "size"]).withColumn("distance", F.levenshtein(F.col(word), F.col("form"), most)).filter("distance >= 0")
-    rank = F.row_number().over(Window.partitionBy(word, author).orderBy("distance", "form"))
-    return d.select(word, author, "form", "distance", rank.alias("rank")).filter(F.col("rank") <= k)
+    words = words.select("word").distinct().withColumn("size", F.length("word"))
+    longest = words.agg(F.max("size")).first()[0] or 0
+    forms = forms.select("form").distinct().withColumn("size", F.length("form")).filter(F.col("size") <= longest + most)
+    pair = lambda j: j.withColumn("distance", F.levenshtein("word", "form", most)).filter("distance >= 0").select("word", "form", "distance")
+
+    cut = lambda d, c: d.select(c, F.explode(_deletions(F.col(c), most)).alias("key"))
+    short = cut(words.filter(F.col("size") <= DELETIONS_UPTO + most), "word").join(cut(forms.filter(F.col("size") <= DELETIONS_UPTO), "form"), "key")
+
+    held = forms.filter(F.col("size") > DELETIONS_UPTO).select("form", "size", F.explode(_segments(F.col("size"), most)).alias("s"))
+    held = held.select("form", "size", "s.i", F.substring("form", F.col("s.first"), F.col("s.width")).alias("key"))
+    sizes = words.select("word", F.col("size").alias("own"), F.explode(F.sequence(F.col("size") - most, F.col("size") + most)).alias("size")).filter(F.col("size") > DELETIONS_UPTO)
+    each = sizes.select("word", "own", "size", F.explode(_segments(F.col("size"), most)).alias("s")).withColumn("more", F.col("own") - F.col("size"))
+    low, high = F.col("s.first") - F.floor((most - F.col("more")) / 2), F.col("s.first") + F.floor((most + F.col("more")) / 2)
+    places = each.withColumns({"low": F.greatest(low, F.lit(1)), "high": F.least(high, F.col("own") - F.col("s.width") + 1)}).filter("low <= high")
+    asked = places.select("word", "size", "s.i", "s.width", F.explode(F.sequence("low", "high")).alias("place")).select("word", "size", "i", F.substring("word", F.col("place").cast("int"), F.col("width")).alias("key"))
+    return pair(short).unionByName(pair(asked.distinct().join(held, ["size", "i", "key"]))).distinct()
+
+
+def nearest_form(words: DataFrame, forms: DataFrame, word: str, author: str, k: int = 1, most: int = 3) -> DataFrame:
+    """word, author, form, distance, rank: the k nearest forms of each dictionary within `most` edits. Ties go to the smaller form."""
+    own = forms.select(author, "form").filter("form is not null").distinct()
+    d = near_forms(words.filter(F.col(word).isNotNull()).select(F.col(word).alias("word")), own, most).join(own, "form")
+    rank = F.row_number().over(Window.partitionBy("word", author).orderBy("distance", "form"))
+    return d.select(F.col("word").alias(word), author, "form", "distance", rank.alias("rank")).filter(F.col("rank") <= k)
 
 
 def variant_lookup(words: DataFrame, dictionary: DataFrame, word: str, entry: str, value: str) -> DataFrame:

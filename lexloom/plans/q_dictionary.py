@@ -352,7 +352,7 @@ def dict_three_way(t: Tables) -> DataFrame:
 
 
 @Q.add(f"""with {_EDITIONS}, {_FORMS}, {_WORDS}, w as (select distinct word from words where word is not null), f as (select distinct author, form from forms where form <> ''),
-d as (select word, author, form, levenshtein(word, form) as distance from w join f on word[1] = form[1] and abs(length(word) - length(form)) <= 3)
+d as (select word, author, form, levenshtein(word, form) as distance from w join f on abs(length(word) - length(form)) <= 3)
 select * from (select word, author, form, distance, row_number() over (partition by word, author order by distance, form) as rank from d where distance <= 3) where rank <= 2""")
 def nearest_form(t: Tables) -> DataFrame:
     n = linking.nearest_form(_words(t).filter("word is not null"), _forms(t), "word", "author", k=2)
