@@ -25,13 +25,14 @@ from __future__ import annotations
 import html as entities
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|[^<]+|<", re.S)
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]|=\s*(?:\"[^\"]*\"|'[^']*')?)*+)(?:>|\Z)|[^<]+|<", re.S)
 ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template textarea title xmp iframe noembed noframes".split())
@@ -39,6 +40,8 @@ BLOCK = frozenset("address article aside blockquote body br caption center dd de
 #: Elements that an opening tag of the key closes, if they are open in the same container.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 HOLDS = frozenset("ul ol dl table tbody thead tfoot tr select".split())
+#: What a search for an element to close stops at; between two that hold there are few others, as each closes its like.
+STOPS = HOLDS.union(*CLOSES.values())
 NOISE_TAGS = frozenset("nav footer aside form script style noscript template iframe button select option textarea input svg canvas object embed dialog menu head title".split())
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert alertdialog".split())
 NOISE_WORDS = frozenset(
@@ -50,10 +53,13 @@ WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
 class Node:
-    __slots__ = ("attributes", "best", "children", "chars", "density", "linked", "links", "noise", "parent", "parts", "plain", "tag", "tags", "total", "under")
+    __slots__ = ("attributes", "best", "block", "children", "chars", "density", "grown", "linked", "links", "marked", "misfits", "noise", "parent", "parts", "plain", "stop", "tag", "tags", "total")
 
     def __init__(self, tag: str, parent: Node | None, attributes: str = "", noise: str = ""):
         self.tag, self.parent, self.attributes, self.noise = tag, parent, attributes, noise
+        #: The nearest node from here up that is a block, and that STOPS names; the root if there is none.
+        self.block = self if parent is None or tag in BLOCK else parent.block
+        self.stop = self if parent is None or tag in STOPS else parent.stop
         self.parts: list[str | Node] = []
         self.children: list[Node] = []
 
@@ -116,6 +122,17 @@ def parse(page: str) -> Node:
     """The tree of a page without noise; never fails."""
     root = Node("body", None)
     at, position, inside = root, 0, 0
+    opened: Counter = Counter()  # elements from the root to here by name: an end tag without a start costs no search
+
+    def up(node: Node) -> Node:
+        """Close all elements up to and including this one."""
+        nonlocal at
+        while True:
+            opened[at.tag] -= 1
+            at, last = at.parent, at
+            if last is node:
+                return at
+
     while position < len(page):
         m = TOKEN.match(page, position)
         position = m.end()
@@ -127,32 +144,25 @@ def parse(page: str) -> Node:
             continue
         tag = tag.lower()
         if closing:
-            node = at
-            while node is not None and node.tag != tag:
-                node = node.parent
-            if node is not None and node is not root:
-                while at is not node:
-                    inside -= at.tag in ("article", "main")
-                    at = at.parent
-                inside -= at.tag in ("article", "main")
-                at = at.parent
+            if opened[tag]:
+                node = at
+                while node.tag != tag:
+                    inside -= node.tag in ("article", "main")
+                    node = node.parent
+                inside -= tag in ("article", "main")
+                up(node)
             continue
         if tag in ("html", "body"):
             continue
         if tag in BLOCK and tag != "br":
-            node, upper = at, CLOSES.get(tag, ())
-            while node is not root and (node.tag not in BLOCK or node.tag == "p"):  # an open paragraph ends here
-                if node.tag == "p":
-                    at = node.parent
+            if at.block.tag == "p":  # an open paragraph ends here
+                up(at.block)
+            upper, node = CLOSES.get(tag), at.stop
+            while upper and node is not root and node.tag not in HOLDS:
+                if node.tag in upper:
+                    up(node)
                     break
-                node = node.parent
-            if upper:
-                node = at
-                while node is not root and node.tag not in HOLDS:
-                    if node.tag in upper:
-                        at = node.parent
-                        break
-                    node = node.parent
+                node = node.parent.stop
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}[\s/>]", re.I).search(page, position)
             position = end.start() if end else len(page)
@@ -166,6 +176,7 @@ def parse(page: str) -> Node:
         at.children.append(node)
         if tag not in VOID and not (attributes.endswith("/") and (tag not in BLOCK or node.noise)):
             at = node
+            opened[tag] += 1
             inside += tag in ("article", "main")
     _prune(root)
     return root
@@ -214,22 +225,24 @@ def _fits(node: Node, threshold: float) -> bool:
     return not node.chars or 2 * node.linked <= node.chars and (node.tag in HEADINGS or node.tag not in BLOCK or node.density >= threshold)
 
 
-def _grown(node: Node, threshold: float, known: dict[int, int], done: set[int]) -> Node:
-    """The node with the headings and dense parts beside it, or the outermost article or last main around it.
+def _grow(order: list[Node], threshold: float) -> None:
+    """Set grown of each node: itself with the headings and dense parts beside it, or the outermost article or last main around it.
 
-    known: of a node above, how many of its children don't fit, counted once; done: nodes that are chosen already.
+    A node grows into its parent if all its siblings fit, and then as far as the parent grows, so one pass from the
+    root down settles all. marked: the first main above a node, or else its outermost article.
     """
-    best, growing = node, True
-    while node.parent is not None and node.parent.parent is not None and (growing or node.under) and id(best) not in done:
-        node, below = node.parent, node
-        if growing and node.tag not in MARKED:
-            if id(node) not in known:
-                known[id(node)] = sum(not _fits(x, threshold) for x in node.children)
-            growing = known[id(node)] == (not _fits(below, threshold))
-        if (growing or node.tag in MARKED) and best.tag != "main":
-            best = node
-            growing = growing and node.tag not in MARKED
-    return best
+    for node in order:
+        above = node.parent
+        node.marked = None if above is None else above if above.tag == "main" or above.tag in MARKED and above.marked is None else above.marked
+        if above is None or above.parent is None or node.tag == "main":
+            node.grown = node
+        elif above.tag in MARKED:
+            node.grown = node.marked
+        elif above.misfits == (not _fits(node, threshold)):
+            node.grown = above.grown
+        else:
+            node.grown = above.marked or node
+        node.misfits = sum(not _fits(x, threshold) for x in node.children)
 
 
 def main_text(page: str | None) -> str:
@@ -244,23 +257,20 @@ def main_text(page: str | None) -> str:
     while above.parent is not None:
         above = above.parent
         threshold = min(threshold, above.density)
-    for node in order:
-        node.under = node.parent is not None and (node.parent.under or node.parent.tag in MARKED)
     for node in reversed(order):  # the node of the largest sum in each subtree
         node.best = node
         for x in node.children:
             if x.best.total > node.best.total:
                 node.best = x.best
-    known: dict[int, int] = {}
-    marked: set[int] = set()
-    first = _grown(main, threshold, known, marked)
-    marked.add(id(first))
+    _grow(order, threshold)
+    first = main.grown
+    marked = {id(first)}
     for node in order:
         if first.tag in MARKED:
             if node.tag == "article" and first.tag == "article" and node.density >= threshold:
                 marked.add(id(node))
         elif node.density >= threshold and node is not root:
-            marked.add(id(_grown(node.best, threshold, known, marked)))
+            marked.add(id(node.best.grown))
     chosen, stack = [], [root]
     while stack:  # outermost first, in page order
         node = stack.pop()
