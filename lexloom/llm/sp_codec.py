@@ -39,6 +39,8 @@ CHUNK, GROUP, CACHE_WORDS = 32_768, 64, 300_000
 SHORT_WORD, BLOCK = (8, 12, 20, 48), 1 << 18
 #: Texts, and chunks of long texts, whose new words are scored together.
 TEXTS, CHUNKS = 1024, 32
+#: Chunks of a long text that are cut together.
+SLICES = 64
 SPACE = "▁"
 LOW = -np.inf
 
@@ -310,13 +312,28 @@ def _short(docs: DataFrame, model: str) -> DataFrame:
     return docs.mapInArrow(run, PARTS)
 
 
+def _sliced(chunk: int, longest: int):
+    """Chunks of escaped texts, each with the longest - 1 characters after it: one pass over a text, a slice at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for key, doc_id, text in zip(*(batch.column(i) for i in range(3)), strict=True):
+                text = text.as_py()
+                size = len(text) + 1  # a sign for a space comes first
+                parts = -(-size // chunk)
+                for first in range(0, parts, SLICES):
+                    some = range(first, min(parts, first + SLICES))
+                    slices = [(SPACE if i == 0 else "") + text[max(0, i * chunk - 1) : (i + 1) * chunk + longest - 2].replace(" ", SPACE) for i in some]
+                    n = len(slices)
+                    columns = [pa.array([key.as_py()] * n, pa.int64()), pa.array([doc_id.as_py()] * n, pa.int64()), pa.array([parts] * n, pa.int64()), pa.array(list(some), pa.int64()), pa.array(slices), pa.array([min(len(x), chunk) for x in slices], pa.int32())]
+                    yield pa.RecordBatch.from_arrays(columns, names=["key", "doc_id", "n_parts", "part", "s", "n"])
+
+    return run
+
+
 def _long(docs: DataFrame, model: str, chunk: int, group: int) -> DataFrame:
     longest = vocabulary(model).longest
-    text = F.concat(F.lit(SPACE), F.replace("text", F.lit(" "), F.lit(SPACE)))
-    parts = F.expr(f"cast(ceil(length(escaped) / {chunk}) as long)")
-    rows = docs.select("doc_id", text.alias("escaped")).withColumn("n_parts", parts).withColumn("key", F.monotonically_increasing_id())
-    rows = rows.select("key", "doc_id", "n_parts", "escaped", F.explode(F.expr("sequence(0L, n_parts - 1)")).alias("part"))
-    rows = rows.withColumn("s", F.expr(f"substring(escaped, cast(part * {chunk} + 1 as int), {chunk + longest - 1})")).withColumn("n", F.expr(f"cast(least(length(s), {chunk}) as int)"))
+    rows = docs.select(F.monotonically_increasing_id().alias("key"), "doc_id", "text").mapInArrow(_sliced(chunk, longest), "key long, doc_id long, n_parts long, part long, s string, n int")
     rows = stored(rows.select("key", "doc_id", "n_parts", "part", "s", "n"), "chunks")  # the key has to stay
 
     def matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
