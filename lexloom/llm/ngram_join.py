@@ -111,26 +111,33 @@ def signatures(s: np.ndarray, first_level: int | None = None) -> tuple[np.ndarra
 
 
 def profile(s: np.ndarray) -> bytes:
-    """Shingles in each of 2^j equal parts of the hash domain, up to 255: half the sum of a difference bounds that of the sets."""
+    """A bit for each of 8 * 2^j equal parts of the hash domain: whether it holds an odd number of shingles.
+
+    A part in which two profiles differ holds a shingle that only one of the sets has, so the bits that differ bound the
+    sets' difference from below, closely as long as differing shingles seldom share a part.
+    """
     bins = 256
     while bins * 2 < len(s) and bins < 65536:
         bins *= 2
-    return np.minimum(np.bincount((s >> U(64 - bins.bit_length() + 1)).astype(np.int64), minlength=bins), 255).astype(np.uint8).tobytes()
+    odd = np.bincount((s & U(8 * bins - 1)).astype(np.int64), minlength=8 * bins) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
 
 
-def _folded(a: bytes, bins: int) -> np.ndarray:
-    """A profile in fewer bins, cut at 255 again like one that was counted in them."""
-    return np.minimum(np.frombuffer(a, np.uint8).astype(np.int16).reshape(bins, -1).sum(1), 255).astype(np.int16)
+def _narrow(a: bytes, width: int) -> bytes:
+    """A profile in fewer bytes: the same as one made with as few."""
+    return a if len(a) == width else np.bitwise_xor.reduce(np.frombuffer(a, np.uint8).reshape(-1, width), 0).tobytes()
 
 
-def _narrow(a: bytes, bins: int) -> bytes:
-    return a if len(a) == bins else _folded(a, bins).astype(np.uint8).tobytes()
+def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Bits in which the rows of a, as 64-bit words, differ from b."""
+    return np.bitwise_count(a ^ b).sum(-1, dtype=np.int64)
 
 
 def _fits(n_a: int, n_b: int, a: bytes, b: bytes) -> bool:
     """Whether sets of these sizes and profiles can link: that takes 7 * difference <= sizes."""
-    bins = min(len(a), len(b))
-    return 7 * int(np.abs(_folded(a, bins) - _folded(b, bins)).sum()) <= n_a + n_b
+    width = min(len(a), len(b))
+    x, y = (np.frombuffer(_narrow(p, width), U) for p in (a, b))
+    return 7 * int(_apart(x, y)) <= n_a + n_b
 
 
 def linked(a: np.ndarray, b: np.ndarray) -> bool:
@@ -231,13 +238,13 @@ def _rest(shared: DataFrame, labels: DataFrame, nodes: DataFrame, tested: DataFr
                 if not len(lefts) or not len(others):
                     continue
                 width = min(len(c["profile"][i]) for i in own)
-                x = np.frombuffer(b"".join(_narrow(c["profile"][i], width) for i in own), np.uint8).reshape(-1, width)
+                x = np.frombuffer(b"".join(_narrow(c["profile"][i], width) for i in own), U).reshape(-1, width // 8)
                 for i in lefts:
                     j = others[(root[others] != root[i]) & (np.minimum(n[others], n[i]) * 4 >= np.maximum(n[others], n[i]) * 3)]
                     if not len(j):
                         continue
-                    one, step = x[i - first].astype(np.int16), max(1, (1 << 20) // width)
-                    apart = np.concatenate([np.abs(x[j[k : k + step] - first] - one).sum(1, dtype=np.int64) for k in range(0, len(j), step)])
+                    one, step = x[i - first], max(1, (1 << 22) // width)
+                    apart = np.concatenate([_apart(x[j[k : k + step] - first], one) for k in range(0, len(j), step)])
                     fits = 7 * apart <= n[j] + n[i]
                     j, apart = j[fits], apart[fits]
                     if nearest and len(j) > 1:
