@@ -6,10 +6,12 @@ import math
 import os
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -718,3 +720,42 @@ def test_predictive_probabilities_sum_to_one():
     for x in asked:
         p = model.price(np.array([x], np.uint64), np.array([len(seen) + 1]), np.append(seen, 39))
         assert (p > 0).all() and abs(p.sum() - 1) < 1e-9
+
+
+@pytest.mark.parametrize("piece", ["<div>", "<b>", "</b>", "<div></b>", "<b><hr>", "<div><li></li>", '<a "', "<a ='", "<p>", "<table><tr><td>", "<!--", "<div><article>", '<div class="ad">', "<div>a", "<section><p>text here</p>"])
+def test_html_of_deep_and_unclosed_elements(piece):
+    """200 kB take about a second, whatever is left open."""
+    began = time.process_time()
+    html_text.main_text("<p>start</p>" + piece * (200_000 // len(piece)) + "x")
+    assert time.process_time() - began < 8
+
+
+def test_html_growth_is_that_of_a_climb():
+    """What a node grows to, against climbing from it."""
+    rng = random.Random(7)
+    tags = "div p b article main section ul li span table tr td h1 a".split()
+    for _ in range(300):
+        page = "".join(rng.choice([f"<{t}>", f"</{t}>", "word ", "some more words here "]) for t in (rng.choice(tags) for _ in range(rng.randrange(1, 60))))
+        root = html_text.parse(page)
+        order = html_text.measure(root)
+        threshold = rng.choice([0.0, 2.0, 8.0])
+        html_text._grow(order, threshold)
+        for node in order:
+            best, growing, at = node, True, node
+            while at.parent is not None and at.parent.parent is not None and best.tag != "main":
+                at, below = at.parent, at
+                growing = growing and (at.tag in html_text.MARKED or all(x is below or html_text._fits(x, threshold) for x in at.children))
+                if growing or at.tag in html_text.MARKED:
+                    best, growing = at, growing and at.tag not in html_text.MARKED
+            assert node.grown is best
+
+
+def test_sentencepiece_chunks_of_a_long_text():
+    """Chunks of the escaped text with what follows them, in one pass."""
+    text = "õ tere " * 3_000_000
+    batch = pa.record_batch({"key": pa.array([5]), "doc_id": pa.array([None], pa.int64()), "text": pa.array([text])})
+    began = time.process_time()
+    rows = [r for b in sp_codec._sliced(32_768, 16)(iter([batch])) for r in zip(*(b.column(i).to_pylist() for i in (3, 4, 5)), strict=True)]
+    assert time.process_time() - began < 10
+    whole = sp_codec.escaped(text)
+    assert rows == [(i, whole[i * 32_768 : (i + 1) * 32_768 + 15], min(32_768, len(whole) - i * 32_768)) for i in range(-(-len(whole) // 32_768))]
