@@ -20,6 +20,10 @@ from pyspark.sql import functions as F
 U = np.uint64
 #: Text handled at once by the vectorised code; one longer document is handled alone.
 SLICE_BYTES = 1 << 20
+BATCH_BYTES = 8 << 20
+_BATCH, _OWN_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
+#: Ids are broadcast up to this many (8 MB).
+BROADCAST_IDS = 500_000
 
 _rng = np.random.default_rng(20240607)
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) | U(1)
@@ -52,6 +56,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def batches_by_bytes(spark: SparkSession) -> None:
+    """Rows cross to Python in batches of at most BATCH_BYTES, unless the session says otherwise: texts differ too much in length to count rows."""
+    if spark.conf.get(_BATCH) == _OWN_BATCH:
+        spark.conf.set(_BATCH, BATCH_BYTES)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -40,13 +40,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lexloom.llm.common import U, components, freed, mix, partitions, runs, slices, stored, words
+from lexloom.llm.common import BROADCAST_IDS, U, components, freed, mix, partitions, runs, slices, stored, words
 
 WORDS, FIRST_LEVEL, EARLY, LEFT_ROWS, RIGHT_ROWS = 5, 24, 4, 2048, 4096
 #: Buckets in which a member looks for its nearest one in the first round; the second round takes all.
 NEAREST_BUCKETS = 4
-#: The ids of the texts to compare are broadcast up to this many, and joined by a shuffle beyond.
-BROADCAST_IDS = 500_000
 _PLACE = np.random.default_rng(5).integers(1, 2**63, 64, dtype=np.uint64) | U(1)
 
 SETS = "doc_id long, n_shingles long, node long, early array<long>, later array<long>, profile binary"

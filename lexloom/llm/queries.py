@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import stored
+from lexloom.llm.common import batches_by_bytes, stored
 from lexloom.llm.toxicity import held_out
 from lexloom.llm import conversation_trie, html_text, lm, near_dup, ngram_join, oracles, packing, quality, secrets, sp_codec, spelling, topk, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    batches_by_bytes(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
