@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexloom.llm import ngram_join, packing, quality, toxicity
-from lexloom.llm.common import stored
+from lexloom.llm.common import BROADCAST_IDS, batches_by_bytes, stored
 
 
 def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,6 +22,7 @@ def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Rows with a null doc_id and repeated rows are judged each by their own text.
     """
+    batches_by_bytes(spark)
     return toxicity.accept(docs, toxicity.train(docs, _labels(spark, sf_dir), F.lit(True)))
 
 
@@ -30,6 +31,7 @@ def poor_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Rows with a null doc_id and repeated rows are judged each by their own text. Without labels all stay.
     """
+    batches_by_bytes(spark)
     statistics = stored(quality.described(docs), "statistics")  # a few numbers a document meet the labels, not texts
     model = quality.train(statistics, _labels(spark, sf_dir), F.lit(True))
     return quality.accept(docs, model)
@@ -39,18 +41,26 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents the one with the smallest id; of repeated rows of it, one.
 
     Texts without words are linked with nothing and stay. Rows with a null doc_id stay all. An id that stands
-    on different texts stays with each of them whose group it leads.
+    on different texts stays with all of them if it leads the group of one.
+
+    Texts stay where they are: the ids to drop are broadcast up to BROADCAST_IDS, and only rows of ids that
+    repeat are compared.
     """
-    found = ngram_join.join(docs)
-    kept = found.filter("doc_id is null or doc_id = component_id").select("doc_id").distinct()
-    first = docs.filter("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return first.unionByName(docs.filter("doc_id is null")).select(*docs.columns)
+    batches_by_bytes(spark)
+    ids = ngram_join.join(docs).filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n"), F.max(F.col("doc_id") == F.col("component_id")).alias("leads"))
+    ids = stored(ids.filter("n > 1 or not leads"), "ids")
+    few = lambda d: F.broadcast(d) if d.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else d
+    kept = docs.join(few(ids.filter("not leads").select("doc_id")), "doc_id", "left_anti")
+    repeated = few(ids.filter("leads and n > 1").select("doc_id"))
+    once, again = kept.join(repeated, "doc_id", "left_anti"), kept.join(repeated, "doc_id", "left_semi")
+    return once.unionByName(again.dropDuplicates(["doc_id", "text"])).select(*docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The remaining documents packed into sequences of at most 4096 ids; every row is packed, repeated or without id."""
     import public_tokenizers
 
+    batches_by_bytes(spark)
     placed = packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), keep_ids=False)
     return placed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
