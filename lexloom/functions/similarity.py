@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -19,6 +20,12 @@ from pyspark.sql import types as T
 
 from lexloom.functions.text import normalize_string
 
+#: Shorter texts from which windows are scored by anti-diagonals; products of lengths up to which the standard library
+#: matches sequences; pairs of equal elements beyond which it does so in less memory.
+WIDE, SMALL, POINTS = 96, 20_000, 4_000_000
+#: Runs that are looked through one by one rather than as arrays.
+FEW = 48
+
 
 def cer(model: Column, truth: Column, denominator: str = "model", distance=F.levenshtein) -> Column:
     """Character error rate of normalised texts: 0 if both are empty, 1 if one is, else distance over length.
@@ -87,13 +94,158 @@ def plain_token_set_ratio(a: str, b: str) -> int:
     return max(plain_ratio(one, two), *((plain_ratio(both, one), plain_ratio(both, two)) if both else (0,)))
 
 
+def crossings(short: str, long: str) -> list[int]:
+    """For each place j of the longer text, a number c[j] such that short has a common subsequence with long[l:r]
+    of as many characters as there are l <= j < r with c[j] < l: one pass for all windows at once."""
+    out = list(range(len(long)))
+    for c in short:
+        carried = -1
+        for j, d in enumerate(long):
+            here = out[j]
+            if c == d or here < carried:
+                out[j], carried = carried, here
+    return out
+
+
+def wide_crossings(short: str, long: str) -> np.ndarray:
+    """The same for long texts: cells of one anti-diagonal don't depend on each other."""
+    a, b = (np.frombuffer(x.encode("utf-32-le", "surrogatepass"), np.uint32) for x in (short[::-1], long))
+    m, n = len(a), len(b)
+    out, carried = np.arange(n), np.full(m, -1)  # carried[k]: of row m - 1 - k
+    for d in range(m + n - 1):  # cells (i, d - i)
+        first, end = max(0, d - n + 1), min(m, d + 1)  # rows
+        low, high = d - end + 1, d - first + 1  # columns, rising as rows fall
+        rows = slice(m - end, m - first)
+        here, with_it = out[low:high], carried[rows]
+        swap = (a[rows] == b[low:high]) | (here < with_it)
+        out[low:high], carried[rows] = np.where(swap, with_it, here), np.where(swap, here, with_it)
+    return out
+
+
 def plain_partial_ratio(a: str, b: str) -> int:
     short, long = sorted((a, b), key=len)
+    n = len(short)
     if not short:
         return 0 if long else 100
-    n = len(short)
-    windows = {long[max(0, i) : i + n] for i in range(1 - n, len(long))}
-    return max(plain_ratio(short, w) for w in windows)
+    if short in long:
+        return 100
+    c = np.asarray(wide_crossings(short, long) if n > WIDE else crossings(short, long))
+    place = np.arange(len(long))
+    step = np.bincount(np.maximum(c + 1, place - n + 1).clip(0), minlength=len(long) + 1) - np.bincount(place + 1, minlength=len(long) + 1)
+    inside = np.cumsum(step)[: len(long)]  # of the windows that start at each place, cut at the end
+    first = np.cumsum(c < 0)[:n]  # of those cut at the start
+    size, cut = np.minimum(n, len(long) - place), np.arange(1, n + 1)[: len(first)]
+    return max(round(200 * int(k) / (n + int(w))) for k, w in {*zip(inside.tolist(), size.tolist(), strict=True), *zip(first.tolist(), cut.tolist(), strict=True)})
+
+
+def _codes(a, b) -> tuple[np.ndarray, np.ndarray]:
+    if isinstance(a, str) and isinstance(b, str):
+        return tuple(np.frombuffer(x.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64) for x in (a, b))
+    known: dict = {}
+    return tuple(np.array([known.setdefault(v, len(known)) for v in x], np.int64) for x in (a, b))
+
+
+def _diagonals(x: np.ndarray, y: np.ndarray) -> np.ndarray | None:
+    """(3, n): first places in x and y and length of the maximal runs of equal elements, of such as are not frequent in y.
+
+    None beyond POINTS pairs of equal elements.
+    """
+    order = np.argsort(y.astype(np.uint16) if len(y) and y.max() < 1 << 16 else y, kind="stable")
+    first = np.flatnonzero(np.diff(y[order], prepend=-1))
+    values, many = y[order[first]], np.diff(np.append(first, len(y)))
+    some = many <= len(y) // 100 + 1 if len(y) >= 200 else np.ones(len(values), bool)
+    places = order[np.repeat(some, many)]
+    values, many = values[some], many[some]
+    if not len(values):
+        return np.zeros((3, 0), np.int64)
+    start = np.cumsum(many) - many
+    at = np.searchsorted(values, x).clip(0, len(values) - 1)
+    place = np.flatnonzero(values[at] == x)
+    each = many[at[place]]
+    if each.sum() > POINTS:
+        return None
+    i = np.repeat(place, each)
+    j = places[np.repeat(start[at[place]] - np.cumsum(each) + each, each) + np.arange(len(i))]
+    line = (j - i) * len(x) + i
+    line.sort()
+    i = line % len(x)
+    first = np.flatnonzero((np.diff(line, prepend=-(1 << 62)) != 1) | (i == 0))  # the next diagonal may go on in number
+    i, apart = i[first], (line[first] - i[first]) // len(x)
+    return np.stack((i, i + apart, np.diff(np.append(first, len(line)))))
+
+
+def _longest(runs: np.ndarray, alo: int, ahi: int, blo: int, bhi: int) -> tuple[tuple[int, int, int] | None, np.ndarray]:
+    """(-length, i, j) of the longest run within a part, and the runs that reach into it."""
+    skip = np.maximum(0, np.maximum(alo - runs[0], blo - runs[1]))
+    left = np.minimum(runs[2], np.minimum(ahi - runs[0], bhi - runs[1])) - skip
+    inside = left > 0
+    runs, skip, left = runs[:, inside], skip[inside], left[inside]
+    if not runs.shape[1]:
+        return None, runs
+    best = np.flatnonzero(left == left.max())
+    p, q = runs[:2, best] + skip[best]
+    k = np.lexsort((q, p))[0]
+    return (-int(left[best[k]]), int(p[k]), int(q[k])), runs
+
+
+def _longest_of_few(runs: list, alo: int, ahi: int, blo: int, bhi: int) -> tuple[tuple[int, int, int] | None, list]:
+    best, inside = None, []
+    for run in runs:
+        i, j, n = run
+        skip = max(0, alo - i, blo - j)
+        left = min(n, ahi - i, bhi - j) - skip
+        if left > 0:
+            inside.append(run)
+            if best is None or (-left, i + skip, j + skip) < best:
+                best = (-left, i + skip, j + skip)
+    return best, inside
+
+
+def matched(a, b) -> int | None:
+    """Elements in blocks of the longest run first, then left and right of it: that of the rarer elements of b (all, if b
+    has fewer than 200), the first in a and then in b, with all equal elements beside it.
+
+    The runs of rarer elements are listed once; a part looks at the longer ones that reach into it, and at single
+    elements, by their order, only where these give no more than one.
+    """
+    runs = _diagonals(*_codes(a, b))
+    if runs is None:
+        return None
+    ones = runs[:2, runs[2] == 1]
+    ones = ones[:, np.lexsort((ones[1], ones[0]))]
+    total, parts = 0, [(0, len(a), 0, len(b), runs[:, runs[2] > 1])]
+    while parts:
+        alo, ahi, blo, bhi, runs = parts.pop()
+        if not isinstance(runs, list):
+            best, runs = _longest(runs, alo, ahi, blo, bhi)
+            runs = runs.T.tolist() if runs.shape[1] <= FEW else runs
+        else:
+            best, runs = _longest_of_few(runs, alo, ahi, blo, bhi)
+        if best is None or best[0] == -1:
+            k, end = np.searchsorted(ones[0], (alo, ahi))
+            within = (ones[1, k:end] >= blo) & (ones[1, k:end] < bhi)
+            if k < end and within[n := int(within.argmax())]:
+                best = min(best or (0, 0, 0), (-1, int(ones[0, k + n]), int(ones[1, k + n])))
+        size, i, j = best or (0, alo, blo)
+        first, second, end = i, j, i - size
+        while first > alo and second > blo and a[first - 1] == b[second - 1]:
+            first, second = first - 1, second - 1
+        shift = second - first
+        while end < ahi and end + shift < bhi and a[end] == b[end + shift]:
+            end += 1
+        if end > first:
+            total += end - first
+            parts += [p for p in ((alo, first, blo, second, runs), (end, ahi, end + shift, bhi, runs)) if p[0] < p[1] and p[2] < p[3]]
+    return total
+
+
+def plain_sequence_similarity(a, b) -> float:
+    """Twice the matched length over both lengths; 1 for two empty sequences."""
+    if len(a) == len(b) and a == b:
+        return 1.0
+    if len(a) * len(b) > SMALL and (n := matched(a, b)) is not None:
+        return 2.0 * n / (len(a) + len(b))
+    return SequenceMatcher(None, a, b).ratio()
 
 
 def _paired(f, kind):
@@ -118,4 +270,4 @@ distance = _paired(plain_distance, T.LongType())
 ratio = _paired(plain_ratio, T.LongType())
 token_set_ratio = _paired(plain_token_set_ratio, T.LongType())
 partial_ratio = _paired(plain_partial_ratio, T.LongType())
-sequence_similarity = _paired(lambda a, b: SequenceMatcher(None, a, b).ratio(), T.DoubleType())
+sequence_similarity = _paired(plain_sequence_similarity, T.DoubleType())

@@ -202,7 +202,7 @@ def similarity_table(runs: DataFrame, truth: DataFrame) -> DataFrame:
 
 
 def _text_similarity(a: str, b: str) -> Column:
-    return M.sequence_similarity(F.split(F.col(a), ""), F.split(F.col(b), ""))
+    return M.sequence_similarity(F.col(a), F.col(b))
 
 
 def similarity_summary(table: DataFrame, by: list[str]) -> DataFrame:
