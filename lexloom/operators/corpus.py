@@ -42,15 +42,20 @@ def concordance(docs: DataFrame, keywords: DataFrame, key: str = "doc_id", text:
     ASKED keywords, which isn't searched token by token, lets all sentences through to the equi-join.
     Returns key, pos, at, word, left_context, keyword, right_context.
     """
-    lemma = lemma or (lambda c: c)
     k = keywords.select("word", F.lower("word").alias("word_lc")).distinct()
     d = docs.select(key, T.sentences(F.col(text)).alias("s"))
-    around = F.transform("s", lambda x, i: F.struct(i.alias("pos"), T.tokens(x).alias("t"), F.slice("s", F.greatest(F.lit(1), i - window + 1), F.least(F.lit(window), i)).alias("left"), F.slice("s", i + 2, F.lit(window)).alias("right")))
+    # tokens first, contexts only of the sentences that are left
+    around = F.transform("s", lambda x, i: F.struct(i.alias("pos"), T.tokens(x).alias("t")))
     if k.limit(ASKED + 1).count() <= ASKED:
         asked = k.agg(F.collect_set("word_lc").alias("asked"))  # at most ASKED words
-        hit = lambda w: F.array_contains("asked", F.lower(w)) | F.array_contains("asked", F.lower(lemma(w)))
+        low_tokens = lambda z: F.transform(z["t"], F.lower)
+        hit = lambda z: F.arrays_overlap("asked", low_tokens(z))
+        if lemma is not None:
+            hit = lambda z: F.arrays_overlap("asked", low_tokens(z)) | F.arrays_overlap("asked", F.transform(z["t"], lambda w: F.lower(lemma(w))))
         d = d.crossJoin(F.broadcast(asked))
-        around = F.filter(around, lambda z: F.exists(z["t"], hit))
+        around = F.filter(around, hit)
+    lemma = lemma or (lambda c: c)
+    around = F.transform(around, lambda z: F.struct(z["pos"].alias("pos"), z["t"].alias("t"), F.slice("s", F.greatest(F.lit(1), z["pos"] - window + 1), F.least(F.lit(window), z["pos"])).alias("left"), F.slice("s", z["pos"] + 2, F.lit(window)).alias("right")))
     d = d.select(key, F.explode(around).alias("z")).select(key, "z.*")
     d = d.select(key, "pos", "t", "left", "right", F.posexplode("t").alias("at", "token"))
     low = F.explode(F.array_distinct(F.array(F.lower("token"), F.lower(lemma(F.col("token"))))))

@@ -63,7 +63,8 @@ def _wanted(t: Tables, keywords: DataFrame) -> DataFrame:
 
 
 def _hit_counts(t: Tables) -> DataFrame:
-    counts = _counts(t)
+    long = corpus.token_rows(t.documents, []).filter(F.length("lc") >= 5)  # no shorter word is asked for
+    counts = written(long.groupBy("lc").agg(F.count("*").alias("n")), "hit-counts")
     return corpus.hits_per_word(_wanted(t, corpus.frequent_words(counts)), counts.select(F.col("lc").alias("word"), "n"))
 
 
