@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexloom.functions import text as T
-from lexloom.operators import corpus, retrieval, runs, verification
+from lexloom.operators import corpus, index, retrieval, runs, verification
 from lexloom.plans import fragments as S
 from lexloom.plans.collection import Queries, Tables
-from lexloom.sources.scratch import written
+from lexloom.sources.scratch import scratch_folder, written
 
 Q = Queries()
 
@@ -55,6 +55,21 @@ def full_context(t: Tables) -> DataFrame:
     return h.groupBy("word").agg(F.count("*").alias("n"), F.count_distinct("c").alias("contexts"), F.sum(F.length("c")).alias("chars"))
 
 
+def _index(t: Tables) -> str:
+    """An index written for some documents and extended by the others."""
+    folder = scratch_folder(t.spark, "index")
+    index.extend(t.documents.filter("doc_id % 2 = 0"), folder, keep=["source"])
+    index.extend(t.documents, folder, keep=["source"])
+    return folder
+
+
+@Q.add(f"with {_HITS} select * from hits")
+def indexed_concordance(t: Tables) -> DataFrame:
+    folder = _index(t)
+    words = corpus.frequent_words(index.counts(t.spark, folder))
+    return index.concordance(t.documents, index.hits(t.spark, folder, words))
+
+
 _WANTED = "wanted as (select word from keywords union all select 'zzmissing' || i from range(3) t(i))"
 
 
@@ -79,6 +94,15 @@ def hits_summary(t: Tables) -> DataFrame:
     return corpus.hits_total(_hit_counts(t))
 
 
+@Q.add(f"with {S.TOKENS}, {S.KEYWORDS}, {_WANTED}, c as (select source, lc, count(*) as n from lower_toks group by 1, 2), size as (select source, count(*) as total from lower_toks group by 1) select word, source, n, round(n * cast(1000000 as double) / total, 6) as relative from wanted join c on lc = word join size using (source)")
+def indexed_counts(t: Tables) -> DataFrame:
+    folder = _index(t)
+    words = _wanted(t, corpus.frequent_words(index.counts(t.spark, folder)))
+    size = t.spark.read.parquet(f"{folder}/documents").groupBy("source").agg(F.sum("tokens").alias("total"))
+    n = index.hits(t.spark, folder, words).groupBy("word", "source").agg(F.count("*").alias("n"))
+    return n.join(size, "source").select("word", "source", "n", F.round(F.col("n") * 1e6 / F.col("total"), 6).alias("relative"))
+
+
 def _ranked_sql(n: int) -> str:
     return f'with {S.TOKENS}, {S.KEYWORDS} select * from (select word, doc_id, pos, "at", row_number() over (partition by word order by doc_id, pos, "at") as id from lower_toks join keywords on lc = word) where id <= {n}'
 
