@@ -87,25 +87,56 @@ def best_match(scored: DataFrame) -> DataFrame:
     return best.select("page", "gt_seq", "b.llm_seq", "b.dist", "b.kind", "b.score")
 
 
-def keyed(rows: DataFrame, key: str, second: str, synonyms: str | None = None) -> DataFrame:
-    """page, seq and the normalised key, second and synonyms: what candidates are scored by."""
-    norm = lambda c: T.normalize_string(T.null_to_empty(F.col(c)))
-    return rows.select("page", "seq", norm(key).alias("key"), norm(second).alias("second"), (norm(synonyms) if synonyms else F.lit("")).alias("synonyms"))
+def keyed(rows: DataFrame, key: str, second: str | None, synonyms: str | None = None) -> DataFrame:
+    """page, seq and the normalised key, second and synonyms: what candidates are scored by. Without a second key there is no second check."""
+    norm = lambda c: T.normalize_string(T.null_to_empty(F.col(c))) if c else F.lit("")
+    return rows.select("page", "seq", norm(key).alias("key"), norm(second).alias("second"), norm(synonyms).alias("synonyms"))
 
 
-def keyed_candidates(truth: DataFrame, model: DataFrame, key: str, second: str, synonyms: str | None = None, window: int = WINDOW) -> DataFrame:
+_NAMES = {"gt_key": "gt.key", "llm_key": "llm.key", "gt_second": "gt.second", "llm_second": "llm.second", "llm_synonyms": "llm.synonyms"}
+
+
+def _named(pairs: DataFrame) -> DataFrame:
+    return pairs.select("page", "bucket", "gt_seq", "llm_seq", "dist", *[F.col(v).alias(k) for k, v in _NAMES.items()])
+
+
+def keyed_candidates(truth: DataFrame, model: DataFrame, key: str, second: str | None, synonyms: str | None = None, window: int = WINDOW) -> DataFrame:
     """band_candidates of rows that were normalised before they met."""
-    pairs = band_candidates(keyed(truth, key, second), keyed(model, key, second, synonyms), window=window)
-    names = {"gt_key": "gt.key", "llm_key": "llm.key", "gt_second": "gt.second", "llm_second": "llm.second", "llm_synonyms": "llm.synonyms"}
-    return pairs.select("page", "bucket", "gt_seq", "llm_seq", "dist", *[F.col(v).alias(k) for k, v in names.items()])
+    return _named(band_candidates(keyed(truth, key, second), keyed(model, key, second, synonyms), window=window))
+
+
+def likely_candidates(truth: DataFrame, model: DataFrame, key: str, second: str | None, synonyms: str | None = None, window: int = WINDOW) -> DataFrame:
+    """Of keyed_candidates those that can be best.
+
+    A pair equal in both keys has 300 less its distance. No other pair with unequal keys has more than 300 less a fifth
+    of its own, similarities being 100 at most, so beside an equal pair at distance d only those nearer than 5 * d can
+    still win. Equal pairs come from an equi-join, and most rows have one at their own place: little is left to score.
+    """
+    g, m = keyed(truth, key, second).filter("key <> ''"), keyed(model, key, second, synonyms)
+    equal = band_candidates(g, m, window=window).filter("gt.key = llm.key")
+    sure = equal.filter("gt.second = llm.second").groupBy("page", F.col("gt_seq").alias("seq")).agg(F.min("dist").alias("sure"))
+    rest = band_candidates(g.join(sure, ["page", "seq"], "left").filter("sure is null or sure > 0"), m, window=window)
+    return _named(equal).unionByName(_named(rest.filter("gt.key <> llm.key and (gt.sure is null or dist < 5 * gt.sure)")))
+
 
+def align_static(truth: DataFrame, model: DataFrame, key: str, second: str | None, synonyms: str | None = None, window: int = WINDOW, **ratios) -> DataFrame:
+    """Best match of each ground-truth row within a window around its own place: no state, any page size.
+
+    Similarities given instead of the usual ones have to be 100 for equal texts, and no more for others.
+    """
+    return best_match(match_score(likely_candidates(truth, model, key, second, synonyms, window), **ratios))
 
-def align_static(truth: DataFrame, model: DataFrame, key: str, second: str, synonyms: str | None = None, window: int = WINDOW, **ratios) -> DataFrame:
-    """Best match of each ground-truth row within a window around its own place: no state, any page size."""
-    return best_match(match_score(keyed_candidates(truth, model, key, second, synonyms, window), **ratios))
+
+def unmatched(rows: DataFrame, matches: DataFrame, seq: str) -> DataFrame:
+    """Rows of one side that no match names: seq is llm_seq for the model's rows, gt_seq for the ground truth's.
+
+    A ground-truth row that align_sequential gives without a model row isn't matched.
+    """
+    taken = matches.filter("llm_seq is not null").select("page", F.col(seq).alias("seq")).distinct()
+    return rows.join(taken, ["page", "seq"], "left_anti")
 
 
-def align_sequential(truth: DataFrame, model: DataFrame, key: str, second: str, synonyms: str | None = None, window: int = WINDOW) -> DataFrame:
+def align_sequential(truth: DataFrame, model: DataFrame, key: str, second: str | None, synonyms: str | None = None, window: int = WINDOW) -> DataFrame:
     """page, gt_seq, llm_seq, kind, score with a window that moves on with the highest match so far.
 
     The window depends on the rows before, so a page is one group; use align_static where a page is too

@@ -106,6 +106,20 @@ def match_score(t: Tables) -> DataFrame:
     return alignment.align_static(*_editions(t), "headword", "equivalent").select("page", "gt_seq", "llm_seq", "kind", "score")
 
 
+@Q.add(f"with {_EDITIONS}, {_BAND}, {_MATCH} select page, seq, headword from llm where not exists (select 1 from best where best.page = llm.page and best.llm_seq = llm.seq)")
+def unmatched_model(t: Tables) -> DataFrame:
+    truth, model = _editions(t)
+    best = alignment.align_static(truth, model, "headword", "equivalent", **_PLAIN)
+    return alignment.unmatched(model, best, "llm_seq").select("page", "seq", "headword")
+
+
+@Q.add(f"with {_EDITIONS}, {_BAND}, {_MATCH} select page, seq, headword from gt where not exists (select 1 from best where best.page = gt.page and best.gt_seq = gt.seq)")
+def unmatched_truth(t: Tables) -> DataFrame:
+    truth, model = _editions(t)
+    best = alignment.align_static(truth, model, "headword", "equivalent", **_PLAIN)
+    return alignment.unmatched(truth, best, "gt_seq").select("page", "seq", "headword")
+
+
 def _cer(a: str, b: str) -> str:
     return f"case when {S.norm(a)} = '' and {S.norm(b)} = '' then cast(0 as double) when {S.norm(a)} = '' or {S.norm(b)} = '' then cast(1 as double) else cast(levenshtein({S.norm(a)}, {S.norm(b)}) as double) / length({S.norm(a)}) end"
 
@@ -120,7 +134,7 @@ def cer_pairs(t: Tables) -> DataFrame:
 _METRICS = f"""{_EDITIONS}, {_BAND}, {_MATCH}, pairs as (select page, 'headword' as field, gh as g, mh as m from best union all select page, 'equivalent', ge, me from best),
 done as (select page, field, count(*) as matched, cast(sum(length({S.norm('g')})) as bigint) as chars, case when sum(length({S.norm('g')})) > 0 then sum({_cer('m', 'g')} * length({S.norm('g')})) / sum(length({S.norm('g')})) end as cer from pairs group by 1, 2),
 fields as (select unnest(['headword', 'equivalent']) as field), gc as (select page, count(*) as n from gt group by 1), mc as (select page, count(*) as n from llm group by 1),
-metrics as (select coalesce(gc.page, mc.page) as page, field, coalesce(gc.n, 0) as gt_count, coalesce(mc.n, 0) as llm_count, coalesce(matched, 0) as matched, coalesce(chars, 0) as chars, round(coalesce(cer, 'nan'), 6) as cer from gc full join mc using (page) cross join fields left join done d on d.page = coalesce(gc.page, mc.page) and d.field = fields.field)""".replace("d.field = fields.field)", "d.field = fields.field)").replace("page, field, coalesce(gc.n", "page, fields.field as field, coalesce(gc.n")
+metrics as (select coalesce(gc.page, mc.page) as page, fields.field as field, coalesce(gc.n, 0) as gt_count, coalesce(mc.n, 0) as llm_count, coalesce(matched, 0) as matched, coalesce(chars, 0) as chars, round(coalesce(cer, 'nan'), 6) as cer from gc full join mc using (page) cross join fields left join done d on d.page = coalesce(gc.page, mc.page) and d.field = fields.field)"""
 
 
 def _metrics(t: Tables) -> DataFrame:
