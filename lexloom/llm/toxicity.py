@@ -1,8 +1,8 @@
 """Toxicity by compression distance: two zstandard dictionaries, windows, calibrated thresholds.
 
 Training takes a bounded sample of labelled documents (SAMPLE_DOCS and SAMPLE_BYTES of each class at most, by
-the hash of their id; of rows that repeat an id the smallest text), which trains two dictionaries: one on ordinary text, one on the words of toxic text that mark
-it, each word with its neighbours counted once, so that copies of a document don't make its words look
+the hash of their id; of rows that repeat an id the smallest text), which trains two dictionaries: one on at most
+ORDINARY_WINDOWS windows of ordinary text, spread over all of it, one on the words of toxic text that mark it, each word with its neighbours counted once, so that copies of a document don't make its words look
 marked. The toxic compressor also holds the ordinary dictionary: text that both know costs both the
 same, and a window's difference in compressed length is what the toxic words save. For calibration each
 of FOLDS parts of the sample is measured with dictionaries of the others: the counts of windows that
@@ -16,6 +16,7 @@ sample every score is that class's smoothed share. Other columns are ignored.
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +25,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import freed, kept_rows, slices, span_hashes, text_bytes, word_spans
+from lexloom.llm.common import freed, give_back, kept_rows, slices, span_hashes, text_bytes, word_spans
 
 #: Documents, and bytes of their texts, of each class that train; the first document is taken whatever its size.
 SAMPLE_DOCS, SAMPLE_BYTES, FOLDS = 2000, 32 << 20, 4
@@ -213,6 +214,9 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, seed: int = 1) ->
     # the sample's share of toxic rows is not that of the labels
     s, t = y.mean(), share.get(1, 0) / sum(share.values())
     weights[-1] += np.log(t / (1 - t)) - np.log(s / (1 - s)) if 0 < s < 1 and 0 < t < 1 else 0
+    del rows, text, data, raw, texts, fold, x  # the driver goes on without the sample
+    gc.collect()
+    give_back()
     return Model(ordinary, toxic, mean, scale, weights)
 
 
