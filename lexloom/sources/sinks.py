@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.window import Window
 
-from lexloom.functions.text import safe_keyword
+from lexloom.sources.concordance_files import ConcordanceFiles
 
 #: Writer options of the dialects in use.
 DIALECTS = {
@@ -21,11 +24,23 @@ def write_delimited(df: DataFrame, path: str, dialect: str = "semicolon_quoted",
 
 
 def write_concordances(hits: DataFrame, folder: str, word: str = "word") -> None:
-    """JSON, CSV and text of the hits, a folder for each keyword; text has the full context alone."""
-    safe = hits.withColumn("keyword_folder", safe_keyword(F.col(word)))
-    safe.write.partitionBy("keyword_folder").json(f"{folder}/json")
-    safe.write.partitionBy("keyword_folder").option("header", True).option("escape", '"').csv(f"{folder}/csv")
-    safe.select("keyword_folder", "full_context").write.partitionBy("keyword_folder").text(f"{folder}/text")
+    """JSON, CSV and text of the hits, a folder for each keyword; text has the full context alone.
+
+    The hits are computed once; the files of all three forms appear together when all tasks are done, beside those of
+    earlier runs, and none if the run fails. The folder has to be one that all executors share.
+    """
+    spark = hits.sparkSession
+    if "://" not in folder and not spark.conf.get("spark.master", "local").startswith("local"):
+        raise ValueError("the folder has to be named with the file system that driver and executors share")
+    spark.dataSource.register(ConcordanceFiles)
+    path = folder if "://" in folder else f"file://{os.path.abspath(folder)}"
+    hits.sortWithinPartitions(word).write.format("concordance_files").option("path", path).option("word", word).mode("append").save()
+
+
+def stream_concordances(hits: DataFrame, folder: str, checkpoint: str, word: str = "word") -> StreamingQuery:
+    """The same of a stream: each batch adds its files once, also if it is repeated. The folder is named with its file system."""
+    hits.sparkSession.dataSource.register(ConcordanceFiles)
+    return hits.writeStream.format("concordance_files").option("path", folder).option("word", word).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def latest(rows: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
