@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from lexloom.functions.text import lines
 
@@ -19,9 +20,8 @@ def keyword_lines(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def read_keywords(spark: SparkSession, path: str) -> DataFrame:
-    """file, pos, word of keyword files; a file is one row, so its line order is sure."""
-    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), "value")
-    return keyword_lines(files, "file", "value")
+    """file, pos (from 1), word of keyword files, in the order of their lines."""
+    return numbered_lines(spark, path).select("file", F.col("line_no").alias("pos"), F.col("text").alias("word"))
 
 
 def without_header(rows: DataFrame, pos: str, value: str, words: tuple[str, ...] = HEADER_WORDS, trim: bool = False) -> DataFrame:
@@ -81,10 +81,25 @@ def read_text_any_encoding(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", decoded(F.col("content")).alias("text"))
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """file, line_no (from 1), text: the trimmed non-blank lines of text files in order.
+
+    Files are read in splits: lines are counted by split, and the counts of a file's splits before give each its first
+    number, so neither a file nor its lines meet in one task.
+    """
+    m = lambda c: F.col(f"_metadata.{c}")
+    rows = spark.read.text(path).select(m("file_path").alias("path"), m("file_name").alias("file"), m("file_block_start").alias("split"), F.trim("value").alias("text")).filter("text <> ''")
+    rows = rows.withColumn("id", F.monotonically_increasing_id())  # rises by one within a split
+    splits = rows.groupBy("path", "split").agg(F.min("id").alias("first"), F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("path").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    splits = splits.select("path", "split", (before - F.col("first") + 1).alias("shift"))
+    return rows.join(splits, ["path", "split"]).select("file", (F.col("id") + F.col("shift")).alias("line_no"), "text")
+
+
 def read_contexts(spark: SparkSession, folder: str, suffix: str = "_full_context_only.txt") -> DataFrame:
     """word, line_no (from 1), text: one file a keyword, its name before the suffix; non-blank trimmed lines."""
-    files = spark.read.text(folder, wholetext=True).select(F.regexp_replace(F.col("_metadata.file_name"), suffix.replace(".", r"\.") + "$", "").alias("word"), "value")
-    return files.select("word", F.posexplode(lines(F.col("value"))).alias("p", "text")).select("word", (F.col("p") + 1).cast("long").alias("line_no"), "text")
+    word = F.regexp_replace("file", suffix.replace(".", r"\.") + "$", "")
+    return numbered_lines(spark, folder).select(word.alias("word"), "line_no", "text")
 
 
 def read_prompt_bank(spark: SparkSession, path: str) -> DataFrame:
