@@ -2,7 +2,8 @@
 
 ratio: round(100 * 2 * LCS / (|a| + |b|)), 100 for two empty texts.
 token_set_ratio: words as sets; the best ratio among (common, common + rest of a), (common, common + rest
-of b) and the two sums; 100 if one set holds the other and both share a word.
+of b) and the two sums; 100 if one set holds the other and both share a word; 0 without words. Texts are
+processed first, as the usual library does by default: ASCII characters alone, lower case, signs as spaces.
 partial_ratio: the best ratio of the shorter text with a window of its length (or cut at an end) in the
 longer one; 0 if just one is empty.
 sequence_similarity: twice the matched length over both lengths, matching longest blocks first.
@@ -10,6 +11,7 @@ sequence_similarity: twice the matched length over both lengths, matching longes
 
 from __future__ import annotations
 
+import re
 from difflib import SequenceMatcher
 
 import numpy as np
@@ -82,8 +84,13 @@ def plain_ratio(a: str, b: str) -> int:
     return round(200 * lcs(a, b) / (len(a) + len(b))) if a or b else 100
 
 
-def plain_token_set_ratio(a: str, b: str) -> int:
-    x, y = set(a.split()), set(b.split())
+def processed_words(text: str) -> list[str]:
+    """Words of the ASCII characters of a text in lower case; other characters go, signs part words."""
+    return re.findall("[a-z0-9_]+", text.encode("ascii", "ignore").decode().lower())
+
+
+def plain_token_set_ratio(a: str, b: str, process: bool = True) -> int:
+    x, y = (set(processed_words(t) if process else t.split()) for t in (a, b))
     if not x or not y:
         return 0
     both = " ".join(sorted(x & y))

@@ -114,7 +114,8 @@ def likely_candidates(truth: DataFrame, model: DataFrame, key: str, second: str
     """
     g, m = keyed(truth, key, second).filter("key <> ''"), keyed(model, key, second, synonyms)
     equal = band_candidates(g, m, window=window).filter("gt.key = llm.key")
-    sure = equal.filter("gt.second = llm.second").groupBy("page", F.col("gt_seq").alias("seq")).agg(F.min("dist").alias("sure"))
+    alike = F.expr("gt.second = llm.second and (gt.second = '' or gt.second rlike '[A-Za-z0-9_]')")  # what is processed away isn't alike
+    sure = equal.filter(alike).groupBy("page", F.col("gt_seq").alias("seq")).agg(F.min("dist").alias("sure"))
     rest = band_candidates(g.join(sure, ["page", "seq"], "left").filter("sure is null or sure > 0"), m, window=window)
     return _named(equal).unionByName(_named(rest.filter("gt.key <> llm.key and (gt.sure is null or dist < 5 * gt.sure)")))
 
@@ -122,7 +123,7 @@ def likely_candidates(truth: DataFrame, model: DataFrame, key: str, second: str
 def align_static(truth: DataFrame, model: DataFrame, key: str, second: str | None, synonyms: str | None = None, window: int = WINDOW, **ratios) -> DataFrame:
     """Best match of each ground-truth row within a window around its own place: no state, any page size.
 
-    Similarities given instead of the usual ones have to be 100 for equal texts, and no more for others.
+    Similarities given instead of the usual ones have to be 100 for equal texts with an ASCII word, and no more for others.
     """
     return best_match(match_score(likely_candidates(truth, model, key, second, synonyms, window), **ratios))
 

@@ -12,7 +12,7 @@ def editions(spark, seed):
     word = lambda: "".join(rng.choice("aeks") for _ in range(rng.randrange(0, 5)))
     truth, model = [], []
     for page in range(6):
-        rows = [(word(), rng.choice(["", word() + " " + word()]), rng.choice(["", word()])) for _ in range(rng.randrange(0, 30))]
+        rows = [(word(), rng.choice(["", word() + " " + word(), "õ", "õä ö"]), rng.choice(["", word()])) for _ in range(rng.randrange(0, 30))]
         truth += [(page, i, *r[:2], None) for i, r in enumerate(rows)]
         shaken = [r if rng.random() < 0.6 else (word(), r[1], r[0]) for r in rows if rng.random() < 0.85]
         for _ in range(3):

@@ -58,3 +58,14 @@ def test_long_texts_of_words():
     b = a[500:2500] + " ".join(rng.choice(words) for _ in range(300)) + a[3000:]
     assert M.plain_sequence_similarity(a, b) == SequenceMatcher(None, a, b).ratio()
     assert M.plain_sequence_similarity(b, a) == SequenceMatcher(None, b, a).ratio()
+
+
+def test_token_set_ratio_of_processed_words():
+    """ASCII characters alone, lower case, signs as spaces; or the words as they are."""
+    assert M.processed_words("Über-Maß, küla_1 !") == ["ber", "ma", "kla_1"]
+    assert M.plain_token_set_ratio("Tere-maailm", "maailm TERE") == 100
+    assert M.plain_token_set_ratio("Tere-maailm", "maailm TERE", process=False) < 100
+    assert M.plain_token_set_ratio("müür", "mur") == M.plain_ratio("mr", "mur")
+    assert M.plain_token_set_ratio("õ", "õ") == 0 and M.plain_token_set_ratio("õ", "õ", process=False) == 100
+    assert M.plain_token_set_ratio("", "") == 0
+    assert M.plain_token_set_ratio("a b", "a b c") == 100
