@@ -7,6 +7,7 @@ continuation bytes are all above 0x7F, so the rule can be applied to bytes.
 from __future__ import annotations
 
 import ctypes
+import os
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -48,6 +49,15 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/lexloom/{name}-{uuid.uuid4().hex}"
 
 
+def with_scheme(spark: SparkSession, folder: str) -> str:
+    """A folder with its file system; one without is local, which only a local master may use."""
+    if "://" in folder:
+        return folder
+    if not spark.conf.get("spark.master", "local").startswith("local"):
+        raise ValueError(f"{folder} doesn't name the file system that driver and executors share")
+    return "file://" + os.path.abspath(folder.removeprefix("file:"))
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write to shared storage and read back: cuts the lineage and survives lost executors."""
     spark = df.sparkSession

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import sys
+from importlib.util import module_from_spec, spec_from_file_location
+from pathlib import Path
+from types import ModuleType
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -84,10 +89,17 @@ def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_trie.prefix_trie(_table(spark, sf_dir, "conversations"))
 
 
-def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import corpus_pipeline
+def _pipeline_module() -> ModuleType:
+    """corpus_pipeline, which stands at the top of the repository, from wherever this is run."""
+    if "corpus_pipeline" not in sys.modules:
+        spec = spec_from_file_location("corpus_pipeline", Path(__file__).parents[2] / "corpus_pipeline.py")
+        sys.modules["corpus_pipeline"] = module = module_from_spec(spec)
+        spec.loader.exec_module(module)
+    return sys.modules["corpus_pipeline"]
 
-    return corpus_pipeline.run(spark, sf_dir)
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pipeline_module().run(spark, sf_dir)
 
 
 def queries() -> dict:

@@ -324,3 +324,64 @@ def test_forests_of_parts_are_the_whole_forest():
             assert nodes(cuts) == nodes([0, len(strings)])
         finally:
             conversation_trie.TaskContext = real
+
+
+# other operators
+
+
+def test_a_damaged_record_stops_the_read(spark, tmp_path):
+    import gzip
+    import io
+
+    from lexloom.llm import warc
+
+    whole = warc.record(1, "u", b"sisu abc", None)
+    damaged = gzip.compress(gzip.decompress(whole).replace(b"sisu abc", b"sisu abd"))
+    assert [good for *_, good in warc.Records(io.BytesIO(whole + damaged), True)] == [True, False]
+    archive = warc.write(spark.createDataFrame([(1, "u", "sisu"), (2, "v", "õ")], "page_id long, url string, html string").coalesce(1)).first()
+    data = spark.read.format("binaryFile").load(f"file://{archive.path}").first().content
+    assert gzip.decompress(data).startswith(b"WARC/1") and sum(1 for _ in warc.Records(io.BytesIO(bytes(data)))) == archive.records  # members, not a file in a member
+    (tmp_path / "a.warc.gz").write_bytes(whole + damaged)
+    manifest = spark.createDataFrame([(str(tmp_path / "a.warc.gz"), f"file://{tmp_path}")], "path string, folder string")
+    with pytest.raises(Exception, match="digest or length differs"):
+        warc.read(manifest).collect()
+
+
+def test_folders_name_their_file_system(spark):
+    from lexloom.llm.common import with_scheme
+
+    assert with_scheme(spark, "/tmp/x") == "file:///tmp/x" and with_scheme(spark, "hdfs://h/x") == "hdfs://h/x"
+    far = type("Session", (), {"conf": type("Conf", (), {"get": staticmethod(lambda *a: "yarn")})})
+    with pytest.raises(ValueError, match="file system"):
+        with_scheme(far, "/tmp/x")
+
+
+def test_quality_is_ridge_on_fourier_features(spark):
+    """The partition-summed equations, solved in one piece from all labelled rows; calibration by bins and pooling."""
+    from lexloom.llm import quality
+
+    rng = random.Random(2)
+    docs = [(i, " ".join(rng.choice(["hea tekst.", "Pikk lause siin,", "aaa", "!!!", "x1", "õ"]) for _ in range(rng.randrange(0, 60))) if i % 3 else "aaa !!! " * rng.randrange(1, 9)) for i in range(240)]
+    labels = spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(0, 240)] + [(1, None), (None, 1)], "doc_id long, quality int")
+    stats = quality.described(documents(spark, docs).repartition(5)).cache()
+    usable = F.col("doc_id") % 5 != 0
+    model = quality.train(stats, labels, usable)
+    rows = stats.join(labels.filter("quality is not null").filter(usable), "doc_id").select("x", "quality", (F.pmod(F.xxhash64("doc_id"), F.lit(4)) == 0).alias("apart")).collect()
+    x, y, apart = (np.array([r[k] for r in rows]) for k in range(3))
+    plain = quality.Model(x.mean(0), x.std(0) + 1e-3)
+    f = plain.features(x[~apart])
+    plain.weights = np.linalg.solve(f.T @ f + quality.RIDGE * len(f) / quality.FEATURES * np.eye(f.shape[1]), f.T @ y[~apart])
+    assert np.allclose(model.mean, plain.mean) and np.allclose(model.scale, plain.scale) and np.allclose(model.weights, plain.weights, atol=1e-6)
+    width = (quality.HIGH - quality.LOW) / quality.BINS
+    at = np.minimum(((plain.raw(x[apart]) - quality.LOW) / width).astype(int), quality.BINS - 1)
+    bins = sorted(set(at.tolist()))
+    share = [(sum(y[apart][at == b]) + 0.5e-3) / ((at == b).sum() + 1e-3) for b in bins]
+    best = []  # the least squares fit that doesn't fall: maxima over starts of minima over ends of means
+    n = [int((at == b).sum()) for b in bins]
+    for k in range(len(bins)):
+        best.append(max(min(np.average(share[i : j + 1], weights=n[i : j + 1]) for j in range(k, len(bins))) for i in range(k + 1)))
+    plain.knots, plain.values = quality.LOW + (np.array(bins) + 0.5) * width, np.clip(best, 0.001, 0.999)
+    every = stats.select("doc_id", "x").collect()
+    want = dict(zip((r.doc_id for r in every), plain.scores(np.array([r.x for r in every])), strict=True))
+    got = {r.doc_id: (r.score, r.predicted) for r in quality.score(stats, model).collect()}
+    assert got.keys() == want.keys() and all(abs(got[i][0] - want[i]) < 1e-6 and got[i][1] == (got[i][0] >= 0.5) for i in want)
