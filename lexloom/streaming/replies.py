@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 from lexloom.operators import replies
@@ -22,15 +25,74 @@ def append(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     return stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
 
 
+_PROVIDER, _ROCKS = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class Latest(StatefulProcessor):
+    """Keeps the latest row of a key, gives it whenever it changes, and forgets a key `keep` milliseconds after its time."""
+
+    def __init__(self, schema: StructType, order: list[str], ts: str, keep: int):
+        self.schema, self.order, self.ts, self.keep = schema, order, ts, keep
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.row = handle, handle.getValueState("latest", self.schema)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        names = self.schema.names
+        rank = lambda row: tuple((row[names.index(c)] is not None, row[names.index(c)] if row[names.index(c)] is not None else 0) for c in self.order)
+        held = best = tuple(self.row.get()) if self.row.exists() else None
+        for batch in rows:
+            for row in batch[names].astype(object).where(batch[names].notna(), None).itertuples(index=False, name=None):
+                row = tuple(x.to_pydatetime() if isinstance(x, pd.Timestamp) else x for x in row)
+                if best is None or rank(row) > rank(best):
+                    best = row
+        if best is not None and best != held:
+            self.row.update(best)
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            if best[names.index(self.ts)] is not None:
+                self.handle.registerTimer(int(pd.Timestamp(best[names.index(self.ts)]).timestamp() * 1000) + self.keep)
+            yield pd.DataFrame([best], columns=names)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.row.clear()
+        yield pd.DataFrame(columns=self.schema.names)
+
+    def close(self) -> None:
+        pass
+
+
+def changed_pages(stream: DataFrame, key: list[str], order: list[str], ts: str, late: str = "1 hour", keep: int = 86_400_000) -> DataFrame:
+    """The latest row of each key whenever it changes, in update mode: a keyed state with timers.
+
+    Rows that are later than `late` are dropped. `order` starts with ts, so that a key that was forgotten after `keep`
+    milliseconds of event time can only come back with a later row: state stays as large as the keys of that time.
+    """
+    if order[0] != ts:
+        raise ValueError("the order has to start with the event time")
+    spark = stream.sparkSession
+    spark.conf.set(_PROVIDER, _ROCKS)  # the only store for such states
+    return stream.withWatermark(ts, late).groupBy(*key).transformWithStateInPandas(Latest(stream.schema, order, ts, keep), stream.schema, "Update", "EventTime")
+
+
 #: Batches after which the latest rows so far are written as a new base.
 COMPACT = 20
 
 
-def upsert_pages(stream: DataFrame, folder: str, checkpoint: str, key: list[str], order: list[str]) -> StreamingQuery:
+def _drop(spark: SparkSession, folders: list[str]) -> None:
+    """Delete folders, in any file system that Spark knows."""
+    for folder in folders:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def upsert_pages(stream: DataFrame, folder: str, checkpoint: str, key: list[str], order: list[str], changes: bool = False) -> StreamingQuery:
     """Latest row of each key as a log: a batch writes its own latest rows, so its work grows with the batch.
 
-    Every COMPACT batches the log so far becomes a base. A repeated batch writes its own folders anew, so a
-    restart changes nothing. latest_pages reads the result, also of a stream without any row.
+    Every COMPACT batches the log so far becomes a base; then what lies before the base before it is deleted, so files
+    stay bounded by the keys and two rounds of batches, and readers have a round's time. A repeated batch writes its own
+    folders anew, so a restart changes nothing. latest_pages reads the result, also of a stream without any row.
+    changes: the stream gives changed rows, as changed_pages does.
     """
     newest = [F.desc(o) for o in order]
     none = stream.sparkSession.createDataFrame([], stream.schema)
@@ -38,11 +100,15 @@ def upsert_pages(stream: DataFrame, folder: str, checkpoint: str, key: list[str]
         none.write.mode("overwrite").parquet(f"{folder}/{kind}/v=-1")
 
     def merge(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
         latest(batch, key, newest).write.mode("overwrite").parquet(f"{folder}/log/v={number}")
         if number % COMPACT == COMPACT - 1:
-            latest_pages(batch.sparkSession, folder, batch.schema, key, order, number).write.mode("overwrite").parquet(f"{folder}/base/v={number}")
+            latest_pages(spark, folder, batch.schema, key, order, number).write.mode("overwrite").parquet(f"{folder}/base/v={number}")
+            before = number - COMPACT
+            _drop(spark, [*(f"{folder}/log/v={v}" for v in range(max(0, before - COMPACT + 1), before + 1)), f"{folder}/base/v={before - COMPACT}"] if before >= 0 else [])
 
-    return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    writer = stream.writeStream.outputMode("update") if changes else stream.writeStream
+    return writer.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def latest_pages(spark: SparkSession, folder: str, schema: StructType, key: list[str], order: list[str], upto: int = 2**31 - 1) -> DataFrame:
