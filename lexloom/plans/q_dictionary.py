@@ -447,4 +447,13 @@ def stream_latest_page(t: Tables) -> DataFrame:
     return streams.latest_pages(t.spark, f"{folder}/out", rows.schema, ["user_id"], ["ts", "event_id"]).select("user_id", "event_id", "event_type")
 
 
+@Q.add("select user_id, event_id, event_type from (select *, row_number() over (partition by user_id order by ts desc, event_id desc) as n from events) where n = 1")
+def stream_latest_state(t: Tables) -> DataFrame:
+    folder = scratch_folder(t.spark, "stream-state")
+    rows = _event_stream(t).select("user_id", "event_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
+    changed = streams.changed_pages(rows, ["user_id"], ["ts", "event_id"], "ts", late="1000 days", keep=1000 * 86_400_000)
+    streams.upsert_pages(changed, f"{folder}/out", f"{folder}/checkpoint", ["user_id"], ["ts", "event_id"], changes=True).awaitTermination()
+    return streams.latest_pages(t.spark, f"{folder}/out", rows.schema, ["user_id"], ["ts", "event_id"]).select("user_id", "event_id", "event_type")
+
+
 QUERIES, ORACLES = Q.queries, Q.oracles

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import pandas as pd
@@ -28,35 +29,40 @@ def append(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
 _PROVIDER, _ROCKS = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+#: How times stand in a row's text.
+_TEXT = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
+
+
 class Latest(StatefulProcessor):
-    """Keeps the latest row of a key, gives it whenever it changes, and forgets a key `keep` milliseconds after its time."""
+    """Keeps the latest row of a key, gives it whenever it changes, and forgets a key `keep` milliseconds after its time.
+
+    A row is a text of all its values, since integers beside nulls would come as floats; what it is ordered by stands
+    beside it without nulls: pairs of whether there is a value, and the value.
+    """
 
-    def __init__(self, schema: StructType, order: list[str], ts: str, keep: int):
-        self.schema, self.order, self.ts, self.keep = schema, order, ts, keep
+    def __init__(self, orders: int, keep: int):
+        self.orders, self.keep = orders, keep
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle, self.row = handle, handle.getValueState("latest", self.schema)
+        self.handle, self.row = handle, handle.getValueState("latest", "row binary")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        names = self.schema.names
-        rank = lambda row: tuple((row[names.index(c)] is not None, row[names.index(c)] if row[names.index(c)] is not None else 0) for c in self.order)
-        held = best = tuple(self.row.get()) if self.row.exists() else None
+        held = best = pickle.loads(self.row.get()[0]) if self.row.exists() else None
         for batch in rows:
-            for row in batch[names].astype(object).where(batch[names].notna(), None).itertuples(index=False, name=None):
-                row = tuple(x.to_pydatetime() if isinstance(x, pd.Timestamp) else x for x in row)
-                if best is None or rank(row) > rank(best):
-                    best = row
-        if best is not None and best != held:
-            self.row.update(best)
+            for rank, row in zip(zip(*(batch[f"{kind}{i}"] for i in range(self.orders) for kind in ("has", "by")), strict=True), batch["row"], strict=True):
+                if best is None or rank > best[0]:
+                    best = (rank, row)
+        if best != held:
+            self.row.update((pickle.dumps(best),))
             for timer in list(self.handle.listTimers()):
                 self.handle.deleteTimer(timer)
-            if best[names.index(self.ts)] is not None:
-                self.handle.registerTimer(int(pd.Timestamp(best[names.index(self.ts)]).timestamp() * 1000) + self.keep)
-            yield pd.DataFrame([best], columns=names)
+            if best[0][0]:
+                self.handle.registerTimer(int(best[0][1].timestamp() * 1000) + self.keep)
+            yield pd.DataFrame({"row": [best[1]]})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         self.row.clear()
-        yield pd.DataFrame(columns=self.schema.names)
+        yield pd.DataFrame({"row": pd.Series([], dtype="object")})
 
     def close(self) -> None:
         pass
@@ -72,7 +78,12 @@ def changed_pages(stream: DataFrame, key: list[str], order: list[str], ts: str,
         raise ValueError("the order has to start with the event time")
     spark = stream.sparkSession
     spark.conf.set(_PROVIDER, _ROCKS)  # the only store for such states
-    return stream.withWatermark(ts, late).groupBy(*key).transformWithStateInPandas(Latest(stream.schema, order, ts, keep), stream.schema, "Update", "EventTime")
+    row = F.to_json(F.struct(*stream.columns), _TEXT | {"ignoreNullFields": "false"}).alias("row")
+    none = lambda c: F.lit("1970-01-01" if stream.schema[c].dataType.typeName() == "date" else 0).cast(stream.schema[c].dataType)
+    ranked = [x for i, c in enumerate(order) for x in (F.col(c).isNotNull().alias(f"has{i}"), F.coalesce(c, none(c)).alias(f"by{i}"))]
+    rows = stream.withWatermark(ts, late).select(*dict.fromkeys([*key, ts]), *ranked, row)
+    changed = rows.groupBy(*key).transformWithStateInPandas(Latest(len(order), keep), "row string", "Update", "EventTime")
+    return changed.select(F.from_json("row", stream.schema, _TEXT).alias("row")).select("row.*")
 
 
 #: Batches after which the latest rows so far are written as a new base.

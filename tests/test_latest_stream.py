@@ -28,9 +28,9 @@ def step(spark, tmp_path, new, **more):
 
 def test_latest_by_state(spark, tmp_path):
     assert step(spark, tmp_path, [(1, at(0), 1, "x"), (1, at(5), 2, None), (2, at(1), 3, "y"), (2, at(1), 4, "y")]) == [(1, 2), (2, 4)]
-    assert step(spark, tmp_path, [(1, at(3), 5, "older"), (3, at(2), 6, None), (2, at(9), 7, "z")]) == [(1, 2), (2, 7), (3, 6)]  # from its checkpoint
-    assert step(spark, tmp_path, [(4, at(1000), 8, "far")]) == [(1, 2), (2, 7), (3, 6), (4, 8)]
-    assert step(spark, tmp_path, [(5, at(1), 9, "too late"), (4, at(1001), 10, "w")]) == [(1, 2), (2, 7), (3, 6), (4, 10)]
+    assert step(spark, tmp_path, [(1, at(3), 5, "older"), (3, at(2), 2**60 + 1, None), (3, at(2), None, None), (2, at(9), 7, "z")]) == [(1, 2), (2, 7), (3, 2**60 + 1)]  # from its checkpoint
+    assert step(spark, tmp_path, [(4, at(1000), 8, "far")]) == [(1, 2), (2, 7), (3, 2**60 + 1), (4, 8)]
+    assert step(spark, tmp_path, [(5, at(1), 9, "too late"), (4, at(1001), 10, "w")]) == [(1, 2), (2, 7), (3, 2**60 + 1), (4, 10)]
 
 
 def test_a_forgotten_key_comes_back_later(spark, tmp_path):
