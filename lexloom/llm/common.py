@@ -68,7 +68,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 def batches_by_bytes(spark: SparkSession) -> None:
     """Rows cross to Python in batches of at most BATCH_BYTES, unless the session says otherwise: texts differ too much in length to count rows."""
-    if spark.conf.get(_BATCH) == _OWN_BATCH:
+    if spark.conf.get(_BATCH, None) == _OWN_BATCH:
         spark.conf.set(_BATCH, BATCH_BYTES)
 
 
