@@ -58,12 +58,23 @@ def with_scheme(spark: SparkSession, folder: str) -> str:
     return "file://" + os.path.abspath(folder.removeprefix("file:"))
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write to shared storage and read back: cuts the lineage and survives lost executors."""
+def stored_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """Write to shared storage and read back, with the folder: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
     path = scratch(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    return stored_at(df, name)[0]
+
+
+def discard(spark: SparkSession, *folders: str) -> None:
+    """Delete stored tables that nothing reads any more, in whatever file system they are."""
+    for folder in folders:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def batches_by_bytes(spark: SparkSession) -> None:
@@ -179,19 +190,23 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
     skew join splits the links of a hub over tasks.
     """
 
-    def kept(edges: DataFrame) -> tuple[DataFrame, tuple[int, int | None]]:
+    spark = links.sparkSession
+
+    def kept(edges: DataFrame) -> tuple[DataFrame, str, tuple[int, int | None]]:
         seen = Observation()
-        table = stored(edges.distinct().observe(seen, F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")), "links")
-        return table, (seen.get["n"], seen.get["x"])
+        table, path = stored_at(edges.distinct().observe(seen, F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")), "links")
+        return table, path, (seen.get["n"], seen.get["x"])
 
-    edges, now = kept(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v"))
+    edges, path, now = kept(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v"))
     while now[0]:
         both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = stored(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
+        least, first = stored_at(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
-        least = stored(large.groupBy("u").agg(F.min("v").alias("m")), "least")
+        least, second = stored_at(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
-        seen, (edges, now) = now, kept(small.select("e.u", "e.v").filter("u <> v"))
+        seen, used = now, (path, first, second)
+        edges, path, now = kept(small.select("e.u", "e.v").filter("u <> v"))
+        discard(spark, *used)
         if now == seen:
             break
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionAll(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lexloom.llm.common import BROADCAST_IDS, U, components, freed, mix, partitions, runs, slices, stored, words
+from lexloom.llm.common import BROADCAST_IDS, U, components, discard, freed, mix, partitions, runs, slices, stored, stored_at, words
 
 WORDS, FIRST_LEVEL, EARLY, LEFT_ROWS, RIGHT_ROWS = 5, 24, 4, 2048, 4096
 #: Buckets in which a member looks for its nearest one in the first round; the second round takes all.
@@ -167,8 +167,8 @@ def sets(docs: DataFrame, first_level: int | None = FIRST_LEVEL) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(freed(run), SETS)
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """Of (a, b) node pairs those that link. Cheap bound first, then the whole texts of the remaining ones."""
+def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> tuple[DataFrame, list[str]]:
+    """Of (a, b) node pairs those that link, and the folders to discard once they are read. Cheap bound first, then the whole texts of the remaining ones."""
     shape = nodes.select("node", "n_shingles", "profile", "doc_id")
     side = lambda x: shape.select(F.col("node").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("profile").alias(f"p_{x}"), F.col("doc_id").alias(f"doc_{x}"))
 
@@ -179,11 +179,11 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
             yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b", "doc_a", "doc_b"])
 
     near = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "p_a", "p_b", "doc_a", "doc_b")
-    near = stored(near.mapInArrow(freed(bound), "a long, b long, doc_a long, doc_b long"), "near")
+    near, used = stored_at(near.mapInArrow(freed(bound), "a long, b long, doc_a long, doc_b long"), "near")
     texts = docs.select(F.col("doc_id").cast("long"), "text").filter("doc_id is not null")
     wanted = near.select(F.col("doc_a").alias("doc_id")).unionAll(near.select(F.col("doc_b").alias("doc_id"))).distinct()
     small = near.limit(BROADCAST_IDS // 2 + 1).count() <= BROADCAST_IDS // 2
-    texts = stored(texts.join(F.broadcast(wanted) if small else wanted, "doc_id", "left_semi"), "near-texts")
+    texts, also = stored_at(texts.join(F.broadcast(wanted) if small else wanted, "doc_id", "left_semi"), "near-texts")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         node_of = lambda s: int(mix(np.array([mix(s).sum(dtype=np.uint64) + U(len(s))], np.uint64)).view(np.int64)[0])
@@ -204,7 +204,7 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
 
     right = near.join(texts.select(F.col("doc_id").alias("doc_b"), F.col("text").alias("text_b")), "doc_b")
     both = right.join(texts.select(F.col("doc_id").alias("doc_a"), F.col("text").alias("text_a")), "doc_a").select("a", "b", "text_b", "text_a")
-    return both.mapInArrow(freed(check), "a long, b long").distinct()
+    return both.mapInArrow(freed(check), "a long, b long").distinct(), [used, also]
 
 
 def _rest(shared: DataFrame, labels: DataFrame, nodes: DataFrame, tested: DataFrame, nearest: bool) -> DataFrame:
@@ -220,9 +220,10 @@ def _rest(shared: DataFrame, labels: DataFrame, nodes: DataFrame, tested: DataFr
     split = count.groupBy("sig").agg(F.max(F.struct("n", "root")).alias("most"), F.sum("n").alias("n"), F.count("*").alias("parts")).filter("parts > 1")
     split = split.select("sig", F.col("most.root").alias("main"), F.expr(f"(n - most.n + {LEFT_ROWS} - 1) div {LEFT_ROWS}").alias("lefts"), F.expr(f"(n + {RIGHT_ROWS} - 1) div {RIGHT_ROWS}").alias("rights"))
     member = member.join(split, "sig").withColumn("g", F.pmod(F.xxhash64("node"), F.col("lefts"))).withColumn("h", F.pmod(F.xxhash64("node", F.lit(1)), F.col("rights")))
-    left = member.filter("root <> main").select("sig", "node", "root", "g", F.explode(F.expr("sequence(0, rights - 1)")).alias("h"), F.lit(True).alias("is_left"))
+    left = member.filter("root <> main")
     if nearest:
-        left = left.withColumn("turn", F.dense_rank().over(Window.partitionBy("node").orderBy("sig"))).filter(F.col("turn") <= NEAREST_BUCKETS).drop("turn")
+        left = left.withColumn("turn", F.row_number().over(Window.partitionBy("node").orderBy("sig"))).filter(F.col("turn") <= NEAREST_BUCKETS)
+    left = left.select("sig", "node", "root", "g", F.explode(F.expr("sequence(0, rights - 1)")).alias("h"), F.lit(True).alias("is_left"))
     right = member.select("sig", "node", "root", F.explode(F.expr("sequence(0, lefts - 1)")).alias("g"), "h", F.lit(False).alias("is_left"))
     meet = left.unionByName(right).join(nodes.select("node", "n_shingles", "profile"), "node")
 
@@ -276,17 +277,24 @@ def join(docs: DataFrame, first_level: int | None = FIRST_LEVEL) -> DataFrame:
     early = stored(_shared(one.select("node", F.col("node").alias("root"), F.explode("early").alias("sig"))), "shared")
     pair = F.col("hub").alias("a"), F.col("node").alias("b")
     tested = stored(early.filter("node <> hub").select(*pair).distinct(), "star")
-    label = components(_verified(tested, nodes, docs), "a", "b")
+
+    def linked_by(pairs: DataFrame, known: DataFrame | None) -> DataFrame:
+        """The components of the pairs that link and of what is known."""
+        links, used = _verified(pairs, nodes, docs)
+        found = components(links if known is None else links.unionAll(known.select(F.col("node").alias("a"), F.col("root").alias("b"))), "a", "b")
+        discard(docs.sparkSession, *used)
+        return found
+
+    label = linked_by(tested, None)
     with_root = lambda rows: rows.join(label, "node", "left").withColumn("root", F.coalesce("root", "node"))
     later = with_root(one).select("node", "root", F.explode("later").alias("sig"))
     shared = stored(_shared(later.unionByName(with_root(early.select("node", "sig")).select("node", "root", "sig"))), "shared")
     star = stored(shared.filter("root <> hub_root").select(*pair).distinct().join(tested, ["a", "b"], "left_anti"), "star")
-    more = lambda pairs: components(_verified(pairs, nodes, docs).unionAll(label.select(F.col("node").alias("a"), F.col("root").alias("b"))), "a", "b")
-    label, tested, shared = more(star), tested.unionAll(star), shared.select("sig", "node")
+    label, tested, shared = linked_by(star, label), tested.unionAll(star), shared.select("sig", "node")
     for nearest in (True, False):  # the nearest ones first: most of the other pairs then lie in one component
         rest = stored(_rest(shared, label, nodes, tested, nearest), "rest")
         if not rest.isEmpty():
-            tested, label = tested.unionAll(rest), more(rest)
+            tested, label = tested.unionAll(rest), linked_by(rest, label)
     member = nodes.select("node", "doc_id").join(label, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = member.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     component = member.join(least, "root").select("node", "component_id")
