@@ -27,6 +27,8 @@ from lexloom.llm.common import freed, partitions, slices, span_hashes, stored, w
 CAPACITY, UNIT, END_ID = 4096, 32, 2
 #: Words that a Python worker keeps the ids of, before it starts anew.
 CACHE_WORDS = 400_000
+#: Text tokenized at once: arrays over its bytes and ids take many times as much of a worker's memory.
+TEXT_BYTES = 1 << 18
 
 PIECES = "doc_id long, start long, length long, doc_tokens long, ids binary"
 
@@ -46,8 +48,8 @@ def _units(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
         return words(data, at, fold=False)
     starts, ends = word_spans(data, at)
     sign = _PUNCT[data]
-    last = np.maximum.accumulate(np.where(sign, -1, np.arange(len(data)))) if len(data) else starts
-    core = last[ends - 1] + 1
+    last = np.maximum.accumulate(np.where(sign, np.int32(-1), np.arange(len(data), dtype=np.int32))) if len(data) else starts
+    core = last[ends - 1].astype(np.int64) + 1
     before = np.maximum(core - 1, 0)
     letter = ((data[before] | 32) >= 97) & ((data[before] | 32) <= 122)
     letter |= (data[np.maximum(core - 2, 0)] == 0xC3) & (data[before] >= 0x80) & (data[before] != 0x97) & (data[before] != 0xB7)
@@ -136,7 +138,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, unit: int
         schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("doc_tokens", pa.int64()), ("ids", pa.binary())])
         for batch in batches:
             doc_ids = batch.column(0).to_pylist()
-            for first, last, data, at in slices(batch.column(1), 2 << 20):
+            for first, last, data, at in slices(batch.column(1), TEXT_BYTES):
                 rows = []
                 for doc_id, ids in zip(doc_ids[first:last], encoder.ids(data, at), strict=True):
                     ids = np.concatenate((ids, end)).astype("<u4")
