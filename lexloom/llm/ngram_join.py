@@ -38,13 +38,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from lexloom.llm.common import BROADCAST_IDS, U, components, discard, freed, mix, partitions, runs, slices, stored, stored_at, words
 
 WORDS, FIRST_LEVEL, EARLY, LEFT_ROWS, RIGHT_ROWS = 5, 24, 4, 2048, 4096
-#: Buckets in which a member looks for its nearest one in the first round; the second round takes all.
-NEAREST_BUCKETS = 4
+#: Candidates in a block that a member gives all in the first round; of more, the nearest one (the name is of an older rule).
+NEAREST_BUCKETS = 64
 _PLACE = np.random.default_rng(5).integers(1, 2**63, 64, dtype=np.uint64) | U(1)
 
 SETS = "doc_id long, n_shingles long, node long, early array<long>, later array<long>, profile binary"
@@ -207,30 +206,38 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> tuple[Data
     return both.mapInArrow(freed(check), "a long, b long").distinct(), [used, also]
 
 
-def _rest(shared: DataFrame, labels: DataFrame, nodes: DataFrame, tested: DataFrame, nearest: bool) -> DataFrame:
-    """Untested pairs of different components in one bucket that the lower bound lets through.
+def _rest(shared: DataFrame, labels: DataFrame, nodes: DataFrame, tested: DataFrame, open_rows: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Untested pairs of different components in one bucket that the lower bound lets through, and (sig, node, main) of members that have more.
 
     Every member outside a bucket's largest component is compared with all members of other components:
     the former are dealt into blocks of LEFT_ROWS, the members into blocks of RIGHT_ROWS, and two blocks
-    meet in one group in memory. With `nearest`, a member gives only the nearest one in each block of a few of its
-    buckets: that only saves work, since the round without it takes all that are left.
+    meet in one group in memory. A member that has more than NEAREST_BUCKETS candidates in a block gives only the nearest one, and
+    has more. With such members as `open_rows` all their pairs that are left are given. A bucket keeps its main
+    component, as it has grown since: a pair that is left then was a candidate of a member outside it that had more.
     """
     member = shared.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
     count = member.groupBy("sig", "root").agg(F.count("*").alias("n"))
     split = count.groupBy("sig").agg(F.max(F.struct("n", "root")).alias("most"), F.sum("n").alias("n"), F.count("*").alias("parts")).filter("parts > 1")
-    split = split.select("sig", F.col("most.root").alias("main"), F.expr(f"(n - most.n + {LEFT_ROWS} - 1) div {LEFT_ROWS}").alias("lefts"), F.expr(f"(n + {RIGHT_ROWS} - 1) div {RIGHT_ROWS}").alias("rights"))
+    split = split.select("sig", F.col("most.root").alias("main"), F.expr("n - most.n").alias("outside"), "n")
+    if open_rows is not None:
+        now = lambda x: labels.select(F.col("node").alias(x), F.col("root").alias(f"{x}_root"))
+        outside = open_rows.join(now("node"), "node", "left").join(now("main"), "main", "left").filter("coalesce(node_root, node) <> coalesce(main_root, main)").select("sig", "node", "main")
+        outside, whole = stored(outside, "open"), split.select("sig", "n")
+        split = outside.groupBy("sig").agg(F.min("main").alias("main"), F.count("*").alias("outside")).join(whole, "sig")
+    split = split.select("sig", "main", F.expr(f"(outside + {LEFT_ROWS} - 1) div {LEFT_ROWS}").alias("lefts"), F.expr(f"(n + {RIGHT_ROWS} - 1) div {RIGHT_ROWS}").alias("rights"))
     member = member.join(split, "sig").withColumn("g", F.pmod(F.xxhash64("node"), F.col("lefts"))).withColumn("h", F.pmod(F.xxhash64("node", F.lit(1)), F.col("rights")))
-    left = member.filter("root <> main")
-    if nearest:
-        left = left.withColumn("turn", F.row_number().over(Window.partitionBy("node").orderBy("sig"))).filter(F.col("turn") <= NEAREST_BUCKETS)
-    left = left.select("sig", "node", "root", "g", F.explode(F.expr("sequence(0, rights - 1)")).alias("h"), F.lit(True).alias("is_left"))
-    right = member.select("sig", "node", "root", F.explode(F.expr("sequence(0, lefts - 1)")).alias("g"), "h", F.lit(False).alias("is_left"))
+    left = member.filter("root <> main") if open_rows is None else member.join(outside.select("sig", "node"), ["sig", "node"], "left_semi")
+    left = left.select("sig", "main", "node", "root", "g", F.explode(F.expr("sequence(0, rights - 1)")).alias("h"), F.lit(True).alias("is_left"))
+    right = member.select("sig", "main", "node", "root", F.explode(F.expr("sequence(0, lefts - 1)")).alias("g"), "h", F.lit(False).alias("is_left"))
     meet = left.unionByName(right).join(nodes.select("node", "n_shingles", "profile"), "node")
 
+    nearest = open_rows is None
+
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for c, groups in runs(batches, ["sig", "g", "h"]):
             node, root, n, is_left = (np.array(c[x]) for x in ("node", "root", "n_shingles", "is_left"))
             out: list[np.ndarray] = []
+            has_more: list[int | None] = []
             for first, end in groups:
                 own = np.arange(first, end)
                 lefts, others = own[is_left[first:end]], own[~is_left[first:end]]
@@ -246,17 +253,22 @@ def _rest(shared: DataFrame, labels: DataFrame, nodes: DataFrame, tested: DataFr
                     apart = np.concatenate([_apart(x[j[k : k + step] - first], one) for k in range(0, len(j), step)])
                     fits = 7 * apart <= n[j] + n[i]
                     j, apart = j[fits], apart[fits]
-                    if nearest and len(j) > 1:
+                    if not len(j):
+                        continue
+                    more = nearest and len(j) > NEAREST_BUCKETS
+                    if more:
                         j = j[np.lexsort((node[j], apart))[:1]]
-                    if len(j):
-                        out.append(np.stack((np.minimum(node[i], node[j]), np.maximum(node[i], node[j]))))
+                    out.append(np.stack((np.minimum(node[i], node[j]), np.maximum(node[i], node[j]))))
+                    has_more += [i if more else None] * len(j)
             if out:
-                pairs = np.unique(np.concatenate(out, 1), axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
+                pairs = np.concatenate(out, 1)
+                more_at = [pa.array([None if i is None else c[x][i] for i in has_more], pa.int64()) for x in ("sig", "node", "main")]
+                table = pa.table([pairs[0], pairs[1], *more_at], names=["a", "b", "sig", "node", "main"])
+                yield from table.group_by(table.column_names).aggregate([]).combine_chunks().to_batches()
 
-    meet = meet.select("sig", "g", "h", "is_left", "node", "root", "n_shingles", "profile").repartition(partitions(shared.sparkSession), "sig", "g", "h").sortWithinPartitions("sig", "g", "h")
-    pairs = meet.mapInArrow(freed(compare), "a long, b long").distinct()
-    return pairs.join(tested, ["a", "b"], "left_anti")
+    meet = meet.select("sig", "g", "h", "is_left", "main", "node", "root", "n_shingles", "profile").repartition(partitions(shared.sparkSession), "sig", "g", "h").sortWithinPartitions("sig", "g", "h")
+    found = stored(meet.mapInArrow(freed(compare), "a long, b long, sig long, node long, main long"), "candidates")
+    return found.select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"), found.select("sig", "node", "main").filter("sig is not null").distinct()
 
 
 def _shared(rows: DataFrame) -> DataFrame:
@@ -291,8 +303,10 @@ def join(docs: DataFrame, first_level: int | None = FIRST_LEVEL) -> DataFrame:
     shared = stored(_shared(later.unionByName(with_root(early.select("node", "sig")).select("node", "root", "sig"))), "shared")
     star = stored(shared.filter("root <> hub_root").select(*pair).distinct().join(tested, ["a", "b"], "left_anti"), "star")
     label, tested, shared = linked_by(star, label), tested.unionAll(star), shared.select("sig", "node")
-    for nearest in (True, False):  # the nearest ones first: most of the other pairs then lie in one component
-        rest = stored(_rest(shared, label, nodes, tested, nearest), "rest")
+    more = None
+    for _ in range(2):  # the nearest ones first: most of the other pairs then lie in one component
+        rest, more = _rest(shared, label, nodes, tested, more)
+        rest = stored(rest, "rest")
         if not rest.isEmpty():
             tested, label = tested.unionAll(rest), linked_by(rest, label)
     member = nodes.select("node", "doc_id").join(label, "node", "left").withColumn("root", F.coalesce("root", "node"))
