@@ -19,9 +19,9 @@ Signatures of the first EARLY parts are looked at first: they link most of a gro
 all signatures only buckets are then taken in which several components meet. So a group costs its size.
 
 Sets are equal, for all purposes, when their 64-bit hashes are; one node stands for all copies. Within
-a bucket nodes are first compared to the smallest one, then only those of different components with
-each other, in blocks, behind an exact lower bound of their difference. Pairs are never listed for a
-whole bucket, and a group of copies costs its size.
+a bucket nodes are first compared to the smallest one, its hub. Then buckets of one hub mostly become one,
+and only nodes of different components are compared with each other, in blocks, behind an exact lower bound
+of their difference. Pairs are never listed for a whole bucket, and a group of copies costs its size.
 
 Links are exact over 64-bit shingle hashes: 100 * intersection >= 75 * union.
 
@@ -44,6 +44,8 @@ from lexloom.llm.common import BROADCAST_IDS, U, components, discard, freed, mix
 WORDS, FIRST_LEVEL, EARLY, LEFT_ROWS, RIGHT_ROWS = 5, 24, 4, 2048, 4096
 #: Candidates in a block that a member gives all in the first round; of more, the nearest one (the name is of an older rule).
 NEAREST_BUCKETS = 64
+#: Times the comparisons that the buckets of a hub take, up to which they are one bucket.
+MERGE_COST = 2
 _PLACE = np.random.default_rng(5).integers(1, 2**63, 64, dtype=np.uint64) | U(1)
 
 SETS = "doc_id long, n_shingles long, node long, early array<long>, later array<long>, profile binary"
@@ -215,15 +217,19 @@ def _rest(shared: DataFrame, labels: DataFrame, nodes: DataFrame, tested: DataFr
     has more. With such members as `open_rows` all their pairs that are left are given. A bucket keeps its main
     component, as it has grown since: a pair that is left then was a candidate of a member outside it that had more.
     """
-    member = shared.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    if open_rows is not None:
+        now = lambda x: labels.select(F.col("node").alias(x), F.col("root").alias(f"{x}_root"))
+        outside = open_rows.join(now("node"), "node", "left").join(now("main"), "main", "left").filter("coalesce(node_root, node) <> coalesce(main_root, main)").select("sig", "node", "main")
+        outside = stored(outside, "open")
+        if outside.isEmpty():
+            return tested.limit(0), outside
+        shared = shared.join(outside.select("sig"), "sig", "left_semi")
+    member = shared.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node")).repartition(partitions(shared.sparkSession), "sig")
     count = member.groupBy("sig", "root").agg(F.count("*").alias("n"))
     split = count.groupBy("sig").agg(F.max(F.struct("n", "root")).alias("most"), F.sum("n").alias("n"), F.count("*").alias("parts")).filter("parts > 1")
     split = split.select("sig", F.col("most.root").alias("main"), F.expr("n - most.n").alias("outside"), "n")
     if open_rows is not None:
-        now = lambda x: labels.select(F.col("node").alias(x), F.col("root").alias(f"{x}_root"))
-        outside = open_rows.join(now("node"), "node", "left").join(now("main"), "main", "left").filter("coalesce(node_root, node) <> coalesce(main_root, main)").select("sig", "node", "main")
-        outside, whole = stored(outside, "open"), split.select("sig", "n")
-        split = outside.groupBy("sig").agg(F.min("main").alias("main"), F.count("*").alias("outside")).join(whole, "sig")
+        split = outside.groupBy("sig").agg(F.min("main").alias("main"), F.count("*").alias("outside")).join(split.select("sig", "n"), "sig")
     split = split.select("sig", "main", F.expr(f"(outside + {LEFT_ROWS} - 1) div {LEFT_ROWS}").alias("lefts"), F.expr(f"(n + {RIGHT_ROWS} - 1) div {RIGHT_ROWS}").alias("rights"))
     member = member.join(split, "sig").withColumn("g", F.pmod(F.xxhash64("node"), F.col("lefts"))).withColumn("h", F.pmod(F.xxhash64("node", F.lit(1)), F.col("rights")))
     left = member.filter("root <> main") if open_rows is None else member.join(outside.select("sig", "node"), ["sig", "node"], "left_semi")
@@ -272,12 +278,25 @@ def _rest(shared: DataFrame, labels: DataFrame, nodes: DataFrame, tested: DataFr
 
 
 def _shared(rows: DataFrame) -> DataFrame:
-    """Of (sig, node, root) those of the buckets in which several components meet, with the bucket's smallest node as hub, and its root; of equal buckets one."""
+    """Of (sig, node, root) those of the buckets in which several components meet, with the bucket's smallest node as hub, its root, and the bucket's size; of equal buckets one. A row can come twice."""
     rows = rows.repartition(partitions(rows.sparkSession), "sig")
     bucket = rows.groupBy("sig").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"), F.min("node").alias("hub"), F.min_by("root", "node").alias("hub_root"), F.max("node").alias("last"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high")
     # equal buckets, most of a group's, are taken once
-    bucket = bucket.groupBy("n", "x", "hub", "hub_root", "last").agg(F.min("sig").alias("sig")).select("sig", "hub", "hub_root")
-    return rows.join(bucket.hint("shuffle_hash"), "sig").distinct()
+    bucket = bucket.groupBy("n", "x", "hub", "hub_root", "last").agg(F.min("sig").alias("sig")).select("sig", "hub", "hub_root", "n")
+    return rows.join(bucket.hint("shuffle_hash"), "sig")
+
+
+def _merged(found: DataFrame) -> DataFrame:
+    """Of (hub, node, sigs, n), n the summed sizes of these buckets, (sig, node) rows of buckets that hold every pair of the given ones.
+
+    The members of a family of texts meet in most of their buckets again, and these mostly have one hub. The buckets of a
+    hub are one, under the hub's name, unless that takes more than MERGE_COST times the comparisons: pairs of a family are
+    then compared once, and a family costs its size and not, for every signature, its size.
+    """
+    one = found.groupBy("hub").agg(F.count("*").alias("members"), F.sum("n").alias("pairs")).filter(F.col("members") * F.col("members") <= MERGE_COST * F.col("pairs"))
+    one = stored(one.select("hub", F.lit(True).alias("whole")), "merged")
+    rows = found.join(one, "hub", "left").withColumn("sigs", F.when(F.col("whole"), F.array("hub")).otherwise(F.col("sigs")))
+    return rows.select(F.explode("sigs").alias("sig"), "node")
 
 
 def join(docs: DataFrame, first_level: int | None = FIRST_LEVEL) -> DataFrame:
@@ -286,23 +305,30 @@ def join(docs: DataFrame, first_level: int | None = FIRST_LEVEL) -> DataFrame:
     known = all_sets.filter("node is not null and doc_id is not null")
     nodes = stored(known.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("profile").alias("profile")), "nodes")
     one = known.groupBy("node").agg(F.first("early").alias("early"), F.first("later").alias("later"))
-    early = stored(_shared(one.select("node", F.col("node").alias("root"), F.explode("early").alias("sig"))), "shared")
+    early = stored(_shared(one.select("node", F.col("node").alias("root"), F.explode("early").alias("sig"))).distinct(), "shared")
     pair = F.col("hub").alias("a"), F.col("node").alias("b")
     tested = stored(early.filter("node <> hub").select(*pair).distinct(), "star")
 
     def linked_by(pairs: DataFrame, known: DataFrame | None) -> DataFrame:
-        """The components of the pairs that link and of what is known."""
+        """The components of the pairs that link and of what is known: only roots are linked anew."""
         links, used = _verified(pairs, nodes, docs)
-        found = components(links if known is None else links.unionAll(known.select(F.col("node").alias("a"), F.col("root").alias("b"))), "a", "b")
+        if known is not None:
+            top = lambda x: known.select(F.col("node").alias(x), F.col("root").alias(f"{x}_root"))
+            links = links.join(top("a"), "a", "left").join(top("b"), "b", "left").select(F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b"))
+        found = components(links, "a", "b")
         discard(docs.sparkSession, *used)
-        return found
+        if known is None or found.isEmpty():
+            return found if known is None else known
+        grown = known.join(found.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+        return stored(grown.unionByName(found.join(known, "node", "left_anti")), "labels")
 
     label = linked_by(tested, None)
     with_root = lambda rows: rows.join(label, "node", "left").withColumn("root", F.coalesce("root", "node"))
     later = with_root(one).select("node", "root", F.explode("later").alias("sig"))
-    shared = stored(_shared(later.unionByName(with_root(early.select("node", "sig")).select("node", "root", "sig"))), "shared")
-    star = stored(shared.filter("root <> hub_root").select(*pair).distinct().join(tested, ["a", "b"], "left_anti"), "star")
-    label, tested, shared = linked_by(star, label), tested.unionAll(star), shared.select("sig", "node")
+    found = _shared(later.unionByName(with_root(early.select("node", "sig")).select("node", "root", "sig")))
+    found = stored(found.groupBy("hub", "node", "hub_root", "root").agg(F.collect_set("sig").alias("sigs"), F.sum("n").alias("n")), "shared")
+    star = stored(found.filter("root <> hub_root").select(*pair).join(tested, ["a", "b"], "left_anti"), "star")
+    label, tested, shared = linked_by(star, label), tested.unionAll(star), stored(_merged(found), "buckets")
     more = None
     for _ in range(2):  # the nearest ones first: most of the other pairs then lie in one component
         rest, more = _rest(shared, label, nodes, tested, more)
