@@ -232,21 +232,26 @@ def _rest(shared: DataFrame, labels: DataFrame, nodes: DataFrame, tested: DataFr
         split = outside.groupBy("sig").agg(F.min("main").alias("main"), F.count("*").alias("outside")).join(split.select("sig", "n"), "sig")
     split = split.select("sig", "main", F.expr(f"(outside + {LEFT_ROWS} - 1) div {LEFT_ROWS}").alias("lefts"), F.expr(f"(n + {RIGHT_ROWS} - 1) div {RIGHT_ROWS}").alias("rights"))
     member = member.join(split, "sig").withColumn("g", F.pmod(F.xxhash64("node"), F.col("lefts"))).withColumn("h", F.pmod(F.xxhash64("node", F.lit(1)), F.col("rights")))
-    left = member.filter("root <> main") if open_rows is None else member.join(outside.select("sig", "node"), ["sig", "node"], "left_semi")
-    left = left.select("sig", "main", "node", "root", "g", F.explode(F.expr("sequence(0, rights - 1)")).alias("h"), F.lit(True).alias("is_left"))
-    right = member.select("sig", "main", "node", "root", F.explode(F.expr("sequence(0, lefts - 1)")).alias("g"), "h", F.lit(False).alias("is_left"))
-    meet = left.unionByName(right).join(nodes.select("node", "n_shingles", "profile"), "node")
+    if open_rows is None:
+        member = member.withColumn("out", F.col("root") != F.col("main"))
+    else:
+        member = member.join(outside.select("sig", "node", F.lit(True).alias("out")), ["sig", "node"], "left").withColumn("out", F.coalesce("out", F.lit(False)))
+    # a row for each block of a member; in its own two blocks one row compares and is compared with
+    right = member.withColumnRenamed("g", "own_g").select("sig", "main", "node", "root", F.explode(F.expr("sequence(0, lefts - 1)")).alias("g"), "h", "own_g", "out")
+    right = right.select("sig", "main", "node", "root", "g", "h", F.expr("out and g = own_g").alias("is_left"), F.lit(True).alias("is_right"))
+    left = member.filter("out and rights > 1").select("sig", "main", "node", "root", "g", F.explode(F.expr("filter(sequence(0, rights - 1), x -> x <> h)")).alias("h"), F.lit(True).alias("is_left"), F.lit(False).alias("is_right"))
+    meet = right.unionByName(left).join(nodes.select("node", "n_shingles", "profile"), "node")
 
     nearest = open_rows is None
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for c, groups in runs(batches, ["sig", "g", "h"]):
-            node, root, n, is_left = (np.array(c[x]) for x in ("node", "root", "n_shingles", "is_left"))
+            node, root, n, is_left, is_right = (np.array(c[x]) for x in ("node", "root", "n_shingles", "is_left", "is_right"))
             out: list[np.ndarray] = []
             has_more: list[int | None] = []
             for first, end in groups:
                 own = np.arange(first, end)
-                lefts, others = own[is_left[first:end]], own[~is_left[first:end]]
+                lefts, others = own[is_left[first:end]], own[is_right[first:end]]
                 if not len(lefts) or not len(others):
                     continue
                 width = min(len(c["profile"][i]) for i in own)
@@ -272,7 +277,7 @@ def _rest(shared: DataFrame, labels: DataFrame, nodes: DataFrame, tested: DataFr
                 table = pa.table([pairs[0], pairs[1], *more_at], names=["a", "b", "sig", "node", "main"])
                 yield from table.group_by(table.column_names).aggregate([]).combine_chunks().to_batches()
 
-    meet = meet.select("sig", "g", "h", "is_left", "main", "node", "root", "n_shingles", "profile").repartition(partitions(shared.sparkSession), "sig", "g", "h").sortWithinPartitions("sig", "g", "h")
+    meet = meet.select("sig", "g", "h", "is_left", "is_right", "main", "node", "root", "n_shingles", "profile").repartition(partitions(shared.sparkSession), "sig", "g", "h").sortWithinPartitions("sig", "g", "h")
     found = stored(meet.mapInArrow(freed(compare), "a long, b long, sig long, node long, main long"), "candidates")
     return found.select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"), found.select("sig", "node", "main").filter("sig is not null").distinct()
 
