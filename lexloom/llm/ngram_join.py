@@ -46,6 +46,8 @@ WORDS, FIRST_LEVEL, EARLY, LEFT_ROWS, RIGHT_ROWS = 5, 24, 4, 2048, 4096
 NEAREST_BUCKETS = 64
 #: Times the comparisons that the buckets of a hub take, up to which they are one bucket.
 MERGE_COST = 2
+#: Times the members of a family that a bucket holds, up to which the whole family may stand for them.
+FAMILY_COST = 32
 _PLACE = np.random.default_rng(5).integers(1, 2**63, 64, dtype=np.uint64) | U(1)
 
 SETS = "doc_id long, n_shingles long, node long, early array<long>, later array<long>, profile binary"
@@ -282,26 +284,62 @@ def _rest(shared: DataFrame, labels: DataFrame, nodes: DataFrame, tested: DataFr
     return found.select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"), found.select("sig", "node", "main").filter("sig is not null").distinct()
 
 
-def _shared(rows: DataFrame) -> DataFrame:
-    """Of (sig, node, root) those of the buckets in which several components meet, with the bucket's smallest node as hub, its root, and the bucket's size; of equal buckets one. A row can come twice."""
-    rows = rows.repartition(partitions(rows.sparkSession), "sig")
-    bucket = rows.groupBy("sig").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"), F.min("node").alias("hub"), F.min_by("root", "node").alias("hub_root"), F.max("node").alias("last"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high")
+def _shared(rows: DataFrame, families: DataFrame | None = None) -> DataFrame:
+    """Of (sig, node, root) those of the buckets in which several components meet, with the bucket's smallest node as hub, its root, and the bucket's size; of equal buckets one. A row can come twice.
+
+    Of a bucket that holds enough of a family only the rows outside it are given, and the family stands for the hub,
+    with its size, else 0, as `size`: the family has a bucket of its own, where its pairs meet, and those with such rows.
+    """
+    rows = rows.filter("sig is not null").repartition(partitions(rows.sparkSession), "sig")  # the filter that a join makes by itself: with it both sides are one exchange
+    figures = [F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"), F.min("node").alias("hub"), F.min_by("root", "node").alias("hub_root"), F.max("node").alias("last"), F.min("root").alias("low"), F.max("root").alias("high")]
+    if families is None:
+        bucket = rows.groupBy("sig").agg(*figures).filter("low <> high")
+    else:  # a bucket within a family has nothing that the family's doesn't have
+        figures += [F.count("family").alias("held"), F.min("family").alias("family"), F.max("family").alias("other")]
+        bucket = rows.groupBy("sig").agg(*figures).filter("low <> high and not (held = n and family = other)")
     # equal buckets, most of a group's, are taken once
     bucket = bucket.groupBy("n", "x", "hub", "hub_root", "last").agg(F.min("sig").alias("sig")).select("sig", "hub", "hub_root", "n")
-    return rows.join(bucket.hint("shuffle_hash"), "sig")
+    if families is None:
+        return rows.join(bucket.hint("shuffle_hash"), "sig")
+    of = families.select("family", "family_root", "size").distinct()
+    most = rows.filter("family is not null").groupBy("sig", "family").agg(F.count("*").alias("held")).join(of, "family").filter(f"held * {FAMILY_COST} >= size")
+    most = most.groupBy("sig").agg(F.max(F.struct("held", "family", "family_root", "size")).alias("most"))
+    bucket = bucket.join(most, "sig", "left").select("sig", F.coalesce("most.family", "hub").alias("hub"), F.coalesce("most.family_root", "hub_root").alias("hub_root"), "n", F.coalesce("most.size", F.lit(0)).alias("size"))
+    outside = (F.col("size") == 0) | F.col("family").isNull() | (F.col("family") != F.col("hub"))
+    return rows.join(bucket.hint("shuffle_hash"), "sig").filter(outside)
+
+
+def _families(early: DataFrame, label: DataFrame) -> DataFrame:
+    """(node, family, family_root, size): nodes by the hub, of those of their first buckets, that meets the most nodes.
+
+    A family's pairs all get compared, in one bucket, so only hubs are taken for which that is at most MERGE_COST times the
+    comparisons of their buckets. Other nodes have no family.
+    """
+    met = early.groupBy("hub", "node").agg(F.sum("n").alias("n"))
+    hubs = met.groupBy("hub").agg(F.count("*").alias("members"), F.sum("n").alias("pairs")).filter(F.col("members") * F.col("members") <= MERGE_COST * F.col("pairs"))
+    own = stored(met.join(hubs, "hub").groupBy("node").agg(F.max(F.struct("members", "hub")).alias("most")).select("node", F.col("most.hub").alias("family")), "family")
+    size = own.groupBy("family").agg(F.count("*").alias("size")).filter("size > 1")
+    size = size.join(label.select(F.col("node").alias("family"), F.col("root").alias("family_root")), "family", "left")
+    return stored(own.join(size.withColumn("family_root", F.coalesce("family_root", "family")), "family").select("node", "family", "family_root", "size"), "families")
 
 
-def _merged(found: DataFrame) -> DataFrame:
-    """Of (hub, node, sigs, n), n the summed sizes of these buckets, (sig, node) rows of buckets that hold every pair of the given ones.
+def _merged(found: DataFrame, families: DataFrame) -> DataFrame:
+    """Of (hub, size, node, sigs, n), n the summed sizes of these buckets, (sig, node) rows of buckets that hold every pair of the given ones and of the families.
 
     The members of a family of texts meet in most of their buckets again, and these mostly have one hub. The buckets of a
     hub are one, under the hub's name, unless that takes more than MERGE_COST times the comparisons: pairs of a family are
-    then compared once, and a family costs its size and not, for every signature, its size.
+    then compared once, and a family costs its size and not, for every signature, its size. What meets a family comes into
+    the family's bucket, unless it is so much that it would meet itself too often: then the family joins each bucket.
     """
-    one = found.groupBy("hub").agg(F.count("*").alias("members"), F.sum("n").alias("pairs")).filter(F.col("members") * F.col("members") <= MERGE_COST * F.col("pairs"))
-    one = stored(one.select("hub", F.lit(True).alias("whole")), "merged")
-    rows = found.join(one, "hub", "left").withColumn("sigs", F.when(F.col("whole"), F.array("hub")).otherwise(F.col("sigs")))
-    return rows.select(F.explode("sigs").alias("sig"), "node")
+    cost = F.when(F.col("size") > 0, MERGE_COST * FAMILY_COST).otherwise(MERGE_COST)
+    one = found.groupBy("hub", "size").agg(F.count("*").alias("members"), F.sum("n").alias("pairs")).filter(F.col("members") * (F.col("members") + F.col("size")) <= cost * F.col("pairs"))
+    one = stored(one.select("hub", "size", F.lit(True).alias("whole")), "merged")
+    name = lambda family: F.xxhash64(family, F.lit("family"))
+    rows = found.join(one, ["hub", "size"], "left")
+    each = rows.filter("size > 0 and whole is null").select(F.col("hub").alias("family"), F.explode("sigs").alias("sig")).distinct()
+    rows = rows.withColumn("sigs", F.when(F.col("whole"), F.array(F.when(F.col("size") > 0, name("hub")).otherwise(F.col("hub")))).otherwise(F.col("sigs")))
+    rows = rows.select(F.explode("sigs").alias("sig"), "node").unionAll(each.join(families, "family").select("sig", "node"))
+    return rows.unionAll(families.select(name("family").alias("sig"), "node"))
 
 
 def join(docs: DataFrame, first_level: int | None = FIRST_LEVEL) -> DataFrame:
@@ -328,12 +366,14 @@ def join(docs: DataFrame, first_level: int | None = FIRST_LEVEL) -> DataFrame:
         return stored(grown.unionByName(found.join(known, "node", "left_anti")), "labels")
 
     label = linked_by(tested, None)
-    with_root = lambda rows: rows.join(label, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    later = with_root(one).select("node", "root", F.explode("later").alias("sig"))
-    found = _shared(later.unionByName(with_root(early.select("node", "sig")).select("node", "root", "sig")))
-    found = stored(found.groupBy("hub", "node", "hub_root", "root").agg(F.collect_set("sig").alias("sigs"), F.sum("n").alias("n")), "shared")
-    star = stored(found.filter("root <> hub_root").select(*pair).join(tested, ["a", "b"], "left_anti"), "star")
-    label, tested, shared = linked_by(star, label), tested.unionAll(star), stored(_merged(found), "buckets")
+    families = _families(early, label)
+    state = stored(label.join(families.select("node", "family"), "node", "full"), "state")
+    with_root = lambda rows: rows.join(state, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    later = with_root(one).select("node", "root", "family", F.explode("later").alias("sig"))
+    found = _shared(later.unionByName(with_root(early.select("node", "sig")).select("node", "root", "family", "sig")), families)
+    found = stored(found.groupBy("hub", "size", "node", "hub_root", "root").agg(F.collect_set("sig").alias("sigs"), F.sum("n").alias("n")), "shared")
+    star = stored(found.filter("root <> hub_root").select(*pair).distinct().join(tested, ["a", "b"], "left_anti"), "star")
+    label, tested, shared = linked_by(star, label), tested.unionAll(star), stored(_merged(found, families), "buckets")
     more = None
     for _ in range(2):  # the nearest ones first: most of the other pairs then lie in one component
         rest, more = _rest(shared, label, nodes, tested, more)
