@@ -22,6 +22,8 @@ Sets are equal, for all purposes, when their 64-bit hashes are; one node stands
 a bucket nodes are first compared to the smallest one, its hub. Then buckets of one hub mostly become one,
 and only nodes of different components are compared with each other, in blocks, behind an exact lower bound
 of their difference. Pairs are never listed for a whole bucket, and a group of copies costs its size.
+Nodes that meet in first buckets of one hub are a family with a bucket of its own; other buckets give only the
+rows outside their main family, which come into the family's bucket.
 
 Links are exact over 64-bit shingle hashes: 100 * intersection >= 75 * union.
 
