@@ -80,6 +80,16 @@ def test_few_pairs_are_compared(monkeypatch):
     assert sum(a != b for a, b in compared) < 20
 
 
+def test_errors_are_those_of_the_texts(spark):
+    truth, model = editions(spark, 2)
+    best = alignment.align_static(truth, model, "head", "second", "synonyms", errors=True)
+    for by in ("model", "truth"):
+        got = alignment.page_field_errors(truth, model, best, {"head": "key", "second": "second"}, by)
+        assert rows(got.fillna(-1)) == rows(alignment.page_field_metrics(truth, model, best, ["head", "second"], by).fillna(-1))
+    text = plan(got)
+    assert "levenshtein" not in text and "Python" not in text
+
+
 def test_lines_of_a_repeated_id(spark, tmp_path):
     """Numbers of lines without a window; texts of one id are numbered together, as in SQL."""
     spark.createDataFrame([(1, "üks kaks\n\n— \nkolm neli"), (2, None), (3, "viis")], "doc_id long, text string").write.parquet(f"{tmp_path}/a/documents.parquet")
