@@ -90,6 +90,14 @@ def test_errors_are_those_of_the_texts(spark):
     assert "levenshtein" not in text and "Python" not in text
 
 
+def test_positions_need_no_window_over_pages(spark):
+    made = spark.range(0, 1000, 1, 7).selectExpr("id % 500 as page", "if(id < 500, 'a', 'b') as field", "if(id % 3 = 0, double('nan'), id / 100) as cer")
+    got = alignment.chart_series(made)
+    assert sorted((r.field, r.page, r.pos, r.tick) for r in got.collect()) == [(f, p, p, str(p) if p % 10 == 0 else "") for f in "ab" for p in range(500)]
+    assert max(r.value for r in got.filter("not isnan(value)").collect()) == 2.0
+    assert "cer" not in "".join(x for x in plan(got).splitlines() if "Window" in x)
+
+
 def test_lines_of_a_repeated_id(spark, tmp_path):
     """Numbers of lines without a window; texts of one id are numbered together, as in SQL."""
     spark.createDataFrame([(1, "üks kaks\n\n— \nkolm neli"), (2, None), (3, "viis")], "doc_id long, text string").write.parquet(f"{tmp_path}/a/documents.parquet")
