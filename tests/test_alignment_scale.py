@@ -5,10 +5,12 @@ from functools import partial
 
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from test_alignment import editions, rows
 
 import lexloom.plans.q_dictionary as plans
 from lexloom.functions import similarity as M
+from lexloom.functions import text as T
 from lexloom.operators import alignment
 from lexloom.plans.collection import Tables
 
@@ -54,6 +56,17 @@ def test_buckets_of_scoring(spark, monkeypatch, width):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
+def test_normalized_in_tasks(spark):
+    """The same as the expression for ASCII texts; others come from it already."""
+    rng = random.Random(6)
+    texts = [words(rng, "abZ.,-_~!\t\x1c\x1f\x0b\x1b\x00 ", 9) for _ in range(2000)] + ["", " ", "K\u212a", "İ Õ\u3000x", "\x85a  b"]
+    told = spark.createDataFrame([(t,) for t in texts], "t string").select("t", T.normalize_string(F.col("t")).alias("n")).collect()
+    assert all(M.normalized(r.t if r.t.isascii() else r.n) == r.n for r in told)
+    other = spark.createDataFrame([(1, 0, "İ K\u212a, x", "ÕÄ\u3000 ü!")], "page long, seq long, head string, second string")
+    mine = spark.createDataFrame([(1, 0, "i̇ kk x", "õä ü")], "page long, seq long, head string, second string")
+    assert alignment.scored_candidates(other, mine, "head", "second", second_ratio=M.plain_edit_ratio).first().score == 300
+
+
 def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
