@@ -35,6 +35,9 @@ def test_many_pairs_are_as_one(monkeypatch, side):
         each = [f(a, b) for a, b in zip(left, right, strict=True)]
         assert M.many(f)(left, right).tolist() == each
         assert (M.bounds(f)(left, right) >= each).all()
+    some = [[x[i] for i in range(len(left)) if len(left[i]) < 40] for x in (left, right)]
+    assert all(a <= b for a, b in zip(map(M.plain_partial_ratio, *some), M.bounds(M.plain_partial_ratio)(*some), strict=True))
+    assert M.bounds(M.plain_partial_ratio)(["", "", "ab"], ["", "a", "xabx"]).tolist() == [100, 0, 100]
     assert M.distances(left, right).tolist() == [M.plain_distance(a, b) for a, b in zip(left, right, strict=True)]
     assert M.distances([], []).tolist() == []
 
